@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, token_count
+from . import bpe_tree, language_id, mixing, quality_rules, token_count, url_filter
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_language_id": language_id.op2_language_id,
     "op4_token_counts": token_count.op4_token_counts,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op10_bpe_tree": bpe_tree.op10_bpe_tree,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
+}
