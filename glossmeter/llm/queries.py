@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, language_id, mixing, quality_rules, token_count, url_filter
+from . import bpe_tree, html_extract, language_id, line_dedup, mixing, quality_rules, token_count, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language_id": language_id.op2_language_id,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_token_counts": token_count.op4_token_counts,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op9_html_extract": html_extract.op9_html_extract,
     "op10_bpe_tree": bpe_tree.op10_bpe_tree,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op3_line_dedup": line_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
 }
