@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, html_extract, language_id, line_dedup, mixing, quality_rules, token_count, url_filter
+from . import ann_search, bpe_tree, html_extract, language_id, line_dedup, mixing, quality_rules, token_count, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": token_count.op4_token_counts,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_ann_search": ann_search.op8_ann_search,
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_bpe_tree": bpe_tree.op10_bpe_tree,
 }
