@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_search, bpe_tree, html_extract, language_id, line_dedup, mixing, quality_rules, token_count, url_filter
+from . import ann_search, bpe_tree, html_extract, language_id, line_dedup, mixing, ngram_join, quality_rules, token_count, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_token_counts": token_count.op4_token_counts,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_ann_search": ann_search.op8_ann_search,
     "op9_html_extract": html_extract.op9_html_extract,
