@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = EPOCHS, weight: Column | None = None) -> DataFrame:
-    """The columns in keep, size, source, source_size, target, taken, key.
+    """The columns in keep, and besides them size, source, source_size, target, taken, key.
 
     Texts without words (null, empty) have size 0 and give nothing.  A null source is a source of its own, the last.  Equal
     keys go by id (null first), then size; rows that repeat an id have the same key and are interchangeable.  No documents,
@@ -81,7 +81,8 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: st
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target") - epochs * F.col("source_size"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("own")))
-    return rows.select(*[F.col(f"k_{k}").alias(k) for k in keep], "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "key")
+    out = {"size": F.col("size"), "source": F.col("source"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long"), "key": F.col("key")}
+    return rows.select(*[F.col(f"k_{k}").alias(k) for k in keep], *[c.alias(k) for k, c in out.items() if k not in keep])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
