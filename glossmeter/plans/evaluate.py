@@ -88,12 +88,12 @@ class Evaluator:
 
 def evaluate(spark: SparkSession, path: str, key: str):
     """Scores of a corpus file: key pos or lemma gives weighted and average P, R, F, accuracy, and for pos those of each label; key ner gives (overall, per label)."""
+    if key not in ("pos", "lemma", "ner"):
+        raise ValueError("key must be pos, lemma or ner")
     items = corpus.itemize(corpus.load_json(spark, path))
     if key == "ner":
         got = Evaluator(["ner"]).evaluate(items)["ner"]
         return got["results"], got["results_per_label"]
-    if key not in ("pos", "lemma"):
-        raise ValueError("key must be pos, lemma or ner")
     table = labels.confusion(align.label_pairs(items, key, one_to_one=key == "pos")).cache()
     out = {}
     for name, kind in (("weighted", "weighted"), ("average", "macro")):
