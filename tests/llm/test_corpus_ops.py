@@ -241,7 +241,7 @@ def test_pipeline(spark, tmp_path, docs):
 
     r = random.Random(11)
     say = lambda n: " ".join("".join(r.choice("abcdefghijklm") for _ in range(5)) for _ in range(n)) + "."
-    rows = [(i, "\n".join(say(30) for _ in range(4)), f"s{i % 3}") for i in range(60)]
+    rows = [(i, "\n".join(say(40) for _ in range(4)), f"s{i % 3}") for i in range(60)]
     rows += [(100 + i, rows[i][1], "s1") for i in range(10)] + [(200, "too short", "s0"), (201, None, "s0"), (202, "a b c " * 60, "s2")]
     docs(*rows).drop("size", "key").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(202, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
