@@ -21,6 +21,11 @@ DEPTH, SUPPORT, SHARE, ALIKE, PRIOR, PRIOR_BAD, BLOCKED = 3, 5, 0.02, 1.96, 4.0,
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _double(x: float) -> str:
+    """A literal that neither dialect takes for a decimal."""
+    return f"CAST({x!r} AS DOUBLE)"
+
+
 def _start(u: str, text: str) -> str:
     return f"SELECT u.*, CAST('' AS {text}) AS t0, CASE WHEN said IS NULL THEN 0 ELSE 1 END AS seen, CASE WHEN said = 'block' THEN 1 ELSE 0 END AS bad FROM {u} u"
 
@@ -28,16 +33,16 @@ def _start(u: str, text: str) -> str:
 def _level(k: int, u: str, text: str) -> list[tuple[str, str]]:
     """One level of the tree as (name, query) in SQL that Spark and DuckDB share; u has the urls with their template so far. The last query has it grown by segment k; a missing segment is ''."""
     p = k - 1
-    own, before = f"q * (1 - q) / (seen + {PRIOR})", f"q0 * (1 - q0) / (seen0 + {PRIOR})"
+    own, before = f"q * (1 - q) / (seen + {_double(PRIOR)})", f"q0 * (1 - q0) / (seen0 + {_double(PRIOR)})"
     at = "PARTITION BY host, t ORDER BY q, s"
     return [
         (f"c{k}", f"SELECT host, t{p} AS t, s{k} AS s, count(*) AS n, sum(seen) AS seen, sum(bad) AS bad FROM {u} GROUP BY host, t{p}, s{k}"),
         (f"p{k}", f"SELECT host, t, sum(n) AS n FROM c{k} GROUP BY host, t"),
         # literal segments, at most 1 / SHARE for a parent, with their smoothed purity
-        (f"l{k}", f"SELECT c.host, c.t, c.s, c.seen, (c.bad + {PRIOR * PRIOR_BAD}) / (c.seen + {PRIOR}) AS q FROM (SELECT * FROM c{k} WHERE n >= {SUPPORT} AND s <> '') c JOIN p{k} p ON c.host = p.host AND c.t = p.t WHERE c.n >= {SHARE} * p.n"),
+        (f"l{k}", f"SELECT c.host, c.t, c.s, c.seen, (c.bad + {_double(PRIOR * PRIOR_BAD)}) / (c.seen + {_double(PRIOR)}) AS q FROM (SELECT * FROM c{k} WHERE n >= {SUPPORT} AND s <> '') c JOIN p{k} p ON c.host = p.host AND c.t = p.t WHERE c.n >= {_double(SHARE)} * p.n"),
         (f"g{k}", f"SELECT *, lag(q) OVER ({at}) AS q0, lag(seen) OVER ({at}) AS seen0 FROM l{k}"),
         # a branch without labels is no evidence, so it joins only others without
-        (f"h{k}", f"SELECT *, CASE WHEN q0 IS NULL OR (seen = 0) <> (seen0 = 0) OR (q - q0) > {ALIKE} * sqrt({own} + {before}) THEN 1 ELSE 0 END AS apart FROM g{k}"),
+        (f"h{k}", f"SELECT *, CASE WHEN q0 IS NULL OR (seen = 0) <> (seen0 = 0) OR (q - q0) > {_double(ALIKE)} * sqrt({own} + {before}) THEN 1 ELSE 0 END AS apart FROM g{k}"),
         (f"i{k}", f"SELECT host, t, s, sum(apart) OVER ({at} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM h{k}"),
         (f"b{k}", f"SELECT host, t, s, min(s) OVER (PARTITION BY host, t, grp) AS name, count(*) OVER (PARTITION BY host, t, grp) AS members FROM i{k}"),
         (f"u{k}", f"SELECT u.*, CASE WHEN u.s{k} = '' THEN u.t{p} WHEN b.s IS NULL THEN concat(u.t{p}, '/*') WHEN b.members = 1 THEN concat(u.t{p}, '/', b.name) ELSE concat(u.t{p}, '/(', b.name, '+', CAST(b.members AS {text}), ')') END AS t{k} FROM {u} u LEFT JOIN b{k} b ON u.host = b.host AND u.t{p} = b.t AND u.s{k} = b.s"),
@@ -46,8 +51,8 @@ def _level(k: int, u: str, text: str) -> list[tuple[str, str]]:
 
 def _verdicts(d: int, u: str) -> list[tuple[str, str]]:
     return [
-        ("leaf", f"SELECT host, t{d} AS t, (sum(bad) + {PRIOR * PRIOR_BAD}) / (sum(seen) + {PRIOR}) AS purity FROM {u} GROUP BY host, t{d}"),
-        ("result", f"SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.said, CASE WHEN leaf.purity >= {BLOCKED} THEN 'block' ELSE 'allow' END) AS verdict, u.t{d} AS template, CAST(leaf.purity AS DOUBLE) AS purity FROM {u} u JOIN leaf ON u.host = leaf.host AND u.t{d} = leaf.t"),
+        ("leaf", f"SELECT host, t{d} AS t, (sum(bad) + {_double(PRIOR * PRIOR_BAD)}) / (sum(seen) + {_double(PRIOR)}) AS purity FROM {u} GROUP BY host, t{d}"),
+        ("result", f"SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.said, CASE WHEN leaf.purity >= {_double(BLOCKED)} THEN 'block' ELSE 'allow' END) AS verdict, u.t{d} AS template, CAST(leaf.purity AS DOUBLE) AS purity FROM {u} u JOIN leaf ON u.host = leaf.host AND u.t{d} = leaf.t"),
     ]
 
 
