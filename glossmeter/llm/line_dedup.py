@@ -69,10 +69,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the text of first occurrences, from the documents that hold them
     held = again.groupBy(F.col("okey").alias("key")).agg(F.collect_list(F.struct("h", "n", F.col("ofirst").alias("first"), F.col("olast").alias("last"))).alias("held"))
     source = docs.select(key.alias("key"), F.col(text_col).alias("t")).join(held, "key").dropDuplicates(["key"])
-    texts = let(F.split("t", "\n", -1), lambda lines: F.transform("held", lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), _text(lines, x).alias("same"))))
-    firsts = cut(source.select(F.explode(texts).alias("x")).select("x.*"))
-    later = slim.join(again, ["h", "n"]).where((F.col("key") != F.col("okey")) | (F.col("first") != F.col("ofirst"))).select("h", "n", "key", "first", "last").distinct()
-    against = later.join(firsts, ["h", "n"]).groupBy("key").agg(F.collect_list(F.struct("first", "last", "same")).alias("later"))
+    texts = let(F.split("t", "\n", -1), lambda lines: F.transform("held", lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), x["first"].alias("ofirst"), _text(lines, x).alias("same"))))
+    firsts = cut(source.select(F.col("key").alias("okey"), F.explode(texts).alias("x")).select("okey", "x.*"))
+    # one join of hashes with first occurrences, which adaptive execution may split; no group of equal chunks is gathered
+    later = slim.join(firsts, ["h", "n"]).where((F.col("key") != F.col("okey")) | (F.col("first") != F.col("ofirst")))
+    against = later.groupBy("key").agg(F.collect_set(F.struct("first", "last", "same")).alias("later"))
 
     none = F.array().cast("array<struct<first:int,last:int>>")
 
