@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that occurred before go from the text; n_chars follows. Documents stay, also with an empty text."""
-    out = line_dedup.dedup_lines(docs, keep=("doc_id", "lang", "source"))
+    """Chunks and passages of lines that occurred before go from the text; n_chars follows. Documents stay, also with an empty text."""
+    out = line_dedup.dedup_passages(docs, keep=("doc_id", "lang", "source"))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -4,6 +4,10 @@ A rolling hash over the hashes of two neighbouring lines chooses the boundaries:
 minimum, so boundaries depend on nearby lines only and shift with them, and chunks have two lines at least.  A long line
 is a chunk by itself.  A chunk that occurs anywhere else in the corpus before is removed, once its bytes have been compared
 with those of the first occurrence.  Only hashes are grouped over the corpus; text moves twice, to its document's row.
+
+Chunks depend on the lines around a passage, so dedup_passages() compares windows as well: from every line with words on,
+and back from it, the fewest lines that hold WORDS words.  Windows depend on their own lines only, so those of a passage
+of that many words are the same in any context, and together they cover the whole passage.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from .common import cut, read
 
 #: Characters from which a line is a chunk by itself; least characters of a chunk of several lines.
 LONG, LEAST = 200, 20
+#: Words from which a passage is found wherever it stands; lines that are tried first for a window, before as many as it may need.
+WORDS, NEAR = 50, 6
 
 
 def let(value: Column, body) -> Column:
@@ -49,6 +55,29 @@ def chunks(text: Column) -> Column:
     return let(F.split(text, "\n", -1), of)
 
 
+def windows(lines: Column) -> Column:
+    """array<struct<first, last>>: from each line with words, forward and back, the fewest lines that hold WORDS words."""
+
+    def reach(w: Column, k: Column) -> Column:
+        """struct<s, n>: words and lines of the window that begins at w[k]; s < WORDS if there is none."""
+        upto = lambda most: F.aggregate(F.slice(w, k + 1, most), F.struct(F.lit(0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.when(a["s"] >= WORDS, a).otherwise(F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n"))))
+        return let(upto(NEAR), lambda a: F.when(a["s"] >= WORDS, a).otherwise(upto(WORDS)))  # each line has a word at least
+
+    def of(at: Column, w: Column, back: bool) -> Column:
+        ends = lambda k, n: (F.get(at, k + n - 1), F.get(at, k)) if back else (F.get(at, k), F.get(at, k + n - 1))
+        span = lambda k, n: F.struct(*[x.alias(c) for c, x in zip(("first", "last"), ends(k, n))])
+        all_of = F.transform(w, lambda _, k: let(reach(w, k), lambda a: F.when(a["s"] >= WORDS, span(k, a["n"]))))
+        return F.filter(all_of, lambda x: x.isNotNull())
+
+    def both(full: Column) -> Column:
+        at, w = F.transform(full, lambda x: x["i"]), F.transform(full, lambda x: x["w"])
+        way = lambda a, v, back: let(a, lambda a: let(v, lambda v: of(a, v, back)))
+        return F.array_distinct(F.concat(way(at, w, False), way(F.reverse(at), F.reverse(w), True)))
+
+    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))), lambda x: x["w"] > 0)
+    return let(full, both)
+
+
 def _text(lines: Column | str, span: Column) -> Column:
     return F.array_join(F.slice(lines, span["first"] + 1, span["last"] - span["first"] + 1), "\n")
 
@@ -90,10 +119,68 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(*[F.col(f"k_{k}").alias(k) for k in keep], zero("x.n").alias("n_lines"), zero("x.removed").alias("n_removed"), zero("x.chunks").alias("n_chunks"), F.coalesce("x.text", "t").alias("text"))
 
 
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """As dedup_lines, and also every run of whole lines with WORDS words or more that stood anywhere before is removed.
+
+    n_chunks counts runs of removed lines.  A window that overlaps its own first occurrence is no repetition.  What is
+    removed always stands earlier in the corpus.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    pair = lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"))
+
+    def hashed(lines: Column) -> Column:
+        found = F.array_distinct(F.concat(F.transform(chunks(F.col(text_col)), pair), windows(lines)))
+        of = lambda h: F.transform(found, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.xxhash64(F.slice(h, c["first"] + 1, c["last"] - c["first"] + 1)).alias("h")))
+        return let(F.transform(lines, lambda x: F.xxhash64(x)), of)
+
+    slim = cut(docs.select(F.col(id_col).alias("id"), key.alias("key"), F.explode(let(F.split(text_col, "\n", -1), hashed)).alias("c")).select("id", "key", "c.*"))
+    # hashes in more than one place, then their rows: most are in one only, and their ids stay where they are
+    place = F.xxhash64("key", "first")
+    common = slim.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
+    twice = cut(slim.join(common, "h"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "first", "last")
+    before = twice.groupBy("h").agg(F.min(order).alias("o")).select("h", F.col("o.key").alias("okey"), F.col("o.first").alias("ofirst"), F.col("o.last").alias("olast"))
+    later = twice.join(before, "h").where((F.col("key") != F.col("okey")) | (F.col("first") > F.col("olast")))
+
+    # windows that lie as far from the same document's lines join to runs, so no text moves once a window
+    def joined(acc: Column, x: Column) -> Column:
+        end = F.get(acc, F.size(acc) - 1)
+        longer = F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.struct(end["first"].alias("first"), F.greatest(end["last"], x["last"]).alias("last")))
+        return F.when(F.coalesce(end["last"] + 1 >= x["first"], F.lit(False)), longer).otherwise(F.array_append(acc, x))
+
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    union = lambda c: F.aggregate(F.array_sort(c), none, joined)
+    runs = later.groupBy("key", "okey", (F.col("first") - F.col("ofirst")).alias("by")).agg(F.collect_set(F.struct("first", "last")).alias("v"))
+    runs = cut(runs.select("key", "okey", "by", F.explode(union("v")).alias("v")).select("key", "okey", "v.*", (F.col("v.first") - F.col("by")).alias("ofirst"), (F.col("v.last") - F.col("by")).alias("olast")))
+
+    # the text of first occurrences, from the documents that hold them
+    held = runs.select("okey", "ofirst", "olast").distinct().groupBy(F.col("okey").alias("key")).agg(F.collect_list(F.struct(F.col("ofirst").alias("first"), F.col("olast").alias("last"))).alias("held"))
+    source = docs.select(key.alias("key"), F.col(text_col).alias("t")).join(held, "key").dropDuplicates(["key"])
+    texts = let(F.split("t", "\n", -1), lambda lines: F.transform("held", lambda x: F.struct(x["first"].alias("ofirst"), x["last"].alias("olast"), _text(lines, x).alias("same"))))
+    firsts = cut(source.select(F.col("key").alias("okey"), F.explode(texts).alias("x")).select("okey", "x.*"))
+    against = runs.join(firsts, ["okey", "ofirst", "olast"]).groupBy("key").agg(F.collect_set(F.struct("first", "last", "same")).alias("later"))
+
+    def judged(lines: Column) -> Column:
+        same = F.filter("later", lambda x: _text(lines, x) == x["same"])
+        gone = F.coalesce(union(F.transform(same, pair)), none)
+        left = lambda g: F.filter(lines, lambda x, i: ~F.exists(g, lambda v: (i >= v["first"]) & (i <= v["last"])))
+        removed = lambda g: F.aggregate(g, F.lit(0), lambda s, v: s + v["last"] - v["first"] + 1)
+        return let(gone, lambda g: F.struct(F.size(lines).alias("n"), removed(g).alias("removed"), F.size(g).alias("chunks"), F.when(F.size(g) > 0, F.array_join(left(g), "\n")).alias("text")))
+
+    rows = docs.select(*[F.col(k).alias(f"k_{k}") for k in keep], key.alias("key"), F.col(text_col).alias("t")).join(against, "key", "left")
+    rows = rows.withColumn("x", let(F.split("t", "\n", -1), judged))
+    zero = lambda c: F.when(F.col("t").isNull(), 0).otherwise(F.col(c)).cast("long")
+    return rows.select(*[F.col(f"k_{k}").alias(k) for k in keep], zero("x.n").alias("n_lines"), zero("x.removed").alias("n_removed"), zero("x.chunks").alias("n_chunks"), F.coalesce("x.text", "t").alias("text"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(read(spark, sf_dir, "documents"))
+
+
 def oracle(table: str = "documents") -> str:
     return f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {table}),

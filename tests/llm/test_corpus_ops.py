@@ -111,6 +111,31 @@ def test_copies_and_clean_documents(docs, odd):
     assert D.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_short_passages(docs):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 3)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for k, shape in enumerate([(55,), (27, 27), (18, 18, 18), (14,) * 4, (12,) * 5, (12,) * 6, (45, 5, 5), (5, 5, 45), (60, 3, 0, 4)] * 4):
+        passage = [line(n) for n in shape]
+        for i in (2 * k, 2 * k + 1):
+            own = [[line(r.randint(3, 9)) for _ in range(r.randint(0, 4))] for _ in range(2)]
+            rows.append((i, "\n".join(own[0] + passage + own[1]), "s"))
+            want[i] = "\n".join(own[0] + own[1] if i % 2 else own[0] + passage + own[1])
+    table = docs(*rows)
+    assert {x["doc_id"]: x["text"] for x in D.dedup_passages(table).collect()} == want
+    assert sum(x["text"] == want[x["doc_id"]] for x in D.dedup_lines(table).collect()) < len(want)  # its SQL has chunks only
+
+
+def test_passages_keep_first_and_odd_rows(docs, odd):
+    a, b, few = "a " * 30 + "end", "b " * 30 + "end", "some few words only"
+    table = docs((1, "\n".join([a] * 5), "s"), (2, f"x\n{a}\n{b}\ny", "s"), (2, f"x\n{a}\n{b}\ny", "s"), (3, f"{few}\n{a}\n{b}", "s"), (4, f"p\n{few}\nq", "s"))
+    got = rows_of(D.dedup_passages(table), "doc_id", "n_lines", "n_removed", "n_chunks", "text")
+    assert got == {(1, 5, 3, 1, f"{a}\n{a}"): 1, (2, 4, 0, 0, f"x\n{a}\n{b}\ny"): 2, (3, 3, 2, 1, few): 1, (4, 3, 0, 0, f"p\n{few}\nq"): 1}
+    cols = ("doc_id", "n_lines", "n_removed", "text")
+    assert rows_of(D.dedup_passages(odd), *cols) == rows_of(D.dedup_lines(odd), *cols) and D.dedup_passages(odd.limit(0)).count() == 0
+
+
 # -- n-gram join -------------------------------------------------------------------------------
 
 
