@@ -109,6 +109,7 @@ QUERIES = {
     "strip_accents": lambda s, d: fx.read(s, d, "documents").select("doc_id", F.md5(text.strip_accents("text")).alias("plain")),
     "strip_accents_lower": lambda s, d: fx.read(s, d, "documents").select("doc_id", F.md5(text.strip_accents_and_lower_case("text")).alias("plain")),
     "relax_str": lambda s, d: fx.read(s, d, "documents").select("doc_id", F.md5(text.relax_str(F.concat(F.lit("\t "), F.substring("text", 1, 40), F.lit(" \n")))).alias("plain")),
+    "relax_str_whole": lambda s, d: fx.read(s, d, "documents").select("doc_id", F.md5(text.relax_str(F.concat(F.lit("\t "), F.col("text"), F.lit(" \n")))).alias("plain")),
     "contiguous_sentences": lambda s, d: align.is_contiguous(fx.items(s, d)),
     "gold_lookup": gold_lookup,
     "compose_predictions": compose_predictions,

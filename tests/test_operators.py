@@ -278,6 +278,19 @@ def test_text(spark):
     assert [tuple(r) for r in rows] == [("eac", "en"), (None, None), ("", "")]
 
 
+def test_relax_whole_texts(spark, tmp_path):
+    import hashlib
+    import unicodedata
+
+    from glossmeter.plans.queries import QUERIES
+
+    texts = [None, "", " \n\u00a0", "Éa " * 40 + "ÀÉÎ Õü\u2003\t", "x" * 40 + "É", "\n" + "wörd\n\n WÖRD " * 500 + "\u3000 Ñ\n \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower().strip()
+    want = {i: t if t is None else hashlib.md5(plain(t).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["plain"] for r in QUERIES["relax_str_whole"](spark, str(tmp_path)).collect()} == want
+
+
 def test_compose(spark):
     from glossmeter.plans.queries import _Upper
 
