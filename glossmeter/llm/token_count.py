@@ -18,6 +18,8 @@ from .common import read
 
 REMEMBERED, LIMIT = 400_000, 4096
 _NONE = np.int64(1) << 30
+#: Bits of a place in a batch, below its rank: more than a batch that fits in memory needs.
+PLACE = 32
 
 
 class RaggedCounter:
@@ -73,14 +75,14 @@ class RaggedCounter:
             # of each row the pair of lowest rank, leftmost on ties; a round applies one in every row
             begin = np.flatnonzero(np.diff(row, prepend=-1))
             place = np.arange(len(sym))
-            lowest = np.minimum.reduceat(rank << 24 | place, begin)
-            ends = lowest >= _NONE << 24
+            lowest = np.minimum.reduceat(rank << PLACE | place, begin)
+            ends = lowest >= _NONE << PLACE
             if ends.any():
                 over = np.repeat(ends, np.diff(begin, append=len(sym)))
                 np.add.at(out, row[over], cost[over])
                 sym, cost, row, rank, union = sym[~over], cost[~over], row[~over], rank[~over], union[~over]
                 continue
-            merge = lowest & 0xFFFFFF
+            merge = lowest & (1 << PLACE) - 1
             sym[merge], cost[merge] = union[merge], 1
             stay = np.ones(len(sym), bool)
             stay[merge + 1] = False

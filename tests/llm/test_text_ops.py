@@ -64,6 +64,12 @@ def test_token_counts(odd):
     assert token_counts(odd.limit(0)).count() == 0
 
 
+def test_count_of_long_pretoken():
+    c = RaggedCounter(P.path("piece_bpe_32k.model"))
+    assert "\ua500" not in c.symbol and c.symbol.keys() >= {"t", "h", "th"}
+    assert c.counts(["\ua500" * (1 << 24) + "th"]).tolist() == [3 * (1 << 24) + 1]
+
+
 def test_counter_forgets(monkeypatch):
     import glossmeter.llm.token_count as T
 
