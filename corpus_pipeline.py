@@ -28,9 +28,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays; those without id or words all stay."""
-    found = ngram_join.shingle_components(docs).where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near-duplicates one row stays, of those with the smallest id; rows without id or words all stay.
+
+    Rows count one by one, also where they repeat an id or are equal.
+    """
+    rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    found = ngram_join.shingle_components(rows, id_col="row").where("n_shingles > 0").select("row", "node", "component_id")
+    members = cut(found.join(rows.where("doc_id IS NOT NULL").select("row", "doc_id"), "row"))
+    kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "node", "row")).alias("x")).select("x.row")
+    gone = members.select("row").join(kept, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

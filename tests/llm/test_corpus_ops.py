@@ -283,3 +283,12 @@ def test_pipeline(spark, tmp_path, docs):
     times = collections.Counter(x["doc_id"] for x in seen[3].collect())
     assert max(times.values()) <= 2 and 0.8 * 1.5 * 60 <= sum(times.values()) <= 1.2 * 1.5 * 60
     assert rows_of(seen[4], "doc_id", "n_tokens") == rows_of(C.run(spark, str(tmp_path)), "doc_id", "n_tokens") and P
+
+
+def test_pipeline_near_duplicates_by_row(spark, docs):
+    C = pytest.importorskip("corpus_pipeline")
+    r = random.Random(5)
+    x, y, z = (" ".join("".join(r.choice("abcdefghijklm") for _ in range(5)) for _ in range(40)) for _ in range(3))
+    rows = [(1, x, "s"), (1, x, "s"), (2, x, "s"), (2, y, "s"), (3, y, "s"), (4, z, "s"), (4, z, "t"), (5, "", "s"), (5, "", "s"), (None, x, "s"), (None, x, "s")]
+    got = rows_of(C.near_duplicates(spark, docs(*rows), ""), "doc_id", "text")
+    assert got == {(1, x): 1, (2, y): 1, (4, z): 1, (5, ""): 2, (None, x): 2}
