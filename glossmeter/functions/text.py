@@ -25,6 +25,10 @@ def strip_accents_and_lower_case(text: Column | str) -> Column:
     return F.lower(strip_accents(text))
 
 
+#: What counts as white space at the ends of a text.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def relax_str(text: Column | str) -> Column:
     """Without accents, in lower case, without white space at either end."""
-    return F.regexp_replace(strip_accents_and_lower_case(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(strip_accents_and_lower_case(text), F.lit(SPACE))

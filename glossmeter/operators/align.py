@@ -11,27 +11,79 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MISFIT = "a and b need to cover the same total span with tokens that have a length and do not overlap"
+
+
 def align(items: DataFrame, strict: bool = False) -> DataFrame:
     """Minimum tokens of sentences whose sides cover the same span, with group: the smallest end that both sides share and that is not before the token's own.
 
-    Tokens of a side do not overlap and have positive length; gaps are allowed.  One exchange on sent_id.
-    strict: a sentence that lacks a side or whose spans differ fails the query; else it is left out.
+    Tokens of a side have a positive length and do not overlap; gaps are allowed.  strict: a sentence that lacks a side, or
+    whose spans or tokens break this, fails the query; else it is left out (align_folded takes any tokens).  One exchange and
+    one sort: every window goes over the sentence from its last end to its first, so each keeps a running value.
     """
     sent = W.partitionBy("sent_id")
-    rows = items.where("is_min").repartition("sent_id")
-    of = lambda f, c, s: f(F.when(F.col("side") == s, F.col(c))).over(sent)
-    fits = F.coalesce((of(F.min, "start", "a") == of(F.min, "start", "b")) & (of(F.max, "end", "a") == of(F.max, "end", "b")), F.lit(False))
-    rows = rows.withColumn("fits", fits)
-    keep = F.when(~F.col("fits"), F.raise_error(F.lit("a and b need to cover the same total span"))).otherwise(True) if strict else F.col("fits")
-    at = W.partitionBy("sent_id", "end")
-    shared = F.min("side").over(at) != F.max("side").over(at)
-    later = sent.orderBy("end").rangeBetween(W.currentRow, W.unboundedFollowing)
-    return rows.where(keep).withColumn("shared", F.when(shared, F.col("end"))).withColumn("group", F.min("shared").over(later)).drop("fits", "shared")
-
-
-def align_groups(items: DataFrame, strict: bool = False) -> DataFrame:
+    down = sent.orderBy(F.desc("end"))
+    here, behind, so_far = down.rangeBetween(0, 0), down.rangeBetween(W.unboundedPreceding, -1), down.rangeBetween(W.unboundedPreceding, 0)
+    on = lambda f, c, s: f(F.when(F.col("side") == s, F.col(c)))
+    own = lambda f, c, w: F.when(F.col("side") == "a", on(f, c, "a").over(w)).otherwise(on(f, c, "b").over(w))
+    rows = items.where("is_min").withColumn("shared", F.when(F.min("side").over(here) != F.max("side").over(here), F.col("end")))
+    odd = (F.col("end") <= F.col("start")) | (own(F.count, "end", here) > 1) | F.coalesce(own(F.min, "start", behind) < F.col("end"), F.lit(False))
+    rows = rows.withColumn("odd", odd).withColumn("group", F.min("shared").over(so_far))
+    same = (on(F.min, "start", "a").over(sent) == on(F.min, "start", "b").over(sent)) & (on(F.max, "end", "a").over(sent) == on(F.max, "end", "b").over(sent))
+    return rows.withColumn("fits", F.coalesce(same, F.lit(False)) & ~F.bool_or("odd").over(sent)).where(_wanted("fits", strict)).drop("fits", "shared", "odd")
+
+
+def _wanted(fits: str, strict: bool) -> Column:
+    return F.when(~F.col(fits), F.raise_error(F.lit(MISFIT))).otherwise(True) if strict else F.col(fits)
+
+
+def fold(a: Sequence[tuple[int, int]], b: Sequence[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
+    """Groups of places in a and b, for (start, end) in any order and with overlaps.
+
+    Of the next token of each side, by start and then longer first, the one that ends first joins the open group; two that end
+    together close it.  What no common end closes is in no group.
+    """
+    x, y = (sorted(range(len(t)), key=lambda k, t=t: (t[k][0], -t[k][1])) for t in (a, b))
+    out, left, right, i, j = [], [], [], 0, 0
+    while i < len(x) and j < len(y):
+        p, q = a[x[i]][1], b[y[j]][1]
+        if p <= q:
+            left.append(x[i])
+            i += 1
+        if q <= p:
+            right.append(y[j])
+            j += 1
+        if p == q:
+            out.append((left, right))
+            left, right = [], []
+    return out
+
+
+def align_folded(items: DataFrame, strict: bool = False) -> DataFrame:
+    """align() for tokens that overlap or have no length, a sentence at a time in Arrow batches; group counts from 0.
+
+    strict: a sentence that lacks a side or whose spans differ fails the query; else it is left out.
+    """
+    rows = items.where("is_min")
+
+    def groups(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["side", "ord"], kind="stable").reset_index(drop=True)
+        at = {s: p.index[p["side"] == s].to_numpy() for s in "ab"}
+        spans = {s: list(zip(p["start"][i].tolist(), p["end"][i].tolist())) for s, i in at.items()}
+        ends = [(min(x)[0], max(e for _, e in x)) if (x := spans[s]) else None for s in "ab"]
+        if None in ends or ends[0] != ends[1]:
+            if strict:
+                raise ValueError("a and b need to cover the same total span")
+            return p.head(0).assign(group=0)
+        found = [(k, at[s][i]) for k, g in enumerate(fold(spans["a"], spans["b"])) for s, members in zip("ab", g) for i in members]
+        return p.loc[[i for _, i in found]].assign(group=[k for k, _ in found])
+
+    return rows.groupBy("sent_id").applyInPandas(groups, T.StructType([*rows.schema.fields, T.StructField("group", T.IntegerType())]))
+
+
+def align_groups(items: DataFrame, strict: bool = False, folded: bool = False) -> DataFrame:
     """sent_id, group, a, b: arrays of (start, end, item, pos, lemma) in order of start."""
-    aligned = align(items, strict)
+    aligned = (align_folded if folded else align)(items, strict)
     of = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("start", "end", "item", "pos", "lemma"))))
     return aligned.groupBy("sent_id", "group").agg(of("a").alias("a"), of("b").alias("b"))
 
@@ -73,25 +125,38 @@ def edit_ops(a: Column | str, b: Column | str) -> Column:
     return _paths(a, b)
 
 
-def label_pairs(items: DataFrame, label: str, skip_unaligned: bool = True, one_to_one: bool = True, strict: bool = False) -> DataFrame:
+def first_labels(aligned: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """sent_id, group, n_a, n_b, and a_<label> and b_<label> of the first token of each side, for aligned tokens."""
+    of = lambda s, x: F.when(F.col("side") == s, x)
+    first = lambda s: F.min(of(s, F.struct("start", *labels))).alias(s)
+    g = aligned.groupBy("sent_id", "group").agg(F.count(of("a", F.lit(1))).alias("n_a"), F.count(of("b", F.lit(1))).alias("n_b"), first("a"), first("b"))
+    return g.select("sent_id", "group", "n_a", "n_b", *[F.col(f"{s}.{x}").alias(f"{s}_{x}") for x in labels for s in "ab"])
+
+
+def edit_pairs(aligned: DataFrame, label: str, one_to_one: bool) -> DataFrame:
+    """sent_id, a, b of all groups: those that label_pairs would skip pair by the edit path of their labels, MISALIGNED where a side has none."""
+    labels = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("start", F.col(label).alias("label"))))), lambda x: x["label"])
+    g = aligned.groupBy("sent_id", "group").agg(labels("a").alias("a"), labels("b").alias("b"))
+    match = (F.size("a") == 1) & (F.size("b") == 1) if one_to_one else F.size("a") == F.size("b")
+    easy = F.array(F.struct(F.get("a", F.lit(0)).alias("a"), F.get("b", F.lit(0)).alias("b")))
+    g = g.withColumn("match", match)
+    mark = lambda c: F.coalesce(c, F.lit("MISALIGNED"))
+    hard = g.where("NOT match").select("sent_id", F.explode(edit_ops("a", "b")).alias("x")).select("sent_id", mark(F.col("x.a")).alias("a"), mark(F.col("x.b")).alias("b"))
+    return g.where("match").select("sent_id", F.explode(easy).alias("x")).select("sent_id", "x.a", "x.b").unionByName(hard)
+
+
+def label_pairs(items: DataFrame, label: str, skip_unaligned: bool = True, one_to_one: bool = True, strict: bool = False, folded: bool = False) -> DataFrame:
     """sent_id, a, b: labels of aligned tokens.
 
     one_to_one: groups of one token on each side pair (parts of speech); else groups of as many tokens pair by their first
     ones (lemmas).  skip_unaligned false: the others pair by the edit path of their labels, MISALIGNED where a side has none.
+    folded: tokens may overlap.
     """
-    aligned = align(items, strict).select("sent_id", "side", "group", "start", F.col(label).alias("label"))
-    size = lambda s: F.count(F.when(F.col("side") == s, 1))
-    first = lambda s: F.min_by(F.when(F.col("side") == s, F.col("label")), F.when(F.col("side") == s, F.col("start")))
-    if skip_unaligned:  # plain aggregates; no arrays
-        g = aligned.groupBy("sent_id", "group").agg(size("a").alias("n_a"), size("b").alias("n_b"), first("a").alias("a"), first("b").alias("b"))
-        pairs = g.where("n_a = 1 AND n_b = 1" if one_to_one else "n_a = n_b")
-        return pairs.select("sent_id", "a", "b")
-    labels = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("start", "label")))), lambda x: x["label"])
-    g = aligned.groupBy("sent_id", "group").agg(labels("a").alias("a"), labels("b").alias("b"))
-    match = (F.size("a") == 1) & (F.size("b") == 1) if one_to_one else F.size("a") == F.size("b")
-    easy = g.where(match).select("sent_id", F.get("a", F.lit(0)).alias("a"), F.get("b", F.lit(0)).alias("b"))
-    hard = g.where(~match).select("sent_id", F.explode(edit_ops("a", "b")).alias("x")).select("sent_id", F.coalesce("x.a", F.lit("MISALIGNED")).alias("a"), F.coalesce("x.b", F.lit("MISALIGNED")).alias("b"))
-    return easy.unionByName(hard)
+    aligned = (align_folded if folded else align)(items.select("sent_id", "side", "ord", "start", "end", "is_min", label), strict)
+    if not skip_unaligned:
+        return edit_pairs(aligned, label, one_to_one)
+    pairs = first_labels(aligned, [label]).where("n_a = 1 AND n_b = 1" if one_to_one else "n_a = n_b")
+    return pairs.select("sent_id", F.col(f"a_{label}").alias("a"), F.col(f"b_{label}").alias("b"))
 
 
 def is_contiguous(items: DataFrame) -> DataFrame:

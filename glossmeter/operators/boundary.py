@@ -10,13 +10,19 @@ COUNTS = ("n_match", "n_ad", "n_trans", "w_trans", "n_pot", "n_a", "n_b")
 
 
 def boundary_masses(items: DataFrame) -> DataFrame:
-    """Minimum tokens in their given order: sent_id, side, gap_at, at (boundary places; gap_at null without a gap), total."""
-    w = W.partitionBy("sent_id", "side").orderBy("ord")
-    rows = items.where("is_min").select("sent_id", "side", "ord", "start", "end").repartition("sent_id")
-    rows = rows.withColumn("gap", F.greatest(F.col("start") - F.lag("end", 1, 0).over(w), F.lit(0))).withColumn("len", F.col("end") - F.col("start"))
-    rows = rows.withColumn("upto", F.sum(F.col("gap") + F.col("len")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    total = F.sum(F.col("gap") + F.col("len")).over(W.partitionBy("sent_id", "side"))
-    return rows.select("sent_id", "side", F.when(F.col("gap") > 0, F.col("upto") - F.col("len") - 1).alias("gap_at"), (F.col("upto") - 1).alias("at"), total.alias("total"))
+    """Minimum tokens in their given order: sent_id, side, gap_at, at (boundary places; gap_at null without a gap), total.
+
+    Windows go over the sentence, side after side, so there is one exchange on sent_id (none if the items are dealt by it
+    already) and one sort; what belongs to a side is summed for each side and chosen.
+    """
+    sent = W.partitionBy("sent_id")
+    w = sent.orderBy("side", "ord")
+    own = lambda c, w: F.when(F.col("side") == "a", F.sum(F.when(F.col("side") == "a", F.col(c))).over(w)).otherwise(F.sum(F.when(F.col("side") == "b", F.col(c))).over(w))
+    rows = items.where("is_min").select("sent_id", "side", "ord", "start", "end")
+    before = F.when(F.lag("side").over(w) == F.col("side"), F.lag("end").over(w)).otherwise(0)
+    rows = rows.withColumn("before", before).withColumn("gap", F.greatest(F.col("start") - F.col("before"), F.lit(0))).withColumn("len", F.col("end") - F.col("start")).withColumn("mass", F.col("gap") + F.col("len"))
+    rows = rows.withColumn("upto", own("mass", w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", own("mass", sent))
+    return rows.select("sent_id", "side", F.when(F.col("gap") > 0, F.col("upto") - F.col("len") - 1).alias("gap_at"), (F.col("upto") - 1).alias("at"), "total")
 
 
 def boundary_positions(items: DataFrame) -> DataFrame:
@@ -35,14 +41,17 @@ def boundary_counts(items: DataFrame, winlen: int = 1) -> DataFrame:
     1 - distance / (winlen + 1), and the walk goes on two places behind that opposite.
     """
     m = boundary_masses(items)
-    span = m.groupBy("sent_id").agg(F.max(F.when(F.col("side") == "a", F.col("total"))).alias("ta"), F.max(F.when(F.col("side") == "b", F.col("total"))).alias("tb"))
-    places = m.select("sent_id", "side", F.explode(F.array_distinct(F.array_compact(F.array("gap_at", "at")))).alias("place"), "total").where("place < total - 1")
-    cells = places.groupBy("sent_id", "place").agg(F.bool_or(F.col("side") == "a").alias("a"), F.bool_or(F.col("side") == "b").alias("b"))
+    places = m.select("sent_id", "side", F.explode(F.array_distinct(F.array_compact(F.array("gap_at", "at")))).alias("place"), "total")
+    # a text's end is no boundary, but carries its length
+    of = lambda s: F.coalesce(F.bool_or((F.col("side") == s) & (F.col("place") < F.col("total") - 1)), F.lit(False)).alias(s)
+    length = lambda s: F.max(F.when(F.col("side") == s, F.col("total"))).alias(f"t{s}")
+    cells = places.groupBy("sent_id", "place").agg(of("a"), of("b"), length("a"), length("b"))
     ahead = W.partitionBy("sent_id").orderBy("place").rangeBetween(1, winlen)
     near = lambda mine, other: F.min(F.when(F.col(other) & ~F.col(mine), F.col("place"))).over(ahead)
     cells = cells.withColumn("opp", F.when(F.col("a") & ~F.col("b"), near("a", "b")).when(F.col("b") & ~F.col("a"), near("b", "a")))
     odd = F.col("a") != F.col("b")
     per = cells.groupBy("sent_id").agg(
+        F.max("ta").alias("ta"), F.max("tb").alias("tb"),
         F.count(F.when(F.col("a") & F.col("b"), 1)).alias("n_match"), F.count(F.when(odd, 1)).alias("n_odd"), F.count(F.when(F.col("a"), 1)).alias("n_a"), F.count(F.when(F.col("b"), 1)).alias("n_b"),
         F.array_sort(F.collect_list(F.when(F.col("opp").isNotNull(), F.struct("place", "opp")))).alias("hits"),
     )
@@ -53,7 +62,7 @@ def boundary_counts(items: DataFrame, winlen: int = 1) -> DataFrame:
         return F.when(x["place"] >= s["upto"], hit).otherwise(s)
 
     per = per.withColumn("t", F.aggregate("hits", start, step))
-    out = span.join(per, "sent_id", "left").withColumn("valid", F.coalesce(F.col("ta") == F.col("tb"), F.lit(False)))
+    out = per.withColumn("valid", F.coalesce(F.col("ta") == F.col("tb"), F.lit(False)))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select("sent_id", "valid", zero("n_match").alias("n_match"), (zero("n_odd") - 2 * zero("t.n")).alias("n_ad"), zero("t.n").alias("n_trans"), F.coalesce("t.w", F.lit(0.0)).alias("w_trans"), (F.col("ta") - 1).cast("long").alias("n_pot"), zero("n_a").alias("n_a"), zero("n_b").alias("n_b"))
 
@@ -61,10 +70,12 @@ def boundary_counts(items: DataFrame, winlen: int = 1) -> DataFrame:
 def boundary_kappa(counts: DataFrame, by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """Kappa of the summed counts; NaN where there is no boundary or chance is 1; null without sentences.
 
-    strict: an invalid sentence fails the query; else it is left out.
+    strict: an invalid sentence fails the query, and so does a corpus without sentences; else it is left out.
     """
     ok = F.when(~F.col("valid"), F.raise_error(F.lit("both sides need minimum tokens over the same characters"))).otherwise(True) if strict else F.col("valid")
     s = counts.where(ok).groupBy(*(by or [])).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    if strict:
+        s = s.withColumn("n_match", F.coalesce("n_match", F.raise_error(F.lit("no sentences"))))
     nan = F.lit(float("nan"))
     part = F.try_divide(F.col("n_ad") + F.col("w_trans"), (F.col("n_ad") + F.col("n_trans") + F.col("n_match")).cast("double"))
     chance = F.try_divide(F.col("n_a").cast("double") * F.col("n_b"), F.col("n_pot").cast("double") * F.col("n_pot"))

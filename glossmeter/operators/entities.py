@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .tokens import ratio
 
@@ -25,30 +23,41 @@ CASES = {
 BIN = 128
 
 
-def bio(items: list[tuple[int, int, str | None]]) -> list[str]:
-    """Tags of (start, end, label) sorted by start, then longer first. While an entity is open, items that end within it get
-    I-, or no tag if they start with it; the first that ends beyond it closes it."""
-    out, opened = [], None
-    for start, end, label in items:
-        if opened is not None and end <= opened[1]:
-            if start != opened[0]:
-                out.append(f"I-{opened[2]}")
-            continue
-        opened = None if label is None else (start, end, label)
-        out.append("O" if label is None else f"B-{label}")
-    return out
+def _fold(items: Column) -> Column:
+    """Tags of an array<struct<start, back, ord, label>> in order; null for an item without a tag.
 
+    While an entity is open, items that end within it get I-, or no tag if they start with it; the first that ends beyond it
+    closes it.
+    """
+    none = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("label"), F.array().cast("array<string>").alias("tags"))
+
+    def step(o: Column, x: Column) -> Column:
+        within = F.coalesce(-x["back"] <= o["end"], F.lit(False))
+        tag = F.when(within, F.when(x["start"] != o["start"], F.concat(F.lit("I-"), o["label"]))).when(x["label"].isNull(), F.lit("O")).otherwise(F.concat(F.lit("B-"), x["label"]))
+        keep = lambda old, new: F.when(within, old).otherwise(F.when(x["label"].isNotNull(), new))
+        return F.struct(keep(o["start"], x["start"]).alias("start"), keep(o["end"], -x["back"]).alias("end"), keep(o["label"], x["label"]).alias("label"), F.array_append(o["tags"], tag).alias("tags"))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _bio(x: pd.Series) -> pd.Series:
-    return x.map(lambda rows: bio([(r["start"], -r["back"], r["label"]) for r in rows]))
+    return F.aggregate(items, none, step, lambda o: o["tags"])
 
 
 def bio_from_items(items: DataFrame) -> DataFrame:
-    """sent_id, side, ord, tag for all items, compounds too."""
-    row = F.struct("start", (-F.col("end")).alias("back"), "ord", F.col("ner_label").alias("label"))
-    per = items.groupBy("sent_id", "side").agg(F.array_sort(F.collect_list(row)).alias("x"))
-    return per.select("sent_id", "side", F.posexplode(_bio("x")).alias("ord", "tag"))
+    """sent_id, side, ord, tag for all items, compounds too, by start, then longer first, then as given.
+
+    An item that ends behind all before it opens a stretch; nothing reaches over from one stretch to the next.  A stretch whose
+    first item has a label is that entity, whatever else is in it.  Only stretches under an item without a label are folded,
+    so long sentences need no list of all their items.
+    """
+    w = W.partitionBy("sent_id", "side").orderBy("start", F.desc("end"), "ord")
+    rows = items.select("sent_id", "side", "ord", "start", "end", F.col("ner_label").alias("label"))
+    before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("opens", F.coalesce(F.col("end") > before, F.lit(True)).cast("long")).withColumn("nr", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    row = F.struct("start", (-F.col("end")).alias("back"), "ord", "label")
+    per = rows.groupBy("sent_id", "side", "nr").agg(F.array_sort(F.collect_list(row)).alias("x")).withColumn("head", F.get("x", F.lit(0)))
+    named = F.transform("x", lambda x, i: F.when(i == 0, F.concat(F.lit("B-"), F.col("head.label"))).when(x["start"] != F.col("head.start"), F.concat(F.lit("I-"), F.col("head.label"))))
+    tags = F.when(F.col("head.label").isNotNull(), named).when(F.size("x") == 1, F.array(F.lit("O"))).otherwise(_fold(F.col("x")))
+    out = per.select("sent_id", "side", "nr", F.posexplode(F.array_compact(tags)).alias("k", "tag"))
+    place = F.row_number().over(W.partitionBy("sent_id", "side").orderBy("nr", "k")) - 1
+    return out.select("sent_id", "side", place.alias("ord"), "tag")
 
 
 def entities_from_tags(tags: DataFrame, compat: bool = True) -> DataFrame:
@@ -85,30 +94,35 @@ def label_set(tags: DataFrame) -> DataFrame:
     return labels.unionByName(tags.sparkSession.createDataFrame([("O",)], "label string")).distinct()
 
 
+def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """Whether two half-open ranges share a place."""
+    return F.greatest(s1, s2) < F.least(e1, e2)
+
+
 def classify(entities: DataFrame, labels: DataFrame) -> DataFrame:
     """sent_id, case (of CASES), label (credited; null for spurious) for every prediction and every missed truth of the types in labels.
 
     The first truth in list order with the same bounds, or that overlaps, is met; the last token of an entity does not count
-    for overlap.  Predictions may meet the same truth.  Pairs are looked for in bins of BIN tokens.
+    for overlap.  Predictions may meet the same truth.  Both sides stay in the same rows: they meet in bins of BIN tokens, so
+    the table is read once, dealt by sent_id once, and joined with nothing but the labels.
     """
     kept = entities.join(labels.select(F.col("label").alias("e_type")).distinct(), "e_type", "left_semi")
-    true = kept.where("side = 'a'").drop("side")
-    pred = kept.where("side = 'b'").drop("side")
-    key = ["sent_id", "e_type", "s", "e"]
-    distinct = true.select(*key).distinct().withColumn("hit", F.lit(True))
-    pred = pred.join(distinct, key, "left")
-    bins = lambda c: F.explode(F.sequence(F.floor(F.col("s") / BIN), F.floor(F.col("e") / BIN)))
-    p = pred.where("hit IS NULL").drop("hit").select("sent_id", "ord", "e_type", "s", "e", bins("p").alias("bin"))
-    t = true.select("sent_id", F.col("ord").alias("t_ord"), F.col("e_type").alias("t_type"), F.col("s").alias("ts"), F.col("e").alias("te"), bins("t").alias("bin"))
-    meets = ((F.col("s") == F.col("ts")) & (F.col("e") == F.col("te"))) | (F.greatest("s", "ts") < F.least("e", "te"))
-    met = p.join(t, ["sent_id", "bin"]).where(meets).groupBy("sent_id", "ord").agg(F.min(F.struct("t_ord", "t_type", "ts", "te")).alias("t"))
-    pred = pred.join(met, ["sent_id", "ord"], "left")
+    same = W.partitionBy("sent_id", "e_type", "s", "e")
+    rows = kept.repartition("sent_id").withColumn("hit", F.min("side").over(same) != F.max("side").over(same))
+    bins = F.explode(F.sequence(F.floor(F.col("s") / BIN), F.floor(F.col("e") / BIN)))
+    truth = F.when(F.col("side") == "a", F.struct(F.col("ord").alias("t_ord"), F.col("e_type").alias("t_type"), F.col("s").alias("ts"), F.col("e").alias("te")))
+    cells = rows.select("sent_id", "side", "ord", "e_type", "s", "e", "hit", bins.alias("bin")).groupBy("sent_id", "bin").agg(F.collect_list(truth).alias("truths"), F.collect_list(F.struct("side", "ord", "e_type", "s", "e", "hit")).alias("x"))
+    meets = lambda x, t: ((x["s"] == t["ts"]) & (x["e"] == t["te"])) | overlap(x["s"], x["e"], t["ts"], t["te"])
+    first = lambda x: F.when((x["side"] == "b") & ~x["hit"], F.array_min(F.filter("truths", lambda t: meets(x, t))))
+    met = cells.select("sent_id", F.explode(F.transform("x", lambda x: x.withField("t", first(x)))).alias("x")).select("sent_id", "x.*")
+    rows = met.groupBy("sent_id", "side", "ord").agg(F.min("t").alias("t"), *[F.first(c).alias(c) for c in ("e_type", "s", "e", "hit")])
+    own = (F.col("side") == "a") | F.col("hit")
+    goal = {c: F.when(own, F.col(c)).otherwise(F.col(f"t.{t}")) for c, t in (("e_type", "t_type"), ("s", "ts"), ("e", "te"))}
+    rows = rows.select("sent_id", "side", "hit", "t", "e_type", "s", "e", *[c.alias(f"goal_{k}") for k, c in goal.items()])
+    found = F.max("side").over(W.partitionBy("sent_id", *[f"goal_{k}" for k in goal])) == "b"
     bounds = (F.col("s") == F.col("t.ts")) & (F.col("e") == F.col("t.te"))
-    case = F.when(F.col("hit"), "same").when(F.col("t").isNull(), "spurious").when(bounds, "type").when(F.col("e_type") == F.col("t.t_type"), "bounds").otherwise("both")
-    judged = pred.select("sent_id", case.alias("case"), F.when(F.col("hit"), F.col("e_type")).otherwise(F.col("t.t_type")).alias("label"), F.coalesce("t.ts", "s").alias("s"), F.coalesce("t.te", "e").alias("e"))
-    found = judged.where("case <> 'spurious'").select("sent_id", F.col("label").alias("e_type"), "s", "e").distinct()
-    missed = true.join(found, key, "left_anti").select("sent_id", F.lit("missed").alias("case"), F.col("e_type").alias("label"))
-    return judged.select("sent_id", "case", "label").unionByName(missed)
+    case = F.when(F.col("side") == "a", F.when(~found, "missed")).when(F.col("hit"), "same").when(F.col("t").isNull(), "spurious").when(bounds, "type").when(F.col("e_type") == F.col("t.t_type"), "bounds").otherwise("both")
+    return rows.select("sent_id", case.alias("case"), F.col("goal_e_type").alias("label")).where("case IS NOT NULL")
 
 
 def _derive(s: DataFrame) -> DataFrame:
@@ -126,20 +140,26 @@ def _schemas(cases: DataFrame, keys: list[str]) -> DataFrame:
     return _derive(cases.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*"))
 
 
+def _counted(judged: DataFrame, by: list[str]) -> DataFrame:
+    """by, label, case, n: what both kinds of score are sums of; with the same `by` Spark computes it once."""
+    return judged.groupBy(*by, "label", "case").agg(F.count("*").alias("n"))
+
+
+def _of_case(c: str) -> Column:
+    return F.coalesce(F.sum(F.when(F.col("case") == c, F.col("n"))), F.lit(0)).alias(c)
+
+
 def ner_overall(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by, schema, METRICS, possible, actual, precision, recall, f1; without judged rows all 0."""
     by = by or []
-    return _schemas(judged.groupBy(*by).agg(*[F.count(F.when(F.col("case") == c, 1)).alias(c) for c in CASES]), by)
+    return _schemas(_counted(judged, by).groupBy(*by).agg(*[_of_case(c) for c in CASES]), by)
 
 
 def ner_per_label(judged: DataFrame, labels: DataFrame) -> DataFrame:
     """label and the same for every label; a spurious prediction counts once for each label."""
-    spurious = judged.agg(F.count(F.when(F.col("case") == "spurious", 1)).alias("spurious"))
-    per = judged.where("label IS NOT NULL").groupBy("label").agg(*[F.count(F.when(F.col("case") == c, 1)).alias(c) for c in CASES if c != "spurious"])
-    rows = labels.select("label").distinct().join(per, "label", "left").fillna(0, [c for c in CASES if c != "spurious"]).join(F.broadcast(spurious))
+    counted = _counted(judged, [])
+    spurious = counted.agg(_of_case("spurious"))
+    others = [c for c in CASES if c != "spurious"]
+    per = counted.where("label IS NOT NULL").groupBy("label").agg(*[_of_case(c) for c in others])
+    rows = labels.select("label").distinct().join(per, "label", "left").fillna(0, others).join(F.broadcast(spurious))
     return _schemas(rows, ["label"])
-
-
-def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """Whether two half-open ranges share a place."""
-    return F.greatest(s1, s2) < F.least(e1, e2)

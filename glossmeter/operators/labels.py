@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import ratio
@@ -21,29 +21,47 @@ def per_label(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     return s.withColumns({"precision": ratio(F.col("tp"), F.col("n_pred")), "recall": ratio(F.col("tp"), F.col("n_true")), "fscore": ratio(2 * F.col("tp"), F.col("n_true") + F.col("n_pred"))})
 
 
-def averages(table: DataFrame, average: str = "micro", by: list[str] | None = None) -> DataFrame:
-    """by, precision, recall, fscore; average: micro, macro or weighted (by n_true)."""
+def averages(table: DataFrame, average: str | None = "micro", by: list[str] | None = None) -> DataFrame:
+    """by, precision, recall, fscore; average: micro, macro or weighted (by n_true), or None: one row a label, with label."""
     by, p = by or [], per_label(table, by)
+    if average is None:
+        return p.select(*by, "label", "precision", "recall", "fscore")
+    return p.groupBy(*by).agg(*_averages(average))
+
+
+def _averages(average: str) -> list[Column]:
+    """precision, recall, fscore over the rows of per_label()."""
+    total = lambda c: F.sum(c)
     if average == "micro":
-        s = p.groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("n_true").alias("t"), F.sum("n_pred").alias("p"))
-        return s.select(*by, ratio(F.col("tp"), F.col("p")).alias("precision"), ratio(F.col("tp"), F.col("t")).alias("recall"), ratio(2 * F.col("tp"), F.col("t") + F.col("p")).alias("fscore"))
+        tp, t, p = total("tp"), total("n_true"), total("n_pred")
+        return [ratio(tp, p).alias("precision"), ratio(tp, t).alias("recall"), ratio(2 * tp, t + p).alias("fscore")]
     if average == "macro":
-        return p.groupBy(*by).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "fscore")])
+        return [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "fscore")]
     if average == "weighted":
-        return p.groupBy(*by).agg(*[ratio(F.sum(F.col(c) * F.col("n_true")), F.sum("n_true")).alias(c) for c in ("precision", "recall", "fscore")])
-    raise ValueError(f"average must be micro, macro or weighted, not {average!r}")
+        return [ratio(total(F.col(c) * F.col("n_true")), total("n_true")).alias(c) for c in ("precision", "recall", "fscore")]
+    raise ValueError(f"average must be micro, macro, weighted or None, not {average!r}")
+
+
+def _kappa() -> Column:
+    tp, n, e = F.sum("tp"), F.sum("n_true"), F.sum(F.col("n_true").cast("double") * F.col("n_pred"))
+    po, pe = F.try_divide(tp.cast("double"), n.cast("double")), F.try_divide(e, n.cast("double") * n)
+    return F.when(n > 0, F.coalesce(F.try_divide(po - pe, 1.0 - pe), F.lit(float("nan")))).alias("kappa")
+
+
+def scores(table: DataFrame, average: str = "micro", by: list[str] | None = None) -> DataFrame:
+    """by, precision, recall, fscore, kappa, accuracy, from one pass over the confusion table."""
+    accuracy = F.try_divide(F.sum("tp").cast("double"), F.sum("n_true").cast("double"))
+    return per_label(table, by).groupBy(*(by or [])).agg(*_averages(average), _kappa(), accuracy.alias("accuracy"))
 
 
 def kappa(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by, kappa (Cohen's, unweighted); NaN where chance agreement is 1, null without pairs."""
-    by = by or []
-    p = per_label(table, by).groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("n_true").alias("n"), F.sum(F.col("n_true").cast("double") * F.col("n_pred")).alias("e"))
-    po, pe = F.try_divide(F.col("tp").cast("double"), F.col("n").cast("double")), F.try_divide(F.col("e"), F.col("n").cast("double") * F.col("n"))
-    return p.select(*by, F.when(F.col("n") > 0, F.coalesce(F.try_divide(po - pe, 1.0 - pe), F.lit(float("nan")))).alias("kappa"))
+    return per_label(table, by).groupBy(*(by or [])).agg(_kappa())
 
 
-def accuracy(table: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by, accuracy; null without pairs."""
+def accuracy(table: DataFrame, by: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """by, accuracy; without pairs null, or an error if strict."""
     by = by or []
     s = table.groupBy(*by).agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("n"))
-    return s.select(*by, F.try_divide(F.col("c").cast("double"), F.col("n").cast("double")).alias("accuracy"))
+    value = F.try_divide(F.col("c").cast("double"), F.col("n").cast("double"))
+    return s.select(*by, (F.coalesce(value, F.raise_error(F.lit("no pairs")).cast("double")) if strict else value).alias("accuracy"))

@@ -5,84 +5,193 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import align, boundary, entities, labels, tokens
 from ..sources import corpus
 
-TASKS, MODES = ("token", "pos", "lemma", "ner"), ("reference", "agreement")
+MODES = ("reference", "agreement")
 
 
 @dataclass
 class Options:
-    """average: of pos; skip_unaligned: None leaves each task its own default (pos, lemma: true; ner: false)."""
+    """average: of pos (None: one value a label); skip_unaligned: None leaves each task its own default (pos, lemma: true; ner: false).
 
-    average: str = "micro"
+    winlen: reach of boundary transpositions; folded: align tokens that overlap; strict: what makes a score undefined is an error.
+    """
+
+    average: str | None = "micro"
     skip_unaligned: bool | None = None
     strict: bool = False
+    winlen: int = 1
+    folded: bool = False
+
+
+class Metric:
+    """A task. scores() gives, for each of by, a row with its figures, and where it has them columns label and schema."""
+
+    modes: tuple[str, ...] = MODES
+
+    def figures(self, mode: str) -> list[str]:
+        """The columns of scores() that are figures."""
+        raise NotImplementedError
+
+    def scores(self, items: DataFrame, mode: str, options: Options, by: list[str]) -> list[DataFrame]:
+        raise NotImplementedError
+
+
+class TokenMetric(Metric):
+    def figures(self, mode: str) -> list[str]:
+        return ["precision", "recall", "fscore"] if mode == "reference" else ["boundary_edit_kappa"]
+
+    def scores(self, items: DataFrame, mode: str, options: Options, by: list[str]) -> list[DataFrame]:
+        if mode == "reference":
+            return [tokens.token_scores(tokens.token_counts(items), by)]
+        counts = boundary.boundary_counts(items, options.winlen)
+        return [boundary.boundary_kappa(counts, by, options.strict).withColumnRenamed("kappa", "boundary_edit_kappa")]
+
+
+@dataclass
+class LabelMetric(Metric):
+    """Scores of a label of aligned tokens; tasks of this kind share one alignment."""
+
+    label: str
+    one_to_one: bool
+    reference: tuple[str, ...]
+
+    def figures(self, mode: str) -> list[str]:
+        return list(self.reference) if mode == "reference" else ["kappa"]
+
+    def scores(self, items: DataFrame, mode: str, options: Options, by: list[str]) -> list[DataFrame]:
+        return [x for _, x in together({self.label: self}, items, mode, options, by)]
+
+
+def together(tasks: dict[str, LabelMetric], items: DataFrame, mode: str, options: Options, by: list[str]) -> list[tuple[str, DataFrame]]:
+    """(task, scores) of tasks over aligned labels: one alignment, one confusion table and one pass over it for all of them."""
+    names = sorted({m.label for m in tasks.values()})
+    aligned = (align.align_folded if options.folded else align.align)(items.select("sent_id", "side", "ord", "start", "end", "is_min", *names), options.strict)
+    if options.skip_unaligned is False:
+        parts = [align.edit_pairs(aligned, m.label, m.one_to_one).select("sent_id", F.lit(t).alias("task"), "a", "b") for t, m in tasks.items()]
+        pairs = parts[0]
+        for p in parts[1:]:
+            pairs = pairs.unionByName(p)
+    else:
+        pair = lambda t, m: F.when((F.col("n_a") == F.col("n_b")) & (F.lit(not m.one_to_one) | (F.col("n_a") == 1)), F.struct(F.lit(t).alias("task"), F.col(f"a_{m.label}").alias("a"), F.col(f"b_{m.label}").alias("b")))
+        groups = align.first_labels(aligned, names).withColumn("pairs", F.array_compact(F.array(*[pair(t, m) for t, m in tasks.items()])))
+        if options.strict and any("accuracy" in m.figures(mode) for m in tasks.values()):  # a sentence that has no pair to be right on
+            some = F.max(F.size("pairs")).over(W.partitionBy("sent_id"))
+            groups = groups.withColumn("some", some).where(F.when(F.col("some") == 0, F.raise_error(F.lit("a sentence has no pairs"))).otherwise(True))
+        pairs = groups.select("sent_id", F.explode("pairs").alias("x")).select("sent_id", "x.*")
+    table = labels.confusion(pairs, ["task", *by])
+    out = []
+    if (mode == "reference" and options.average is None) and (each := [t for t, m in tasks.items() if "precision" in m.reference]):
+        out += [(t, labels.averages(table.where(F.col("task") == t).drop("task"), None, by)) for t in each]
+        tasks = {t: m for t, m in tasks.items() if t not in each}
+    if tasks:
+        all_of = labels.scores(table.where(F.col("task").isin(*tasks)), options.average or "micro", ["task", *by])
+        if not by:  # a task without pairs has a row as well
+            all_of = items.sparkSession.createDataFrame([(t,) for t in tasks], "task string").join(all_of, "task", "left").fillna(0.0, ["precision", "recall", "fscore"])
+        if options.strict:
+            all_of = all_of.withColumn("accuracy", F.coalesce("accuracy", F.raise_error(F.lit("no pairs")).cast("double")))
+        out += [(t, all_of) for t in tasks]
+    return out
+
+
+class EntityMetric(Metric):
+    modes = ("reference",)
+
+    def figures(self, mode: str) -> list[str]:
+        return [*entities.METRICS, "possible", "actual", "precision", "recall", "f1"]
+
+    def scores(self, items: DataFrame, mode: str, options: Options, by: list[str]) -> list[DataFrame]:
+        """Overall, and without by also for each label."""
+        tags = entities.same_length(entities.bio_from_items(items), bool(options.skip_unaligned))
+        known = entities.label_set(tags)
+        judged = entities.classify(entities.entities_from_tags(tags), known)
+        return [entities.ner_overall(judged, by)] + ([] if by else [entities.ner_per_label(judged, known)])
+
+
+#: Tasks by name; further ones may be entered.
+METRICS: dict[str, Metric] = {
+    "token": TokenMetric(),
+    "pos": LabelMetric("pos", True, ("precision", "recall", "fscore")),
+    "lemma": LabelMetric("lemma", False, ("accuracy",)),
+    "ner": EntityMetric(),
+}
 
 
 @dataclass
 class Evaluator:
+    """tasks: names in METRICS. verbose: evaluate() also shows its figures."""
+
     tasks: list[str]
     mode: str = "reference"
     options: Options = field(default_factory=Options)
+    verbose: bool = False
 
     def __post_init__(self) -> None:
-        if unknown := [t for t in self.tasks if t not in TASKS]:
+        if unknown := [t for t in self.tasks if t not in METRICS]:
             raise ValueError(f"unknown task: {', '.join(unknown)}")
         if self.mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
-        if "ner" in self.tasks and self.mode != "reference":
-            raise ValueError("ner has only the reference mode")
+        if wrong := [t for t in self.tasks if self.mode not in METRICS[t].modes]:
+            raise ValueError(f"{', '.join(wrong)}: only the reference mode")
+        if self.options.average not in ("micro", "macro", "weighted", None):
+            raise ValueError("average must be micro, macro, weighted or None")
 
     def table(self, items: DataFrame, by: list[str] | None = None) -> DataFrame:
         """task, by, label, schema, metric, value of all tasks over an item table; lazy, one row a figure."""
         by, out = by or [], []
 
-        def long(task: str, df: DataFrame, metrics: list[str]) -> None:
+        def long(task: list[str], df: DataFrame) -> None:
+            """df has the figures of these tasks, with a column task if there are several."""
             none = F.lit(None).cast("string")
-            cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
-            own = [F.col("label") if "label" in df.columns else none.alias("label"), F.col("schema") if "schema" in df.columns else none.alias("schema")]
-            out.append(df.select(F.lit(task).alias("task"), *by, *own, cells.alias("x")).select("task", *by, "label", "schema", "x.metric", "x.value"))
-
-        o = self.options
-        skip = True if o.skip_unaligned is None else o.skip_unaligned
+            cell = lambda t: F.array(*[F.struct(F.lit(t).alias("task"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS[t].figures(self.mode)])
+            cells = cell(task[0])
+            if "task" in df.columns:
+                cells = F.when(F.col("task") == task[0], cells)
+                for t in task[1:]:
+                    cells = cells.when(F.col("task") == t, cell(t))
+            own = [F.col(c) if c in df.columns else none.alias(c) for c in ("label", "schema")]
+            out.append(df.select(*by, *own, F.explode(cells).alias("x")).select("x.task", *by, "label", "schema", "x.metric", "x.value"))
+
+        aligned = {t: METRICS[t] for t in self.tasks if isinstance(METRICS[t], LabelMetric)}
         for task in self.tasks:
-            if task == "token" and self.mode == "reference":
-                long(task, tokens.token_scores(tokens.token_counts(items), by), ["precision", "recall", "fscore"])
-            elif task == "token":
-                long(task, boundary.boundary_kappa(boundary.boundary_counts(items), by, o.strict).withColumnRenamed("kappa", "boundary_edit_kappa"), ["boundary_edit_kappa"])
-            elif task in ("pos", "lemma"):
-                table = labels.confusion(align.label_pairs(items, task, skip, task == "pos", o.strict), by)
-                if self.mode == "agreement":
-                    long(task, labels.kappa(table, by), ["kappa"])
-                elif task == "lemma":
-                    long(task, labels.accuracy(table, by), ["accuracy"])
-                else:
-                    long(task, labels.averages(table, o.average, by), ["precision", "recall", "fscore"])
-            else:
-                tags = entities.same_length(entities.bio_from_items(items), bool(o.skip_unaligned))
-                known = entities.label_set(tags)
-                judged = entities.classify(entities.entities_from_tags(tags), known)
-                figures = [*entities.METRICS, "possible", "actual", "precision", "recall", "f1"]
-                long(task, entities.ner_overall(judged, by), figures)
-                if not by:
-                    long(task, entities.ner_per_label(judged, known), figures)
+            if task not in aligned:
+                for df in METRICS[task].scores(items, self.mode, self.options, by):
+                    long([task], df)
+        if aligned:
+            frames: dict[int, tuple[list[str], DataFrame]] = {}
+            for task, df in together(aligned, items, self.mode, self.options, by):
+                frames.setdefault(id(df), ([], df))[0].append(task)
+            for task, df in frames.values():
+                long(task, df)
         first, *rest = out
         for df in rest:
             first = first.unionByName(df)
         return first
 
-    def evaluate(self, items: DataFrame) -> dict:
-        """task -> name -> value; for ner results and results_per_label by schema. A handful of figures is collected."""
+    def evaluate(self, a: DataFrame, b: DataFrame | None = None) -> dict:
+        """task -> name -> value; for ner results and results_per_label by schema; for pos without an average name -> label -> value.
+
+        a: an item table; or, with b, two corpora of sentences, paired by place up to the end of the shorter.  A handful of
+        figures is collected.
+        """
+        rows = self.table(a if b is None else corpus.itemize(corpus.pair(a, b)))
         out: dict = {t: {} for t in self.tasks}
-        for r in self.table(items).collect():
+        for r in rows.collect():
             at = out[r["task"]]
-            if r["task"] == "ner":
+            if r["schema"] is not None:
                 at = at.setdefault("results", {}) if r["label"] is None else at.setdefault("results_per_label", {}).setdefault(r["label"], {})
-                at = at.setdefault(r["schema"], {})
-            at[r["metric"]] = r["value"]
+                at.setdefault(r["schema"], {})[r["metric"]] = r["value"]
+            elif r["label"] is not None:
+                at.setdefault(r["metric"], {})[r["label"]] = r["value"]
+            else:
+                at[r["metric"]] = r["value"]
+        if self.verbose:
+            for task, figures in out.items():
+                print(f"{task}: {figures}")
         return out
 
 

@@ -33,38 +33,39 @@ def _labels(items: DataFrame) -> DataFrame:
     lemma = F.when(pred, F.translate(F.lower("item"), "éèêñóí", "eeenoi")).otherwise(F.lower("item"))
     kind = F.element_at(F.array(F.lit("LOC"), F.lit("PER"), F.lit("ORG")), F.pmod(n + F.when(pred & (F.col("ord") % 8 == 0), 1).otherwise(0), F.lit(3)) + 1)
     ner = F.when(upper & ~(pred & (F.col("ord") % 10 == 4)), kind)
-    return items.select("sent_id", "side", "ord", "item", "start", (F.col("start") + n).alias("end"), pos.alias("pos"), lemma.alias("lemma"), F.lit(True).alias("is_min"), F.lit(False).alias("is_stop"), ner.alias("ner_label"))
+    return items.select("sent_id", "side", "ord", "item", "start", (F.col("start") + n).alias("end"), pos.alias("pos"), lemma.alias("lemma"), "is_min", F.lit(False).alias("is_stop"), ner.alias("ner_label"))
 
 
 def items(spark: SparkSession, sf_dir: str, compounds: bool = False) -> DataFrame:
     """The item table. Gold: words, ord doubled. Predictions: of each seven words the fourth and fifth are one token, cut again two
     characters behind the fourth if that has an even number and the fifth two characters; words over eight characters are halved.
-    compounds: each pair of words 10k and 10k + 1 is a gold item more, before its parts."""
+    compounds: each pair of words 10k and 10k + 1 is a gold item more, before its parts, and no minimum token.
+
+    All items of a word come from its row, so the table is read once and stays dealt by sent_id."""
     w = words(spark, sf_dir)
-    gold = w.select("sent_id", F.lit("a").alias("side"), (F.col("ord") * 2).alias("ord"), "item", "start")
     n, merged = F.length("item"), (F.col("ord") % 7 == 3) & F.col("nx").isNotNull()
-    piece = lambda k, text, at: F.struct((F.col("ord") * 2 + k).alias("ord"), text.alias("item"), at.cast("int").alias("start"))
+    piece = lambda side, k, text, at, least=True: F.struct(F.lit(side).alias("side"), (F.col("ord") * 2 + k).alias("ord"), text.alias("item"), at.cast("int").alias("start"), F.lit(least).alias("is_min"))
     half = F.floor(n / 2).cast("int")
     whole = F.concat("item", F.lit(" "), "nx")
-    pieces = (
-        F.when(merged & (F.col("ord") % 2 == 0) & (F.length("nx") >= 2), F.array(piece(0, F.substring(whole, F.lit(1), n + 2), F.col("start")), piece(1, F.substring(whole, n + 3, F.length(whole)), F.col("start") + n + 2)))
-        .when(merged, F.array(piece(0, whole, F.col("start"))))
-        .when((n > 8) & (F.col("ord") % 7 != 4), F.array(piece(0, F.substring(F.col("item"), F.lit(1), half), F.col("start")), piece(1, F.substring(F.col("item"), half + 1, n), F.col("start") + half)))
-        .when(F.col("ord") % 7 != 4, F.array(piece(0, F.col("item"), F.col("start"))))
+    gold = F.array(piece("a", 0, F.col("item"), F.col("start")))
+    none = F.slice(gold, 1, 0)
+    pred = (
+        F.when(merged & (F.col("ord") % 2 == 0) & (F.length("nx") >= 2), F.array(piece("b", 0, F.substring(whole, F.lit(1), n + 2), F.col("start")), piece("b", 1, F.substring(whole, n + 3, F.length(whole)), F.col("start") + n + 2)))
+        .when(merged, F.array(piece("b", 0, whole, F.col("start"))))
+        .when((n > 8) & (F.col("ord") % 7 != 4), F.array(piece("b", 0, F.substring(F.col("item"), F.lit(1), half), F.col("start")), piece("b", 1, F.substring(F.col("item"), half + 1, n), F.col("start") + half)))
+        .when(F.col("ord") % 7 != 4, F.array(piece("b", 0, F.col("item"), F.col("start"))))
+        .otherwise(none)
     )
-    pred = w.select("sent_id", F.lit("b").alias("side"), F.explode(pieces).alias("x")).select("sent_id", "side", "x.*")
-    out = _labels(gold.unionByName(pred))
+    parts = [gold, pred]
     if compounds:
-        pairs = w.where("ord % 10 = 0 AND nx IS NOT NULL").select("sent_id", F.lit("a").alias("side"), (F.col("ord") * 2 - 1).alias("ord"), F.concat("item", F.lit(" "), "nx").alias("item"), "start")
-        out = out.unionByName(_labels(pairs).withColumn("is_min", F.lit(False)))
-    return out
+        parts.append(F.when((F.col("ord") % 10 == 0) & F.col("nx").isNotNull(), F.array(piece("a", -1, whole, F.col("start"), False))).otherwise(none))
+    return _labels(w.select("sent_id", F.explode(F.concat(*parts)).alias("x")).select("sent_id", "x.*"))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sent_id, side, ord, tag: one sequence of event types for each user and thousand events, and a disturbed copy."""
     e = read(spark, sf_dir, "events")
     gold = F.element_at(F.create_map(*[F.lit(x) for kv in (("error", "B-ERR"), ("click", "I-ERR"), ("view", "O"), ("signup", "B-SGN"), ("purchase", "I-SGN")) for x in kv]), F.col("event_type"))
-    swap = F.translate(gold, "ERRSGN", "ERRSGN")
     swap = F.when(gold.endswith("ERR"), F.concat(F.left(gold, F.lit(2)), F.lit("SGN"))).when(gold.endswith("SGN"), F.concat(F.left(gold, F.lit(2)), F.lit("ERR"))).otherwise(gold)
     pred = F.when(F.col("event_id") % 9 == 0, "O").when(F.col("event_id") % 13 == 0, "B-ERR").when(F.floor(F.col("event_id") / 100) % 4 == 0, swap).otherwise(gold)
     rows = e.select((F.col("user_id") * 1000000 + F.floor(F.col("event_id") / 1000)).alias("sent_id"), "event_id", gold.alias("a"), pred.alias("b"))
@@ -82,26 +83,37 @@ w1 AS (SELECT sent_id, unnest(range(0, len(w))) AS ord, unnest(w) AS item FROM w
 w2 AS (SELECT *, coalesce(sum(length(item) + 1) OVER (PARTITION BY sent_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w1),
 w AS (SELECT *, length(item) AS n, lead(item) OVER (PARTITION BY sent_id ORDER BY ord) AS nx FROM w2 WHERE item <> '')"""
 
+#: ia: all items with compounds; it: minimum tokens.
 ITEMS_SQL = (
     WORDS_SQL
     + """,
 m AS (SELECT *, item || ' ' || nx AS whole FROM w WHERE ord % 7 = 3 AND nx IS NOT NULL),
 o AS (SELECT * FROM w WHERE ord % 7 <> 4 AND NOT (ord % 7 = 3 AND nx IS NOT NULL)),
 raw AS (
-  SELECT sent_id, 'a' AS side, ord * 2 AS ord, item, s FROM w
-  UNION ALL SELECT sent_id, 'b', ord * 2, whole, s FROM m WHERE NOT (ord % 2 = 0 AND length(nx) >= 2)
-  UNION ALL SELECT sent_id, 'b', ord * 2, substr(whole, 1, n + 2), s FROM m WHERE ord % 2 = 0 AND length(nx) >= 2
-  UNION ALL SELECT sent_id, 'b', ord * 2 + 1, substr(whole, n + 3), s + n + 2 FROM m WHERE ord % 2 = 0 AND length(nx) >= 2
-  UNION ALL SELECT sent_id, 'b', ord * 2, item, s FROM o WHERE n <= 8
-  UNION ALL SELECT sent_id, 'b', ord * 2, substr(item, 1, n // 2), s FROM o WHERE n > 8
-  UNION ALL SELECT sent_id, 'b', ord * 2 + 1, substr(item, n // 2 + 1), s + n // 2 FROM o WHERE n > 8),
-items AS (SELECT sent_id, side, ord, item, s, s + length(item) AS e, length(item) AS n, substr(item, 1, 1) <> lower(substr(item, 1, 1)) AS up, side = 'b' AS pred FROM raw),
-it AS (SELECT sent_id, side, ord, item, s, e,
+  SELECT sent_id, 'a' AS side, ord * 2 AS ord, item, s, true AS is_min FROM w
+  UNION ALL SELECT sent_id, 'a', ord * 2 - 1, item || ' ' || nx, s, false FROM w WHERE ord % 10 = 0 AND nx IS NOT NULL
+  UNION ALL SELECT sent_id, 'b', ord * 2, whole, s, true FROM m WHERE NOT (ord % 2 = 0 AND length(nx) >= 2)
+  UNION ALL SELECT sent_id, 'b', ord * 2, substr(whole, 1, n + 2), s, true FROM m WHERE ord % 2 = 0 AND length(nx) >= 2
+  UNION ALL SELECT sent_id, 'b', ord * 2 + 1, substr(whole, n + 3), s + n + 2, true FROM m WHERE ord % 2 = 0 AND length(nx) >= 2
+  UNION ALL SELECT sent_id, 'b', ord * 2, item, s, true FROM o WHERE n <= 8
+  UNION ALL SELECT sent_id, 'b', ord * 2, substr(item, 1, n // 2), s, true FROM o WHERE n > 8
+  UNION ALL SELECT sent_id, 'b', ord * 2 + 1, substr(item, n // 2 + 1), s + n // 2, true FROM o WHERE n > 8),
+items AS (SELECT sent_id, side, ord, item, s, s + length(item) AS e, is_min, length(item) AS n, substr(item, 1, 1) <> lower(substr(item, 1, 1)) AS up, side = 'b' AS pred FROM raw),
+ia AS (SELECT sent_id, side, ord, item, s, e, is_min,
   CASE WHEN pred AND n % 5 = 0 THEN 'ADJ' WHEN up THEN 'PROPN' WHEN n <= 3 THEN 'ADP' WHEN n % 2 = 0 THEN 'NOUN' ELSE 'VERB' END AS pos,
   CASE WHEN pred THEN translate(lower(item), 'éèêñóí', 'eeenoi') ELSE lower(item) END AS lemma,
-  CASE WHEN up AND NOT (pred AND ord % 10 = 4) THEN ['LOC', 'PER', 'ORG'][(n + CASE WHEN pred AND ord % 8 = 0 THEN 1 ELSE 0 END) % 3 + 1] END AS ner FROM items)"""
+  CASE WHEN up AND NOT (pred AND ord % 10 = 4) THEN ['LOC', 'PER', 'ORG'][(n + CASE WHEN pred AND ord % 8 = 0 THEN 1 ELSE 0 END) % 3 + 1] END AS ner FROM items),
+it AS (SELECT * EXCLUDE (is_min) FROM ia WHERE is_min)"""
 )
 
+#: Tags of all items. Items nest or are apart here, so one is within an entity if it ends before the last end of a named one before it.
+BIO_SQL = """,
+bo0 AS (SELECT *, max(CASE WHEN ner IS NOT NULL THEN e END) OVER (PARTITION BY sent_id, side ORDER BY s, e DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ia),
+bo1 AS (SELECT *, coalesce(e <= reach, false) AS within FROM bo0),
+bo2 AS (SELECT *, last_value(CASE WHEN NOT within THEN {'s': s, 'ner': ner} END IGNORE NULLS) OVER (PARTITION BY sent_id, side ORDER BY s, e DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head FROM bo1),
+bo3 AS (SELECT sent_id, side, s, e, ord AS k, CASE WHEN within THEN CASE WHEN s <> head.s THEN 'I-' || head.ner END WHEN ner IS NULL THEN 'O' ELSE 'B-' || ner END AS tag FROM bo2),
+bio AS (SELECT sent_id, side, tag, row_number() OVER (PARTITION BY sent_id, side ORDER BY s, e DESC, k) - 1 AS ord FROM bo3 WHERE tag IS NOT NULL)"""
+
 TAGS_SQL = """e0 AS (SELECT user_id * 1000000 + event_id // 1000 AS sent_id, event_id, CASE event_type WHEN 'error' THEN 'B-ERR' WHEN 'click' THEN 'I-ERR' WHEN 'view' THEN 'O' WHEN 'signup' THEN 'B-SGN' WHEN 'purchase' THEN 'I-SGN' END AS a FROM events),
 e1 AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN 'O' WHEN event_id % 13 = 0 THEN 'B-ERR' WHEN (event_id // 100) % 4 = 0 AND a LIKE '%ERR' THEN left(a, 2) || 'SGN' WHEN (event_id // 100) % 4 = 0 AND a LIKE '%SGN' THEN left(a, 2) || 'ERR' ELSE a END AS b,
   row_number() OVER (PARTITION BY sent_id ORDER BY event_id) - 1 AS ord FROM e0),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -20,14 +21,18 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def _all(s: SparkSession, d: str) -> DataFrame:
+    return fx.items(s, d, compounds=True)
+
+
 def _pairs(s: SparkSession, d: str, what: str, **options) -> DataFrame:
-    return align.label_pairs(fx.items(s, d), what, one_to_one=what == "pos", **options)
+    return align.label_pairs(_all(s, d), what, one_to_one=what == "pos", **options)
 
 
 def _judged(s: SparkSession, d: str, *known: str, skip: bool | None = None):
     tags = fx.tags(s, d)
     if skip is not None:  # uneven lists: the last prediction of every other sequence is cut off
-        last = F.max("ord").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("sent_id", "side"))
+        last = F.max("ord").over(W.partitionBy("sent_id", "side"))
         tags = tags.withColumn("last", last).where("NOT (side = 'b' AND ord = last AND sent_id % 2 = 0)").drop("last")
         tags = entities.same_length(tags, skip)
     names = s.createDataFrame([(x,) for x in known], "label string")
@@ -47,13 +52,13 @@ class _Upper:
 
 
 def compose_predictions(s: SparkSession, d: str) -> DataFrame:
-    sentences = fx.read(s, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("sent_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("expanded_query"))
+    sentences = fx.read(s, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("sent_id"), F.col("text").alias("query"), F.when(F.col("turn") % 3 == 1, F.concat(F.lit("so "), F.col("text"))).alias("expanded_query"))
     done = corpus.compose(sentences, _Upper)
     return done.select("sent_id", F.size("pred").cast("long").alias("n_items"), F.coalesce(F.get("pred", F.size("pred") - 1)["endOffSet"], F.lit(0)).cast("long").alias("end"))
 
 
 def edit_path_groups(s: SparkSession, d: str) -> DataFrame:
-    g = align.align_groups(fx.items(s, d)).where("size(a) <> 1 OR size(b) <> 1")
+    g = align.align_groups(_all(s, d)).where("size(a) <> 1 OR size(b) <> 1")
     names = lambda c: F.transform(c, lambda x: x["pos"])
     return g.select("sent_id", "group", F.explode(align.edit_ops(names("a"), names("b"))).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
 
@@ -64,6 +69,14 @@ def gold_lookup(s: SparkSession, d: str) -> DataFrame:
     return found.groupBy("sent_id").agg(F.count("*").alias("n"), F.count("gold_ord").alias("found"), F.coalesce(F.sum("gold_end"), F.lit(0)).cast("long").alias("ends"))
 
 
+def paired_corpora(s: SparkSession, d: str) -> DataFrame:
+    """Two corpora of sentences from conversations, the second shorter, paired by place: token counts of each pair."""
+    done = corpus.compose(fx.read(s, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("sent_id"), F.col("text").alias("query")), _Upper)
+    a = done.select("sent_id", F.col("pred").alias("gold"))
+    b = done.where("sent_id % 100000 < 2").select("sent_id", F.filter("pred", lambda x: x["startOffSet"] % 5 != 3).alias("pred"))
+    return tokens.token_counts(corpus.itemize(corpus.pair(a, b)))
+
+
 def _averaged(average: str):
     return lambda s, d: _rounded(labels.averages(labels.confusion(_pairs(s, d, "pos")), average), "precision", "recall", "fscore")
 
@@ -76,13 +89,13 @@ QUERIES = {
     "token_prf_corpus": lambda s, d: tokens.token_scores(tokens.token_counts(fx.items(s, d))),
     "token_prf_by_doc": lambda s, d: tokens.token_scores(tokens.token_counts(fx.items(s, d)), ["sent_id"]),
     "token_prf_compound": lambda s, d: tokens.token_scores(tokens.token_counts(fx.items(s, d, compounds=True))),
-    "boundary_positions": lambda s, d: boundary.boundary_positions(fx.items(s, d)).groupBy("sent_id", "side").agg(F.count("*").alias("n"), F.sum("place").cast("long").alias("places"), F.max("n_pot").cast("long").alias("n_pot")),
-    "boundary_counts": lambda s, d: boundary.boundary_counts(fx.items(s, d)),
-    "transpositions": lambda s, d: boundary.boundary_counts(fx.items(s, d), winlen=2).select("sent_id", "n_trans", F.round("w_trans", 6).alias("w_trans")),
-    "boundary_kappa_corpus": lambda s, d: _rounded(boundary.boundary_kappa(boundary.boundary_counts(fx.items(s, d))), "kappa"),
-    "boundary_kappa_by_doc": lambda s, d: _rounded(boundary.boundary_kappa(boundary.boundary_counts(fx.items(s, d)), ["sent_id"]).select("sent_id", "kappa"), "kappa"),
-    "align_groups": lambda s, d: align.align(fx.items(s, d)).groupBy("sent_id", F.col("group").alias("group_end")).agg(F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b")).withColumn("group_end", F.col("group_end").cast("long")),
-    "align_group_sizes": lambda s, d: align.align(fx.items(s, d)).groupBy("sent_id", "group").agg(F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b")).groupBy("n_a", "n_b").agg(F.count("*").alias("n")),
+    "boundary_positions": lambda s, d: boundary.boundary_positions(_all(s, d)).groupBy("sent_id", "side").agg(F.count("*").alias("n"), F.sum("place").cast("long").alias("places"), F.max("n_pot").cast("long").alias("n_pot")),
+    "boundary_counts": lambda s, d: boundary.boundary_counts(_all(s, d)),
+    "transpositions": lambda s, d: boundary.boundary_counts(_all(s, d), winlen=2).select("sent_id", "n_trans", F.round("w_trans", 6).alias("w_trans")),
+    "boundary_kappa_corpus": lambda s, d: _rounded(boundary.boundary_kappa(boundary.boundary_counts(_all(s, d))), "kappa"),
+    "boundary_kappa_by_doc": lambda s, d: _rounded(boundary.boundary_kappa(boundary.boundary_counts(_all(s, d)), ["sent_id"]).select("sent_id", "kappa"), "kappa"),
+    "align_groups": lambda s, d: align.align(_all(s, d)).groupBy("sent_id", F.col("group").alias("group_end")).agg(F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b")).withColumn("group_end", F.col("group_end").cast("long")),
+    "align_group_sizes": lambda s, d: align.align(_all(s, d)).groupBy("sent_id", "group").agg(F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b")).groupBy("n_a", "n_b").agg(F.count("*").alias("n")),
     "edit_path": edit_path_groups,
     "pos_confusion": lambda s, d: labels.confusion(_pairs(s, d, "pos")),
     "pos_prf_micro": _averaged("micro"),
@@ -94,7 +107,7 @@ QUERIES = {
     "lemma_pairs": lambda s, d: _pairs(s, d, "lemma").groupBy("sent_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("same")),
     "lemma_accuracy": lambda s, d: _rounded(labels.accuracy(labels.confusion(_pairs(s, d, "lemma"))), "accuracy"),
     "lemma_kappa": lambda s, d: _rounded(labels.kappa(labels.confusion(_pairs(s, d, "lemma"))), "kappa"),
-    "bio_from_items": lambda s, d: entities.bio_from_items(fx.items(s, d)).groupBy("sent_id", "side", "tag").agg(F.count("*").alias("n"), F.sum("ord").cast("long").alias("places")),
+    "bio_from_items": lambda s, d: entities.bio_from_items(_all(s, d)).groupBy("sent_id", "side", "tag").agg(F.count("*").alias("n"), F.sum("ord").cast("long").alias("places")),
     "entities_from_tags": lambda s, d: entities.entities_from_tags(fx.tags(s, d), compat=False).select("sent_id", "side", "e_type", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")),
     "entity_drop_rule": lambda s, d: entities.entities_from_tags(fx.tags(s, d)).groupBy("side", "e_type").agg(F.count("*").alias("n")),
     "ner_overall": lambda s, d: _overall(s, d, "ERR", "SGN"),
@@ -108,14 +121,17 @@ QUERIES = {
     "annotator_kappa": lambda s, d: _rounded(labels.kappa(labels.confusion(fx.annotators(s, d))), "kappa"),
     "strip_accents": lambda s, d: fx.read(s, d, "documents").select("doc_id", F.md5(text.strip_accents("text")).alias("plain")),
     "strip_accents_lower": lambda s, d: fx.read(s, d, "documents").select("doc_id", F.md5(text.strip_accents_and_lower_case("text")).alias("plain")),
-    "relax_str": lambda s, d: fx.read(s, d, "documents").select("doc_id", F.md5(text.relax_str(F.concat(F.lit("\t "), F.substring("text", 1, 40), F.lit(" \n")))).alias("plain")),
-    "relax_str_whole": lambda s, d: fx.read(s, d, "documents").select("doc_id", F.md5(text.relax_str(F.concat(F.lit("\t "), F.col("text"), F.lit(" \n")))).alias("plain")),
+    "relax_str": lambda s, d: fx.read(s, d, "documents").select("doc_id", F.md5(text.relax_str(F.concat(F.lit("\t "), F.col("text"), F.lit(" \n\u00a0")))).alias("plain")),
     "contiguous_sentences": lambda s, d: align.is_contiguous(fx.items(s, d)),
     "gold_lookup": gold_lookup,
     "compose_predictions": compose_predictions,
-    "evaluate_all": lambda s, d: _rounded(Evaluator(["token", "pos", "lemma"]).table(fx.items(s, d)).drop("label", "schema"), "value"),
-    "evaluate_agreement": lambda s, d: _rounded(Evaluator(["token", "pos", "lemma"], "agreement", Options()).table(fx.items(s, d)).drop("label", "schema"), "value"),
-    "evaluate_ner_items": lambda s, d: Evaluator(["ner"]).table(fx.items(s, d)).where("label IS NULL").select("schema", "metric", F.round("value", 6).alias("value")),
+    "evaluate_all": lambda s, d: _rounded(Evaluator(["token", "pos", "lemma"]).table(_all(s, d)).drop("label", "schema"), "value"),
+    "evaluate_agreement": lambda s, d: _rounded(Evaluator(["token", "pos", "lemma"], "agreement", Options()).table(_all(s, d)).drop("label", "schema"), "value"),
+    "evaluate_ner_items": lambda s, d: Evaluator(["ner"]).table(_all(s, d)).select("label", "schema", "metric", F.round("value", 6).alias("value")),
+    "pos_by_label": lambda s, d: Evaluator(["pos"], options=Options(average=None)).table(_all(s, d)).select("label", "metric", F.round("value", 6).alias("value")),
+    "token_prf_any_order": lambda s, d: tokens.token_counts_any_order(_all(s, d)),
+    "align_folded": lambda s, d: align.align_folded(_all(s, d)).groupBy("sent_id", "group").agg(F.max("end").cast("long").alias("group_end"), F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b")).drop("group"),
+    "paired_corpora": paired_corpora,
 }
 
 # -- the same in DuckDB's SQL --------------------------------------------------------------------
@@ -128,8 +144,6 @@ tn AS (SELECT sent_id, count(*) FILTER (side = 'a') AS n_gold, count(*) FILTER (
 cnt AS (SELECT tn.sent_id, coalesce(correct, 0) AS correct, n_gold, n_pred FROM tn LEFT JOIN tc ON tn.sent_id = tc.sent_id)"""
 _PRF = """SELECT {key} CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_pred) AS BIGINT) AS n_pred,
  coalesce(sum(correct) / nullif(sum(n_pred), 0), 0.0) AS precision, coalesce(sum(correct) / nullif(sum(n_gold), 0), 0.0) AS recall, coalesce(2 * sum(correct) / nullif(sum(n_gold) + sum(n_pred), 0), 0.0) AS fscore FROM cnt {group}"""
-_COMPOUND = """,
-all_items AS (SELECT sent_id, side, ord, s, e FROM it UNION ALL SELECT sent_id, 'a', ord * 2 - 1, s, s + length(item || ' ' || nx) FROM w WHERE ord % 10 = 0 AND nx IS NOT NULL)"""
 _BOUNDS = """,
 g AS (SELECT *, greatest(s - lag(e, 1, 0) OVER (PARTITION BY sent_id, side ORDER BY ord), 0) AS gap, e - s AS len FROM it),
 u AS (SELECT *, sum(gap + len) OVER (PARTITION BY sent_id, side ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(gap + len) OVER (PARTITION BY sent_id, side) AS total FROM g),
@@ -210,10 +224,33 @@ _AVERAGE = " SELECT round(sum({w} * precision) / sum({w}), 6) AS precision, roun
 _MICRO = " SELECT round(sum(tp) / sum(n_pred), 6) AS precision, round(sum(tp) / sum(n_true), 6) AS recall, round(2 * sum(tp) / (sum(n_true) + sum(n_pred)), 6) AS fscore FROM pl"
 _AGREE = "(SELECT sum(tp) / sum(n_true) AS po, sum(CAST(n_true AS DOUBLE) * n_pred) / (CAST(sum(n_true) AS DOUBLE) * sum(n_true)) AS pe FROM {})"
 
+#: Groups that do not pair one to one, as lists of parts of speech, and for each pair of lists the path; k counts cells of its table, row by row.
+_PATHS = """,
+ls AS (SELECT list(pos ORDER BY s) FILTER (side = 'a') AS a, list(pos ORDER BY s) FILTER (side = 'b') AS b FROM al GROUP BY sent_id, grp HAVING NOT (count(*) FILTER (side = 'a') = 1 AND count(*) FILTER (side = 'b') = 1)),
+lp AS (SELECT a, b, count(*) AS times FROM ls GROUP BY a, b),
+cost AS (
+  SELECT a, b, len(b) + 1 AS w, 0 AS k, CAST([] AS BIGINT[]) AS c FROM lp
+  UNION ALL SELECT a, b, w, k + 1, list_append(c, CASE WHEN k < w THEN k WHEN k % w = 0 THEN k // w WHEN a[k // w] = b[k % w] THEN c[k - w] ELSE 1 + least(c[k - w + 1], c[k], c[k - w]) END) FROM cost WHERE k < (len(a) + 1) * w),
+walk AS (
+  SELECT a, b, w, c, len(a) AS i, len(b) AS j, CAST(NULL AS VARCHAR) AS x, CAST(NULL AS VARCHAR) AS y FROM cost WHERE k = (len(a) + 1) * w
+  UNION ALL SELECT a, b, w, c, CASE WHEN step = 'l' THEN i ELSE i - 1 END, CASE WHEN step = 'u' THEN j ELSE j - 1 END, CASE WHEN step <> 'l' THEN a[i] END, CASE WHEN step <> 'u' THEN b[j] END FROM (
+    SELECT *, CASE WHEN i > 0 AND j > 0 AND a[i] = b[j] THEN 'd' WHEN j = 0 THEN 'u' WHEN i = 0 THEN 'l'
+      WHEN c[(i - 1) * w + j + 1] <= c[i * w + j] AND c[(i - 1) * w + j + 1] <= c[(i - 1) * w + j] THEN 'u' WHEN c[i * w + j] <= c[(i - 1) * w + j] THEN 'l' ELSE 'd' END AS step FROM walk WHERE i > 0 OR j > 0)),
+path AS (SELECT x AS a, y AS b, CAST(sum(times) AS BIGINT) AS n FROM walk JOIN lp ON walk.a = lp.a AND walk.b = lp.b WHERE x IS NOT NULL OR y IS NOT NULL GROUP BY x, y)"""
+_RECURSIVE = _I.replace("WITH ", "WITH RECURSIVE ", 1) + _ALIGN + _PATHS
+_NER_ITEMS = _I + fx.BIO_SQL + """,
+ct2 AS (SELECT *, count(*) FILTER (side = 'a') OVER (PARTITION BY sent_id) AS n_a, count(*) FILTER (side = 'b') OVER (PARTITION BY sent_id) AS n_b FROM bio),
+ct AS (SELECT sent_id, side, ord, tag FROM ct2 WHERE ord < least(n_a, n_b)),
+kl AS (SELECT DISTINCT replace(replace(tag, 'B-', ''), 'I-', '') AS label FROM ct UNION SELECT 'O')""" + _ENT.format(tags="ct") + _CASES.format(known="SELECT label FROM kl")
+_FIGURES = ("correct", "incorrect", "partial", "missed", "spurious", "possible", "actual", "precision", "recall", "f1")
+_MELT = f"unnest([{', '.join(repr(m) for m in _FIGURES)}]) AS metric, unnest([{', '.join(f'CAST({m} AS DOUBLE)' for m in _FIGURES)}]) AS value"
+_BY_LABEL = ", ".join(f"(SELECT count(*) FROM jd WHERE \"case\" = 'spurious') AS c_{c}" if c == "spurious" else f"coalesce(c_{c}, 0) AS c_{c}" for c in entities.CASES)
+_ROWS = (_schema_rows("oc", "") + _schema_rows("ol", "label,").replace("sr AS", "tr AS").replace("FROM sr", "FROM tr").replace("sq AS", "tq AS").replace("FROM sq", "FROM tq").replace("sd AS", "td AS").replace("FROM sd", "FROM td").replace("ner AS", "nel AS"))
+
 ORACLE_SQL = {
     "token_prf_corpus": _I + _COUNTS.format(src="it") + _PRF.format(key="", group=""),
     "token_prf_by_doc": _I + _COUNTS.format(src="it") + _PRF.format(key="sent_id,", group="GROUP BY sent_id"),
-    "token_prf_compound": _I + _COMPOUND + _COUNTS.format(src="all_items") + _PRF.format(key="", group=""),
+    "token_prf_compound": _I + _COUNTS.format(src="ia") + _PRF.format(key="", group=""),
     "boundary_positions": _I + _BOUNDS + " SELECT sent_id, side, count(*) AS n, CAST(sum(place) AS BIGINT) AS places, CAST(max(n_pot) AS BIGINT) AS n_pot FROM p GROUP BY sent_id, side",
     "boundary_counts": _I + _edits(1) + " SELECT * FROM ec",
     "transpositions": _I + _edits(2) + " SELECT sent_id, n_trans, round(w_trans, 6) AS w_trans FROM ec",
@@ -222,6 +259,13 @@ ORACLE_SQL = {
     "align_groups": _I + _ALIGN + " SELECT sent_id, CAST(grp AS BIGINT) AS group_end, n_a, n_b FROM gr",
     "align_group_sizes": _I + _ALIGN + " SELECT n_a, n_b, count(*) AS n FROM gr GROUP BY n_a, n_b",
     "pos_confusion": _I + _ALIGN + " SELECT a, b, count(*) AS n FROM pos GROUP BY a, b",
+    "edit_path": _RECURSIVE + " SELECT a, b, n FROM path",
+    "pos_prf_misaligned": _RECURSIVE + " SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT coalesce(a, 'MISALIGNED') AS a, coalesce(b, 'MISALIGNED') AS b, n FROM path UNION ALL SELECT a, b, count(*) FROM pos GROUP BY a, b) GROUP BY a, b",
+    "pos_by_label": _I + _ALIGN + _per_label("pos") + " SELECT label, unnest(['precision', 'recall', 'fscore']) AS metric, round(unnest([precision, recall, fscore]), 6) AS value FROM pl",
+    "token_prf_any_order": _I + _COUNTS.format(src="ia") + " SELECT sent_id, correct, n_gold, n_pred FROM cnt",
+    "align_folded": _I + _ALIGN + " SELECT sent_id, CAST(grp AS BIGINT) AS group_end, n_a, n_b FROM gr",
+    "paired_corpora": "WITH t AS (SELECT conv_id * 100000 + turn AS sent_id, string_split(coalesce(text, ''), ' ') AS p FROM conversations WHERE (conv_id * 100000 + turn) % 100000 < 2), u AS (SELECT sent_id, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS k, p FROM t), v AS (SELECT sent_id, list_sum(list_transform(p[1:k - 1], lambda y: length(y) + 1)) AS s FROM u WHERE x <> '') SELECT sent_id, count(*) FILTER (coalesce(s, 0) % 5 <> 3) AS correct, count(*) AS n_gold, count(*) FILTER (coalesce(s, 0) % 5 <> 3) AS n_pred FROM v GROUP BY sent_id",
+    "evaluate_ner_items": _NER_ITEMS + f", oc AS (SELECT {_COUNT_CASES} FROM jd), lc AS (SELECT label, {_COUNT_CASES} FROM jd WHERE label IS NOT NULL GROUP BY label), ol AS (SELECT l.label, {_BY_LABEL} FROM kl l LEFT JOIN lc ON l.label = lc.label)" + _ROWS + f" SELECT NULL AS label, schema, {_MELT} FROM ner UNION ALL SELECT label, schema, {_MELT} FROM nel",
     "pos_prf_micro": _I + _ALIGN + _per_label("pos") + _MICRO,
     "pos_prf_macro": _I + _ALIGN + _per_label("pos") + _AVERAGE.format(w="1"),
     "pos_prf_weighted": _I + _ALIGN + _per_label("pos") + _AVERAGE.format(w="n_true"),
@@ -230,7 +274,7 @@ ORACLE_SQL = {
     "lemma_pairs": _I + _ALIGN + " SELECT sent_id, count(*) AS n, count(*) FILTER (a = b) AS same FROM lem GROUP BY sent_id",
     "lemma_accuracy": _I + _ALIGN + " SELECT round(count(*) FILTER (a = b) / count(*), 6) AS accuracy FROM lem",
     "lemma_kappa": _I + _ALIGN + _per_label("lem") + _COHEN,
-    "bio_from_items": _I + " SELECT sent_id, side, tag, count(*) AS n, CAST(sum(ord) AS BIGINT) AS places FROM (SELECT sent_id, side, CASE WHEN ner IS NULL THEN 'O' ELSE 'B-' || ner END AS tag, row_number() OVER (PARTITION BY sent_id, side ORDER BY s, e DESC, ord) - 1 AS ord FROM it) GROUP BY sent_id, side, tag",
+    "bio_from_items": _I + fx.BIO_SQL + " SELECT sent_id, side, tag, count(*) AS n, CAST(sum(ord) AS BIGINT) AS places FROM bio GROUP BY sent_id, side, tag",
     "entities_from_tags": "WITH " + fx.TAGS_SQL + _ENT.format(tags="tags") + " SELECT sent_id, side, e_type, s, e FROM en3",
     "entity_drop_rule": "WITH " + fx.TAGS_SQL + _ENT.format(tags="tags") + " SELECT side, e_type, count(*) AS n FROM en GROUP BY side, e_type",
     "ner_overall": _overall_sql("'ERR', 'SGN'"),
@@ -244,10 +288,10 @@ ORACLE_SQL = {
     "annotator_kappa": "WITH an AS (SELECT CAST(quality AS VARCHAR) AS a, CAST(toxic AS VARCHAR) AS b FROM labels)" + _per_label("an") + _COHEN,
     "strip_accents": "SELECT doc_id, md5(strip_accents(text)) AS plain FROM documents",
     "strip_accents_lower": "SELECT doc_id, md5(lower(strip_accents(text))) AS plain FROM documents",
-    "relax_str": "SELECT doc_id, md5(regexp_replace(lower(strip_accents(substr(text, 1, 40))), '^\\s+|\\s+$', '', 'g')) AS plain FROM documents",
+    "relax_str": "SELECT doc_id, md5(trim(lower(strip_accents(text)), " + " || ".join(f"chr({ord(c)})" for c in text.SPACE) + ")) AS plain FROM documents",
     "contiguous_sentences": _I + " SELECT sent_id, side, bool_and(coalesce(e = nxt, true)) AS contiguous FROM (SELECT *, lead(s) OVER (PARTITION BY sent_id, side ORDER BY ord) AS nxt FROM it) GROUP BY sent_id, side",
     "gold_lookup": _I + ", gd AS (SELECT sent_id, item, s, arg_min(e, ord) AS e FROM it WHERE side = 'a' GROUP BY sent_id, item, s) SELECT p.sent_id, count(*) AS n, count(gd.e) AS found, CAST(coalesce(sum(gd.e), 0) AS BIGINT) AS ends FROM (SELECT * FROM it WHERE side = 'b') p LEFT JOIN gd ON p.sent_id = gd.sent_id AND p.item = gd.item AND p.s = gd.s GROUP BY p.sent_id",
-    "compose_predictions": "SELECT conv_id * 100000 + turn AS sent_id, CAST(len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS BIGINT) AS n_items, CAST(CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 0 ELSE length(rtrim(text, ' ')) END AS BIGINT) AS \"end\" FROM conversations",
-    "evaluate_all": _I + _COUNTS.format(src="it") + _ALIGN + _per_label("pos") + ", tok AS (" + _PRF.format(key="", group="") + "), mic AS (" + _MICRO + ") SELECT 'token' AS task, unnest(['precision', 'recall', 'fscore']) AS metric, round(unnest([precision, recall, fscore]), 6) AS value FROM tok UNION ALL SELECT 'pos', unnest(['precision', 'recall', 'fscore']), unnest([precision, recall, fscore]) FROM mic UNION ALL SELECT 'lemma', 'accuracy', round(count(*) FILTER (a = b) / count(*), 6) FROM lem",
+    "compose_predictions": "WITH t AS (SELECT conv_id * 100000 + turn AS sent_id, coalesce(CASE WHEN turn % 3 = 1 THEN 'so ' || text END, text, '') AS q FROM conversations) SELECT sent_id, CAST(len(list_filter(string_split(q, ' '), lambda x: x <> '')) AS BIGINT) AS n_items, CAST(CASE WHEN trim(q, ' ') = '' THEN 0 ELSE length(rtrim(q, ' ')) END AS BIGINT) AS \"end\" FROM t",
+    "evaluate_all": _I + _COUNTS.format(src="ia") + _ALIGN + _per_label("pos") + ", tok AS (" + _PRF.format(key="", group="") + "), mic AS (" + _MICRO + ") SELECT 'token' AS task, unnest(['precision', 'recall', 'fscore']) AS metric, round(unnest([precision, recall, fscore]), 6) AS value FROM tok UNION ALL SELECT 'pos', unnest(['precision', 'recall', 'fscore']), unnest([precision, recall, fscore]) FROM mic UNION ALL SELECT 'lemma', 'accuracy', round(count(*) FILTER (a = b) / count(*), 6) FROM lem",
     "evaluate_agreement": _I + _edits(1).replace("sp AS", "spb AS").replace("FROM sp ", "FROM spb ").replace("sp.sent_id", "spb.sent_id") + _KAPPA.format(key="", group="") + _ALIGN + _per_label("pos") + _per_label("lem").replace("pl0", "ml0").replace("pl AS", "ml AS") + f" SELECT 'token' AS task, 'boundary_edit_kappa' AS metric, round(coalesce((obs - chance) / nullif(1 - chance, 0), 'nan'::DOUBLE), 6) AS value FROM k1 UNION ALL SELECT 'pos', 'kappa', round((po - pe) / (1 - pe), 6) FROM {_AGREE.format('pl')} UNION ALL SELECT 'lemma', 'kappa', round((po - pe) / (1 - pe), 6) FROM {_AGREE.format('ml')}",
 }

@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,19 +27,67 @@ COLUMNS = ("sent_id", "side", "ord", "item", "start", "end", "pos", "lemma", "is
 
 
 def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of a JSON array (or of JSON lines), with the explicit schema; sent_id counts them in file order."""
+    """Sentences of JSON arrays (or of JSON lines), with the explicit schema; sent_id counts them from 0, files by name, then places in a file.
+
+    sent_id does not depend on how files were dealt to tasks, so two corpora pair by it.
+    """
     rows = spark.read.schema(SENTENCE).option("multiLine", True).json(path)
-    return rows.withColumn("sent_id", F.monotonically_increasing_id())
+    rows = rows.withColumn("file", F.col("_metadata.file_path")).withColumn("n", F.monotonically_increasing_id())  # a file is read by one task
+    files = rows.groupBy("file").agg(F.min("n").alias("low"), F.count("*").alias("size"))
+    files = files.withColumn("before", F.coalesce(F.sum("size").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(files, "file").withColumn("sent_id", F.col("before") + F.col("n") - F.col("low")).select(*SENTENCE.names, "sent_id")
+
+
+def pair(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Sentences sent_id, gold, pred from two corpora whose sentences have the same sent_id; what only one of them has is left out.
+
+    A corpus is a table of sentences with sent_id and items in gold, or in pred where it has no gold.
+    """
+    side = lambda df, name: df.select("sent_id", F.coalesce(*[F.col(c) for c in ("gold", "pred") if c in df.columns]).alias(name))
+    return side(a, "gold").join(side(b, "pred"), "sent_id")
+
+
+def _plain(sentences: DataFrame) -> DataFrame:
+    """As the file has them: an item without an entity has ner ""."""
+    ner = lambda x: F.transform(x, lambda i: i.withField("ner", F.coalesce(i["ner"], F.lit(""))))
+    return sentences.withColumns({side: ner(F.col(side)) for side in ("gold", "pred") if side in sentences.columns})
 
 
 def save_json(sentences: DataFrame, path: str) -> None:
     """JSON lines, UTF-8, non-ASCII characters as they are; one file a partition."""
-    ner = lambda x: F.transform(x, lambda i: i.withField("ner", F.coalesce(i["ner"], F.lit(""))))
-    out = sentences
-    for side in ("gold", "pred"):
-        if side in out.columns:
-            out = out.withColumn(side, ner(F.col(side)))
-    out.drop("sent_id").write.mode("overwrite").json(path)
+    _plain(sentences).drop("sent_id").write.mode("overwrite").json(path)
+
+
+def save_json_array(sentences: DataFrame, path: str) -> None:
+    """One file at path with one JSON array, in order of sent_id, UTF-8, non-ASCII characters as they are.
+
+    One task writes it, as one file has to be; it sorts with spilling and keeps no sentence.
+    """
+    spark = sentences.sparkSession
+    rows = _plain(sentences)
+    line = F.to_json(F.struct(*[c for c in rows.columns if c != "sent_id"]))
+    mark = spark.createDataFrame([(0, "["), (2, "]")], "part int, line string").select("part", F.lit(0).cast("long").alias("sent_id"), "line")
+    every = mark.unionByName(rows.select(F.lit(1).alias("part"), "sent_id", line.alias("line"))).repartition(1).sortWithinPartitions("part", "sent_id")
+
+    def commas(batches):
+        begun = False
+        for batch in batches:
+            text, part = batch.column("line").to_pylist(), batch.column("part").to_pylist()
+            out = []
+            for t, p in zip(text, part):
+                out.append("," + t if begun and p == 1 else t)
+                begun = p == 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["line"])
+
+    parts = path.rstrip("/") + "._parts"
+    every.mapInArrow(commas, "line string").write.mode("overwrite").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(conf)
+    [file] = [s.getPath() for s in fs.globStatus(where(parts + "/part-*"))]
+    fs.delete(where(path), True)
+    fs.rename(file, where(path))
+    fs.delete(where(parts), True)
 
 
 def itemize(sentences: DataFrame, strict: bool = False) -> DataFrame:
