@@ -2,7 +2,11 @@
 
 import json
 import math
+import pathlib
 import random
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +107,31 @@ def test_align(spark):
     assert align.label_pairs(t.where("sent_id = 0"), "lemma", one_to_one=False).count() == 1
 
 
+def test_align_leaves_out_or_folds(spark):
+    over, flat, fine = ([(0, 4), (2, 6), (6, 9)], [(0, 6), (6, 9)]), ([(0, 4), (4, 4), (4, 9)], [(0, 4), (4, 9)]), ([(0, 4), (4, 9)], [(0, 9)])
+    t = table(spark, over, flat, fine, ([(0, 4)], [(0, 5)]), ([(0, 4)], []), ([(0, 4), (0, 4)], [(0, 4)]))
+    assert {r["sent_id"] for r in align.align(t).collect()} == {2}
+    for i in (0, 1, 5):
+        with pytest.raises(Exception, match="do not overlap"):
+            align.align(t.where(f"sent_id = {i}"), strict=True).collect()
+    got = sorted((r["sent_id"], r["group"], len(r["a"]), len(r["b"])) for r in align.align_groups(t, folded=True).collect())
+    assert got == [(0, 0, 2, 1), (0, 1, 1, 1), (1, 0, 1, 1), (1, 1, 1, 1), (2, 0, 2, 1), (5, 0, 1, 1)]
+    with pytest.raises(Exception, match="same total span"):
+        align.align_folded(t.where("sent_id = 3"), strict=True).collect()
+
+
+def test_align_folds_as_it_windows(spark):
+    r = random.Random(21)
+
+    def side():
+        cuts = sorted({0, 20, *(r.randrange(1, 20) for _ in range(r.randrange(8)))})
+        return [(s, e - (r.random() < 0.2 and e - s > 1 and e < 20)) for s, e in zip(cuts, cuts[1:])]
+
+    t = table(spark, *[(side(), side()) for _ in range(120)])
+    key = lambda df: sorted((x["sent_id"], [tuple(y) for y in x["a"]], [tuple(y) for y in x["b"]]) for x in df.collect())
+    assert key(align.align_groups(t)) == key(align.align_groups(t, folded=True))
+
+
 @pytest.mark.parametrize("a,b,want", [
     ("NV", "N", [("N", "N"), ("V", None)]), ("NV", "A", [("N", "A"), ("V", None)]), ("N", "AV", [("N", "A"), (None, "V")]), ("NVA", "VA", [("N", None), ("V", "V"), ("A", "A")]),
     ("AB", "BA", [(None, "B"), ("A", "A"), ("B", None)]), ("NN", "N", [("N", None), ("N", "N")]), ("", "N", [(None, "N")]), ("", "", []),
@@ -137,16 +166,53 @@ def test_labels(spark):
     assert tuple(labels.averages(c, "weighted").first()) == pytest.approx((0.375, 0.5, 5 / 12))
     assert labels.accuracy(c).first()["accuracy"] == 0.5 and labels.kappa(c).first()["kappa"] == pytest.approx(0.2)
     assert math.isnan(labels.kappa(labels.confusion(spark.createDataFrame([("N", "N")] * 2, "a string, b string"))).first()["kappa"])
+    per = {r["label"]: (r["precision"], r["recall"]) for r in labels.averages(c, None).collect()}
+    assert per == {"N": (0.5, 0.5), "V": (0.5, 1.0), "A": (0.0, 0.0)}
+    one = labels.scores(c, "macro").first()
+    assert one["kappa"] == pytest.approx(0.2) and one["accuracy"] == 0.5 and one["precision"] == pytest.approx(1 / 3)
     with pytest.raises(ValueError):
         labels.averages(c, "binary")
+    with pytest.raises(Exception, match="no pairs"):
+        labels.accuracy(c.limit(0), strict=True).collect()
+    assert labels.accuracy(c.limit(0)).first()["accuracy"] is None
 
 
-@pytest.mark.parametrize("items,want", [
+BIO = [
     ([(0, 8, "LOC"), (0, 3, None), (4, 8, None)], "B-LOC I-LOC"), ([(0, 8, None), (0, 3, None), (4, 8, None)], "O O O"), ([(0, 8, "ORG"), (0, 3, "LOC"), (4, 8, None)], "B-ORG I-ORG"), ([], ""),
-    ([(0, 5, "A"), (2, 7, None), (3, 5, None)], "B-A O O"),
-])
-def test_bio(items, want):
-    assert " ".join(entities.bio(items)) == want
+    ([(0, 5, "A"), (2, 7, None), (3, 5, None)], "B-A O O"), ([(0, 9, None), (0, 4, "A"), (1, 3, "B"), (4, 9, None)], "O B-A I-A O"),
+]
+
+
+def walk_items(items):
+    """Tags by one cursor and the entity that is open."""
+    out, opened = [], None
+    for start, end, label in sorted(items, key=lambda x: (x[0], -x[1])):
+        if opened is not None and end <= opened[1]:
+            if start != opened[0]:
+                out.append(f"I-{opened[2]}")
+            continue
+        opened = None if label is None else (start, end, label)
+        out.append("O" if label is None else f"B-{label}")
+    return out
+
+
+def tags_of(spark, lists):
+    t = table(spark, *[([(s, e, "X", "l", True, n) for s, e, n in x], []) for x in lists])
+    got = {}
+    for r in sorted(entities.bio_from_items(t).collect(), key=lambda r: (r["sent_id"], r["ord"])):
+        assert r["ord"] == len(got.setdefault(r["sent_id"], []))
+        got[r["sent_id"]].append(r["tag"])
+    return [got.get(i, []) for i in range(len(lists))]
+
+
+def test_bio(spark):
+    assert tags_of(spark, [x for x, _ in BIO]) == [w.split() for _, w in BIO] == [walk_items(x) for x, _ in BIO]
+
+
+def test_bio_random(spark):
+    r = random.Random(12)
+    lists = [[(s := r.randrange(12), s + r.randint(1, 8), r.choice([None, None, "A", "B"])) for _ in range(r.randrange(12))] for _ in range(300)]
+    assert tags_of(spark, lists) == [walk_items(x) for x in lists]
 
 
 def tag_table(spark, gold, pred):
@@ -255,6 +321,61 @@ def test_file_end_to_end(spark, tmp_path):
     assert sorted(map(str, again.drop("sent_id").collect())) == sorted(map(str, items.drop("sent_id").collect()))
 
 
+def sentence(words, n=None):
+    """Items of blank-separated words."""
+    out, at = [], 0
+    for w in words.split():
+        out.append({"item": w, "startOffSet": at, "endOffSet": at + len(w), "pos": w[:1], "lemma": w.lower(), "isMinimumToken": True, "ner": ""})
+        at += len(w) + 1
+    return {"query": words, "gold": out}
+
+
+def test_two_corpora(spark, tmp_path):
+    texts = ["é b c", "d e", "f", "g h i j", "k"]
+    for name, part in (("z1", texts[:1]), ("z2", texts[1:4]), ("z3", texts[4:])):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"{name}.json").write_text(json.dumps([sentence(t) for t in part], ensure_ascii=False) + " " * {"z1": 9, "z2": 999, "z3": 99}[name])
+    (tmp_path / "one.json").write_text(json.dumps([sentence(t) for t in texts[:3]], ensure_ascii=False))
+    a, b = corpus.load_json(spark, str(tmp_path / "many")), corpus.load_json(spark, str(tmp_path / "one.json"))
+    assert [r["query"] for r in a.orderBy("sent_id").collect()] == texts and [r[0] for r in a.select("sent_id").orderBy("sent_id").collect()] == list(range(5))
+    assert corpus.pair(a, b).count() == corpus.pair(b, a).count() == 3
+    assert Evaluator(["token", "pos", "lemma"]).evaluate(a, b) == {"token": {"precision": 1, "recall": 1, "fscore": 1}, "pos": {"precision": 1, "recall": 1, "fscore": 1}, "lemma": {"accuracy": 1}}
+    corpus.save_json_array(a, str(tmp_path / "out.json"))
+    kept = json.loads((tmp_path / "out.json").read_text(encoding="utf-8"))
+    assert [x["query"] for x in kept] == texts and "é" in (tmp_path / "out.json").read_text(encoding="utf-8") and kept[1]["gold"][0]["ner"] == ""
+    corpus.save_json_array(a.limit(0), str(tmp_path / "out.json"))
+    assert json.loads((tmp_path / "out.json").read_text()) == [] and not (tmp_path / "out.json._parts").exists()
+
+
+def test_options_and_registry(spark, capsys):
+    t = table(spark, ([(0, 2, "N", "n"), (2, 4, "V", "v")], [(0, 2, "N", "n"), (2, 4, "N", "v")]), ([(0, 2, "N", "n"), (2, 4, "V", "v")], [(0, 4, "N", "n")]))
+    assert Evaluator(["pos", "lemma"], options=Options(average=None), verbose=True).evaluate(t) == {"pos": {"precision": {"N": 0.5, "V": 0.0}, "recall": {"N": 1.0, "V": 0.0}, "fscore": {"N": pytest.approx(2 / 3), "V": 0.0}}, "lemma": {"accuracy": 1.0}}
+    assert "lemma: {'accuracy': 1.0}" in capsys.readouterr().out
+    with pytest.raises(Exception, match="no pairs"):
+        Evaluator(["lemma"], options=Options(strict=True)).evaluate(t)
+    with pytest.raises(Exception, match="no sentences|minimum tokens"):
+        Evaluator(["token"], "agreement", Options(strict=True)).evaluate(t.limit(0))
+    far = table(spark, (bounds("100010000"), bounds("001000000")))
+    assert Evaluator(["token"], "agreement", Options(winlen=2)).evaluate(far) != Evaluator(["token"], "agreement").evaluate(far)
+    none = Evaluator(["pos", "lemma"]).evaluate(t.limit(0))
+    assert none == {"pos": {"precision": 0, "recall": 0, "fscore": 0}, "lemma": {"accuracy": None}}
+    over = table(spark, ([(0, 4, "N"), (2, 6, "V")], [(0, 6, "N")]), ([(0, 4, "N")], [(0, 4, "N")]))
+    assert Evaluator(["pos"], options=Options(folded=True)).evaluate(over)["pos"]["precision"] == 1
+
+    from glossmeter.plans import evaluate as plans
+
+    class Items(plans.Metric):
+        def figures(self, mode):
+            return ["items"]
+
+        def scores(self, items, mode, options, by):
+            return [items.groupBy(*by).agg(F.count("*").alias("items"))]
+
+    plans.METRICS["size"] = Items()
+    assert Evaluator(["size"]).evaluate(far)["size"] == {"items": 5.0}
+    del plans.METRICS["size"]
+
+
 def test_errors(spark):
     for bad in (lambda: Evaluator(["x"]), lambda: Evaluator(["ner"], "agreement"), lambda: Evaluator(["pos"], "other"), lambda: evaluate(spark, "x", "y")):
         with pytest.raises(ValueError):
@@ -284,11 +405,11 @@ def test_relax_whole_texts(spark, tmp_path):
 
     from glossmeter.plans.queries import QUERIES
 
-    texts = [None, "", " \n\u00a0", "Éa " * 40 + "ÀÉÎ Õü\u2003\t", "x" * 40 + "É", "\n" + "wörd\n\n WÖRD " * 500 + "\u3000 Ñ\n \n"]
+    texts = [None, "", " \n\u00a0", "Éa " * 40 + "ÀÉÎ Õü\u2003\t\x1c", "x" * 40 + "É", "\n" + "wörd\n\n WÖRD " * 500 + "\u3000 Ñ\n \n", " " * 300_000 + "a" + " " * 300_000 + "b"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower().strip()
     want = {i: t if t is None else hashlib.md5(plain(t).encode()).hexdigest() for i, t in enumerate(texts)}
-    assert {r["doc_id"]: r["plain"] for r in QUERIES["relax_str_whole"](spark, str(tmp_path)).collect()} == want
+    assert {r["doc_id"]: r["plain"] for r in QUERIES["relax_str"](spark, str(tmp_path)).collect()} == want
 
 
 def test_compose(spark):
@@ -321,3 +442,15 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "token_prf_corpus" in e.queries()
+
+
+@pytest.mark.parametrize("also", [[], ["corpus_pipeline.py"]])
+def test_lives_without_corpus_operators(tmp_path, also):
+    root = pathlib.Path(__file__).resolve().parent.parent
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "spark-warehouse", *also))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(q.startswith(('op1_', 'pipeline')) for q in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120)
+    n, m, others = out.stdout.split()
+    assert int(n) >= int(m) >= 40 and others == "False", out.stderr
+    seen = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120)
+    assert seen.returncode == 0, seen.stdout
