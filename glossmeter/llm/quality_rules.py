@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, mix, read
+from .common import Words, blocks, counts, mix, read
 
 #: Labelled rows that the list is learned from at most; rules; least precision on rows held back; least covered rows; candidates a statistic.
 SAMPLE, MAX_RULES, PRECISION, LEAST, CUTS = 20_000, 12, 0.9, 8, 64
@@ -27,7 +27,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     """STATS of each text; all 0 for a null."""
     w = Words(texts, lower=False)
-    by_text = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])[w.off])
+    by_text = lambda mask: counts(mask, w.off)
     out = {"n_words": w.n, "word_chars": by_text(w.word & ((w.raw & 0xC0) != 0x80)), "n_symbols": by_text(_SYMBOL[w.raw])}
     with np.errstate(over="ignore"):
         salt = mix(w.row.astype(np.uint64) + np.uint64(1))
@@ -46,16 +46,17 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
         out["n_repeat_words"] = np.bincount(w.row[np.cumsum(covered)[:-1] > 0], minlength=w.rows)
     out["n_upper"] = by_text((w.raw >= 65) & (w.raw <= 90))
     out["n_digits"] = by_text((w.raw >= 48) & (w.raw <= 57))
-    lines, dups = np.zeros(w.rows, np.int64), np.zeros(w.rows, np.int64)
-    data = w.raw.tobytes()
-    for i in range(w.rows):
-        own = [x for x in data[w.off[i] : w.off[i + 1]].split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
-        lines[i], dups[i] = len(own), len(own) - len(set(own))
-    return {k: np.asarray(v, np.int64) for k, v in (out | {"n_lines": lines, "n_dup_lines": dups}).items()}
+    line, row = w.lines()
+    out["n_lines"] = np.bincount(row, minlength=w.rows)
+    with np.errstate(over="ignore"):
+        first = np.unique(line ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+    out["n_dup_lines"] = out["n_lines"] - np.bincount(row[first], minlength=w.rows)
+    return {k: np.asarray(v, np.int64) for k, v in out.items()}
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, and STATS (long) of the text."""
+    """The columns in keep, but for those named as one of STATS, and STATS (long) of the text."""
+    keep = tuple(k for k in keep if k not in STATS)
     slim = docs.select(*[docs[k].alias(k) for k in keep], docs[text_col].cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +162,9 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
     """Learn from at most SAMPLE labelled documents, drawn by a hash of the id; a row is bad if any of its labels says quality 0."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("__q")).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
-    sample = with_statistics(docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")), text_col, ("__id", "__q")).dropDuplicates(["__id"]).toPandas()
+    rows = with_statistics(docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")), text_col, ("__id", "__q"))
+    # of several texts under one id always the same counts
+    sample = rows.groupBy("__id").agg(F.min(F.struct("__q", *STATS)).alias("x")).select("__id", "x.*").toPandas()
     sample = sample.iloc[np.argsort(mix(sample["__id"].to_numpy(np.int64).astype(np.uint64)), kind="stable")]
     sample = sample[sample["n_words"] > 0]
     x = {n: sample[a].to_numpy(float) / np.maximum(sample[b].to_numpy(float), 1) for n, (a, b) in FEATURES.items()}
@@ -172,8 +175,9 @@ def quality_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", ke
     """The columns in keep, STATS, base_failed, rule (number of the rule that rejects, else 0), kept.
 
     Base rule: under 50 words, or over half of them in repeated 3-word windows.  A null or empty text has no words and fails.
-    Every row is judged by itself: repeated rows alike, very long ones whole; columns that clash with STATS are not carried.
+    Every row is judged by itself: repeated rows alike, very long ones whole; columns that clash with STATS or the verdict's columns are not carried.
     """
+    keep = tuple(k for k in keep if k not in ("base_failed", "rule", "kept"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = with_statistics(docs, text_col, keep).withColumn("base_failed", failed).withColumn("rule", rejects(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
