@@ -3,20 +3,22 @@
 Every document draws an exponential key that its quality weight scales (Efraimidis and Spirakis): key = -ln(u) / weight.
 Within its source the documents with the smallest keys come first.  A source's token budget is first spent on complete
 epochs, then on the documents whose prefix sum of sizes fits what is left; the one at the edge gives the words that still
-fit.  The order over a source is never sorted in one task: keys are cut into buckets of about ROWS rows, bucket sums are
-summed up in two levels, and only within a bucket documents are ordered.
+fit.  The order over a source is never sorted in one task: rows are dealt into ranges of source and key at sampled quantiles,
+about ROWS rows a range whatever the weights are, sums of ranges are summed up, and only within a range rows are ordered.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, read
 
-#: Rows in a bucket of keys, buckets in a bucket of the upper level; weights of the sources in their order; share of all sizes; most epochs.
-ROWS, FAN, WEIGHTS, SHARE, EPOCHS, SEED = 512, 512, (3, 1, 2), 1.5, 2, "mix-1"
+#: Rows of a range, about; weights of the sources in their order; share of all sizes; most epochs.
+ROWS, WEIGHTS, SHARE, EPOCHS, SEED = 1 << 18, (3, 1, 2), 1.5, 2, "mix-1"
 WORD, SYMBOLS = r"[^\x20\x09-\x0D]+", "#*$%&|<>"
 
 
@@ -40,7 +42,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """source, source_size, target from (source, source_size): weights repeat over the sources by code point, null last.
 
     A target stops at `most` times its source; what it leaves goes to the others by weight.  With sources ordered by the
-    level at which they stop, those that stop are a prefix, so one pass of running sums finds the common level.
+    level at which they stop, those that stop are a prefix, so one pass of running sums finds the common level.  One task
+    orders the sources, one short row each.
     """
     one = W.orderBy(F.col("source").asc_nulls_last())
     by_level = W.orderBy("stops_at", "nr")
@@ -65,19 +68,20 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: st
     slim = slim.withColumn("key", -F.log(uniform("id")) / F.greatest(F.col("weight"), F.lit(1e-9))).withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     slim = cut(slim)
 
-    per = slim.groupBy("s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("weight").alias("scale"))
-    goals = per.drop("scale", "n").join(targets(per.select("source", "source_size"), weights, share, most).drop("source_size").withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source"), "s")
-    sources = cut(goals.join(per.select("s", "n", "scale"), "s"))
+    per = slim.groupBy("s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    goals = targets(per.select("source", "source_size"), weights, share, most).withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    sources = cut(goals)
 
-    # buckets follow the keys' order: exp() is monotone, and about uniform over the source
-    rows = slim.drop("source").join(sources, "s").withColumn("b", F.floor((1.0 - F.exp(-F.col("key") * F.col("scale"))) * F.ceil(F.col("n") / ROWS)))
-    sums = rows.groupBy("s", F.floor(F.col("b") / FAN).alias("bb"), "b").agg(F.sum("size").alias("t"))
-    low = sums.withColumn("in_upper", F.sum("t").over(W.partitionBy("s", "bb").orderBy("b").rowsBetween(W.unboundedPreceding, -1)))
-    high = sums.groupBy("s", "bb").agg(F.sum("t").alias("u")).withColumn("up", F.sum("u").over(W.partitionBy("s").orderBy("bb").rowsBetween(W.unboundedPreceding, -1)))
-    offsets = low.join(high, ["s", "bb"]).select("s", "b", (F.coalesce("in_upper", F.lit(0)) + F.coalesce("up", F.lit(0))).alias("offset"))
+    # ranges of the order; the number of a row tells apart those that the order takes for equal, so no range has to hold a hot value
+    ranges = max(1, math.ceil(slim.count() / ROWS))
+    order = ("key", "id", "size", "row")
+    dealt = slim.drop("source").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(ranges, "s", *order)
+    rows = cut(dealt.withColumn("b", F.spark_partition_id()))
+    sums = rows.groupBy("s", "b").agg(F.sum("size").alias("t"))
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("t").over(W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("t")
 
-    within = W.partitionBy("s", "b").orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["s", "b"])
+    within = W.partitionBy("s", "b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["s", "b"]).join(sources, "s")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target") - epochs * F.col("source_size"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("own")))
