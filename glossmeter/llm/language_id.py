@@ -14,12 +14,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import read
 
-#: Bounds of the learning sample: documents of each language, bytes from each of them, languages (the most frequent).
-SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 32, 1024, 256
+#: Bounds of the learning sample: documents of each language, characters from each of them; more languages than so many are an error.
+SAMPLE_DOCS, SAMPLE_BYTES, MOST_LANGUAGES = 32, 1024, 4096
 #: Bytes that are compressed at a time (beyond them a text's own history would hide the dictionary), level, margin of acceptance.
 BLOCK, LEVEL, MARGIN, SOFTNESS = 2048, 6, 0.005, 24.0
 
@@ -35,20 +36,25 @@ def remainder(id_col: str = "doc_id"):
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary content), most frequent language first; equal counts by name.
 
-    The sample is drawn by a hash of text and id, so it is the same each time; its bound does not grow with the table.
+    The sample is drawn by a hash of text and id for each language by itself, and rows that repeat both count once, so it is
+    the same each time and no language crowds another out; its bound does not grow with the table.
     """
+    unit = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 12) / float(1 << 52)
+    half = F.greatest(F.lit(1), (F.length(text_col) / 2).cast("int") - SAMPLE_BYTES // 2)
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(F.trim(text_col)) > 0))
-    counts = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    usable = usable.select(F.col(lang_col).alias("lang"), unit.alias("u"), F.substring(F.col(text_col), half, F.lit(SAMPLE_BYTES)).alias("t"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("u").alias("texts")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     if not counts:
         return []
-    unit = (F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(0xFFFFFFFF)) / float(1 << 32)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * SAMPLE_DOCS / r["count"])))])
-    half = F.greatest(F.lit(1), (F.length(text_col) / 2).cast("int") - SAMPLE_BYTES // 2)
-    rows = usable.where(unit < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), unit.alias("u"), F.substring(F.col(text_col), half, F.lit(SAMPLE_BYTES)).alias("t")).orderBy("u").limit(3 * SAMPLE_DOCS * len(counts)).collect()
-    out = []
-    for r in counts:
-        parts = sorted({(x["u"], x["t"]) for x in rows if x["lang"] == r["lang"]})[:SAMPLE_DOCS]
-        out.append((r["lang"], "\n".join(_letters(" ", t.lower()) for _, t in parts).encode()[-SAMPLE_DOCS * SAMPLE_BYTES :]))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * SAMPLE_DOCS / max(1, r["texts"]))) for r in counts], "lang string, share double")
+    drawn = usable.join(F.broadcast(share), "lang").where("u <= share").groupBy("lang", "u").agg(F.min("t").alias("t"))
+    drawn = drawn.withColumn("nr", F.row_number().over(W.partitionBy("lang").orderBy("u"))).where(F.col("nr") <= SAMPLE_DOCS)
+    parts: dict[str, list] = {}
+    for r in drawn.collect():
+        parts.setdefault(r["lang"], []).append((r["u"], r["t"]))
+    out = [(r["lang"], "\n".join(_letters(" ", t.lower()) for _, t in sorted(parts.get(r["lang"], []))).encode()[-SAMPLE_DOCS * SAMPLE_BYTES :]) for r in counts]
     return [x for x in out if len(x[1]) >= 8]
 
 
