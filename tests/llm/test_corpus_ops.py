@@ -59,7 +59,6 @@ def test_targets(spark):
 
 def test_mixing(docs, odd, monkeypatch):
     monkeypatch.setattr(M, "ROWS", 7)
-    monkeypatch.setattr(M, "FAN", 3)
     r = random.Random(3)
     table = docs(*[(i, "w " * r.randint(0, 40), r.choice("aaaab")) for i in range(300)]).unionByName(odd)
     first, again = M.mix_sources(table), M.mix_sources(table.repartition(5))
@@ -72,6 +71,20 @@ def test_mixing(docs, odd, monkeypatch):
     assert M.mix_sources(odd.limit(0)).count() == 0
 
 
+def test_ranges_stay_even(spark, docs, monkeypatch):
+    """Half of the rows with a small weight, a third without an id or all equal: no range is much above the others."""
+    monkeypatch.setattr(M, "ROWS", 300)
+    heavy = [(i if i % 3 else None, "#" * 300 + " w" if i % 2 else "w " * 9, "a") for i in range(4000)]
+    table = docs(*heavy, *[(None, "same text", "a")] * 2000)
+    seen = []
+    real = M.cut
+    monkeypatch.setattr(M, "cut", lambda df: seen.append(real(df)) or seen[-1])
+    got = M.mix_sources(table)
+    sizes = [r["count"] for r in next(t for t in seen if "b" in t.columns).groupBy("b").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 3 * 300 and got.count() == 6000
+    assert got.agg(F.sum("taken")).first()[0] == int(got.first()["target"])
+
+
 def test_quality_weighs(docs):
     table = docs(*[(i, "w " * 10 if i % 2 else "w ####### " * 5, "a") for i in range(400)], *[(1000 + i, "w " * 10, "b") for i in range(4000)])
     got = M.mix_sources(table).where("source = 'a'").groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum("taken").alias("t")).collect()

@@ -96,6 +96,43 @@ def test_language(docs, odd):
     assert {g["lang_pred"] for g in L.language_id(odd, L.learn(odd.limit(0))).collect()} == {"und"}
 
 
+def test_languages_do_not_crowd(docs, monkeypatch):
+    """One row repeated very often, and one language with many rows, leave the others their samples; too many languages are an error."""
+    r = random.Random(4)
+    say = lambda abc: " ".join("".join(r.choice(abc) for _ in range(5)) for _ in range(30))
+    one = say("abcde")
+    table = docs(*[(9, one, "s", "xx")] * 500, *[(1000 + i, say("abcde"), "s", "xx") for i in range(60)], *[(2000 + i, say("klmno"), "s", "yy") for i in range(3)], *[(3000 + i, say("rstuv"), "s", "zz") for i in range(900)], (1, None, "s", "aa"), (2, " ", "s", "bb"), (3, "text", "s", None))
+    learned = dict(L.learn(table))
+    assert list(learned) == ["zz", "xx", "yy"] and learned == dict(L.learn(table.repartition(7)))
+    assert learned["xx"].count(L._letters(" ", one).encode()) <= 1 and all(len(v) > 2000 for k, v in learned.items() if k != "yy")
+    assert {g["lang_pred"] for g in L.language_id(table.where("doc_id BETWEEN 2000 AND 2999"), list(learned.items())).collect()} == {"yy"}
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        L.learn(table)
+
+
+def test_language_is_the_least_of_all_compressors(docs, odd):
+    """Against a plain reading: the whole text with each dictionary, a block at a time."""
+    import zstandard
+
+    r = random.Random(14)
+    learned = [(k, " ".join("".join(r.choice(abc) for _ in range(6)) for _ in range(600)).encode()) for k, abc in (("xx", "abcdef"), ("yy", "defghi"), ("zz", "rstuvw"))]
+    table = docs(*[(i, " ".join("".join(r.choice("abcdefghi") for _ in range(5)) for _ in range(r.choice([3, 40, 3000]))), "s") for i in range(60)]).unionByName(odd)
+
+    def plain(t):
+        if t is None or not any(c.isalpha() for c in t):
+            return "und"
+        raw = re.sub(r"[\W\d_]+", " ", t.lower()).encode()
+        size = {}
+        for k, content in learned:
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size[k] = sum(len(zstandard.ZstdCompressor(level=L.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[a : a + L.BLOCK])) for a in range(0, len(raw), L.BLOCK))
+        return min(size, key=size.get)
+
+    texts = collections.Counter((x["doc_id"], plain(x["text"])) for x in table.collect())
+    assert collections.Counter((x["doc_id"], x["lang_pred"]) for x in L.language_id(table, learned).collect()) == texts
+
+
 def brute_stats(t):
     b = (t or "").encode()
     w = b.split()
