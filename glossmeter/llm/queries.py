@@ -8,7 +8,6 @@ QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language_id": language_id.op2_language_id,
     "op3_line_dedup": line_dedup.op3_line_dedup,
-    "op3_passage_dedup": line_dedup.op3_passage_dedup,
     "op4_token_counts": token_count.op4_token_counts,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_ngram_join": ngram_join.op6_ngram_join,

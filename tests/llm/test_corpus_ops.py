@@ -95,9 +95,10 @@ def test_quality_weighs(docs):
 # -- lines -------------------------------------------------------------------------------------
 
 
-def test_lines_match_sql(docs):
+@pytest.mark.parametrize("words", [50, None, 6])
+def test_lines_match_sql(docs, odd, words):
     r = random.Random(4)
-    pool = [" ".join(r.choice("abcdefgh") * r.randint(1, 6) for _ in range(r.randint(1, 60))) for _ in range(60)]
+    pool = [" ".join(r.choice("abcdefgh") * r.randint(1, 6) for _ in range(r.randint(0, 60))) for _ in range(60)]
     passages = [[r.choice(pool) for _ in range(r.randint(2, 9))] for _ in range(8)]
     rows = []
     for i in range(160):
@@ -105,25 +106,35 @@ def test_lines_match_sql(docs):
         for _ in range(r.randint(0, 2)):
             at = r.randint(0, len(lines))
             lines[at:at] = r.choice(passages)
-        rows.append((i, "\n".join(lines), "s"))
-    table = docs(*rows)
+        if i % 9 == 0:
+            lines[1:1] = ["x"] * r.randint(1, 9)
+        rows.append((i // 2 if i % 5 == 0 else i, "\n".join(lines), "s"))
+    table = docs(*rows, *rows[:5]).unionByName(odd)
     cols = ("doc_id", "n_lines", "n_removed", "n_chunks", "text")
-    got = rows_of(D.dedup_lines(table), *cols)
-    assert got == collections.Counter(tuple(x[c] for c in cols) for x in in_sql(D.oracle(), documents=table)) and sum(x[2] for x in got) > 50
+    got = rows_of(D.dedup_lines(table, words=words), *cols)
+    assert got == collections.Counter(tuple(x[c] for c in cols) for x in in_sql(D.oracle(words=words), documents=table)) and sum(x[2] for x in got) > 50
 
 
 def test_copies_and_clean_documents(docs, odd):
     long = "A passage " + "of many words " * 20
     clean = "\n".join(f"a line of its own, number {k}" for k in range(6))
-    table = docs((1, clean, "s"), (2, f"x\n{long}\ny", "s"), (3, f"p\nq\n{long}", "s"), (4, f"only\n{long}", "s"))
+    table = docs((1, clean, "s"), (2, f"x\n{long}\ny", "s"), (3, f"p\nq\n{long}", "s"), (4, f"only\n{long}", "s"), (5, "\n\n\n\n", "s"), (6, "a\n\n\n\nb", "s"))
     got = {x["doc_id"]: x["text"] for x in D.dedup_lines(table).collect()}
-    assert got == {1: clean, 2: f"x\n{long}\ny", 3: "p\nq", 4: "only"}
+    assert got == {1: clean, 2: f"x\n{long}\ny", 3: "p\nq", 4: "only", 5: "\n\n\n\n", 6: "a\n\n\n\nb"}
     out = D.dedup_lines(odd)
     assert rows_of(out, "doc_id")[(4,)] == 2 and {x["text"] for x in out.where("doc_id = 4").collect()} == {"same text of some words\nand lines"}
     assert {(x["n_lines"], x["text"]) for x in out.where("doc_id <= 2").collect()} == {(0, None), (1, "")}
     assert D.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_short_documents_and_runs_of_equal_lines(docs):
+    """Chunks of any size go; runs of equal lines share chunks whatever their lengths are."""
+    table = docs((1, "p\nq\nr\ns", "s"), (2, "p\nq\nr\ns", "s"), (3, "\n".join(["one more"] * 1000), "t"), (4, "\n".join(["one more"] * 1001), "t"), (5, "a\n" + "one more\n" * 6 + "b", "t"))
+    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in D.dedup_lines(table).collect()}
+    assert got[1] == ("p\nq\nr\ns", 0) and got[2] == ("", 4)
+    assert got[3][1] >= 990 and got[4][1] >= 990 and got[5][1] >= 2
+
+
 def test_short_passages(docs):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 3)))
@@ -136,17 +147,27 @@ def test_short_passages(docs):
             rows.append((i, "\n".join(own[0] + passage + own[1]), "s"))
             want[i] = "\n".join(own[0] + own[1] if i % 2 else own[0] + passage + own[1])
     table = docs(*rows)
-    assert {x["doc_id"]: x["text"] for x in D.dedup_passages(table).collect()} == want
-    assert sum(x["text"] == want[x["doc_id"]] for x in D.dedup_lines(table).collect()) < len(want)  # its SQL has chunks only
+    assert {x["doc_id"]: x["text"] for x in D.dedup_lines(table).collect()} == want
+    assert sum(x["text"] == want[x["doc_id"]] for x in D.dedup_lines(table, words=None).collect()) < len(want)
 
 
 def test_passages_keep_first_and_odd_rows(docs, odd):
     a, b, few = "a " * 30 + "end", "b " * 30 + "end", "some few words only"
     table = docs((1, "\n".join([a] * 5), "s"), (2, f"x\n{a}\n{b}\ny", "s"), (2, f"x\n{a}\n{b}\ny", "s"), (3, f"{few}\n{a}\n{b}", "s"), (4, f"p\n{few}\nq", "s"))
-    got = rows_of(D.dedup_passages(table), "doc_id", "n_lines", "n_removed", "n_chunks", "text")
-    assert got == {(1, 5, 3, 1, f"{a}\n{a}"): 1, (2, 4, 0, 0, f"x\n{a}\n{b}\ny"): 2, (3, 3, 2, 1, few): 1, (4, 3, 0, 0, f"p\n{few}\nq"): 1}
-    cols = ("doc_id", "n_lines", "n_removed", "text")
-    assert rows_of(D.dedup_passages(odd), *cols) == rows_of(D.dedup_lines(odd), *cols) and D.dedup_passages(odd.limit(0)).count() == 0
+    got = {x["doc_id"]: (x["n_lines"], x["n_removed"], x["text"]) for x in D.dedup_lines(table).collect()}
+    assert got == {1: (5, 3, f"{a}\n{a}"), 2: (4, 0, f"x\n{a}\n{b}\ny"), 3: (3, 2, few), 4: (3, 0, f"p\n{few}\nq")}
+
+
+def test_long_documents_of_lines(docs):
+    """Two documents of 200,000 lines that share every line but a few."""
+    import time
+
+    own = [f"line {k} of a long document" for k in range(200_000)]
+    other = [x for k, x in enumerate(own) if k % 50_000 != 7]
+    table = docs((1, "\n".join(own), "s"), (2, "\n".join(["a head"] + other), "s"))
+    began = time.time()
+    got = {x["doc_id"]: x for x in D.dedup_lines(table).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"].startswith("a head") and got[2]["n_removed"] >= len(other) - 3 and time.time() - began < 120
 
 
 # -- n-gram join -------------------------------------------------------------------------------
