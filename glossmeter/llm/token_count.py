@@ -1,7 +1,8 @@
 """Token counts by rank-synchronous merging of ragged arrays.
 
 Pre-tokens that a worker has not met yet are laid end to end in numpy arrays.  In each round every pre-token finds its
-neighbouring pair of lowest rank and applies it, all pre-tokens at the same time; what survives is counted.
+neighbouring pair of lowest rank and applies it, all pre-tokens at the same time; what survives is counted.  A pre-token of
+more than LONG characters would need many rounds for few merges, so it applies all places of its lowest pair in a round.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .merging import NONE, merge_long
 
-REMEMBERED, LIMIT = 400_000, 4096
+REMEMBERED, LIMIT, LONG = 400_000, 4096, 128
 _NONE = np.int64(1) << 30
-#: Bits of a place in a batch, below its rank: more than a batch that fits in memory needs.
+#: Bits of a place in a batch, below its rank; batches of pre-tokens of LONG characters at most are far smaller.
 PLACE = 32
 
 
@@ -62,8 +64,23 @@ class RaggedCounter:
         self.apart = apart
         self.known: dict[str, int] = {}
 
+    def count_long(self, pretoken: str) -> int:
+        """Tokens of one pre-token of any length."""
+        get, other, sym = self.symbol.get, self.other, []
+        of = {c: get(c, other) for c in set(pretoken)}
+        bare = {c: len(c.encode()) for c in of if of[c] == other}
+        sym = np.fromiter(map(of.__getitem__, pretoken), np.int64, len(pretoken))
+        left, _ = merge_long(sym, self.lookup)
+        extra = sum((size - 1) * pretoken.count(c) for c, size in bare.items())  # bytes of characters without a piece
+        return len(left) + extra
+
     def counts(self, pretokens: list[str]) -> np.ndarray:
         """Symbols that survive in each pre-token."""
+        if any(len(p) > LONG for p in pretokens):
+            out = np.array([self.count_long(p) if len(p) > LONG else 0 for p in pretokens], np.int64)
+            short = [i for i, p in enumerate(pretokens) if len(p) <= LONG]
+            out[short] = self.counts([pretokens[i] for i in short])
+            return out
         n = len(pretokens)
         get, other = self.symbol.get, self.other
         sym = np.fromiter((get(c, other) for p in pretokens for c in p), np.int64)
@@ -100,6 +117,12 @@ class RaggedCounter:
         hit = (self.keys[i] == key) & (row[at] == row[after]) & (after > at)
         return np.where(hit, self.ranks[i], _NONE), self.unions[i]
 
+    def lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and union of pairs of symbols."""
+        key = a << 20 | b
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[i] == key, self.ranks[i], NONE), self.unions[i]
+
     def learn(self, pretokens: list[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
