@@ -3,7 +3,7 @@
 Encoded spans form a monoid: a span is cut in halves, each half is encoded by itself, and two neighbours are joined by
 encoding a window around the seam again.  A join is right when each pair of tokens that meets at the window's edges is the
 encoding of its own bytes: a sequence whose neighbours are all such pairs is the one encoding of its bytes.  Otherwise the
-window grows.  Between two matches of the split pattern nothing merges, so there the join is mere concatenation.
+window grows, twice as far each time, and long windows merge all places of a pair at once.  Between two matches of the split pattern nothing merges, so there the join is mere concatenation.
 Decoding concatenates the bytes of the tokens up the same tree.
 """
 
@@ -13,17 +13,19 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .merging import NONE, merge_long
 
-#: Spans of at most so many bytes are leaves; entries that a worker remembers in each of its memories.
-LEAF_BYTES, REMEMBERED = 6, 250_000
+#: Spans of at most so many bytes are leaves; bytes from which a window is merged in arrays; entries that a worker remembers in each of its memories.
+LEAF_BYTES, LONG, REMEMBERED = 6, 256, 250_000
 
 
 class TreeBPE:
@@ -60,6 +62,8 @@ class TreeBPE:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(piece) > LONG:
+            return self.merged_long(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         get = self.ranks.get
         while len(parts) > 1:
@@ -73,6 +77,23 @@ class TreeBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(key, token) of every two tokens whose bytes together are a token; the key orders by both."""
+        rows = sorted((a << 32 | b, i) for t, i in self.ranks.items() for c in range(1, len(t)) if (a := self.ranks.get(t[:c])) is not None and (b := self.ranks.get(t[c:])) is not None)
+        return np.array([k for k, _ in rows], np.int64), np.array([i for _, i in rows], np.int64)
+
+    def merged_long(self, piece: bytes) -> list[int]:
+        keys, tokens = self.pairs
+
+        def lookup(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = a << 32 | b
+            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[i] == key, tokens[i], NONE), tokens[i]
+
+        of_byte = np.array([self.ranks[bytes([x])] for x in range(256)], np.int64)
+        return merge_long(of_byte[np.frombuffer(piece, np.uint8)], lookup)[0].tolist()
+
     def stable(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together encode as a, b: no merge crosses this seam."""
         k = (a, b)
@@ -86,18 +107,20 @@ class TreeBPE:
         """The encoding of both spans' bytes together."""
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
-        i, j = len(left) - 1, 1  # the window is left[i:] and right[:j]
+        i, j, grow = len(left) - 1, 1, 2  # the window is left[i:] and right[:j]
         while True:
-            window = self.leaf(b"".join(self.bytes_of[x] for x in chain(left[i:], right[:j])))
+            window = self.leaf(b"".join([self.bytes_of[x] for x in chain(left[i:], right[:j])]))
             before, after = i == 0 or self.stable(left[i - 1], window[0]), j == len(right) or self.stable(window[-1], right[j])
             if before and after:
                 return left[:i] + window + right[j:]
-            i, j = i if before else max(0, i - 2), j if after else min(len(right), j + 2)
+            i, j, grow = i if before else max(0, i - grow), j if after else min(len(right), j + grow), 2 * grow
 
     def piece(self, b: bytes) -> list[int]:
         if len(b) <= LEAF_BYTES:
             return self.leaf(b)
-        return self.join(self.piece(b[: len(b) // 2]), self.piece(b[len(b) // 2 :]))
+        x, y = b[: len(b) // 2], b[len(b) // 2 :]
+        left = self.piece(x)
+        return self.join(left, left if x == y else self.piece(y))
 
     # -- whole texts ---------------------------------------------------------------------------
 
