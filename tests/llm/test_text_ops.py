@@ -70,6 +70,31 @@ def test_count_of_long_pretoken():
     assert c.counts(["\ua500" * (1 << 24) + "th"]).tolist() == [3 * (1 << 24) + 1]
 
 
+def test_long_words(enc, monkeypatch):
+    """One word of very many letters: exact, and in seconds."""
+    import time
+
+    import glossmeter.llm.token_count as T
+
+    r = random.Random(31)
+    own, c = TreeBPE.from_file(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), RaggedCounter(P.path("piece_bpe_32k.model"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    words = ["".join(r.choice(abc) for _ in range(n)) for abc, n in (("etaoinshr", 20_000), ("ab", 5000), ("aeé漢s", 6000), ("\ua500a", 3000), ("lL1", 900), (" \n", 4000))] + ["a" * n for n in (2999, 4096, 10_001)] + ["ab" * 3001, "=" * 3000 + "-" * 2000]
+    for w in words:
+        assert memoryview(own.encode(w)[0]).cast("I").tolist() == enc.encode_ordinary(w)
+    assert c.texts(words) == [len(x) for x in sp.encode(words)]
+    monkeypatch.setattr(T, "LONG", 3)  # every word by this way
+    texts = fuzz(300, 5)
+    assert RaggedCounter(P.path("piece_bpe_32k.model")).texts(texts) == [len(x) for x in sp.encode(texts)]
+    monkeypatch.undo()
+    began = time.time()
+    for w in ("a" * 1_000_000, "".join(r.choice("etaoinshr") for _ in range(1_000_000))):
+        ids, back = own.encode(w)
+        assert back == w.encode() and len(ids) // 4 < len(w)
+        assert c.texts([w])[0] > 1000
+    assert time.time() - began < 90
+
+
 def test_counter_forgets(monkeypatch):
     import glossmeter.llm.token_count as T
 
