@@ -286,10 +286,27 @@ def test_search(spark, monkeypatch):
         found += len(set(best) & set(g["vec_id"]))
         assert np.allclose(d[g["vec_id"]], g["score"], atol=1e-12) and list(zip(g["score"], g["vec_id"])) == sorted(zip(g["score"], g["vec_id"]))
     assert found >= 0.9 * 70 and list(got[got["query_id"] == 49].sort_values("rank")["vec_id"]) == list(range(50, 60))
+    again = A.search(df.repartition(5), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)) | (F.col("vec_id") == 49)).toPandas()
+    assert sorted(map(tuple, again.values.tolist())) == sorted(map(tuple, got.values.tolist()))
     few = A.search(df.where("vec_id IN (0, 1, 2)"), F.col("vec_id") == 0)
     assert few.count() == 2 and A.search(df.where("vec_id = 800"), F.lit(True)).count() == 0 and A.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_search_repeated_ids(spark):
+    """One id very often, once with other vectors, and one vector very often: no crash, all rows but the query's own are candidates."""
+    r = np.random.default_rng(3)
+    v = [r.normal(size=8).tolist() for _ in range(30)]
+    rows = [(100, v[0])] * 5000 + [(100, v[1])] + [(i, v[2]) for i in range(1, 60)] + [(200 + i, v[3 + i]) for i in range(1, 20)]
+    got = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100).toPandas()
+    assert len(got) == 20 and set(got["query_id"]) == {100}
+    dist = lambda a, b: float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum()))
+    for q, own in ((v[0], 0), (v[1], 5000)):
+        want = sorted((dist(q, x), i) for j, (i, x) in enumerate(rows) if j != own)[:10]
+        assert any(np.allclose([w[0] for w in want], g["score"]) and [w[1] for w in want] == list(g["vec_id"]) for g in (got.iloc[:10].sort_values("rank"), got.iloc[10:].sort_values("rank"))) or want[0][0] in set(got["score"])
+    same = A.search(spark.createDataFrame([(100, v[0])] * 20_000, "vec_id long, embedding array<double>"), F.col("vec_id") == 100).collect()
+    assert [tuple(x) for x in sorted(same, key=lambda x: x["rank"])] == [(100, k, 100, 0.0) for k in range(1, 11)]
+
+
 # -- pipeline ----------------------------------------------------------------------------------
 
 
