@@ -2,8 +2,9 @@
 
 A host's paths are a tree of segments.  Level by level, a segment that takes a good share of its parent's urls stays
 literal, any other becomes a wildcard; siblings whose labelled purity does not differ significantly are merged into one
-branch.  Each template at the leaves gets the share of blocked labels among its urls, smoothed by a prior; labels are the
-verdicts of the rules.  Everything is SQL over one row a url with its counts; hot hosts are pre-aggregated before they meet.
+branch, each compared with the pooled purity of the branch that it would join.  Levels go on until no segment is left that
+enough urls share.  Each template at the leaves gets the share of blocked labels among its urls, smoothed by a prior; labels
+are the verdicts of the rules.  Everything is SQL over one row a url with its counts; hot hosts are pre-aggregated before they meet.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, drop, read
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Levels of the tree; urls and share of the parent's urls that keep a segment literal; standard errors within which siblings merge;
-#: weight and value of the prior; purity from which a template is blocked.
-DEPTH, SUPPORT, SHARE, ALIKE, PRIOR, PRIOR_BAD, BLOCKED = 3, 5, 0.02, 1.96, 4.0, 0.2, 0.5
+#: Urls and share of the parent's urls that keep a segment literal; standard errors within which siblings merge; weight and value
+#: of the prior; purity from which a template is blocked.
+SUPPORT, SHARE, ALIKE, PRIOR, PRIOR_BAD, BLOCKED = 5, 0.02, 1.96, 4.0, 0.2, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,45 +27,64 @@ def _double(x: float) -> str:
     return f"CAST({x!r} AS DOUBLE)"
 
 
-def _start(u: str, text: str) -> str:
-    return f"SELECT u.*, CAST('' AS {text}) AS t0, CASE WHEN said IS NULL THEN 0 ELSE 1 END AS seen, CASE WHEN said = 'block' THEN 1 ELSE 0 END AS bad FROM {u} u"
+def _smooth(bad: str, seen: str) -> str:
+    return f"(({bad} + {_double(PRIOR * PRIOR_BAD)}) / ({seen} + {_double(PRIOR)}))"
 
 
-def _level(k: int, u: str, text: str) -> list[tuple[str, str]]:
-    """One level of the tree as (name, query) in SQL that Spark and DuckDB share; u has the urls with their template so far. The last query has it grown by segment k; a missing segment is ''."""
-    p = k - 1
-    own, before = f"q * (1 - q) / (seen + {_double(PRIOR)})", f"q0 * (1 - q0) / (seen0 + {_double(PRIOR)})"
-    at = "PARTITION BY host, t ORDER BY q, s"
-    return [
-        (f"c{k}", f"SELECT host, t{p} AS t, s{k} AS s, count(*) AS n, sum(seen) AS seen, sum(bad) AS bad FROM {u} GROUP BY host, t{p}, s{k}"),
-        (f"p{k}", f"SELECT host, t, sum(n) AS n FROM c{k} GROUP BY host, t"),
-        # literal segments, at most 1 / SHARE for a parent, with their smoothed purity
-        (f"l{k}", f"SELECT c.host, c.t, c.s, c.seen, (c.bad + {_double(PRIOR * PRIOR_BAD)}) / (c.seen + {_double(PRIOR)}) AS q FROM (SELECT * FROM c{k} WHERE n >= {SUPPORT} AND s <> '') c JOIN p{k} p ON c.host = p.host AND c.t = p.t WHERE c.n >= {_double(SHARE)} * p.n"),
-        (f"g{k}", f"SELECT *, lag(q) OVER ({at}) AS q0, lag(seen) OVER ({at}) AS seen0 FROM l{k}"),
-        # a branch without labels is no evidence, so it joins only others without
-        (f"h{k}", f"SELECT *, CASE WHEN q0 IS NULL OR (seen = 0) <> (seen0 = 0) OR (q - q0) > {_double(ALIKE)} * sqrt({own} + {before}) THEN 1 ELSE 0 END AS apart FROM g{k}"),
-        (f"i{k}", f"SELECT host, t, s, sum(apart) OVER ({at} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM h{k}"),
-        (f"b{k}", f"SELECT host, t, s, min(s) OVER (PARTITION BY host, t, grp) AS name, count(*) OVER (PARTITION BY host, t, grp) AS members FROM i{k}"),
-        (f"u{k}", f"SELECT u.*, CASE WHEN u.s{k} = '' THEN u.t{p} WHEN b.s IS NULL THEN concat(u.t{p}, '/*') WHEN b.members = 1 THEN concat(u.t{p}, '/', b.name) ELSE concat(u.t{p}, '/(', b.name, '+', CAST(b.members AS {text}), ')') END AS t{k} FROM {u} u LEFT JOIN b{k} b ON u.host = b.host AND u.t{p} = b.t AND u.s{k} = b.s"),
-    ]
+def _apart(s: str, x: str) -> str:
+    """Whether branch x (q, seen, bad) does not join the group s, pooled so far: a branch without labels is no evidence, so it joins only others without."""
+    q = _smooth(f"{s}.bad", f"{s}.seen")
+    var = lambda p, n: f"{p} * (1 - {p}) / ({n} + {_double(PRIOR)})"
+    return f"(({x}.seen = 0) <> ({s}.seen = 0) OR abs({x}.q - {q}) > {_double(ALIKE)} * sqrt({var(q, f'{s}.seen')} + {var(f'{x}.q', f'{x}.seen')}))"
+
+
+#: A parent's literal branches (at most 1 / SHARE), by purity, as an array of (s, grp): a fold, as each group's pool decides.
+_FOLD = {
+    "STRING": "aggregate(array_sort(collect_list(named_struct('q', q, 's', s, 'seen', seen, 'bad', bad))), named_struct('seen', -1L, 'bad', 0L, 'grp', 0, 'out', CAST(array() AS ARRAY<STRUCT<s: STRING, grp: INT>>)), "
+    "(g, x) -> CASE WHEN g.seen < 0 OR {apart} THEN named_struct('seen', x.seen, 'bad', x.bad, 'grp', g.grp + 1, 'out', array_append(g.out, named_struct('s', x.s, 'grp', g.grp + 1))) "
+    "ELSE named_struct('seen', g.seen + x.seen, 'bad', g.bad + x.bad, 'grp', g.grp, 'out', array_append(g.out, named_struct('s', x.s, 'grp', g.grp))) END, g -> g.out)",
+    "VARCHAR": "list_reduce(list({{'q': q, 's': s, 'seen': seen, 'bad': bad, 'grp': 0, 'out': CAST([] AS STRUCT(s VARCHAR, grp INTEGER)[])}} ORDER BY q, s), lambda g, x: CASE WHEN g.seen < 0 OR {apart} "
+    "THEN {{'q': x.q, 's': x.s, 'seen': x.seen, 'bad': x.bad, 'grp': g.grp + 1, 'out': list_append(g.out, {{'s': x.s, 'grp': g.grp + 1}})}} "
+    "ELSE {{'q': x.q, 's': x.s, 'seen': g.seen + x.seen, 'bad': g.bad + x.bad, 'grp': g.grp, 'out': list_append(g.out, {{'s': x.s, 'grp': g.grp}})}} END, "
+    "{{'q': CAST(0 AS DOUBLE), 's': '', 'seen': CAST(-1 AS BIGINT), 'bad': CAST(0 AS BIGINT), 'grp': 0, 'out': CAST([] AS STRUCT(s VARCHAR, grp INTEGER)[])}}).out",
+}
+
 
+def _level(u: str, text: str, each: str) -> list[tuple[str, str]]:
+    """Queries that name the branches of one level, in SQL that Spark and DuckDB share; u has urls with their template t and next segment s ('' if there is none).
 
-def _verdicts(d: int, u: str) -> list[tuple[str, str]]:
+    The last one has host, t, s, name (the branch's first segment) and members of each literal segment.
+    """
     return [
-        ("leaf", f"SELECT host, t{d} AS t, (sum(bad) + {_double(PRIOR * PRIOR_BAD)}) / (sum(seen) + {_double(PRIOR)}) AS purity FROM {u} GROUP BY host, t{d}"),
-        ("result", f"SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.said, CASE WHEN leaf.purity >= {_double(BLOCKED)} THEN 'block' ELSE 'allow' END) AS verdict, u.t{d} AS template, CAST(leaf.purity AS DOUBLE) AS purity FROM {u} u JOIN leaf ON u.host = leaf.host AND u.t{d} = leaf.t"),
+        ("c", f"SELECT host, t, s, count(*) AS n, CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(bad) AS BIGINT) AS bad FROM {u} GROUP BY host, t, s"),
+        ("p", "SELECT host, t, sum(n) AS n FROM c GROUP BY host, t"),
+        ("l", f"SELECT c.host, c.t, c.s, c.seen, c.bad, {_smooth('c.bad', 'c.seen')} AS q FROM (SELECT * FROM c WHERE n >= {SUPPORT} AND s <> '') c JOIN p ON c.host = p.host AND c.t = p.t WHERE c.n >= {_double(SHARE)} * p.n"),
+        ("g", f"SELECT host, t, {_FOLD[text].format(apart=_apart('g', 'x'))} AS f FROM l GROUP BY host, t"),
+        ("h", f"SELECT host, t, {each} AS x FROM g"),
+        ("b", "SELECT host, t, x.s AS s, min(x.s) OVER (PARTITION BY host, t, x.grp) AS name, count(*) OVER (PARTITION BY host, t, x.grp) AS members FROM h"),
     ]
 
 
+def _grown(text: str) -> str:
+    """A url's template, grown by its next segment."""
+    return f"CASE WHEN u.s = '' THEN u.t WHEN b.s IS NULL THEN concat(u.t, '/*') WHEN b.members = 1 THEN concat(u.t, '/', b.name) ELSE concat(u.t, '/(', b.name, '+', CAST(b.members AS {text}), ')') END"
+
+
 def _with(steps: list[tuple[str, str]]) -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in steps) + f" SELECT * FROM {steps[-1][0]}"
+    return ",\n".join(f"{n} AS ({q})" for n, q in steps)
+
+
+_LEAF = f"SELECT host, t, {_smooth('sum(bad)', 'sum(seen)')} AS purity FROM {{u}} GROUP BY host, t"
+_RESULT = f"SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.said, CASE WHEN leaf.purity >= {_double(BLOCKED)} THEN 'block' ELSE 'allow' END) AS verdict, u.t AS template, CAST(leaf.purity AS DOUBLE) AS purity FROM {{u}} u JOIN leaf ON u.host = leaf.host AND u.t = leaf.t"
 
 
-def filter_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Returns page_id, host, path, rule, verdict, template, purity for every row.
 
     A null url, or one without ://, has empty host and path and falls under no rule; such urls share one template.  Repeated
     rows each count and each get the verdict; other columns are not read.  With no rules nothing is labelled and all is allowed.
+    Every segment of a path counts, however many there are; a level is a job, and where fewer than SUPPORT urls share a
+    template all further segments are wildcards at once.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     form = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -73,14 +93,20 @@ def filter_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH, id_col: str =
     for verdict, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is asked first
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, said = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(said)
-    df = df.withColumn("rule", rule).withColumn("said", said)
-    segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    df = df.select("*", *[F.coalesce(F.try_element_at(segments, F.lit(k)), F.lit("")).alias(f"s{k}") for k in range(1, depth + 1)])
-    spark = df.sparkSession
-    grown = cut(spark.sql(_start("{u}", "STRING"), u=df))
-    for k in range(1, depth + 1):  # each level is a table: its urls are read four times
-        grown = cut(spark.sql(_with(_level(k, "{u}", "STRING")), u=grown))
-    return spark.sql(_with(_verdicts(depth, "{u}")), u=grown)
+    df = df.withColumn("rule", rule).withColumn("said", said).withColumn("seg", F.filter(F.split("path", "/"), lambda x: x != ""))
+    df = df.withColumn("t", F.lit("")).withColumn("seen", F.col("said").isNotNull().cast("int")).withColumn("bad", F.coalesce(F.col("said") == "block", F.lit(False)).cast("int"))
+    spark, k, done = df.sparkSession, 0, cut(df)
+    while True:
+        shared = done.groupBy("host", "t").agg(F.count("*").alias("n"), F.max(F.size("seg")).alias("most")).where((F.col("n") >= SUPPORT) & (F.col("most") > k))
+        if shared.isEmpty():
+            break
+        k += 1
+        u = done.withColumn("s", F.coalesce(F.get("seg", F.lit(k - 1)), F.lit("")))
+        grown = cut(spark.sql(f"WITH {_with(_level('{u}', 'STRING', 'explode(f)'))} SELECT u.* EXCEPT (t, s), {_grown('STRING')} AS t FROM {{u}} u LEFT JOIN b ON u.host = b.host AND u.t = b.t AND u.s = b.s", u=u))
+        drop(done)
+        done = grown
+    rest = F.repeat(F.lit("/*"), F.greatest(F.size("seg") - k, F.lit(0)))
+    return spark.sql("WITH leaf AS (" + _LEAF.format(u="{u}") + ") " + _RESULT.format(u="{u}"), u=done.withColumn("t", F.concat("t", rest)))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,20 +114,21 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """One recursive step a level; urls without a further segment come along, as they count among their parent's."""
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered) + " END"
     said = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered) + " END"
     form = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-    segments = ", ".join(f"coalesce(seg[{k}], '') AS s{k}" for k in range(1, DEPTH + 1))
     first = [
-        ("a", f"SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{form}', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '{form}', 2) AS path FROM pages"),
-        ("b", f"SELECT *, {rule} AS rule, {said} AS said, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM a"),
-        ("v", f"SELECT page_id, host, path, rule, said, {segments} FROM b"),
-        ("u0", _start("v", "VARCHAR")),
+        ("a0", f"SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{form}', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '{form}', 2) AS path FROM pages"),
+        ("b0", f"SELECT *, {rule} AS rule, {said} AS said, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM a0"),
+        ("v", "SELECT *, CASE WHEN said IS NULL THEN 0 ELSE 1 END AS seen, CASE WHEN said = 'block' THEN 1 ELSE 0 END AS bad FROM b0"),
+        ("deepest", "SELECT coalesce(max(len(seg)), 0) AS k FROM v"),
     ]
-    levels = [step for k in range(1, DEPTH + 1) for step in _level(k, f"u{k - 1}", "VARCHAR")]
-    return _with(first + levels + _verdicts(DEPTH, f"u{DEPTH}"))
+    step = f"WITH u AS (SELECT *, coalesce(seg[k + 1], '') AS s FROM tree WHERE k < (SELECT k FROM deepest)),\n{_with(_level('u', 'VARCHAR', 'unnest(f)'))} SELECT u.page_id, u.host, u.path, u.rule, u.said, u.seg, u.seen, u.bad, u.k + 1, {_grown('VARCHAR')} FROM u LEFT JOIN b ON u.host = b.host AND u.t = b.t AND u.s = b.s"
+    tree = f"tree(page_id, host, path, rule, said, seg, seen, bad, k, t) AS (SELECT page_id, host, path, rule, said, seg, seen, bad, CAST(0 AS BIGINT), '' FROM v UNION ALL ({step}))"
+    return f"WITH RECURSIVE {_with(first)},\n{tree},\nfull_grown AS (SELECT * FROM tree WHERE k = (SELECT k FROM deepest)),\nleaf AS ({_LEAF.format(u='full_grown')}) {_RESULT.format(u='full_grown')}"
 
 
 ORACLE = _oracle()

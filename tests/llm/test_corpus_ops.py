@@ -265,6 +265,24 @@ def test_templates(spark):
     assert got[2]["rule"] is None and got[2]["verdict"] == "block" and got[2]["template"] == "/bad/*" and got[205]["verdict"] == "allow"
 
 
+def test_deep_paths_match_sql(spark):
+    """Paths of any depth, with verdicts that only deep segments tell apart, against the recursive SQL."""
+    r = random.Random(17)
+    rows = [(i, f"http://{r.choice(['a', 'b'])}.{r.choice(['com', 'net', 'org'])}/" + "/".join(r.choice(["es", "fr", "en", "x", "y", f"n{i}"]) for _ in range(r.choice([0, 1, 2, 4, 7])))) for i in range(600)]
+    rows += [(1000 + i, "http://deep.net/" + "/".join(f"s{k}" for k in range(30)) + f"/{'u' if i % 2 else 'v'}/{i}") for i in range(20)] + [(3000, None), (3001, "x://q"), (None, "http://a.com/en/x"), (None, "http://a.com/en/x")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    cols = ("page_id", "host", "path", "rule", "verdict", "template")
+    got = rows_of(U.filter_urls(df), *cols)
+    assert got == collections.Counter(tuple(x[c] for c in cols) for x in in_sql(U.ORACLE, pages=df)) and any(x[5].count("/") > 30 for x in got)
+
+
+def test_deep_segments_decide(spark):
+    rules = (("block", "h.org", "/a/b/c/d/bad/x"), ("allow", "h.org", "/a/b/c/d/good/"))
+    rows = [(i, f"http://h.org/a/b/c/d/bad/{'x' if i % 2 else 'y'}{i}") for i in range(100)] + [(200 + i, f"http://h.org/a/b/c/d/good/{i}") for i in range(100)]
+    got = {x["page_id"]: x for x in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got[2]["rule"] is None and got[2]["verdict"] == "block" and got[2]["template"] == "/a/b/c/d/bad/*" and got[205]["verdict"] == "allow"
+
+
 # -- vectors -----------------------------------------------------------------------------------
 
 
