@@ -47,7 +47,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     """Blocks, parents first, and the runs of text in page order, each with its block. A run ends where a block begins or ends."""
     blocks, runs, pending = [Block("html", "", -1, 0)], [], []
     stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # tag, block, hidden
-    at, links = 0, 0
+    at, links, opened = 0, 0, {}  # opened: how many elements of each tag are open, so a stray end tag costs nothing
 
     def flush() -> None:
         if pending:
@@ -68,6 +68,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             flush()
         elif tag == "a":
             links -= 1
+        opened[tag] -= 1
         stack.pop()
 
     find = _TOKEN.search
@@ -81,12 +82,12 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
         if m[1]:
             if tag == "br":
                 put(" ")
-            elif any(tag == s[0] for s in stack[1:]) and not (tag in INLINE and tag not in [s[0] for s in stack[-8:]]):
+            elif opened.get(tag) and not (tag in INLINE and tag not in [s[0] for s in stack[-8:]]):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
             continue
-        if ends := _ENDS.get(tag):
+        if (ends := _ENDS.get(tag)) and any(opened.get(e) for e in ends):
             i = len(stack) - 1
             while i > 0 and stack[i][0] not in ends and (stack[i][0] in INLINE or tag not in _BLOCKS and stack[i][0] not in _SCOPE):
                 i -= 1
@@ -109,6 +110,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
                 put(" ")
             continue
         hidden = stack[-1][2] or tag in HIDDEN
+        opened[tag] = opened.get(tag, 0) + 1
         if tag in INLINE:
             stack.append((tag, stack[-1][1], hidden))
             links += tag == "a"
@@ -142,32 +144,61 @@ _WORDS = {
     "name_comment": r"comments?|commentlist|disqus|replies|reply|respond|discussion", "name_note": r"cookie\w*|consent|gdpr|notice|alert|newsletter|subscribe|subscription|popup|modal|overlay|signup|login|paywall|disclaimer", "name_share": r"share|sharing|social|tags|tag-?list|author-?box|byline|meta|rating|toolbar",
 }
 _WORD_RE = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?=$|[\s_-])") for k, v in _WORDS.items()}
-FEATURES = ["bias", *_KINDS, *_WORDS, "links", "text_some", "text_long", "stops", "few_words", "no_text"]
+_TEXT = ("links", "text_some", "text_long", "stops", "few_words", "rights", "no_text")
+_BELOW = ("below_links", "below_share", "below_long", "around_links", "around_share", "alone", "only")
+FEATURES = ["bias", *_KINDS, *_WORDS, *_TEXT, *_BELOW]
+_RIGHTS = re.compile(r"©|\(c\) ?\d|copyright|all rights reserved", re.I)
 #: Kinds of edges, by the child: what opens a region of its own, what names one, and all others.
 EDGES = 3
 
 
-def features(b: Block) -> list[int | tuple[int, float]]:
-    """Sparse: (index, value)."""
-    out = [(0, 1.0)]
-    for i, (k, tags) in enumerate(_KINDS.items(), 1):
-        if b.tag in tags:
-            out.append((i, 1.0))
+@lru_cache(maxsize=4096)
+def _kind(tag: str, names: str) -> tuple[int, ...]:
+    """Features of a tag and its names."""
+    out = [i for i, tags in enumerate(_KINDS.values(), 1) if tag in tags]
     base = 1 + len(_KINDS)
-    if b.names:
-        for i, (k, r) in enumerate(_WORD_RE.items(), base):
-            if r.search(b.names):
-                out.append((i, 1.0))
-    base += len(_WORDS)
-    text = " ".join(b.text)
-    if text:
-        out.append((base, min(1.0, b.linked / len(text))))
-        out.append((base + 1, 1.0))
-        out.append((base + 2, min(1.0, len(text) / 400)))
-        out.append((base + 3, min(1.0, (text.count(". ") + text.count(", ") + text.endswith((".", "!", "?"))) / 4)))
-        out.append((base + 4, 1.0 if len(text) < 40 else 0.0))
-    else:
-        out.append((base + 5, 1.0))
+    return (0, *out, *[i for i, r in enumerate(_WORD_RE.values(), base) if names and r.search(names)])
+
+
+def features(blocks: list[Block]) -> list[list[tuple[int, float]]]:
+    """Of each block sparse (index, value): tag and names, own text, and how much text and how many links are below and around it."""
+    n = len(blocks)
+    own = [" ".join(b.text) for b in blocks]
+    size, linked = [len(t) for t in own], [b.linked for b in blocks]
+    for i in range(n - 1, 0, -1):
+        size[blocks[i].parent] += size[i]
+        linked[blocks[i].parent] += linked[i]
+    all_of = max(1, size[0])
+    base = 1 + len(_KINDS) + len(_WORDS)
+    below = base + len(_TEXT)
+    out = []
+    for i, b in enumerate(blocks):
+        f = [(k, 1.0) for k in _kind(b.tag, b.names)]
+        text = own[i]
+        if text:
+            f.append((base, min(1.0, b.linked / len(text))))
+            f.append((base + 1, 1.0))
+            f.append((base + 2, min(1.0, len(text) / 400)))
+            f.append((base + 3, min(1.0, (text.count(". ") + text.count(", ") + text.endswith((".", "!", "?"))) / 4)))
+            if len(text) < 40:
+                f.append((base + 4, 1.0))
+            if len(text) < 300 and _RIGHTS.search(text):
+                f.append((base + 5, 1.0))
+        else:
+            f.append((base + 6, 1.0))
+        if size[i]:
+            f.append((below, min(1.0, linked[i] / size[i])))
+            f.append((below + 1, size[i] / all_of))
+            f.append((below + 2, min(1.0, size[i] / 800)))
+            p = b.parent
+            if p >= 0:
+                f.append((below + 3, min(1.0, linked[p] / size[p])))
+                f.append((below + 4, size[p] / all_of))
+                if size[p] == size[i]:
+                    f.append((below + 5, 1.0))
+        if text and len(text) == size[0]:  # the page has no other text
+            f.append((below + 6, 1.0))
+        out.append(f)
     return out
 
 
@@ -189,7 +220,7 @@ class TreeModel:
         """P(content) of each block by sum-product, and the pair marginals of each block with its parent (for training)."""
         u, n = self.unary.tolist(), len(blocks)
         pair = [[[math.exp(v) for v in row] for row in k] for k in self.pair.tolist()]
-        feats = feats or [features(b) for b in blocks]
+        feats = feats or features(blocks)
         score = [sum(u[i] * v for i, v in f) for f in feats]
         own = [(1.0 / (1.0 + math.exp(min(50.0, s))), 1.0 / (1.0 + math.exp(min(50.0, -s)))) for s in score]
         up0, up1 = [o[0] for o in own], [o[1] for o in own]  # own potential times messages from below
@@ -223,7 +254,7 @@ class TreeModel:
         return out, pairs
 
 
-def train(pages: list[tuple[str, frozenset[str]]], rounds: int = 50, rate: float = 0.5, decay: float = 0.005) -> TreeModel:
+def train(pages: list[tuple[str, frozenset[str]]], rounds: int = 30, rate: float = 0.5, decay: float = 0.001) -> TreeModel:
     """Maximum likelihood by Adagrad; a labelled page is (html, texts of its content blocks). Of blocks without text, the innermost around all content is content, and so are those between it and content."""
     data = []
     for page, good in pages:
@@ -235,7 +266,7 @@ def train(pages: list[tuple[str, frozenset[str]]], rounds: int = 50, rate: float
         for i, b in enumerate(blocks):  # the deepest block around all content, and what leads from there to content
             if not b.text:
                 y[i] = int(0 < below[i] and (below[i] < below[0] or not any(c.parent == i and below[j] == below[i] for j, c in enumerate(blocks))))
-        data.append((blocks, [features(b) for b in blocks], y))
+        data.append((blocks, features(blocks), y))
     model, gu, gp = TreeModel(), np.full(len(FEATURES), 1e-6), np.full((EDGES, 2, 2), 1e-6)
     for _ in range(rounds):
         for blocks, feats, y in data:
@@ -256,12 +287,18 @@ def train(pages: list[tuple[str, frozenset[str]]], rounds: int = 50, rate: float
     return model
 
 
-def labelled_pages(n: int = 150, seed: int = 7) -> list[tuple[str, frozenset[str]]]:
-    """Pages laid out from a seed, with the texts of their content blocks: many outer shapes, with and without semantic tags."""
+def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, frozenset[str]]]:
+    """Pages laid out from a seed, with the texts of their content blocks.
+
+    Outer shapes with and without semantic tags and names, also tables for layout; paragraphs as p, as div, or between line
+    breaks; titles inside and outside of headers; long and very short articles; and everything around them that is no content.
+    """
     r = random.Random(seed)
     word = lambda: "".join(r.choice("aeiou") + r.choice("bdklmnrst") for _ in range(r.randint(1, 4)))
     say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize() + "."
-    links = lambda k: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(k))
+    name = lambda *of: f' {r.choice(["class", "id"])}="{x}"' if (x := r.choice(of)) else ""
+    link = lambda: f'<a href="/{word()}">{" ".join(word() for _ in range(r.choice([1, 1, 2, 3])))}</a>'
+    links = lambda k: "".join(f"<li>{link()}</li>" for _ in range(k))
     out = []
     for _ in range(n):
         good: set[str] = set()
@@ -270,35 +307,71 @@ def labelled_pages(n: int = 150, seed: int = 7) -> list[tuple[str, frozenset[str
             good.add(t)
             return t
 
-        body = f"<h1>{keep(say(3, 9))}</h1>"
-        for _ in range(r.randint(1, 7)):
+        style, short = r.choice(["p"] * 6 + ["div", "div", "br"]), r.random() < 0.25
+        title = keep(say(1, 9)[: r.choice([-1, None, None])])
+        head = r.choice([f"<h1>{title}</h1>"] * 3 + [f"<h2>{title}</h2>", f'<header><h1>{title}</h1></header>', f'<header><h1>{title}</h1><p class="{r.choice(["byline", "meta"])}">{word()} {word()}</p></header>', f'<div class="{r.choice(["title", "headline", "entry-title"])}">{title}</div>'])
+        if r.random() < 0.12:
+            good, head = set(), ""
+        body, loose = head, []
+        for _ in range(r.randint(1, 2) if short else r.randint(1, 7)):
             k = r.random()
-            if k < 0.72:
-                t = keep(" ".join(say(3, 24) for _ in range(r.choice([1, 1, 2, 4]))))
+            if k < 0.72 or style == "br":
+                t = r.choice([say(1, 2)[:-1], say(1, 2), say(1, 24)]) if short else " ".join(say(3, 24) for _ in range(r.choice([1, 1, 2, 4])))
+                if r.random() < 0.06:  # no sentences
+                    t = " ".join([word()] * r.randint(5, 90))
                 first, _, rest = t.partition(" ")
-                body += f"<p>{t}</p>" if r.random() < 0.7 else f'<p><a href="/{first}">{first}</a> {rest}</p>'
+                inner = t if r.random() < 0.7 else f'<a href="/{first}">{first}</a> {rest}'
+                if style == "br":
+                    loose.append((t, inner))
+                    continue
+                keep(t)
+                body += f"<{style}>{inner}</{style}>"
                 if r.random() < 0.15:
-                    body += f"<p>{keep(word())}</p>"
+                    body += f"<{style}>{keep(word())}</{style}>"
             elif k < 0.8:
                 body += f"<h2>{keep(say(2, 6))}</h2>"
             elif k < 0.86:
-                body += f"<blockquote>{keep(say(6, 20))}</blockquote>"
+                body += r.choice([f"<blockquote>{keep(say(6, 20))}</blockquote>", f"<pre>{keep(say(4, 12))}</pre>", f'<figure><img src="x"><figcaption>{keep(say(3, 9))}</figcaption></figure>'])
             elif k < 0.92:
                 body += "<ul>" + "".join(f"<li>{keep(say(2, 12))}</li>" for _ in range(r.randint(2, 4))) + "</ul>"
             elif k < 0.95:
-                body += f'<table><tr><td>{keep(say(2, 6))}</td><td>{keep(say(2, 6))}</td></tr></table>'
+                body += f"<table><tr><td>{keep(say(2, 6))}</td><td>{keep(say(2, 6))}</td></tr></table>"
             else:
                 body += f'<div class="{r.choice(["ad", "ads", "promo", "related", "newsletter", "share", "advert"])}">{say(4, 14)}</div>'
-        top = r.choice([f"<nav><ul>{links(6)}</ul></nav>", f'<div class="menu"><ul>{links(5)}</ul></div>', f'<header><a href="/">{word()}</a><p>{say(2, 5)}</p><nav><ul>{links(5)}</ul></nav></header>', f'<div id="header"><h2>{word()}</h2><ul class="nav">{links(4)}</ul></div>', f'<div class="breadcrumb"><a href="/">{word()}</a> / {word()}</div>', ""])
-        notice = r.choice([f'<div class="cookie-notice"><p>{say(8, 18)}</p></div>', f'<div class="notice">{say(4, 12)}</div>', "", "", f'<div class="ad">{say(4, 14)} {say(3, 9)}</div>', f'<div class="ad"><p>{say(4, 14)}</p></div>', f'<div id="banner" class="advert">{say(4, 14)}</div>'])
-        side = r.choice([f"<aside><h3>{say(1, 3)}</h3><p>{say(5, 16)}</p><ul>{links(4)}</ul></aside>", f'<div class="sidebar"><h3>{say(1, 3)}</h3><p>{say(6, 20)}</p></div>', "", f'<div class="widget related"><ul>{links(5)}</ul></div>'])
-        form = r.choice([f'<form action="/s"><p>{say(3, 8)}</p><input name="q"><button>{word()}</button></form>', "", "", f'<div class="newsletter"><form>{say(3, 8)}<input></form></div>'])
-        talk = r.choice(["", "", f'<div class="comments"><h3>{say(1, 3)}</h3>' + "".join(f'<div class="comment"><p>{say(5, 24)} {say(3, 9)}</p></div>' for _ in range(3)) + "</div>", f'<section id="comments"><ul class="commentlist"><li>{say(5, 24)}</li><li>{say(5, 24)}</li></ul></section>'])
-        foot = r.choice([f"<footer>{say(3, 9)}</footer>", f"<footer><p>{say(4, 12)}</p><ul>{links(3)}</ul></footer>", f'<div class="footer"><p>&copy; {say(4, 10)}</p></div>', f'<div id="footer">{say(3, 10)}</div>', ""])
-        open_, close = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post-body">', "</div></div>"), ('<div class="entry">', "</div>"), ('<article class="post">', "</article>")])
-        inside = r.random() < 0.4
-        main = open_ + body + (talk + form if inside else "") + close
-        out.append((f"<html><body>{notice}{top}{main if r.random() < 0.6 else side + main}{'' if inside else form + talk}{side if r.random() < 0.5 else ''}{foot}</body></html>", frozenset(good)))
+        if loose:
+            keep(" ".join(t for t, _ in loose))
+            body += f"<div{name('', 'text', 'body')}>" + "<br><br>".join(x for _, x in loose) + "</div>"
+        site = word()
+        top = r.choice([f"<nav><ul>{links(6)}</ul></nav>", f"<nav>{link()} {link()} {link()}</nav>", f"<div{name('menu', 'topnav', 'navbar', '')}><ul>{links(5)}</ul></div>", f'<header><a href="/">{site}</a><p>{say(2, 5)}</p><nav><ul>{links(5)}</ul></nav></header>', f'<div id="header"><h2>{site}</h2><ul class="nav">{links(4)}</ul></div>', f'<div class="breadcrumb"><a href="/">{site}</a> / {site}</div>', f"<p>{link()} | {link()} | {link()}</p>", f"<div>{link()} {link()} {link()} {link()}</div>", f"<ul>{links(5)}</ul>", f"<div{name('masthead', 'site-header', 'top')}>{site} {word()}</div>", ""])
+        notice = r.choice([f'<div class="cookie-notice"><p>{say(8, 18)}</p></div>', f'<div class="notice">{say(4, 12)}</div>', "", "", "", f'<div class="ad">{say(4, 14)} {say(3, 9)}</div>', f'<div class="ad"><p>{say(4, 14)}</p></div>', f'<div id="banner" class="advert">{say(4, 14)}</div>', f'<dialog>{say(4, 12)}<button>{site}</button></dialog>'])
+        side = r.choice([f"<aside><h3>{say(1, 3)}</h3><p>{say(5, 16)}</p><ul>{links(4)}</ul></aside>", f'<div class="sidebar"><h3>{say(1, 3)}</h3><p>{say(6, 20)}</p></div>', "", f'<div class="widget related"><ul>{links(5)}</ul></div>', f"<div><h4>{word()}</h4><ul>{links(4)}</ul></div>", f"<section{name('related', 'trending', 'recommended')}><h2>{say(1, 3)}</h2><ul>{links(4)}</ul></section>"])
+        form = r.choice([f'<form action="/s"><p>{say(3, 8)}</p><input name="q"><button>{word()}</button></form>', "", "", f'<div class="newsletter"><form>{say(3, 8)}<input></form></div>', f"<form><label>{word()}</label><input><select><option>{word()}<option>{word()}</select></form>"])
+        talk = r.choice(["", "", f'<div class="comments"><h3>{say(1, 3)}</h3>' + "".join(f'<div class="comment"><p>{say(5, 24)} {say(3, 9)}</p></div>' for _ in range(3)) + "</div>", f'<section id="comments"><ul class="commentlist"><li>{say(5, 24)}</li><li>{say(5, 24)}</li></ul></section>', f'<div id="disqus">{say(3, 9)}<article class="comment"><p>{say(5, 24)}</p></article></div>'])
+        foot = r.choice([f"<footer>{say(3, 9)}</footer>", f"<footer><p>{say(4, 12)}</p><ul>{links(3)}</ul></footer>", f'<div class="footer"><p>&copy; {say(4, 10)}</p></div>', f'<div id="footer">{say(3, 10)}</div>', "", f"<p>&copy; 20{r.randint(10, 30)} {site}</p>", f"<div>Copyright {site}. All rights reserved.</div>", f"<div>{link()} {link()} {link()}</div>"])
+        open_, close = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), (f"<div{name('content', 'main', 'story', 'entry')}>", "</div>"), ('<div id="main"><div class="post-body">', "</div></div>"), (f"<div{name('post-body', 'entry-content', 'article-body', 'post', 'page')}>", "</div>"), ('<article class="post">', "</article>"), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<section>", "</section>"), ("", "")])
+        inside = r.random() < 0.3
+        main = open_ + body + (talk + form if inside and open_ else "") + close
+        inside = inside and bool(open_)
+        rest = "" if inside else form + talk
+        if r.random() < 0.14:  # a table for layout
+            cells = [f"<td{name('', '', 'left', 'nav')}>{r.choice([top, link(), link() + '<br>' + link(), f'<ul>{links(4)}</ul>'])}</td>", f"<td{name('', '', 'content')}>{main}</td>"]
+            bar = f"<td>{side}</td>" if side and r.random() < 0.4 else ""
+            page = f"{notice}<table><tr>{cells[0]}{cells[1]}{bar}</tr></table>{rest}{foot}"
+        else:
+            before = r.random() < 0.4
+            page = f"{notice}{top}{side + main if before else main + rest}{rest if before else side}{foot}"
+        if r.random() < 0.14:  # nothing around it
+            page = main if not inside else open_ + body + close
+        if r.random() < 0.3:
+            page = f"<div{name('', '', 'wrapper', 'container', 'page')}>{page}</div>"
+        if r.random() < 0.07:  # a paragraph's bare text in a cell
+            t = keep(" ".join(say(6, 20) for _ in range(3)))
+            good = {t}
+            page = f"<table><tr><td>{link()}</td><td>{t}</td></tr></table>{foot}"
+        elif r.random() < 0.05:  # one paragraph and nothing else
+            good = {t := say(5, 30)}
+            page = r.choice([f"<p>{t}</p>", f"<div>{t}</div>", f"<article><p>{t}</p></article>"])
+        out.append((f"<html><body>{page}</body></html>", frozenset(good)))
     return out
 
 
