@@ -221,6 +221,34 @@ def test_components(docs, odd, monkeypatch, seed, block):
     assert rows_of(J.shingle_components(table), "doc_id", "n_shingles", "component_id") == want
 
 
+@pytest.mark.parametrize("seed,asked,most", [(5, 1, 29), (6, 2, 29), (7, 1, 15)])
+def test_components_with_common_shingles(docs, monkeypatch, seed, asked, most):
+    """Passages that most documents share come last in the order, and a bitmap that is full only filters less."""
+    monkeypatch.setattr(J, "ASKED", asked)
+    monkeypatch.setattr(J, "COMMON", 5)
+    monkeypatch.setattr(J, "MOST_BITS", most)
+    monkeypatch.setattr(J, "LEAST_BITS", 15)
+    r = random.Random(seed)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = near_copies(seed) + [(1000 + i, " ".join(f"o{i}x{k}" for k in range(r.choice([10, 40, 150]))) + " " + passage, "s") for i in range(60)] + [(2000 + i, passage + f" tail{i % 7}", "s") for i in range(30)]
+    table = docs(*rows)
+    want = brute_components([(x["doc_id"], x["text"]) for x in table.collect()])
+    assert rows_of(J.shingle_components(table), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_common_passages_make_no_families(docs, monkeypatch):
+    """Documents that share nothing but a passage of a third of their words do not meet."""
+    monkeypatch.setattr(J, "ASKED", 1)
+    passage = " ".join(f"p{k}" for k in range(60))
+    table = docs(*[(i, " ".join(f"o{i}x{k}" for k in range(120)) + " " + passage, "s") for i in range(100)])
+    seen = []
+    real = J.cut
+    monkeypatch.setattr(J, "cut", lambda df: seen.append((df.columns, real(df))) or seen[-1][1])
+    monkeypatch.setattr(J, "drop", lambda *t: None)
+    assert {x["component_id"] for x in J.shingle_components(table).collect()} == set(range(100))
+    assert next(t for c, t in seen if "items" in c).count() == 0
+
+
 def test_components_empty(odd):
     assert J.shingle_components(odd.limit(0)).count() == 0
 
