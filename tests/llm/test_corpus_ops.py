@@ -23,7 +23,7 @@ def rows_of(df, *cols):
 def in_sql(sql, **tables):
     c = duckdb.connect()
     for name, df in tables.items():
-        c.register("t", df.toPandas())
+        c.register("t", df.toArrow())
         c.execute(f"CREATE TABLE {name} AS SELECT * FROM t")
         c.unregister("t")
     cur = c.execute(sql)
@@ -382,6 +382,82 @@ def test_pipeline(spark, tmp_path, docs):
     assert rows_of(seen[4], "doc_id", "n_tokens") == rows_of(C.run(spark, str(tmp_path)), "doc_id", "n_tokens") and P
 
 
+def test_pipeline_against_plain_versions(spark, tmp_path, docs, odd):
+    """Every stage on what its predecessor kept: nulls, repeated ids and rows, copies, a long text, clashing columns."""
+    C = pytest.importorskip("corpus_pipeline")
+    import base64
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from glossmeter.llm import quality_rules as Q
+
+    from .test_text_ops import brute_stats
+
+    r = random.Random(23)
+    say = lambda n: " ".join("".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 6))) for _ in range(n)) + "."
+    passage = [say(30), say(30)]
+    texts = ["\n".join([say(r.randint(20, 60)) for _ in range(4)] + (passage if i % 4 == 0 else [])) for i in range(50)]
+    rows = [(i, t, r.choice(["s0", "s1", None])) for i, t in enumerate(texts)]
+    rows += [(100 + i, texts[i].replace("a", "A", 1), "s1") for i in range(5)] + [(7, say(90), "s0"), (7, texts[7], rows[7][2]), (None, say(80), None), (None, texts[9], "s1")] + [(300 + i, say(70).replace(" ", " $$ # "), "s0") for i in range(40)]
+    docs(*rows).unionByName(odd).withColumn("kept", F.lit("x")).withColumn("row", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, 0) for i in range(40)] + [(300 + i, 0, 0) for i in range(40)] + [(None, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    step, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in C.STAGES:
+        seen.append((step, C.cut(stage(spark, step, str(tmp_path)))))
+        step = seen[-1][1]
+    cols = ("doc_id", "text", "lang", "source")
+    key = lambda df: collections.Counter(tuple(x[c] for c in cols) for x in df.collect())
+
+    rules = Q.fit(seen[0][0], spark.read.parquet(str(tmp_path / "labels.parquet")))
+    names = dict(zip(Q.STATS[:5], range(5)))
+
+    def passes(t):
+        s = brute_stats(t)
+        n, rep = s[names["n_words"]], s[names["n_repeat_words"]]
+        w, lines = (t or "").encode().split(), [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        value = {"n_words": n, "word_chars": s[1], "n_symbols": s[2], "n_dup_lines": s[3], "n_repeat_words": rep, "n_lines": len(lines), "n_upper": sum("A" <= c <= "Z" for c in t or ""), "n_digits": sum("0" <= c <= "9" for c in t or ""), "n_distinct_words": len(set(w))}
+        ratio = lambda f: value[Q.FEATURES[f][0]] / max(1, value[Q.FEATURES[f][1]])
+        return not (n < 50 or 100 * rep > 50 * n or any(all(ratio(f) >= c if op == ">=" else ratio(f) < c for f, op, c in rule) for rule in rules))
+
+    first = key(seen[0][0])
+    assert rules and key(seen[0][1]) == collections.Counter({k: n for k, n in first.items() if passes(k[1])}) and not any(k[0] in range(300, 340) for k in key(seen[0][1]))
+
+    lines = collections.Counter((x["doc_id"], x["text"]) for x in in_sql(D.oracle(), documents=seen[1][0]))
+    assert rows_of(seen[1][1], "doc_id", "text") == lines and all(x["n_chars"] == len(x["text"]) for x in seen[1][1].collect())
+
+    numbered = [(i, x["doc_id"], x["text"]) for i, x in enumerate(seen[2][0].collect())]
+    component = {i: c for (i, _, c), _ in brute_components([(i, t) for i, _, t in numbered]).items()}
+    groups = collections.defaultdict(list)
+    for i, d, t in numbered:
+        groups[component[i] if d is not None and (t or "").split() else ("own", i)].append((d, t))
+    got = rows_of(seen[2][1], "doc_id", "text")
+    assert sum(got.values()) == len(groups) and all(sum(got[x] for x in set(g)) >= 1 and min(d for d, _ in g if d is not None) in {d for d, t in got if (d, t) in g} for g in groups.values() if g[0][0] is not None)
+
+    taken = collections.Counter()
+    for x in in_sql(M.ORACLE, documents=seen[3][0]):
+        taken[x["doc_id"], x["size"], int(x["taken"] / max(1, x["size"]) + 0.5)] += 1
+    want = collections.Counter()
+    for (d, size, times), n in taken.items():
+        want[d, size] += n * times
+    assert collections.Counter((x["doc_id"], len((x["text"] or "").encode().split())) for x in seen[3][1].collect()) == +want
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = collections.Counter((x["doc_id"], len(i := enc.encode_ordinary(x["text"] or "")), sha(np.array(i, "<u4").tobytes()), sha((x["text"] or "").encode())) for x in seen[4][0].collect())
+    assert rows_of(seen[4][1], "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_pipeline_of_nothing(spark, tmp_path, docs):
+    C = pytest.importorskip("corpus_pipeline")
+    docs((1, "a", "s")).limit(0).drop("size", "key").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_near_duplicates_by_row(spark, docs):
     C = pytest.importorskip("corpus_pipeline")
     r = random.Random(5)
