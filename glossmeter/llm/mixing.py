@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, read
 
-#: Rows of a range, about; weights of the sources in their order; share of all sizes; most epochs.
-ROWS, WEIGHTS, SHARE, EPOCHS, SEED = 1 << 18, (3, 1, 2), 1.5, 2, "mix-1"
+#: Rows of a range, about, up to so many ranges (then ranges hold more rows, narrow ones, which sort with spilling); weights of the
+#: sources in their order; share of all sizes; most epochs.
+ROWS, MOST_RANGES, WEIGHTS, SHARE, EPOCHS, SEED = 4096, 8192, (3, 1, 2), 1.5, 2, "mix-1"
 WORD, SYMBOLS = r"[^\x20\x09-\x0D]+", "#*$%&|<>"
 
 
@@ -66,16 +67,17 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: st
     size = size_of(text_col)
     slim = docs.select(*[docs[k].alias(f"k_{k}") for k in keep], docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"), (quality_weight(text_col, size) if weight is None else weight).alias("weight"))
     slim = slim.withColumn("key", -F.log(uniform("id")) / F.greatest(F.col("weight"), F.lit(1e-9))).withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    slim = cut(slim)
+    every = cut(slim.withColumn("row", F.monotonically_increasing_id()))
+    slim = every.drop(*[f"k_{k}" for k in keep])
 
     per = slim.groupBy("s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goals = targets(per.select("source", "source_size"), weights, share, most).withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     sources = cut(goals)
 
     # ranges of the order; the number of a row tells apart those that the order takes for equal, so no range has to hold a hot value
-    ranges = max(1, math.ceil(slim.count() / ROWS))
+    ranges = max(1, min(MOST_RANGES, math.ceil(slim.count() / ROWS)))
     order = ("key", "id", "size", "row")
-    dealt = slim.drop("source").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(ranges, "s", *order)
+    dealt = slim.drop("source").repartitionByRange(ranges, "s", *order)
     rows = cut(dealt.withColumn("b", F.spark_partition_id()))
     sums = rows.groupBy("s", "b").agg(F.sum("size").alias("t"))
     offsets = sums.withColumn("offset", F.coalesce(F.sum("t").over(W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("t")
@@ -85,7 +87,12 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: st
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target") - epochs * F.col("source_size"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("own")))
-    out = {"size": F.col("size"), "source": F.col("source"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long"), "key": F.col("key")}
+    out = {"size": F.col("size"), "source": F.col("source"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("taken"), "key": F.col("key")}
+    rows = rows.withColumn("taken", taken.cast("long"))
+    if set(keep) <= {id_col, source_col}:
+        rows = rows.withColumns({f"k_{k}": F.col("id" if k == id_col else "source") for k in keep})
+    else:  # what is wide moves once
+        rows = rows.join(every.select("row", *[f"k_{k}" for k in keep]), "row")
     return rows.select(*[F.col(f"k_{k}").alias(k) for k in keep], *[c.alias(k) for k, c in out.items() if k not in keep])
 
 
