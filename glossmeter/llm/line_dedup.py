@@ -114,7 +114,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = slim.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
     twice = cut(slim.join(common, "h"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "tie", "first", "last", "key")
-    before = twice.groupBy("h").agg(F.min(order).alias("o")).select("h", F.col("o.key").alias("okey"), F.col("o.first").alias("ofirst"), F.col("o.last").alias("olast"))
+    before = cut(twice.groupBy("h").agg(F.min(order).alias("o")).select("h", F.col("o.key").alias("okey"), F.col("o.first").alias("ofirst"), F.col("o.last").alias("olast")))
     # one join of hashes with first occurrences, which adaptive execution may split; no group of equal chunks is gathered
     later = twice.join(before, "h").where((F.col("key") != F.col("okey")) | (F.col("first") > F.col("olast")))
 
