@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -36,9 +37,11 @@ class TreeBPE:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.seams: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}  # what was known until known was full
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.leaves: dict[bytes, list[int]] = {}
         self.seam_split = regex.compile(r"(?<=\S)(?= \S)").split
+        self.two_blanks = re.compile(r"\s\s").search
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> TreeBPE:
@@ -105,7 +108,10 @@ class TreeBPE:
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of both spans' bytes together."""
-        if not left or not right or self.stable(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        quiet = self.seams.get((left[-1], right[0]))
+        if quiet or quiet is None and self.stable(left[-1], right[0]):
             return left + right
         i, j, grow = len(left) - 1, 1, 2  # the window is left[i:] and right[:j]
         while True:
@@ -117,17 +123,20 @@ class TreeBPE:
 
     def piece(self, b: bytes) -> list[int]:
         if len(b) <= LEAF_BYTES:
-            return self.leaf(b)
+            return self.leaves.get(b) or self.leaf(b)
         x, y = b[: len(b) // 2], b[len(b) // 2 :]
         left = self.piece(x)
         return self.join(left, left if x == y else self.piece(y))
 
     # -- whole texts ---------------------------------------------------------------------------
 
-    def whole(self, p: str) -> tuple[bytes, bytes]:
+    def coded(self, p: str) -> tuple[bytes, bytes]:
         """A match of the pattern: its ids and their bytes decoded."""
         ids = self.piece(p.encode())
-        got = array("I", ids).tobytes(), b"".join([self.bytes_of[i] for i in ids])
+        return array("I", ids).tobytes(), b"".join([self.bytes_of[i] for i in ids])
+
+    def whole(self, p: str) -> tuple[bytes, bytes]:
+        got = self.coded(p)
         if len(p) < 100:
             if len(self.pieces) > REMEMBERED:
                 self.pieces.clear()
@@ -136,24 +145,31 @@ class TreeBPE:
 
     def chunk(self, text: str) -> tuple[bytes, bytes]:
         """A span that begins and ends at matches of the pattern: ids as little-endian 32-bit integers, and their bytes decoded."""
-        got = self.known.get(text)
+        got = self.known.get(text) or self.before.get(text)
         if got is None:
-            pairs = [self.pieces.get(p) or self.whole(p) for p in self.find(text)]
-            got = b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
-            if len(text) < 100:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.known[text] = got
+            matches = self.find(text)
+            if len(matches) == 1:
+                got = self.coded(text)
+            else:
+                pairs = [self.pieces.get(p) or self.whole(p) for p in matches]
+                got = b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
+        if len(text) < 100:
+            if len(self.known) > REMEMBERED:
+                self.known, self.before = {}, self.known
+            self.known[text] = got
         return got
 
     def spans(self, text: str) -> list[str]:
         """Cut before each blank that stands alone between other characters: a match of the pattern begins there in any text."""
-        return self.seam_split(text)
+        if self.two_blanks(text) or text[:1] == " " or text[-1:] == " ":
+            return self.seam_split(text)
+        first, *rest = text.split(" ")  # every blank is such a one
+        return [first, *[" " + x for x in rest]]
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """(ids, decoded bytes) of a text; spans meet where matches meet, so each level of the tree concatenates."""
-        spans, known = self.spans(text), self.known
-        pairs = [known.get(s) or self.chunk(s) for s in spans]
+        known = self.known.get
+        pairs = [known(s) or self.chunk(s) for s in self.spans(text)]
         return b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
 
 
