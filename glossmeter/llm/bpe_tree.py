@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .merging import NONE, merge_long
 
-#: Spans of at most so many bytes are leaves; bytes from which a window is merged in arrays; entries that a worker remembers in each of its memories.
-LEAF_BYTES, LONG, REMEMBERED = 6, 256, 250_000
+#: Spans of at most so many bytes are leaves; bytes from which a window is merged in arrays; entries that a worker remembers:
+#: of spans in each of two generations, of each kind of their parts.
+LEAF_BYTES, LONG, REMEMBERED, PARTS = 6, 256, 200_000, 250_000
 
 
 class TreeBPE:
@@ -56,7 +57,7 @@ class TreeBPE:
         if got is None:
             got = self.merged(piece)
             if len(piece) <= 2 * LEAF_BYTES:
-                if len(self.leaves) > REMEMBERED:
+                if len(self.leaves) > PARTS:
                     self.leaves.clear()
                 self.leaves[piece] = got
         return got
@@ -101,7 +102,7 @@ class TreeBPE:
         """Whether the bytes of a and b together encode as a, b: no merge crosses this seam."""
         k = (a, b)
         if k not in self.seams:
-            if len(self.seams) > REMEMBERED:
+            if len(self.seams) > PARTS:
                 self.seams.clear()
             self.seams[k] = self.leaf(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return self.seams[k]
@@ -128,6 +129,11 @@ class TreeBPE:
         left = self.piece(x)
         return self.join(left, left if x == y else self.piece(y))
 
+    def forget(self) -> None:
+        """Give the memories back: a worker lives on after a task, and the next stage needs its space."""
+        for memory in (self.known, self.before, self.pieces, self.leaves, self.seams):
+            memory.clear()
+
     # -- whole texts ---------------------------------------------------------------------------
 
     def coded(self, p: str) -> tuple[bytes, bytes]:
@@ -138,7 +144,7 @@ class TreeBPE:
     def whole(self, p: str) -> tuple[bytes, bytes]:
         got = self.coded(p)
         if len(p) < 100:
-            if len(self.pieces) > REMEMBERED:
+            if len(self.pieces) > PARTS:
                 self.pieces.clear()
             self.pieces[p] = got
         return got
@@ -200,6 +206,7 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str | None = None, pattern: s
                 if with_ids:
                     cols.append(pa.array([memoryview(x[3]).cast("I").tolist() for x in done], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        codec.forget()
 
     slim = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias(text_col))
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
