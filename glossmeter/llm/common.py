@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; bounds a Python worker's memory however long the Arrow batch is.
