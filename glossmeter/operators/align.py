@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scan import carry
 
 MISFIT = "a and b need to cover the same total span with tokens that have a length and do not overlap"
 
@@ -33,6 +35,36 @@ def align(items: DataFrame, strict: bool = False) -> DataFrame:
     return rows.withColumn("fits", F.coalesce(same, F.lit(False)) & ~F.bool_or("odd").over(sent)).where(_wanted("fits", strict)).drop("fits", "shared", "odd")
 
 
+def align_ranged(items: DataFrame, span: int, strict: bool = False) -> DataFrame:
+    """align() for sentences that are more than a task should hold: they are dealt by ranges of `span` characters.
+
+    The last ends of tokens say all: they are dealt by range, each range keeps running minima from its last end to its first, and takes over
+    what the ranges behind it have (the next shared end, where the tokens of each side begin) from one row a range.  Tokens then look up their end.
+    So a sentence uses as many tasks as it has ranges, and only a row a range ever comes together.
+    """
+    rows = items.where("is_min")
+    range_ = ["sent_id", "range"]
+    on = lambda f, c, s: f(F.when(F.col("side") == s, F.col(c)))
+    slim = rows.select("sent_id", "side", "start", "end", F.floor(F.col("end") / span).alias("range")).repartition(*range_)
+    ends = slim.groupBy(*range_, "end").agg(on(F.min, "start", "a").alias("a"), on(F.min, "start", "b").alias("b"), on(F.count, "start", "a").alias("n_a"), on(F.count, "start", "b").alias("n_b"), F.bool_or(F.col("end") <= F.col("start")).alias("flat"))
+    ends = ends.withColumn("shared", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("end")))
+    ours = lambda s: F.max(F.when(F.col(f"n_{s}") > 0, F.col("end")))
+    per = ends.groupBy(*range_).agg(F.min("shared").alias("shared"), F.min("a").alias("a"), F.min("b").alias("b"), ours("a").alias("a_end"), ours("b").alias("b_end"), F.bool_or("flat").alias("flat"))
+    behind = carry(per, "sent_id", "range", {"shared": F.min, "a": F.min, "b": F.min}, down=True)
+    down = W.partitionBy(*range_).orderBy(F.desc("end"))
+    upto = lambda c, first: F.least(F.min(c).over(down.rowsBetween(W.unboundedPreceding, first)), F.col(f"{c}_carried"))
+    ends = ends.join(behind.select(*range_, *[f"{c}_carried" for c in ("shared", "a", "b")]), range_)
+    early = lambda s: (F.col(f"n_{s}") > 0) & F.coalesce(upto(s, -1) < F.col("end"), F.lit(False))
+    ends = ends.select(*range_, "end", upto("shared", 0).alias("group"), (F.col("flat") | (F.col("n_a") > 1) | (F.col("n_b") > 1) | early("a") | early("b")).alias("odd"))
+    odd = ends.groupBy(*range_).agg(F.bool_or("odd").alias("odd"))
+    sent = W.partitionBy("sent_id")
+    over = lambda f, c: f(c).over(sent)
+    same = (over(F.min, "a") == over(F.min, "b")) & (over(F.max, "a_end") == over(F.max, "b_end"))
+    fits = per.join(odd, range_).select(*range_, (F.coalesce(same, F.lit(False)) & ~over(F.bool_or, "odd")).alias("fits"))
+    found = ends.join(fits, range_).select("sent_id", "end", "group", "fits")
+    return rows.join(found, ["sent_id", "end"]).where(_wanted("fits", strict)).select(*rows.columns, "group")
+
+
 def _wanted(fits: str, strict: bool) -> Column:
     return F.when(~F.col(fits), F.raise_error(F.lit(MISFIT))).otherwise(True) if strict else F.col(fits)
 
@@ -81,37 +113,87 @@ def align_folded(items: DataFrame, strict: bool = False) -> DataFrame:
     return rows.groupBy("sent_id").applyInPandas(groups, T.StructType([*rows.schema.fields, T.StructField("group", T.IntegerType())]))
 
 
-def align_groups(items: DataFrame, strict: bool = False, folded: bool = False) -> DataFrame:
+def aligned_tokens(items: DataFrame, strict: bool = False, folded: bool = False, span: int | None = None) -> DataFrame:
+    """align(); folded: tokens may overlap; span: sentences are dealt by ranges of so many characters."""
+    if folded and span:
+        raise ValueError("a sentence of tokens that overlap is folded whole: folded and span exclude each other")
+    return align_ranged(items, span, strict) if span else (align_folded if folded else align)(items, strict)
+
+
+def align_groups(items: DataFrame, strict: bool = False, folded: bool = False, span: int | None = None) -> DataFrame:
     """sent_id, group, a, b: arrays of (start, end, item, pos, lemma) in order of start."""
-    aligned = (align_folded if folded else align)(items, strict)
+    aligned = aligned_tokens(items, strict, folded, span)
     of = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("start", "end", "item", "pos", "lemma"))))
     return aligned.groupBy("sent_id", "group").agg(of("a").alias("a"), of("b").alias("b"))
 
 
+class _Masks:
+    """For each value of a list an integer with a bit for every place that holds it; kept only for values in many places, so that memory goes by the list's length."""
+
+    def __init__(self, values: Sequence, many: int = 64):
+        self.places: dict = {}
+        for j, y in enumerate(values):
+            self.places.setdefault(y, []).append(j)
+        self.kept: dict = {}
+        self.many = many
+
+    def __getitem__(self, x) -> int:
+        got = self.kept.get(x)
+        if got is None:
+            got = 0
+            for j in self.places.get(x, ()):
+                got |= 1 << j
+            if len(self.places.get(x, ())) > self.many:
+                self.kept[x] = got
+        return got
+
+
 def edit_path(a: Sequence, b: Sequence) -> list[tuple]:
     """Pairs (x or None, y or None) of a cheapest way from a to b.
 
     Equal elements pair at no cost. Otherwise a step costs one; of equally cheap ones dropping from a comes first, then
     adding from b, then replacing.
+
+    A row of the cost table is held as bits: where its cost rises or falls from one place of b to the next, and from the row above.  Every
+    square root of len(a) rows one is kept; the way back is read between two of them, whose rows are made again.  Memory goes by
+    len(b) * sqrt(len(a)) / 2 bits, and a row costs a dozen operations on integers of len(b) bits.
     """
-    cost = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row, up = [i], cost[-1]
-        for j, y in enumerate(b, 1):
-            row.append(up[j - 1] if x == y else 1 + min(up[j], row[j - 1], up[j - 1]))
-        cost.append(row)
-    out, i, j = [], len(a), len(b)
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
-            step = (1, 1)
-        elif not j:
-            step = (1, 0)
-        elif not i:
-            step = (0, 1)
-        else:
-            step = min(((1, 0), (0, 1), (1, 1)), key=lambda s: cost[i - s[0]][j - s[1]])
-        out.append((a[i - 1] if step[0] else None, b[j - 1] if step[1] else None))
-        i, j = i - step[0], j - step[1]
+    full, masks, every = (1 << len(b)) - 1, _Masks(b), math.isqrt(max(0, len(a) - 1)) + 1
+
+    def rows(begin: int, end: int, rise: int, fall: int) -> Iterator[tuple[int, int, int]]:
+        """(rise, fall: of the cost along the row; higher: where it is above the row before) for rows begin + 1 to end."""
+        for i in range(begin, end):
+            eq = masks[a[i]]
+            free = (((eq & rise) + rise) ^ rise) | eq | fall  # places that cost as much as the one up and left of them
+            higher = fall | (full & ~(free | rise))
+            lower = ((free & rise) << 1) & full
+            shifted = ((higher << 1) | 1) & full
+            rise, fall = lower | (full & ~(free | shifted)), free & shifted
+            yield rise, fall, higher
+
+    kept, state = [], (full, 0)
+    for begin in range(0, len(a), every):
+        kept.append((begin, *state))
+        for *state, _ in rows(begin, min(begin + every, len(a)), *state):  # noqa: B020
+            pass
+    out, j = [], len(b)
+    while kept:
+        begin, rise, fall = kept.pop()
+        own = list(rows(begin, min(begin + every, len(a)), rise, fall))
+        i = len(own)
+        while i and j:
+            x, y, (along, _, above) = a[begin + i - 1], b[j - 1], own[i - 1]
+            if x == y or not (above | along) >> (j - 1) & 1:
+                out.append((x, y))
+                i, j = i - 1, j - 1
+            elif above >> (j - 1) & 1:
+                out.append((x, None))
+                i -= 1
+            else:
+                out.append((None, y))
+                j -= 1
+        out += [(a[begin + k], None) for k in range(i - 1, -1, -1)]
+    out += [(None, b[k]) for k in range(j - 1, -1, -1)]
     return out[::-1]
 
 
@@ -145,14 +227,14 @@ def edit_pairs(aligned: DataFrame, label: str, one_to_one: bool) -> DataFrame:
     return g.where("match").select("sent_id", F.explode(easy).alias("x")).select("sent_id", "x.a", "x.b").unionByName(hard)
 
 
-def label_pairs(items: DataFrame, label: str, skip_unaligned: bool = True, one_to_one: bool = True, strict: bool = False, folded: bool = False) -> DataFrame:
+def label_pairs(items: DataFrame, label: str, skip_unaligned: bool = True, one_to_one: bool = True, strict: bool = False, folded: bool = False, span: int | None = None) -> DataFrame:
     """sent_id, a, b: labels of aligned tokens.
 
     one_to_one: groups of one token on each side pair (parts of speech); else groups of as many tokens pair by their first
     ones (lemmas).  skip_unaligned false: the others pair by the edit path of their labels, MISALIGNED where a side has none.
-    folded: tokens may overlap.
+    folded: tokens may overlap; span: sentences are dealt by ranges of so many characters.
     """
-    aligned = (align_folded if folded else align)(items.select("sent_id", "side", "ord", "start", "end", "is_min", label), strict)
+    aligned = aligned_tokens(items.select("sent_id", "side", "ord", "start", "end", "is_min", label), strict, folded, span)
     if not skip_unaligned:
         return edit_pairs(aligned, label, one_to_one)
     pairs = first_labels(aligned, [label]).where("n_a = 1 AND n_b = 1" if one_to_one else "n_a = n_b")

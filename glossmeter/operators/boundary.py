@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bits of a place that each level of the tree over places takes, the lowest first; together all of an int's.
+BITS = (5,) * 7
 COUNTS = ("n_match", "n_ad", "n_trans", "w_trans", "n_pot", "n_a", "n_b")
 
 
@@ -34,6 +38,33 @@ def boundary_positions(items: DataFrame) -> DataFrame:
     return m.select("sent_id", "side", F.explode(F.array_distinct(F.array_compact(F.array("gap_at", "at")))).alias("place"), (F.col("total") - 1).alias("n_pot")).where("place < n_pot")
 
 
+def _walked(cells: DataFrame, winlen: int, sums: dict[str, Callable]) -> DataFrame:
+    """sent_id, the sums over its cells, walk: n and far of the greedy walk over cells (sent_id, place, opp).
+
+    A walk enters a range of places at its first, or up to winlen + 1 places behind that, as a transposition before it may reach over the edge.
+    So a range is a function of that many values (array<struct<upto, n, far>>: the first place that may be taken next, transpositions taken, the sum of
+    their distances; null where nothing can be taken), and ranges side by side compose.  They are composed up a tree of fixed fan-out: a row has the
+    children of one range, and no list of a sentence's places is made.  Expressions are SQL texts, as thousands of column calls take seconds.
+    """
+    total = [f(c).alias(c) for c, f in sums.items()]
+    slots = lambda at, bits, value: F.expr("array(" + ", ".join(f"max(CASE WHEN {at} & {(1 << bits) - 1} = {j} THEN {value} END)" for j in range(1 << bits)) + ")").alias("slots")
+    state = lambda upto, n, far: f"named_struct('upto', {upto}, 'n', {n}, 'far', {far})"
+    take = f"CASE WHEN x.place >= s.upto THEN {state('x.place + x.far + 2', 's.n + 1', 's.far + x.far')} ELSE s END"
+    inner = "x.walk[CAST(greatest(s.upto - x.place, 0L) AS INT)]"
+    compose = state(f"{inner}.upto", f"s.n + {inner}.n", f"s.far + {inner}.far")
+    key, value, step, done = "CAST(place AS BIGINT)", "CAST(opp - place AS BIGINT)", take, 0
+    rows = cells
+    for k, bits in enumerate(BITS):
+        name = "walk" if k else "far"
+        named = f"filter(transform(slots, (v, j) -> named_struct('place', ((up << {bits}) + j) << {done}, '{name}', v)), x -> x.{name} IS NOT NULL)"
+        rows = rows.groupBy("sent_id", F.expr(f"{key} >> {bits}").alias("up")).agg(*total, slots(key, bits, value)).withColumn("slots", F.expr(named))
+        begin = f"(up << {bits + done})"
+        ways = ", ".join(f"aggregate(slots, {state(f'{begin} + {i}', '0L', '0L')}, (s, x) -> {step})" for i in range(winlen + 2))
+        rows = rows.withColumn("walk", F.expr(f"CASE WHEN size(slots) > 0 THEN array({ways}) END")).drop("slots").withColumnRenamed("up", "at")
+        key, value, step, done = "at", "walk", compose, done + bits
+    return rows.drop("at").withColumn("walk", F.get("walk", F.lit(0)))
+
+
 def boundary_counts(items: DataFrame, winlen: int = 1) -> DataFrame:
     """sent_id and COUNTS. Sentences where a side has no minimum token, or the lengths differ, have valid = false.
 
@@ -49,22 +80,12 @@ def boundary_counts(items: DataFrame, winlen: int = 1) -> DataFrame:
     ahead = W.partitionBy("sent_id").orderBy("place").rangeBetween(1, winlen)
     near = lambda mine, other: F.min(F.when(F.col(other) & ~F.col(mine), F.col("place"))).over(ahead)
     cells = cells.withColumn("opp", F.when(F.col("a") & ~F.col("b"), near("a", "b")).when(F.col("b") & ~F.col("a"), near("b", "a")))
-    odd = F.col("a") != F.col("b")
-    per = cells.groupBy("sent_id").agg(
-        F.max("ta").alias("ta"), F.max("tb").alias("tb"),
-        F.count(F.when(F.col("a") & F.col("b"), 1)).alias("n_match"), F.count(F.when(odd, 1)).alias("n_odd"), F.count(F.when(F.col("a"), 1)).alias("n_a"), F.count(F.when(F.col("b"), 1)).alias("n_b"),
-        F.array_sort(F.collect_list(F.when(F.col("opp").isNotNull(), F.struct("place", "opp")))).alias("hits"),
-    )
-    start = F.struct(F.lit(-1).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("w"))
-
-    def step(s, x):
-        hit = F.struct((x["opp"] + 2).cast("long").alias("upto"), (s["n"] + 1).alias("n"), (s["w"] + 1.0 - (x["opp"] - x["place"]) / F.lit(float(winlen + 1))).alias("w"))
-        return F.when(x["place"] >= s["upto"], hit).otherwise(s)
-
-    per = per.withColumn("t", F.aggregate("hits", start, step))
-    out = per.withColumn("valid", F.coalesce(F.col("ta") == F.col("tb"), F.lit(False)))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select("sent_id", "valid", zero("n_match").alias("n_match"), (zero("n_odd") - 2 * zero("t.n")).alias("n_ad"), zero("t.n").alias("n_trans"), F.coalesce("t.w", F.lit(0.0)).alias("w_trans"), (F.col("ta") - 1).cast("long").alias("n_pot"), zero("n_a").alias("n_a"), zero("n_b").alias("n_b"))
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    cells = cells.select("sent_id", "place", "opp", "ta", "tb", one(F.col("a") & F.col("b")).alias("n_match"), one(F.col("a") != F.col("b")).alias("n_odd"), one(F.col("a")).alias("n_a"), one(F.col("b")).alias("n_b"))
+    per = _walked(cells, winlen, {"ta": F.max, "tb": F.max, "n_match": F.sum, "n_odd": F.sum, "n_a": F.sum, "n_b": F.sum})
+    n, far = (F.coalesce(F.col(f"walk.{c}"), F.lit(0).cast("long")) for c in ("n", "far"))
+    valid = F.coalesce(F.col("ta") == F.col("tb"), F.lit(False))
+    return per.select("sent_id", valid.alias("valid"), "n_match", (F.col("n_odd") - 2 * n).alias("n_ad"), n.alias("n_trans"), (n - far / F.lit(float(winlen + 1))).alias("w_trans"), (F.col("ta") - 1).cast("long").alias("n_pot"), "n_a", "n_b")
 
 
 def boundary_kappa(counts: DataFrame, by: list[str] | None = None, strict: bool = False) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,8 +25,6 @@ CASES = {
     "spurious": ("spurious",) * 4,
     "missed": ("missed",) * 4,
 }
-BIN = 128
-
 
 def _fold(items: Column) -> Column:
     """Tags of an array<struct<start, back, ord, label>> in order; null for an item without a tag.
@@ -99,23 +102,112 @@ def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(s1, s2) < F.least(e1, e2)
 
 
+class _Sweep:
+    """First truths of one sentence's predictions. Entities come by start, truths before predictions.
+
+    A truth that a prediction meets begins before it or with it and is still open (open_, by list order), or begins while the prediction is open: the least of the
+    truths that came since, of which late holds only those that no later one precedes in the list.  What is closed is
+    dropped, so memory goes by the entities that are open at once, not by the sentence.
+    """
+
+    def __init__(self):
+        self.open_: list[tuple] = []  # heap of (ord, end, truth)
+        self.alive = 0
+        self.waiting: list[tuple] = []  # heap of (end, number, prediction, truth so far or None, number of truths before it)
+        self.late: list[tuple] = []  # (number, ord, truth), ascending in both
+        self.seen = self.number = 0
+        self.at, self.same = None, {}  # truths that begin here, by end
+
+    def _met(self, first: tuple | None, since: int) -> tuple | None:
+        k = bisect_left(self.late, since, key=lambda x: x[0])
+        other = self.late[k][2] if k < len(self.late) else None
+        return min((t for t in (first, other) if t), default=None, key=lambda t: t[0])
+
+    def to(self, start: int | None) -> Iterator[tuple]:
+        """(prediction, truth or None) of predictions that end up to start; None: of all."""
+        while self.waiting and (start is None or self.waiting[0][0] <= start):
+            _, _, p, first, since = heapq.heappop(self.waiting)
+            yield p, self._met(first, since)
+        if not self.waiting:
+            self.late.clear()
+        elif len(self.late) > 64 and len(self.late) > 4 * len(self.waiting):  # only what a waiting prediction may ask for
+            del self.late[: bisect_left(self.late, min(w[4] for w in self.waiting), key=lambda x: x[0])]
+
+    def truth(self, t: tuple) -> None:
+        """t: (ord, type, start, end)."""
+        order, _, start, end = t
+        if start != self.at:
+            self.at, self.same = start, {}
+        if end not in self.same or order < self.same[end][0]:
+            self.same[end] = t
+        if end <= start:
+            return
+        heapq.heappush(self.open_, (order, end, t))
+        if len(self.open_) > 2 * self.alive + 64:
+            self.open_ = [x for x in self.open_ if x[1] > start]
+            heapq.heapify(self.open_)
+            self.alive = len(self.open_)
+        if self.waiting:
+            while self.late and self.late[-1][1] >= order:
+                self.late.pop()
+            self.late.append((self.seen, order, t))
+        self.seen += 1
+
+    def prediction(self, start: int, end: int, p: tuple) -> None:
+        while self.open_ and self.open_[0][1] <= start:
+            heapq.heappop(self.open_)
+        found = [self.same[end]] if start == self.at and end in self.same else []
+        if end > start and self.open_:
+            found.append(self.open_[0][2])
+        self.number += 1
+        heapq.heappush(self.waiting, (end, self.number, p, min(found, default=None, key=lambda t: t[0]), self.seen))
+
+
+_SWEPT = "sent_id long, side string, e_type string, s long, e long, hit boolean, t struct<t_ord:long,t_type:string,ts:long,te:long>"
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sent_id, side, ord, e_type, s, e, hit), ordered by sent_id, s, side: each once, a prediction without a hit with the truth that it meets."""
+    names = [x.split()[0] for x in _SWEPT.split(", ")]
+    kind = pa.struct([("t_ord", pa.int64()), ("t_type", pa.string()), ("ts", pa.int64()), ("te", pa.int64())])
+    now, sweep = None, _Sweep()
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [()] * 7
+        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        met = pa.array([None if t is None else dict(zip(("t_ord", "t_type", "ts", "te"), t)) for t in cols[6]], kind)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), met], names=names)
+
+    for batch in batches:
+        out = []
+        for sent, side, order, kind_of, s, e, hit in zip(*(batch.column(c).to_pylist() for c in range(7))):
+            if sent != now:
+                out += [(*p, t) for p, t in sweep.to(None)]
+                now, sweep = sent, _Sweep()
+            row = (sent, side, kind_of, s, e, hit)
+            out += [(*p, t) for p, t in sweep.to(s)]
+            if side == "a":
+                sweep.truth((order, kind_of, s, e))
+            if side == "b" and not hit:
+                sweep.prediction(s, e, row)
+            else:
+                out.append((*row, None))
+        yield table(out)
+    yield table([(*p, t) for p, t in sweep.to(None)])
+
+
 def classify(entities: DataFrame, labels: DataFrame) -> DataFrame:
     """sent_id, case (of CASES), label (credited; null for spurious) for every prediction and every missed truth of the types in labels.
 
     The first truth in list order with the same bounds, or that overlaps, is met; the last token of an entity does not count
-    for overlap.  Predictions may meet the same truth.  Both sides stay in the same rows: they meet in bins of BIN tokens, so
-    the table is read once, dealt by sent_id once, and joined with nothing but the labels.
+    for overlap.  Predictions may meet the same truth.  Both sides stay in the same rows, dealt by sent_id and swept by start: a row an
+    entity moves, however long entities are.
     """
     kept = entities.join(labels.select(F.col("label").alias("e_type")).distinct(), "e_type", "left_semi")
     same = W.partitionBy("sent_id", "e_type", "s", "e")
     rows = kept.repartition("sent_id").withColumn("hit", F.min("side").over(same) != F.max("side").over(same))
-    bins = F.explode(F.sequence(F.floor(F.col("s") / BIN), F.floor(F.col("e") / BIN)))
-    truth = F.when(F.col("side") == "a", F.struct(F.col("ord").alias("t_ord"), F.col("e_type").alias("t_type"), F.col("s").alias("ts"), F.col("e").alias("te")))
-    cells = rows.select("sent_id", "side", "ord", "e_type", "s", "e", "hit", bins.alias("bin")).groupBy("sent_id", "bin").agg(F.collect_list(truth).alias("truths"), F.collect_list(F.struct("side", "ord", "e_type", "s", "e", "hit")).alias("x"))
-    meets = lambda x, t: ((x["s"] == t["ts"]) & (x["e"] == t["te"])) | overlap(x["s"], x["e"], t["ts"], t["te"])
-    first = lambda x: F.when((x["side"] == "b") & ~x["hit"], F.array_min(F.filter("truths", lambda t: meets(x, t))))
-    met = cells.select("sent_id", F.explode(F.transform("x", lambda x: x.withField("t", first(x)))).alias("x")).select("sent_id", "x.*")
-    rows = met.groupBy("sent_id", "side", "ord").agg(F.min("t").alias("t"), *[F.first(c).alias(c) for c in ("e_type", "s", "e", "hit")])
+    long = lambda c: F.col(c).cast("long").alias(c)
+    rows = rows.sortWithinPartitions("sent_id", "s", "side").select(long("sent_id"), "side", long("ord"), "e_type", long("s"), long("e"), "hit").mapInArrow(_swept, _SWEPT)
     own = (F.col("side") == "a") | F.col("hit")
     goal = {c: F.when(own, F.col(c)).otherwise(F.col(f"t.{t}")) for c, t in (("e_type", "t_type"), ("s", "ts"), ("e", "te"))}
     rows = rows.select("sent_id", "side", "hit", "t", "e_type", "s", "e", *[c.alias(f"goal_{k}") for k, c in goal.items()])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,23 +28,24 @@ def token_counts(items: DataFrame) -> DataFrame:
 
 
 def token_counts_any_order(items: DataFrame) -> DataFrame:
-    """The same for lists in any order: two cursors go over both lists as given, a sentence at a time."""
-
-    def merge(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("ord", kind="stable")
-        a, b = (p[p["side"] == s][["start", "end"]].to_numpy().tolist() for s in "ab")
-        i = j = correct = 0
-        while i < len(a) and j < len(b):
-            if a[i][0] == b[j][0]:
-                correct += a[i][1] == b[j][1]
-                i, j = i + 1, j + 1
-            elif a[i][0] < b[j][0]:
-                i += 1
-            else:
-                j += 1
-        return pd.DataFrame({"sent_id": [p["sent_id"].iloc[0]], "correct": [correct], "n_gold": [len(a)], "n_pred": [len(b)]})
-
-    return items.select("sent_id", "side", "ord", "start", "end").groupBy("sent_id").applyInPandas(merge, "sent_id long, correct long, n_gold long, n_pred long")
+    """The same for lists in any order: two cursors go over both lists as given; the one with the smaller start moves on, and both at equal starts.
+
+    A sentence's lists are two arrays of one row, and the cursors a fold's state.
+    """
+    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("ord", "start", "end")))).alias(s)
+    lists = items.select("sent_id", "side", "ord", "start", "end").groupBy("sent_id").agg(of("a"), of("b"))
+    state = lambda i, j, correct: F.struct(i.alias("i"), j.alias("j"), correct.alias("correct"))
+    zero = F.lit(0)
+
+    def step(c: Column, _: Column) -> Column:
+        x, y = F.get(F.col("a"), c["i"]), F.get(F.col("b"), c["j"])
+        both = state(c["i"] + 1, c["j"] + 1, c["correct"] + F.when(x["end"] == y["end"], 1).otherwise(0))
+        return F.when(x["start"] == y["start"], both).when(x["start"] < y["start"], state(c["i"] + 1, c["j"], c["correct"])).when(x["start"] > y["start"], state(c["i"], c["j"] + 1, c["correct"])).otherwise(c)
+
+    steps = F.sequence(F.lit(1), F.size("a") + F.size("b"))  # beyond the end of a list nothing changes
+    done = F.aggregate(steps, state(zero, zero, zero), step)["correct"]
+    long = lambda c, name: c.cast("long").alias(name)
+    return lists.select("sent_id", long(done, "correct"), long(F.size("a"), "n_gold"), long(F.size("b"), "n_pred"))
 
 
 def token_scores(counts: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ class Options:
     """average: of pos (None: one value a label); skip_unaligned: None leaves each task its own default (pos, lemma: true; ner: false).
 
     winlen: reach of boundary transpositions; folded: align tokens that overlap; strict: what makes a score undefined is an error.
+    span: alignment deals sentences to tasks by ranges of so many characters, for sentences beyond what a task should hold.
     """
 
     average: str | None = "micro"
@@ -26,6 +27,7 @@ class Options:
     strict: bool = False
     winlen: int = 1
     folded: bool = False
+    span: int | None = None
 
 
 class Metric:
@@ -70,7 +72,7 @@ class LabelMetric(Metric):
 def together(tasks: dict[str, LabelMetric], items: DataFrame, mode: str, options: Options, by: list[str]) -> list[tuple[str, DataFrame]]:
     """(task, scores) of tasks over aligned labels: one alignment, one confusion table and one pass over it for all of them."""
     names = sorted({m.label for m in tasks.values()})
-    aligned = (align.align_folded if options.folded else align.align)(items.select("sent_id", "side", "ord", "start", "end", "is_min", *names), options.strict)
+    aligned = align.aligned_tokens(items.select("sent_id", "side", "ord", "start", "end", "is_min", *names), options.strict, options.folded, options.span)
     if options.skip_unaligned is False:
         parts = [align.edit_pairs(aligned, m.label, m.one_to_one).select("sent_id", F.lit(t).alias("task"), "a", "b") for t, m in tasks.items()]
         pairs = parts[0]
@@ -199,11 +201,18 @@ def evaluate(spark: SparkSession, path: str, key: str):
     """Scores of a corpus file: key pos or lemma gives weighted and average P, R, F, accuracy, and for pos those of each label; key ner gives (overall, per label)."""
     if key not in ("pos", "lemma", "ner"):
         raise ValueError("key must be pos, lemma or ner")
-    items = corpus.itemize(corpus.load_json(spark, path))
+    items = corpus.itemize(corpus.load_json(spark, path)).persist()  # read once for all figures
+    try:
+        return _figures(items, key)
+    finally:
+        items.unpersist()
+
+
+def _figures(items: DataFrame, key: str):
     if key == "ner":
         got = Evaluator(["ner"]).evaluate(items)["ner"]
         return got["results"], got["results_per_label"]
-    table = labels.confusion(align.label_pairs(items, key, one_to_one=key == "pos")).cache()
+    table = labels.confusion(align.label_pairs(items, key, one_to_one=key == "pos"))
     out = {}
     for name, kind in (("weighted", "weighted"), ("average", "macro")):
         r = labels.averages(table, kind).first()
@@ -211,7 +220,6 @@ def evaluate(spark: SparkSession, path: str, key: str):
     out["accuracy"] = labels.accuracy(table).first()["accuracy"]
     if key == "pos":
         out["per_label"] = {r["label"]: {"f1": r["fscore"], "precision": r["precision"], "recall": r["recall"]} for r in labels.per_label(table).collect()}
-    table.unpersist()
     return out
 
 

@@ -12,10 +12,11 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_split import json_objects
+
 ITEM = T.StructType([
     T.StructField("item", T.StringType()), T.StructField("startOffSet", T.IntegerType()), T.StructField("endOffSet", T.IntegerType()),
     T.StructField("pos", T.StringType()), T.StructField("lemma", T.StringType()), T.StructField("isMinimumToken", T.BooleanType()),
@@ -29,13 +30,10 @@ COLUMNS = ("sent_id", "side", "ord", "item", "start", "end", "pos", "lemma", "is
 def load_json(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of JSON arrays (or of JSON lines), with the explicit schema; sent_id counts them from 0, files by name, then places in a file.
 
-    sent_id does not depend on how files were dealt to tasks, so two corpora pair by it.
+    sent_id does not depend on how files were dealt to tasks, so two corpora pair by it.  One large array is read by all tasks.
     """
-    rows = spark.read.schema(SENTENCE).option("multiLine", True).json(path)
-    rows = rows.withColumn("file", F.col("_metadata.file_path")).withColumn("n", F.monotonically_increasing_id())  # a file is read by one task
-    files = rows.groupBy("file").agg(F.min("n").alias("low"), F.count("*").alias("size"))
-    files = files.withColumn("before", F.coalesce(F.sum("size").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(files, "file").withColumn("sent_id", F.col("before") + F.col("n") - F.col("low")).select(*SENTENCE.names, "sent_id")
+    rows = json_objects(spark, path).withColumn("x", F.from_json("text", SENTENCE))
+    return rows.select(*[F.col(f"x.{c}").alias(c) for c in SENTENCE.names], F.col("n").alias("sent_id"))
 
 
 def pair(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -61,33 +59,59 @@ def save_json(sentences: DataFrame, path: str) -> None:
 def save_json_array(sentences: DataFrame, path: str) -> None:
     """One file at path with one JSON array, in order of sent_id, UTF-8, non-ASCII characters as they are.
 
-    One task writes it, as one file has to be; it sorts with spilling and keeps no sentence.
+    All tasks write: sentences are dealt by ranges of sent_id, each range a file in order, and the file system joins these.  Where it cannot
+    join files by itself, their bytes are copied one after the other, a buffer at a time.
     """
     spark = sentences.sparkSession
     rows = _plain(sentences)
     line = F.to_json(F.struct(*[c for c in rows.columns if c != "sent_id"]))
-    mark = spark.createDataFrame([(0, "["), (2, "]")], "part int, line string").select("part", F.lit(0).cast("long").alias("sent_id"), "line")
-    every = mark.unionByName(rows.select(F.lit(1).alias("part"), "sent_id", line.alias("line"))).repartition(1).sortWithinPartitions("part", "sent_id")
+    least = rows.agg(F.min("sent_id").alias("least"))
+    every = rows.select("sent_id", line.alias("line")).join(F.broadcast(least)).repartitionByRange("sent_id").sortWithinPartitions("sent_id")
 
     def commas(batches):
-        begun = False
+        first = True
         for batch in batches:
-            text, part = batch.column("line").to_pylist(), batch.column("part").to_pylist()
             out = []
-            for t, p in zip(text, part):
-                out.append("," + t if begun and p == 1 else t)
-                begun = p == 1
+            for n, least, text in zip(*(batch.column(c).to_pylist() for c in ("sent_id", "least", "line"))):
+                out.append(text if first and n == least else "," + text)
+                first = False
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["line"])
 
     parts = path.rstrip("/") + "._parts"
-    every.mapInArrow(commas, "line string").write.mode("overwrite").text(parts)
+    every.mapInArrow(commas, "line string").write.mode("overwrite").option("compression", "none").text(parts)
+    _join_files(spark, parts, path, b"[\n", b"]\n")
+
+
+def _join_files(spark: SparkSession, parts: str, path: str, head: bytes, tail: bytes) -> None:
+    """Make the part files in a folder, in order of their names, one file at path between head and tail; the folder goes."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path
-    fs = where(path).getFileSystem(conf)
-    [file] = [s.getPath() for s in fs.globStatus(where(parts + "/part-*"))]
-    fs.delete(where(path), True)
-    fs.rename(file, where(path))
-    fs.delete(where(parts), True)
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(conf)
+    files = sorted((s.getPath() for s in fs.globStatus(at(parts + "/part-*")) if s.getLen()), key=lambda p: p.getName())
+    first, last = at(parts + "/_head"), at(parts + "/_tail")
+    for where, what in ((first, head), (last, tail)):
+        out = fs.create(where, True)
+        out.write(bytearray(what))
+        out.close()
+    try:
+        rest = [*files, last]
+        array = spark.sparkContext._gateway.new_array(at, len(rest))
+        for i, p in enumerate(rest):
+            array[i] = p
+        fs.concat(first, array)
+        fs.delete(at(path), True)
+        fs.rename(first, at(path))
+    except Exception as e:  # noqa: BLE001
+        if "Unsupported" not in str(e) and "not supported" not in str(e).lower():
+            raise
+        fs.delete(at(path), True)
+        out = fs.create(at(path), True)
+        for p in (first, *files, last):
+            source = fs.open(p)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            source.close()
+        out.close()
+    fs.delete(at(parts), True)
 
 
 def itemize(sentences: DataFrame, strict: bool = False) -> DataFrame:

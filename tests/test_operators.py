@@ -307,7 +307,7 @@ for _s, _ner in (("gold", [{"ner": "LOC"}]), ("pred", "")):
 def test_file_end_to_end(spark, tmp_path):
     path = tmp_path / "eval.json"
     path.write_text(json.dumps(SNIPPET, ensure_ascii=False))
-    items = corpus.itemize(corpus.load_json(spark, str(path)), strict=True)
+    items = corpus.itemize(corpus.load_json(spark, str(path)), strict=True).cache()
     got = Evaluator(["token", "pos", "lemma", "ner"]).evaluate(items)
     assert got["token"] == {"precision": 1, "recall": 1, "fscore": 1} and got["pos"]["fscore"] == 1 and got["lemma"] == {"accuracy": 1}
     assert counts(got["ner"]["results"]["strict"]) == "0.0/0.0/0.0/1.0/0.0" and got["ner"]["results_per_label"]["LOC"]["exact"]["missed"] == 1 and set(got["ner"]["results_per_label"]) == {"O", "LOC"}
@@ -454,3 +454,224 @@ def test_lives_without_corpus_operators(tmp_path, also):
     assert int(n) >= int(m) >= 40 and others == "False", out.stderr
     seen = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120)
     assert seen.returncode == 0, seen.stdout
+
+
+def old_path(a, b):
+    """A cheapest way from a to b by the whole table."""
+    cost = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row, up = [i], cost[-1]
+        for j, y in enumerate(b, 1):
+            row.append(up[j - 1] if x == y else 1 + min(up[j], row[j - 1], up[j - 1]))
+        cost.append(row)
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            step = (1, 1)
+        elif not j:
+            step = (1, 0)
+        elif not i:
+            step = (0, 1)
+        else:
+            step = min(((1, 0), (0, 1), (1, 1)), key=lambda s: cost[i - s[0]][j - s[1]])
+        out.append((a[i - 1] if step[0] else None, b[j - 1] if step[1] else None))
+        i, j = i - step[0], j - step[1]
+    return out[::-1]
+
+
+def test_edit_path_is_the_whole_tables():
+    r = random.Random(1)
+    for _ in range(3000):
+        abc = [*"abcdefghi", None][: r.choice([1, 2, 3, 5, 10])]
+        a, b = ([r.choice(abc) for _ in range(r.randrange(25))] for _ in range(2))
+        assert align.edit_path(a, b) == old_path(a, b)
+
+
+def test_edit_path_memory():
+    """Lists of 30,000: some MB instead of a table of 900 million costs."""
+    import tracemalloc
+
+    r = random.Random(2)
+    for kinds in (40, 30_000):
+        a = [r.randrange(kinds) for _ in range(30_000)]
+        b = [r.randrange(kinds) if r.random() < 0.1 else x for x in a if r.random() < 0.9]
+        tracemalloc.start()
+        path = align.edit_path(a, b)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [x for x, _ in path if x is not None] == a and [y for _, y in path if y is not None] == b and peak < 60e6
+
+
+def sides(r, n):
+    """Tokens without overlap and with gaps, on two sides with many ends in common."""
+    cuts = sorted(r.sample(range(1, 6 * n), n))
+    out = []
+    for _ in range(2):
+        at, side = 0, []
+        for c in cuts:
+            if r.random() < 0.7 or c == cuts[-1]:
+                side.append((at + (r.random() < 0.2 and c - at > 1), c, r.choice("NV")))
+                at = c
+        side[0] = (0, *side[0][1:])
+        out.append(side)
+    return out
+
+
+@pytest.mark.parametrize("span", [1, 3, 7, 64])
+def test_align_by_ranges(spark, span):
+    r = random.Random(span)
+    odd = [([(0, 2), (1, 4)], [(0, 4)]), ([(0, 3)], [(0, 2)]), ([(0, 3)], []), ([(0, 2), (2, 2), (2, 5)], [(0, 5)]), ([(0, 3), (0, 3)], [(0, 3)]), ([(0, 9), (2, 4), (9, 30)], [(0, 9), (9, 30)]), ([(1, 3)], [(0, 3)])]
+    t = table(spark, *[sides(r, r.randint(2, 30)) for _ in range(25)], *odd)
+    rows = lambda df: sorted(tuple(x) for x in df.select("sent_id", "side", "ord", "start", "end", "group").collect())
+    assert rows(align.align(t)) == rows(align.align_ranged(t, span)) != []
+    pairs = lambda **o: sorted(map(str, align.label_pairs(t, "pos", **o).collect()))
+    assert pairs() == pairs(span=span)
+    with pytest.raises(Exception, match="same total span"):
+        align.align_ranged(t, span, strict=True).collect()
+    with pytest.raises(ValueError, match="exclude"):
+        align.align_groups(t, folded=True, span=span)
+
+
+def test_ranges_share_a_sentence(spark):
+    """One sentence of 60,000 tokens: no task has more than its ranges' ends, and options bring the ranges to all tasks."""
+    rows = spark.range(30_000).selectExpr("0L AS sent_id", "explode(array(struct('a' AS side, int(id) AS ord, int(2 * id) AS start, int(2 * id + 2) AS end), struct('b' AS side, int(id) AS ord, int(2 * id) AS start, int(2 * id + 2) AS end))) AS x")
+    t = rows.selectExpr("sent_id", "x.*", "CAST(x.ord % 3 AS STRING) AS pos", "'l' AS lemma", "true AS is_min", "false AS is_stop", "CAST(null AS STRING) AS ner_label")
+    out = align.align_ranged(t, 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [x["count"] for x in out.where("group = end").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 60_000 and len(sizes) == 4 and max(sizes) < 20_000
+    assert Evaluator(["pos", "lemma"], options=Options(span=500)).evaluate(t) == {"pos": {"precision": 1, "recall": 1, "fscore": 1}, "lemma": {"accuracy": 1}}
+
+
+@pytest.mark.parametrize("winlen", [1, 2, 3])
+def test_long_runs_of_transpositions(spark, winlen):
+    """Boundaries that alternate for thousands of places, over the edges of all ranges of the tree."""
+    r = random.Random(winlen)
+    sentences = []
+    for n in (70, 1100, 5000):
+        kinds = [r.choice("ab") if r.random() < 0.1 else "ab"[k % 2] for k in range(n)]
+        kinds = [k if r.random() < 0.95 else r.choice(["", "ab"]) for k in kinds]
+        sentences.append(tuple(bounds("".join("1" if s in k else "0" for k in kinds)) for s in "ab"))
+    got = {x["sent_id"]: x for x in boundary.boundary_counts(table(spark, *sentences), winlen).collect()}
+    for i, both in enumerate(sentences):
+        a, b = ({e - 1 for _, e in side[:-1]} for side in both)
+        n = far = 0
+        k, end = 0, both[0][-1][1] - 1
+        while k < end:
+            here = "a" if k in a - b else "b" if k in b - a else None
+            opp = next((j for j in range(k + 1, k + winlen + 1) if here and j in ((b - a) if here == "a" else (a - b))), None)
+            if opp is not None:
+                n, far, k = n + 1, far + opp - k, opp + 1
+            k += 1
+        x = got[i]
+        assert (x["n_trans"], x["n_ad"]) == (n, len(a ^ b) - 2 * n) and x["w_trans"] == pytest.approx(n - far / (winlen + 1)) and n > 15
+
+
+def test_first_overlap_in_any_order(spark):
+    """Truths that overlap, nest, repeat, have no length and are listed in any order, and long ones: against all pairs."""
+    r = random.Random(4)
+    rows = []
+    for sent in range(60):
+        for side in "ab":
+            spans = [(s := r.randrange(40), s + r.choice([0, 0, 1, 2, 5, 30, 4000])) for _ in range(r.randrange(14))]
+            rows += [(sent, side, k, r.choice("XYZ"), s, e) for k, (s, e) in enumerate(spans)]
+    t = spark.createDataFrame(rows, "sent_id long, side string, ord long, e_type string, s long, e long")
+    known = spark.createDataFrame([("X",), ("Y",), ("Z",)], "label string")
+    want = []
+    for sent in range(60):
+        truths, preds = ([x[3:] for x in rows if x[0] == sent and x[1] == s] for s in "ab")
+        met = set()
+        for p in preds:
+            if p in truths:
+                want.append((sent, "same", p[0]))
+                met.add(p)
+                continue
+            hit = next((x for x in truths if x[1:] == p[1:] or max(x[1], p[1]) < min(x[2], p[2])), None)
+            if hit is None:
+                want.append((sent, "spurious", None))
+                continue
+            met.add(hit)
+            want.append((sent, "type" if hit[1:] == p[1:] else "bounds" if hit[0] == p[0] else "both", hit[0]))
+        want += [(sent, "missed", x[0]) for x in truths if x not in met]
+    assert sorted(map(str, map(tuple, entities.classify(t, known).collect()))) == sorted(map(str, want))
+
+
+def test_sweep_forgets():
+    """One prediction over a million truths, and one truth under as many predictions: what is kept does not grow with what has passed."""
+    sweep, most = entities._Sweep(), 0
+    sweep.prediction(0, 10**7, ("long",))
+    for k in range(100_000):
+        list(sweep.to(10 * k + 1))
+        sweep.truth((k, "X", 10 * k + 1, 10 * k + 3))
+        sweep.prediction(10 * k + 2, 10 * k + 4, (k,))
+        most = max(most, len(sweep.open_), len(sweep.waiting))
+    assert most < 200 and [(p, t and t[0]) for p, t in sweep.to(None)][-1] == (("long",), 0)
+
+
+def test_one_array_over_many_tasks(spark, tmp_path):
+    """Files cut at every place by small ranges: strings with braces, quotes and escapes, nested objects, empty arrays, JSON lines, no end of line."""
+    from glossmeter.sources.json_split import json_objects
+
+    r = random.Random(6)
+
+    def value(depth=0):
+        kind = r.randrange(6 if depth < 3 else 3)
+        if kind < 2:
+            return "".join(r.choice(["a", "é", "}", "{", '"', "\\", "]", "[", ",", "\n", "😀", "\\\\"]) for _ in range(r.randrange(12)))
+        return r.randrange(99) if kind == 2 else [value(depth + 1) for _ in range(r.randrange(4))] if kind == 3 else {f"k{i}": value(depth + 1) for i in range(r.randrange(4))}
+
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for run, size in enumerate((7, 40, 300, 100_000)):
+            where, want = tmp_path / f"r{run}", []
+            where.mkdir()
+            for f in range(3):
+                rows = [{"n": value(), "m": value()} if r.random() < 0.9 else {} for _ in range(r.choice([0, 1, 25]))]
+                style = r.randrange(4)
+                text = json.dumps(rows, ensure_ascii=bool(f % 2), indent=[None, 1, 2, None][style]) if style < 3 else "\n".join(json.dumps(x) for x in rows)
+                (where / f"f{f}.json").write_text(text + r.choice(["", "\n", "  \n\n"]), encoding="utf-8")
+                want += rows
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            got = json_objects(spark, str(where)).orderBy("n").collect()
+            assert [x["n"] for x in got] == list(range(len(want))) and [json.loads(x["text"], strict=False) for x in got] == want
+        (tmp_path / "cut.json").write_text('[{"a": {"b": 1}, "c": "')
+        with pytest.raises(Exception, match="not whole JSON"):
+            json_objects(spark, str(tmp_path / "cut.json")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_array_is_written_by_all_tasks(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id * 7 % 2000 AS sent_id", "concat('é ', id) AS query", "CAST(null AS STRING) AS expanded_query", "CAST(null AS array<struct<ner:string>>) AS gold", "CAST(null AS array<struct<ner:string>>) AS pred").repartition(5)
+    path = tmp_path / "all.json"
+    corpus.save_json_array(rows, str(path))
+    kept = json.loads(path.read_text(encoding="utf-8"))
+    assert [x["query"] for x in kept] == [f"é {k}" for k, _ in sorted(((k, k * 7 % 2000) for k in range(2000)), key=lambda x: x[1])]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["all.json"]
+    again = corpus.load_json(spark, str(path)).select("sent_id", "query").collect()
+    assert sorted(map(tuple, again)) == sorted((k * 7 % 2000, f"é {k}") for k in range(2000))
+
+
+def test_accents_of_all_characters(spark):
+    import sys
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(chars[k : k + 500]) for k in range(0, len(chars), 500)]
+    texts = ["a" + "a".join(t) for t in texts] + ["각 한글 é ẫ Å", "", None, "plain", "̈́xཱི"]
+    plain = lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("p", text.strip_accents("t"))
+    bad = [(x["t"][:20], k) for x in df.collect() if x["p"] != plain(x["t"]) for k in [next((i for i, (u, v) in enumerate(zip(x["p"], plain(x["t"]))) if u != v), -1)]]
+    assert not bad and "Arrow" not in df._jdf.queryExecution().toString() and "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_any_order_without_python(spark):
+    plan = tokens.token_counts_any_order(table(spark, ([(0, 1)], [(0, 1)])))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
