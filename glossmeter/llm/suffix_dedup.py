@@ -241,9 +241,9 @@ def repeated_windows(docs: DataFrame, least: int, id_col: str, text_col: str) ->
     k1, k2 = _key(docs, id_col, text_col)
     slim = docs.select(k1.alias("k1"), k2.alias("k2"), docs[text_col].cast("string").alias("text"))
     every = cut(slim.mapInArrow(_anchor_rows(least), "k1 long, k2 long, first long, n int, lead int, h long, c long"))
-    shared = every.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    shared = cut(every.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))  # written, so that the join's hot hashes can be split
     mine = cut(every.join(shared, "h", "left_semi"))
-    drop(every)
+    drop(every, shared)
     # equal contexts are one string; its bytes come from one of the documents that hold it
     groups = mine.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "first", "n", "lead")).alias("o"))
     held = groups.select("o.k1", "o.k2", F.struct("h", "c", "times", "o.first", "o.n", "o.lead").alias("x")).groupBy("k1", "k2").agg(F.collect_list("x").alias("held"))
