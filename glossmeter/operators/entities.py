@@ -26,41 +26,41 @@ CASES = {
     "missed": ("missed",) * 4,
 }
 
-def _fold(items: Column) -> Column:
-    """Tags of an array<struct<start, back, ord, label>> in order; null for an item without a tag.
-
-    While an entity is open, items that end within it get I-, or no tag if they start with it; the first that ends beyond it
-    closes it.
-    """
-    none = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("label"), F.array().cast("array<string>").alias("tags"))
-
-    def step(o: Column, x: Column) -> Column:
-        within = F.coalesce(-x["back"] <= o["end"], F.lit(False))
-        tag = F.when(within, F.when(x["start"] != o["start"], F.concat(F.lit("I-"), o["label"]))).when(x["label"].isNull(), F.lit("O")).otherwise(F.concat(F.lit("B-"), x["label"]))
-        keep = lambda old, new: F.when(within, old).otherwise(F.when(x["label"].isNotNull(), new))
-        return F.struct(keep(o["start"], x["start"]).alias("start"), keep(o["end"], -x["back"]).alias("end"), keep(o["label"], x["label"]).alias("label"), F.array_append(o["tags"], tag).alias("tags"))
-
-    return F.aggregate(items, none, step, lambda o: o["tags"])
+def _open_before(items: Column) -> Column:
+    """struct<start, end, label> of the entity that is open behind an array<struct<start, end, label>> in order; null if none is."""
+    none = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("label"))
+    step = lambda o, x: F.when(F.coalesce(x["end"] <= o["end"], F.lit(False)), o).when(x["label"].isNotNull(), F.struct(x["start"], x["end"], x["label"])).otherwise(none)
+    return F.aggregate(items, none, step)
 
 
-def bio_from_items(items: DataFrame) -> DataFrame:
+def bio_from_items(items: DataFrame, levels: int = 4) -> DataFrame:
     """sent_id, side, ord, tag for all items, compounds too, by start, then longer first, then as given.
 
     An item that ends behind all before it opens a stretch; nothing reaches over from one stretch to the next.  A stretch whose
-    first item has a label is that entity, whatever else is in it.  Only stretches under an item without a label are folded,
-    so long sentences need no list of all their items.
+    first item has a label is that entity, whatever else is in it: I-, or no tag where an item starts with it.  A first item without a label is O, and the rest of
+    its stretch falls into stretches in the same way, and so on.  All levels are running maxima over one order, so a sentence is sorted once and nothing of
+    it is gathered; only under more than `levels` unlabelled items, each within the next, an item goes through those before it.
     """
     w = W.partitionBy("sent_id", "side").orderBy("start", F.desc("end"), "ord")
+    before, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
     rows = items.select("sent_id", "side", "ord", "start", "end", F.col("ner_label").alias("label"))
-    before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("opens", F.coalesce(F.col("end") > before, F.lit(True)).cast("long")).withColumn("nr", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    row = F.struct("start", (-F.col("end")).alias("back"), "ord", "label")
-    per = rows.groupBy("sent_id", "side", "nr").agg(F.array_sort(F.collect_list(row)).alias("x")).withColumn("head", F.get("x", F.lit(0)))
-    named = F.transform("x", lambda x, i: F.when(i == 0, F.concat(F.lit("B-"), F.col("head.label"))).when(x["start"] != F.col("head.start"), F.concat(F.lit("I-"), F.col("head.label"))))
-    tags = F.when(F.col("head.label").isNotNull(), named).when(F.size("x") == 1, F.array(F.lit("O"))).otherwise(_fold(F.col("x")))
-    out = per.select("sent_id", "side", "nr", F.posexplode(F.array_compact(tags)).alias("k", "tag"))
-    place = F.row_number().over(W.partitionBy("sent_id", "side").orderBy("nr", "k")) - 1
-    return out.select("sent_id", "side", place.alias("ord"), "tag")
+    rows = rows.withColumns({"free": F.lit(True), "nr": F.lit(0).cast("long"), "tag": F.lit(None).cast("string")})
+    no = lambda c: F.coalesce(c, F.lit(False))
+    alone = F.coalesce(F.concat(F.lit("B-"), F.col("label")), F.lit("O"))
+    within = lambda o: F.when(F.col("start") != o["start"], F.concat(F.lit("I-"), o["label"])).otherwise("")
+    for _ in range(levels):
+        last = F.max(F.when(F.col("free"), F.struct("nr", "end"))).over(before)
+        rows = rows.withColumn("last", last).withColumn("head", F.col("free") & F.coalesce((F.col("last.nr") < F.col("nr")) | (F.col("end") > F.col("last.end")), F.lit(True)))
+        rows = rows.withColumns({"nr": F.count(F.when(F.col("head"), 1)).over(upto), "own": F.last(F.when(F.col("head"), F.struct("start", "label")), ignorenulls=True).over(upto)})
+        inside = F.col("free") & ~F.col("head")
+        rows = rows.withColumn("tag", F.when(F.col("head"), alone).when(inside & F.col("own.label").isNotNull(), within(F.col("own"))).otherwise(F.col("tag")))
+        rows = rows.withColumn("free", inside & F.col("own.label").isNull()).drop("last", "head", "own")
+    prior = F.collect_list(F.when(F.col("free"), F.struct("nr", "start", "end", "label"))).over(before)
+    rows = rows.withColumn("prior", prior).withColumn("open", F.when(F.col("free"), _open_before(F.filter("prior", lambda x: x["nr"] == F.col("nr")))))
+    deep = F.when(no(F.col("end") <= F.col("open.end")), within(F.col("open"))).otherwise(alone)
+    rows = rows.withColumn("tag", F.when(F.col("free"), deep).otherwise(F.col("tag")))
+    place = F.count(F.when(F.col("tag") != "", 1)).over(upto) - 1
+    return rows.select("sent_id", "side", place.cast("int").alias("ord"), "tag").where("tag <> ''")
 
 
 def entities_from_tags(tags: DataFrame, compat: bool = True) -> DataFrame:

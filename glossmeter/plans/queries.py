@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..functions import text
 from ..operators import align, boundary, entities, labels, tokens
 from ..sources import corpus
 from . import fixtures as fx
-from .evaluate import Evaluator, Options
+from .evaluate import Evaluator, Options, evaluate
 
 LONG = "CAST({} AS BIGINT)"
 
@@ -77,6 +79,58 @@ def paired_corpora(s: SparkSession, d: str) -> DataFrame:
     return tokens.token_counts(corpus.itemize(corpus.pair(a, b)))
 
 
+def _file(s: SparkSession, sentences: DataFrame) -> str:
+    """Path of a corpus file, one JSON array, in the folder that driver and executors share (spark.checkpoint.dir); it goes when the session's JVM ends."""
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{shared or tempfile.mkdtemp()}/corpus-{uuid.uuid4().hex}.json"
+    corpus.save_json_array(sentences, path)
+    where = s._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(s._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def _conversations(s: SparkSession, d: str) -> DataFrame:
+    """Sentences from conversations: gold has a turn's first word and the rest, pred the same in even turns, else the whole turn."""
+    t, k = F.coalesce("text", F.lit("")), F.instr(F.coalesce("text", F.lit("")), " ")
+    size = F.length(t)
+
+    def item(text: Column, start: Column, end: Column) -> Column:
+        noun = F.length(text) % 2 == 0
+        fields = {"item": text, "startOffSet": start, "endOffSet": end, "pos": F.when(noun, "NOUN").otherwise("VERB"), "lemma": F.lower(F.substring(text, F.lit(1), F.lit(3))), "isMinimumToken": F.lit(True), "isStopWord": F.lit(False), "ner": F.when(noun, '[{"ner":"LOC"}]').otherwise("")}
+        return F.struct(*[v.alias(n) for n, v in fields.items()])
+
+    whole = F.filter(F.array(item(t, F.lit(0), size)), lambda x: x["item"] != "")
+    two = F.array(item(F.substring(t, F.lit(1), k - 1), F.lit(0), k - 1), item(F.substring(t, k + 1, size), k, size))
+    gold = F.when((k > 1) & (k < size), two).otherwise(whole)
+    pred = F.transform(F.when(F.col("turn") % 2 == 0, gold).otherwise(whole), lambda x: x.withField("pos", F.lit("NOUN")))
+    return fx.read(s, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("sent_id"), t.alias("query"), gold.alias("gold"), pred.alias("pred"))
+
+
+def corpus_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """A corpus file written by all tasks and read by all: what each sentence has, counted from 0 in the file's order."""
+    back = corpus.load_json(s, _file(s, _conversations(s, d)))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["endOffSet"])
+    located = F.size(F.filter("gold", lambda x: x["ner"] != ""))
+    return back.select("sent_id", F.md5("query").alias("query"), *[F.size(c).cast("long").alias(f"n_{c}") for c in ("gold", "pred")], (total("gold") + total("pred")).alias("ends"), located.cast("long").alias("located"))
+
+
+def evaluate_file(s: SparkSession, d: str) -> DataFrame:
+    """What the façade says of a corpus file's parts of speech: metric, label (null: of all), value."""
+    got = evaluate(s, _file(s, _conversations(s, d)), "pos")
+    per = got.pop("per_label")
+    rows = [(m, None, v) for m, v in got.items()] + [(m, label, v) for label, figures in per.items() for m, v in figures.items()]
+    return _rounded(s.createDataFrame(rows, "metric string, label string, value double"), "value")
+
+
+def edit_path_sentences(s: SparkSession, d: str) -> DataFrame:
+    """Edit paths between the parts of speech of whole sentences, from the first token to the last."""
+    tag = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("start", "pos")))), lambda x: x["pos"])
+    lists = fx.items(s, d).groupBy("sent_id").agg(tag("a").alias("a"), tag("b").alias("b"))
+    return lists.select(F.explode(align.edit_ops("a", "b")).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
+
+
 def _averaged(average: str):
     return lambda s, d: _rounded(labels.averages(labels.confusion(_pairs(s, d, "pos")), average), "precision", "recall", "fscore")
 
@@ -132,6 +186,11 @@ QUERIES = {
     "token_prf_any_order": lambda s, d: tokens.token_counts_any_order(_all(s, d)),
     "align_folded": lambda s, d: align.align_folded(_all(s, d)).groupBy("sent_id", "group").agg(F.max("end").cast("long").alias("group_end"), F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b")).drop("group"),
     "paired_corpora": paired_corpora,
+    "align_groups_ranged": lambda s, d: align.align_ranged(_all(s, d), 256).groupBy("sent_id", F.col("group").alias("group_end")).agg(F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b")).withColumn("group_end", F.col("group_end").cast("long")),
+    "pos_confusion_ranged": lambda s, d: labels.confusion(_pairs(s, d, "pos", span=4096)),
+    "edit_path_sentences": edit_path_sentences,
+    "corpus_round_trip": corpus_round_trip,
+    "evaluate_file": evaluate_file,
 }
 
 # -- the same in DuckDB's SQL --------------------------------------------------------------------
@@ -247,7 +306,18 @@ _MELT = f"unnest([{', '.join(repr(m) for m in _FIGURES)}]) AS metric, unnest([{'
 _BY_LABEL = ", ".join(f"(SELECT count(*) FROM jd WHERE \"case\" = 'spurious') AS c_{c}" if c == "spurious" else f"coalesce(c_{c}, 0) AS c_{c}" for c in entities.CASES)
 _ROWS = (_schema_rows("oc", "") + _schema_rows("ol", "label,").replace("sr AS", "tr AS").replace("FROM sr", "FROM tr").replace("sq AS", "tq AS").replace("FROM sq", "FROM tq").replace("sd AS", "td AS").replace("FROM sd", "FROM td").replace("ner AS", "nel AS"))
 
+_SENTENCES = """WITH s0 AS (SELECT row_number() OVER (ORDER BY conv_id * 100000 + turn) - 1 AS sent_id, turn, coalesce(text, '') AS t, instr(coalesce(text, ''), ' ') AS k FROM conversations),
+s1 AS (SELECT *, CASE WHEN k > 1 AND k < length(t) THEN [left(t, k - 1), substr(t, k + 1)] WHEN t <> '' THEN [t] ELSE [] END AS g FROM s0)"""
+
 ORACLE_SQL = {
+    "align_groups_ranged": _I + _ALIGN + " SELECT sent_id, CAST(grp AS BIGINT) AS group_end, n_a, n_b FROM gr",
+    "pos_confusion_ranged": _I + _ALIGN + " SELECT a, b, count(*) AS n FROM pos GROUP BY a, b",
+    "corpus_round_trip": _SENTENCES + """ SELECT sent_id, md5(t) AS query, len(g) AS n_gold, CASE WHEN turn % 2 = 0 OR len(g) < 2 THEN len(g) ELSE 1 END AS n_pred,
+  length(t) * 2 + CASE WHEN len(g) < 2 THEN 0 WHEN turn % 2 = 0 THEN 2 * (k - 1) ELSE k - 1 END AS ends, len(list_filter(g, lambda x: length(x) % 2 = 0)) AS located FROM s1""",
+    "evaluate_file": _SENTENCES + ", ps AS (SELECT CASE WHEN length(x) % 2 = 0 THEN 'NOUN' ELSE 'VERB' END AS a, 'NOUN' AS b FROM (SELECT unnest(g) AS x FROM s1 WHERE turn % 2 = 0 OR len(g) = 1))" + _per_label("ps") + """,
+av AS (SELECT kind, sum(w * precision) / sum(w) AS p, sum(w * recall) / sum(w) AS r, sum(w * fscore) / sum(w) AS f FROM (SELECT *, unnest(['weighted', 'average']) AS kind, unnest([n_true, 1]) AS w FROM pl) GROUP BY kind)
+SELECT kind || '_' || unnest(['f1', 'precision', 'recall']) AS metric, CAST(NULL AS VARCHAR) AS label, round(unnest([f, p, r]), 6) AS value FROM av UNION ALL SELECT 'accuracy', NULL, round(sum(tp) / sum(n_true), 6) FROM pl
+UNION ALL SELECT unnest(['f1', 'precision', 'recall']), label, round(unnest([fscore, precision, recall]), 6) FROM pl""",
     "token_prf_corpus": _I + _COUNTS.format(src="it") + _PRF.format(key="", group=""),
     "token_prf_by_doc": _I + _COUNTS.format(src="it") + _PRF.format(key="sent_id,", group="GROUP BY sent_id"),
     "token_prf_compound": _I + _COUNTS.format(src="ia") + _PRF.format(key="", group=""),

@@ -675,3 +675,27 @@ def test_accents_of_all_characters(spark):
 def test_any_order_without_python(spark):
     plan = tokens.token_counts_any_order(table(spark, ([(0, 1)], [(0, 1)])))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("levels", [1, 2, 4])
+def test_bio_under_unlabelled_items(spark, levels):
+    """Items that nest and cross under unlabelled ones, several deep, against reading them one by one."""
+    r = random.Random(levels)
+    sentences = []
+    for _ in range(120):
+        spans = [(0, 60, None)] * r.randrange(3) + [(k, 60 - k, None) for k in range(r.randrange(8))]
+        spans += [(s := r.randrange(50), s + r.randint(1, 14), r.choice([None, None, "A", "B"])) for _ in range(r.randrange(16))]
+        sentences.append(([(s, e, "X", "l", True, n) for s, e, n in spans], []))
+    want = []
+    for i, (spans, _) in enumerate(sentences):
+        open_, n = None, 0
+        for s, e, *_, label in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if open_ and e <= open_[1]:
+                tag = f"I-{open_[2]}" if s != open_[0] else None
+            else:
+                open_ = (s, e, label) if label else None
+                tag = f"B-{label}" if label else "O"
+            if tag:
+                want.append((i, "a", n, tag))
+                n += 1
+    assert sorted(map(tuple, entities.bio_from_items(table(spark, *sentences), levels).collect())) == want
