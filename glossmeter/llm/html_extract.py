@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .html_weights import PAIR, UNARY
 
 # -- a tolerant parser -------------------------------------------------------------------------
 
@@ -48,6 +49,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     blocks, runs, pending = [Block("html", "", -1, 0)], [], []
     stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # tag, block, hidden
     at, links, opened = 0, 0, {}  # opened: how many elements of each tag are open, so a stray end tag costs nothing
+    inline: list[dict[str, int]] = [{}]  # the same for inline elements within each open block: their end tags do not reach out of it
 
     def flush() -> None:
         if pending:
@@ -66,8 +68,10 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
         tag = stack[-1][0]
         if tag not in INLINE:
             flush()
-        elif tag == "a":
-            links -= 1
+            inline.pop()
+        else:
+            inline[-1][tag] -= 1
+            links -= tag == "a"
         opened[tag] -= 1
         stack.pop()
 
@@ -82,7 +86,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
         if m[1]:
             if tag == "br":
                 put(" ")
-            elif opened.get(tag) and not (tag in INLINE and tag not in [s[0] for s in stack[-8:]]):
+            elif (inline[-1] if tag in INLINE else opened).get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -113,9 +117,11 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
         opened[tag] = opened.get(tag, 0) + 1
         if tag in INLINE:
             stack.append((tag, stack[-1][1], hidden))
+            inline[-1][tag] = inline[-1].get(tag, 0) + 1
             links += tag == "a"
         else:
             flush()
+            inline.append({})
             names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3] or "")).lower()
             up = stack[-1][1]
             blocks[up].kids += 1
@@ -139,14 +145,22 @@ _KINDS = {
     "tag_nav": frozenset(["nav", "menu"]), "tag_head": frozenset(["header"]), "tag_foot": frozenset(["footer"]), "tag_side": frozenset(["aside"]), "tag_form": frozenset(["form", "fieldset", "dialog"]),
 }
 _WORDS = {
-    "name_main": r"article|post-?(?:body|content|text)?|entry|story|main|content|body", "name_nav": r"nav\w*|menu\w*|breadcrumbs?|pagination|pager|tabs?|toc|skip\w*", "name_head": r"header|masthead|topbar|top|logo|branding|site-?header",
-    "name_foot": r"footer|foot|copyright|legal|colophon|site-?footer", "name_side": r"sidebar|side|aside|widgets?|related|recommended|more|trending|rail", "name_ad": r"ads?|advert\w*|sponsor\w*|promo\w*|banner|adsense|outbrain|taboola|dfp",
-    "name_comment": r"comments?|commentlist|disqus|replies|reply|respond|discussion", "name_note": r"cookie\w*|consent|gdpr|notice|alert|newsletter|subscribe|subscription|popup|modal|overlay|signup|login|paywall|disclaimer", "name_share": r"share|sharing|social|tags|tag-?list|author-?box|byline|meta|rating|toolbar",
+    "name_main": r"article|post-?(?:body|content|text)?|entry|story|main|content|body|artikel|inhalt|beitrag|contenu|contenido|articulo|artículo",
+    "name_nav": r"nav\w*|menu\w*|menü|breadcrumbs?|pagination|pager|tabs?|toc|skip\w*|brotkrumen|navegaci[oó]n|menú",
+    "name_head": r"header|masthead|topbar|top|logo|branding|site-?header|kopf(?:zeile)?|en-?t[eê]te|cabecera|encabezado",
+    "name_foot": r"footer|foot|bottom|copyright|legal|colophon|site-?footer|contentinfo|fu(?:ss|ß)(?:zeile|bereich)?|impressum|pied(?:-de-page)?|pie(?:-de-pagina)?|mentions",
+    "name_side": r"sidebar|side|aside|widgets?|related|recommended|more|trending|rail|complementary|seiten(?:leiste|spalte)|randspalte|marginalie|barre-?lat[eé]rale|barra-?lateral|lateral|verwandt\w*|relacionad\w*|connexes?",
+    "name_ad": r"ads?|advert\w*|sponsor\w*|promo\w*|banner|adsense|outbrain|taboola|dfp|werbung|anzeigen?|publicidad|publicit[eé]|anuncios?|reklame",
+    "name_comment": r"comments?|commentlist|disqus|replies|reply|respond|discussion|kommentare?|diskussion|leserbriefe|antworten|commentaires?|r[eé]ponses?|comentarios?|respuestas?",
+    "name_note": r"cookie\w*|consent|gdpr|dsgvo|notice|alert|newsletter|subscribe|subscription|popup|modal|overlay|signup|login|paywall|disclaimer|search|suche|recherche|buscar|hinweis|abonn\w*|anmelden|aviso",
+    "name_share": r"share|sharing|social|tags|tag-?list|author-?box|byline|meta|rating|toolbar|teilen|partager|compartir|autor|auteur",
 }
 _WORD_RE = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?=$|[\s_-])") for k, v in _WORDS.items()}
 _TEXT = ("links", "text_some", "text_long", "stops", "few_words", "rights", "no_text")
 _BELOW = ("below_links", "below_share", "below_long", "around_links", "around_share", "alone", "only")
-FEATURES = ["bias", *_KINDS, *_WORDS, *_TEXT, *_BELOW]
+#: Where a block is: in a region of its own that is no article, or in an article; and of the latter, what counts less there.
+_REGION = ("off", "main", "main_links", "main_below_links", "main_few_words", "beside_links")
+FEATURES = ["bias", *_KINDS, *_WORDS, *_TEXT, *_BELOW, *_REGION]
 _RIGHTS = re.compile(r"©|\(c\) ?\d|copyright|all rights reserved", re.I)
 #: Kinds of edges, by the child: what opens a region of its own, what names one, and all others.
 EDGES = 3
@@ -160,8 +174,34 @@ def _kind(tag: str, names: str) -> tuple[int, ...]:
     return (0, *out, *[i for i, r in enumerate(_WORD_RE.values(), base) if names and r.search(names)])
 
 
+_OFF_TAGS = frozenset("nav menu footer aside dialog".split())
+_OFF_NAMES = tuple(list(FEATURES).index(k) for k in ("name_nav", "name_foot", "name_side", "name_ad", "name_comment", "name_note", "name_share"))
+_MAIN = FEATURES.index("name_main")
+_COMMENT = FEATURES.index("name_comment")
+
+
+def regions(blocks: list[Block]) -> tuple[list[bool], list[bool]]:
+    """Of each block whether it is in a region that is no article (menus, comments and so on, by tag, role or name), and whether it is in an article.
+
+    A region by name or a form that holds a page's main element, article or first heading is a wrapper, not such a region; an article named as a comment is no article.
+    """
+    n = len(blocks)
+    kinds = [_kind(b.tag, b.names) for b in blocks]
+    holds = [b.tag in ("main", "h1") or b.tag == "article" and _COMMENT not in k for b, k in zip(blocks, kinds)]
+    for i in range(n - 1, 0, -1):
+        holds[blocks[i].parent] |= holds[i]
+    off, main = [False] * n, [False] * n
+    for i in range(1, n):
+        b, k = blocks[i], kinds[i]
+        named = b.tag != "body" and (b.tag == "form" or any(x in k for x in _OFF_NAMES))
+        own = b.tag in _OFF_TAGS or named and not holds[i]
+        off[i] = off[b.parent] or own
+        main[i] = main[b.parent] or (b.tag in ("article", "main") or _MAIN in k and b.tag != "body") and not own
+    return off, main
+
+
 def features(blocks: list[Block]) -> list[list[tuple[int, float]]]:
-    """Of each block sparse (index, value): tag and names, own text, and how much text and how many links are below and around it."""
+    """Of each block sparse (index, value): tag and names, own text, how much text and how many links are below and around it, and the region that it is in."""
     n = len(blocks)
     own = [" ".join(b.text) for b in blocks]
     size, linked = [len(t) for t in own], [b.linked for b in blocks]
@@ -171,6 +211,8 @@ def features(blocks: list[Block]) -> list[list[tuple[int, float]]]:
     all_of = max(1, size[0])
     base = 1 + len(_KINDS) + len(_WORDS)
     below = base + len(_TEXT)
+    region = below + len(_BELOW)
+    off, main = regions(blocks)
     out = []
     for i, b in enumerate(blocks):
         f = [(k, 1.0) for k in _kind(b.tag, b.names)]
@@ -196,8 +238,20 @@ def features(blocks: list[Block]) -> list[list[tuple[int, float]]]:
                 f.append((below + 4, size[p] / all_of))
                 if size[p] == size[i]:
                     f.append((below + 5, 1.0))
+            if p >= 0 and size[p] > size[i]:
+                f.append((region + 5, min(1.0, max(0, linked[p] - linked[i]) / (size[p] - size[i]))))
         if text and len(text) == size[0]:  # the page has no other text
             f.append((below + 6, 1.0))
+        if off[i]:
+            f.append((region, 1.0))
+        elif main[i]:
+            f.append((region + 1, 1.0))
+            if text:
+                f.append((region + 2, min(1.0, b.linked / len(text))))
+                if len(text) < 40:
+                    f.append((region + 4, 1.0))
+            if size[i]:
+                f.append((region + 3, min(1.0, linked[i] / size[i])))
         out.append(f)
     return out
 
@@ -312,6 +366,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, frozenset[str
         head = r.choice([f"<h1>{title}</h1>"] * 3 + [f"<h2>{title}</h2>", f'<header><h1>{title}</h1></header>', f'<header><h1>{title}</h1><p class="{r.choice(["byline", "meta"])}">{word()} {word()}</p></header>', f'<div class="{r.choice(["title", "headline", "entry-title"])}">{title}</div>'])
         if r.random() < 0.12:
             good, head = set(), ""
+        post = not head and r.random() < 0.4  # a few words and no title
         body, loose = head, []
         for _ in range(r.randint(1, 2) if short else r.randint(1, 7)):
             k = r.random()
@@ -325,6 +380,8 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, frozenset[str
                     loose.append((t, inner))
                     continue
                 keep(t)
+                if r.random() < 0.06:  # a paragraph that is a link
+                    inner = f'<a href="/{first}">{t}</a>'
                 body += f"<{style}>{inner}</{style}>"
                 if r.random() < 0.15:
                     body += f"<{style}>{keep(word())}</{style}>"
@@ -332,22 +389,27 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, frozenset[str
                 body += f"<h2>{keep(say(2, 6))}</h2>"
             elif k < 0.86:
                 body += r.choice([f"<blockquote>{keep(say(6, 20))}</blockquote>", f"<pre>{keep(say(4, 12))}</pre>", f'<figure><img src="x"><figcaption>{keep(say(3, 9))}</figcaption></figure>'])
-            elif k < 0.92:
+            elif k < 0.895:  # sources
+                body += r.choice(["", f"<h2>{keep(say(1, 3))}</h2>"]) + r.choice(["<ul>{}</ul>", "<ol>{}</ol>"]).format("".join(f'<li><a href="/{word()}">{keep(say(1, 8)[: r.choice([-1, None])])}</a></li>' for _ in range(r.randint(1, 5))))
+            elif k < 0.94:
                 body += "<ul>" + "".join(f"<li>{keep(say(2, 12))}</li>" for _ in range(r.randint(2, 4))) + "</ul>"
-            elif k < 0.95:
+            elif k < 0.96:
                 body += f"<table><tr><td>{keep(say(2, 6))}</td><td>{keep(say(2, 6))}</td></tr></table>"
             else:
                 body += f'<div class="{r.choice(["ad", "ads", "promo", "related", "newsletter", "share", "advert"])}">{say(4, 14)}</div>'
+        if post:
+            good, loose = set(), []
+            body = f"<p>{keep(say(1, 6))}</p>"
         if loose:
             keep(" ".join(t for t, _ in loose))
             body += f"<div{name('', 'text', 'body')}>" + "<br><br>".join(x for _, x in loose) + "</div>"
         site = word()
-        top = r.choice([f"<nav><ul>{links(6)}</ul></nav>", f"<nav>{link()} {link()} {link()}</nav>", f"<div{name('menu', 'topnav', 'navbar', '')}><ul>{links(5)}</ul></div>", f'<header><a href="/">{site}</a><p>{say(2, 5)}</p><nav><ul>{links(5)}</ul></nav></header>', f'<div id="header"><h2>{site}</h2><ul class="nav">{links(4)}</ul></div>', f'<div class="breadcrumb"><a href="/">{site}</a> / {site}</div>', f"<p>{link()} | {link()} | {link()}</p>", f"<div>{link()} {link()} {link()} {link()}</div>", f"<ul>{links(5)}</ul>", f"<div{name('masthead', 'site-header', 'top')}>{site} {word()}</div>", ""])
+        top = r.choice([f'<div role="banner"><a href="/">{site}</a><p>{say(2, 8)}</p></div>', f'<div role="navigation">{link()} {link()}</div>', f"<nav><ul>{links(6)}</ul></nav>", f"<nav>{link()} {link()} {link()}</nav>", f"<div{name('menu', 'topnav', 'navbar', '')}><ul>{links(5)}</ul></div>", f'<header><a href="/">{site}</a><p>{say(2, 5)}</p><nav><ul>{links(5)}</ul></nav></header>', f'<div id="header"><h2>{site}</h2><ul class="nav">{links(4)}</ul></div>', f'<div class="breadcrumb"><a href="/">{site}</a> / {site}</div>', f"<p>{link()} | {link()} | {link()}</p>", f"<div>{link()} {link()} {link()} {link()}</div>", f"<ul>{links(5)}</ul>", f"<div{name('masthead', 'site-header', 'top')}>{site} {word()}</div>", ""])
         notice = r.choice([f'<div class="cookie-notice"><p>{say(8, 18)}</p></div>', f'<div class="notice">{say(4, 12)}</div>', "", "", "", f'<div class="ad">{say(4, 14)} {say(3, 9)}</div>', f'<div class="ad"><p>{say(4, 14)}</p></div>', f'<div id="banner" class="advert">{say(4, 14)}</div>', f'<dialog>{say(4, 12)}<button>{site}</button></dialog>'])
-        side = r.choice([f"<aside><h3>{say(1, 3)}</h3><p>{say(5, 16)}</p><ul>{links(4)}</ul></aside>", f'<div class="sidebar"><h3>{say(1, 3)}</h3><p>{say(6, 20)}</p></div>', "", f'<div class="widget related"><ul>{links(5)}</ul></div>', f"<div><h4>{word()}</h4><ul>{links(4)}</ul></div>", f"<section{name('related', 'trending', 'recommended')}><h2>{say(1, 3)}</h2><ul>{links(4)}</ul></section>"])
-        form = r.choice([f'<form action="/s"><p>{say(3, 8)}</p><input name="q"><button>{word()}</button></form>', "", "", f'<div class="newsletter"><form>{say(3, 8)}<input></form></div>', f"<form><label>{word()}</label><input><select><option>{word()}<option>{word()}</select></form>"])
-        talk = r.choice(["", "", f'<div class="comments"><h3>{say(1, 3)}</h3>' + "".join(f'<div class="comment"><p>{say(5, 24)} {say(3, 9)}</p></div>' for _ in range(3)) + "</div>", f'<section id="comments"><ul class="commentlist"><li>{say(5, 24)}</li><li>{say(5, 24)}</li></ul></section>', f'<div id="disqus">{say(3, 9)}<article class="comment"><p>{say(5, 24)}</p></article></div>'])
-        foot = r.choice([f"<footer>{say(3, 9)}</footer>", f"<footer><p>{say(4, 12)}</p><ul>{links(3)}</ul></footer>", f'<div class="footer"><p>&copy; {say(4, 10)}</p></div>', f'<div id="footer">{say(3, 10)}</div>', "", f"<p>&copy; 20{r.randint(10, 30)} {site}</p>", f"<div>Copyright {site}. All rights reserved.</div>", f"<div>{link()} {link()} {link()}</div>"])
+        side = r.choice([f'<div role="complementary"><p>{say(6, 20)} {say(3, 9)}</p></div>', f'<div{name("seitenleiste", "barra-lateral", "sidebar")}><p>{say(6, 20)} {say(6, 20)}</p></div>', f"<aside><h3>{say(1, 3)}</h3><p>{say(5, 16)}</p><ul>{links(4)}</ul></aside>", f'<div class="sidebar"><h3>{say(1, 3)}</h3><p>{say(6, 20)}</p></div>', "", f'<div class="widget related"><ul>{links(5)}</ul></div>', f"<div><h4>{word()}</h4><ul>{links(4)}</ul></div>", f"<section{name('related', 'trending', 'recommended')}><h2>{say(1, 3)}</h2><ul>{links(4)}</ul></section>"])
+        form = r.choice([f'<div role="search">{say(1, 4)}</div>', f'<form action="/s"><p>{say(3, 8)}</p><input name="q"><button>{word()}</button></form>', "", "", f'<div class="newsletter"><form>{say(3, 8)}<input></form></div>', f"<form><label>{word()}</label><input><select><option>{word()}<option>{word()}</select></form>"])
+        talk = r.choice(["", "", f'<div class="comments"><h3>{say(1, 3)}</h3>' + "".join(f'<div class="comment"><p>{say(5, 24)} {say(3, 9)}</p></div>' for _ in range(3)) + "</div>", f'<section id="comments"><ul class="commentlist"><li>{say(5, 24)}</li><li>{say(5, 24)}</li></ul></section>', f'<div{name("comments", "kommentare", "commentaires", "comentarios", "discussion")}>' + "".join(f'<div class="{r.choice(["comment", "reply", "", "kommentar"])}">{say(5, 24)} {say(4, 20)}</div>' for _ in range(r.randint(1, 6))) + "</div>", f'<div id="disqus">{say(3, 9)}<article class="comment"><p>{say(5, 24)}</p></article></div>'])
+        foot = r.choice([f'<div role="contentinfo">{say(3, 12)}</div>', f'<div class="fusszeile">{say(3, 9)} {say(3, 9)}</div>', f"<footer>{say(3, 9)}</footer>", f"<footer><p>{say(4, 12)}</p><ul>{links(3)}</ul></footer>", f'<div class="footer"><p>&copy; {say(4, 10)}</p></div>', f'<div id="footer">{say(3, 10)}</div>', "", f"<p>&copy; 20{r.randint(10, 30)} {site}</p>", f"<div>Copyright {site}. All rights reserved.</div>", f"<div>{link()} {link()} {link()}</div>"])
         open_, close = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), (f"<div{name('content', 'main', 'story', 'entry')}>", "</div>"), ('<div id="main"><div class="post-body">', "</div></div>"), (f"<div{name('post-body', 'entry-content', 'article-body', 'post', 'page')}>", "</div>"), ('<article class="post">', "</article>"), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<section>", "</section>"), ("", "")])
         inside = r.random() < 0.3
         main = open_ + body + (talk + form if inside and open_ else "") + close
@@ -376,12 +438,24 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, frozenset[str
 
 
 def extract(page: str | None, model: TreeModel) -> str:
-    """The texts of content blocks in page order, joined by a blank."""
+    """The texts of content blocks in page order, joined by a blank.
+
+    If no block passes one half, a page with an article or main element still has its text there: the one of highest marginal gives what is in no other region.
+    """
     if not page:
         return ""
     blocks, runs = parse(page)
     m, _ = model.marginals(blocks)
-    return " ".join(t for b, t in runs if m[b] > 0.5)
+    found = [t for b, t in runs if m[b] > 0.5]
+    if runs and not found:
+        off, _ = regions(blocks)
+        best = max((i for i, b in enumerate(blocks) if b.tag in ("article", "main") and not off[i]), key=lambda i: m[i], default=None)
+        if best is not None:
+            below = [False] * len(blocks)
+            for i in range(best, len(blocks)):
+                below[i] = i == best or below[blocks[i].parent]
+            found = [t for b, t in runs if below[b] and not off[b]]
+    return " ".join(found)
 
 
 def main_text(pages: DataFrame, model: TreeModel, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
@@ -407,7 +481,8 @@ def main_text(pages: DataFrame, model: TreeModel, keep: tuple[str, ...] = ("page
 
 @lru_cache(maxsize=1)
 def default_model() -> TreeModel:
-    return train(labelled_pages())
+    """The model trained on labelled_pages(), from its stored weights."""
+    return TreeModel(np.array([UNARY[k] for k in FEATURES]), np.array(PAIR))
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,3 +20,31 @@ PAGES = [
     ("links in prose", f'<body><div class="topbar"><a href="/">V</a></div><div class="entry-content"><h1>The flood</h1><p>As <a href="/x">we wrote on Tuesday</a>, the <a href="/y">old mill</a> stands in water. {MORE}</p><p>{LONG}</p></div><div class="related"><h3>Related</h3><a href="/q">Bread by boat</a></div></body>', ["The flood", f"As we wrote on Tuesday , the old mill stands in water. {MORE}".replace(" ,", ","), LONG]),
     ("no article", '<body><nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav><footer>&copy; 2020 Valley</footer></body>', []),
 ]
+
+NEW = "The ferry runs again from Friday. Tickets are sold on board."
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/about">About us</a></li></ul></nav>'
+TALK = "".join(f'<div class="comment"><b>Reader {k}</b> I crossed it myself last week. It was colder than in any year I can remember.</div>' for k in range(5))
+
+#: Pages whose articles were once lost, or that kept what is no article; every one exact.
+EXACT = [
+    ("links after a sentence", f'<body>{NAV}<main><h1>The flood</h1><p>{LAST}</p><ul><li><a href="/a">Map of the valley</a></li><li><a href="/b">Bread by boat</a></li></ul></main></body>', ["The flood", LAST, "Map of the valley", "Bread by boat"]),
+    ("a linked paragraph", f'<body>{NAV}<article><h1>The flood</h1><p><a href="/x">{LAST}</a></p><p>{NEW}</p></article></body>', ["The flood", LAST, NEW]),
+    ("a short post", f'<body><header><a href="/">Valley Post</a></header>{NAV}<article><p>Short update.</p></article><footer><p>Valley Post, 3 Mill Lane</p></footer></body>', ["Short update."]),
+    ("many comments", f'<body>{NAV}<article><h1>The flood</h1><p>{NEW}</p></article><div id="comments">{TALK}</div></body>', ["The flood", NEW]),
+    ("roles", f'<body><div role="banner"><a href="/">Valley Post</a><p>News from the river since 1911.</p></div><div role="navigation"><a href="/n">News</a></div><div role="main"><h1>The flood</h1><p>{LONG}</p><p>{MORE}</p></div><div role="complementary"><p>Our book of the flood is in the shops. It has forty plates.</p></div><div role="search">Find in this paper</div><div role="contentinfo"><p>Valley Post is printed in the old mill. Letters go to the editor.</p></div></body>', ["The flood", LONG, MORE]),
+    ("sources", f'<body>{NAV}<article><h1>The flood</h1><p>{LONG}</p><h2>Sources</h2><ul><li><a href="/1">County records, 1911</a></li><li><a href="/2">Letters of the miller</a></li><li><a href="/3">A map of the valley</a></li></ul></article><footer>&copy; Valley</footer></body>', ["The flood", LONG, "Sources", "County records, 1911", "Letters of the miller", "A map of the valley"]),
+    ("German names", f'<body>{NAV}<div id="inhalt"><h1>Die Flut</h1><p>{LONG}</p></div><div class="seitenleiste"><p>{NEW}</p></div><div id="kommentare"><p>I was there with my brother. It was worse than they say.</p><p>Who pays for the road now? Not the county.</p></div></body>', ["Die Flut", LONG]),
+    ("Spanish names", f'<body><div class="cabecera"><a href="/">Valle</a></div><div class="contenido"><h1>La crecida</h1><p>{LONG}</p><p>{LAST}</p></div><div class="barra-lateral"><p>{NEW}</p></div><div class="comentarios"><p>I was there with my brother. It was worse than they say.</p></div><div class="pie">Valle, 3 Mill Lane</div></body>', ["La crecida", LONG, LAST]),
+    ("comments in the article", f'<body>{NAV}<article><h1>The flood</h1><p>{LONG}</p><section id="comments"><h2>5 comments</h2>{TALK}</section></article></body>', ["The flood", LONG]),
+    ("a form around the page", f'<body><form id="aspnetForm"><div class="menu"><a href="/">Home</a></div><div id="content"><h1>The flood</h1><p>{LONG}</p><p>{MORE}</p></div><div id="footer">Valley, 3 Mill Lane</div></form></body>', ["The flood", LONG, MORE]),
+    ("a wrapper named for its sidebar", f'<body><div class="layout has-sidebar"><main><h1>The flood</h1><p>{LONG}</p><p>{LAST}</p></main><aside><p>{NEW}</p></aside></div></body>', ["The flood", LONG, LAST]),
+    ("definitions", f'<body>{NAV}<main><h1>Words of the river</h1><p>{LAST}</p><dl><dt>Weir</dt><dd>A low dam across a river, to raise it.</dd><dt>Ford</dt><dd>A place to walk through.</dd></dl></main></body>', ["Words of the river", LAST, "Weir", "A low dam across a river, to raise it.", "Ford", "A place to walk through."]),
+    ("a table of figures", f'<body>{NAV}<article><h1>The flood</h1><p>{LONG}</p><table><tr><th>Day</th><th>Height</th></tr><tr><td>Thursday</td><td>4.1 m</td></tr></table><p>{MORE}</p></article></body>', ["The flood", LONG, "Day", "Height", "Thursday", "4.1 m", MORE]),
+    ("a byline", f'<body><article><header><h1>The flood</h1><p class="byline">By A. Miller</p></header><p>{LONG}</p><p>{MORE}</p><footer class="tags"><a href="/t">river</a> <a href="/u">mill</a></footer></article></body>', ["The flood", LONG, MORE]),
+    ("code in prose", f'<body>{NAV}<article><h1>Reading the gauge</h1><p>{LAST}</p><pre>read gauge 4, then wait for an hour</pre><p>{NEW}</p></article></body>', ["Reading the gauge", LAST, "read gauge 4, then wait for an hour", NEW]),
+    ("misnested inline elements", f'<body>{NAV}<article><h1><b><i>The flood</b></i></h1><p><em>{LAST}</p><p>{NEW}</em></p></article></body>', ["The flood", LAST, NEW]),
+    ("many inline elements", f'<body>{NAV}<article><h1>The flood</h1><p><a href="/x">As <b><i><u><s><q><em><small><sub><sup>deep</sup></sub></small></em></q></s></u></i></b></a> as that. {LONG}</p></article></body>', ["The flood", f"As deep as that. {LONG}"]),
+    ("only menus", f'<body>{NAV}<div class="sidebar"><ul><li><a href="/a">One</a></li></ul></div><footer>&copy; 2020 Valley. All rights reserved.</footer></body>', []),
+    ("related within the article", f'<body>{NAV}<article><h1>The flood</h1><p>{LONG}</p><div class="related"><h3>Read on</h3><ul><li><a href="/7">A bridge for the valley</a></li><li><a href="/8">Bread by boat</a></li></ul></div><p>{MORE}</p></article></body>', ["The flood", LONG, MORE]),
+    ("consent before all", f'<body><div id="consent-banner"><p>We and our partners keep data on your device. You may refuse.</p><button>Refuse</button></div><div class="site-header"><a href="/">Valley</a></div><div class="story"><h1>The flood</h1><div>{LONG}</div><div>{MORE}</div></div></body>', ["The flood", LONG, MORE]),
+]

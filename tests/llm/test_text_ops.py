@@ -244,11 +244,31 @@ def test_html_pages_by_hand():
     assert min(r for _, r in scores.values()) >= 0.8, scores
 
 
+def test_html_exact_pages():
+    """Layouts that the generator does not make: linked paragraphs, link lists, short posts, comments, roles, other languages."""
+    from .pages import EXACT
+
+    wrong = {name: got for name, page, want in EXACT if (got := H.extract(page, H.default_model())) != " ".join(want)}
+    assert not wrong
+
+
+def test_html_weights_are_trained():
+    model = H.train(H.labelled_pages())
+    assert np.abs(model.unary - H.default_model().unary).max() < 0.01 and np.abs(model.pair - H.default_model().pair).max() < 0.01
+
+
+def test_html_fallback():
+    """An article that no block of passes gives its text; a page without one stays empty."""
+    never = H.TreeModel(H.default_model().unary - 50)
+    page = "<body><p>before</p><article><p>One.</p><aside>no</aside><div>Two.</div></article></body>"
+    assert H.extract(page, never) == "One. Two." and H.extract("<body><p>before</p></body>", never) == ""
+
+
 def test_html_deep_markup():
     import time
 
     began = time.time()
-    for page in ("<div>" * 100_000 + "x" + "</span>" * 100_000, "<b>" * 50_000 + "<p>y</p>" * 50_000, "<ul>" + "<li>z" * 50_000, "<td>" * 50_000 + "</tr>" * 50_000, "text " * 400_000):
+    for page in ("<div>" * 100_000 + "x" + "</span>" * 100_000, "<b>" * 50_000 + "<p>y</p>" * 50_000, "<ul>" + "<li>z" * 50_000, "<td>" * 50_000 + "</tr>" * 50_000, "text " * 400_000, "<p>flat</p>" * 100_000, "<b>" * 30_000 + "<p><i>z</b>" * 30_000):
         assert isinstance(H.extract(page, H.default_model()), str)
     assert time.time() - began < 40
 
