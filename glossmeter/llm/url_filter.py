@@ -83,8 +83,9 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
     A null url, or one without ://, has empty host and path and falls under no rule; such urls share one template.  Repeated
     rows each count and each get the verdict; other columns are not read.  With no rules nothing is labelled and all is allowed.
-    Every segment of a path counts, however many there are; a level is a job, and where fewer than SUPPORT urls share a
-    template all further segments are wildcards at once.
+    Every segment of a path counts, however many there are.  A level is a job over the urls whose template enough others share; all segments that
+    a template's urls have in common are taken at once, and where fewer than SUPPORT urls share a template the others are put aside, all their further
+    segments wildcards.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     form = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -95,18 +96,31 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
         rule, said = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(said)
     df = df.withColumn("rule", rule).withColumn("said", said).withColumn("seg", F.filter(F.split("path", "/"), lambda x: x != ""))
     df = df.withColumn("t", F.lit("")).withColumn("seen", F.col("said").isNotNull().cast("int")).withColumn("bad", F.coalesce(F.col("said") == "block", F.lit(False)).cast("int"))
-    spark, k, done = df.sparkSession, 0, cut(df)
+    spark, finished = df.sparkSession, []
+    active = cut(df.withColumn("k", F.lit(0)))
+    rest = F.slice("seg", F.col("k") + 1, F.greatest(F.size("seg") - F.col("k"), F.lit(0)))
     while True:
-        shared = done.groupBy("host", "t").agg(F.count("*").alias("n"), F.max(F.size("seg")).alias("most")).where((F.col("n") >= SUPPORT) & (F.col("most") > k))
-        if shared.isEmpty():
+        # templates that enough urls share, and how many segments all of their urls have in common: those of the least and the greatest rest
+        nodes = active.groupBy("host", "t").agg(F.count("*").alias("n"), F.min(rest).alias("lo"), F.max(rest).alias("hi")).where((F.col("n") >= SUPPORT) & (F.size("hi") > 0))
+        pairs = F.zip_with("lo", "hi", lambda x, y: F.coalesce(x == y, F.lit(False)))
+        jump = F.coalesce(F.array_position(pairs, False), F.lit(0))
+        nodes = cut(nodes.select("host", "t", F.when(jump > 0, jump - 1).otherwise(F.size("lo")).cast("int").alias("jump")))
+        if nodes.isEmpty():
+            finished.append(active)
+            drop(nodes)
             break
-        k += 1
-        u = done.withColumn("s", F.coalesce(F.get("seg", F.lit(k - 1)), F.lit("")))
-        grown = cut(spark.sql(f"WITH {_with(_level('{u}', 'STRING', 'explode(f)'))} SELECT u.* EXCEPT (t, s), {_grown('STRING')} AS t FROM {{u}} u LEFT JOIN b ON u.host = b.host AND u.t = b.t AND u.s = b.s", u=u))
-        drop(done)
-        done = grown
-    rest = F.repeat(F.lit("/*"), F.greatest(F.size("seg") - k, F.lit(0)))
-    return spark.sql("WITH leaf AS (" + _LEAF.format(u="{u}") + ") " + _RESULT.format(u="{u}"), u=done.withColumn("t", F.concat("t", rest)))
+        finished.append(cut(active.join(nodes, ["host", "t"], "left_anti")))
+        ahead = F.slice("seg", F.col("k") + 1, F.col("jump"))
+        u = active.join(nodes, ["host", "t"]).withColumn("t", F.concat("t", F.array_join(F.transform(ahead, lambda x: F.concat(F.lit("/"), x)), ""))).withColumn("k", F.col("k") + F.col("jump")).drop("jump")
+        u = u.withColumn("s", F.coalesce(F.get("seg", F.col("k")), F.lit("")))
+        grown = cut(spark.sql(f"WITH {_with(_level('{u}', 'STRING', 'explode(f)'))} SELECT u.* EXCEPT (t, s, k), CAST(u.k + 1 AS INT) AS k, {_grown('STRING')} AS t FROM {{u}} u LEFT JOIN b ON u.host = b.host AND u.t = b.t AND u.s = b.s", u=u))
+        drop(active, nodes)
+        active = grown
+    done = finished[0]
+    for part in finished[1:]:
+        done = done.unionByName(part)
+    stars = F.repeat(F.lit("/*"), F.greatest(F.size("seg") - F.col("k"), F.lit(0)))
+    return spark.sql("WITH leaf AS (" + _LEAF.format(u="{u}") + ") " + _RESULT.format(u="{u}"), u=done.withColumn("t", F.concat("t", stars)))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

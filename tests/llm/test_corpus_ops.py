@@ -465,3 +465,17 @@ def test_pipeline_near_duplicates_by_row(spark, docs):
     rows = [(1, x, "s"), (1, x, "s"), (2, x, "s"), (2, y, "s"), (3, y, "s"), (4, z, "s"), (4, z, "t"), (5, "", "s"), (5, "", "s"), (None, x, "s"), (None, x, "s")]
     got = rows_of(C.near_duplicates(spark, docs(*rows), ""), "doc_id", "text")
     assert got == {(1, x): 1, (2, y): 1, (4, z): 1, (5, ""): 2, (None, x): 2}
+
+
+def test_urls_with_long_common_paths(spark):
+    """Two hundred segments that all urls of a host share, and branches behind them: a few jobs, and what SQL gives level by level."""
+    import time
+
+    deep = "/".join(f"s{k}" for k in range(200))
+    rows = [(i, f"http://a.b/{deep}" + ("/x" if i % 2 else "")) for i in range(6)] + [(10 + i, f"http://c.d/{deep}/{i % 2}/end/{i}") for i in range(14)] + [(50 + i, "http://c.d/") for i in range(3)] + [(60, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    U.filter_urls(df.limit(3)).collect()
+    began = time.time()
+    got = rows_of(U.filter_urls(df), "page_id", "verdict", "template")
+    assert time.time() - began < 60
+    assert got == collections.Counter((x["page_id"], x["verdict"], x["template"]) for x in in_sql(U.ORACLE, pages=df))
