@@ -28,7 +28,7 @@ from .lexical_search import _ranges
 
 #: Bytes of a string that is removed; of a gram whose hash chooses anchors; bytes of a piece of a text that is hashed at once;
 #: different contexts of one hash beyond which it is split; bytes of one transform (a group more may exceed it).
-LEAST, GRAM, PIECE, MOST, BATCH = 200, 32, 1 << 20, 1024, 1 << 19
+LEAST, GRAM, PIECE, MOST, BATCH = 200, 32, 1 << 20, 1024, 1 << 18
 #: Stands between contexts; in no UTF-8 text.
 END = 255
 
