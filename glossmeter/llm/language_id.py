@@ -23,6 +23,8 @@ from .common import read
 SAMPLE_DOCS, SAMPLE_BYTES, MOST_LANGUAGES = 32, 1024, 4096
 #: Bytes that are compressed at a time (beyond them a text's own history would hide the dictionary), level, margin of acceptance.
 BLOCK, LEVEL, MARGIN, SOFTNESS = 2048, 6, 0.005, 24.0
+#: Bytes that the compressor wants of a dictionary at least.
+LEAST_BYTES = 8
 
 
 #: Only letters tell languages apart: digits, punctuation and white space become one blank.
@@ -55,7 +57,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for r in drawn.collect():
         parts.setdefault(r["lang"], []).append((r["u"], r["t"]))
     out = [(r["lang"], "\n".join(_letters(" ", t.lower()) for _, t in sorted(parts.get(r["lang"], []))).encode()[-SAMPLE_DOCS * SAMPLE_BYTES :]) for r in counts]
-    return [x for x in out if len(x[1]) >= 8]
+    return [(lang, content * -(-LEAST_BYTES // len(content))) for lang, content in out if content.strip()]  # a few letters are repeated; without any there is nothing to learn
 
 
 class Compressors:
@@ -90,11 +92,12 @@ def language_id(docs: DataFrame, dictionaries: list[tuple[str, bytes]], id_col:
     is not held out.  Texts of any length are read whole; repeated rows stay; other columns are not read.
     """
     key = hash(tuple(dictionaries))
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MOST_LANGUAGES * SAMPLE_DOCS * SAMPLE_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _MADE:
             _MADE.clear()
-            _MADE[key] = Compressors(dictionaries)
+            _MADE[key] = Compressors(sent.value)
         predict = _MADE[key].predict
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):

@@ -61,7 +61,7 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: st
     """The columns in keep, and besides them size, source, source_size, target, taken, key.
 
     Texts without words (null, empty) have size 0 and give nothing.  A null source is a source of its own, the last.  Equal
-    keys go by id (null first), then size; rows that repeat an id have the same key and are interchangeable.  No documents,
+    keys go by id (null first), then size; rows that repeat an id have the same key and are interchangeable, and so are all rows without one, which share a key's uniform value.  No documents,
     no rows.  Columns besides those named are not read, so their names cannot clash.
     """
     size = size_of(text_col)

@@ -137,6 +137,15 @@ def test_languages_do_not_crowd(docs, monkeypatch):
         L.learn(table)
 
 
+def test_a_language_of_a_few_letters_is_learned(docs):
+    """Fewer bytes than a dictionary needs are repeated; a language whose texts have no letter has nothing to learn."""
+    table = docs((1, "ab", "s", "xx"), (2, "1 2 3", "s", "yy"), (3, "klmno klmno klmno", "s", "zz"))
+    learned = dict(L.learn(table))
+    assert set(learned) == {"xx", "zz"} and learned["xx"] == b"abababab"
+    got = {g["doc_id"]: g["lang_pred"] for g in L.language_id(docs((7, "abab ababab " * 9, "s"), (8, "klmno klmno klmno", "s"), (9, "12", "s")), list(learned.items())).collect()}
+    assert got[8] == "zz" and got[7] in learned and got[9] == "und"
+
+
 def test_language_is_the_least_of_all_compressors(docs, odd):
     """Against a plain reading: the whole text with each dictionary, a block at a time."""
     import zstandard
