@@ -7,7 +7,7 @@ All rows and whole texts take part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,18 +16,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Characters of text in a task: some 300,000 words, which sort in some 100 MB with all their items.
+TASK_CHARS = 2_000_000
+
+
+def dealt(texts: DataFrame, task_chars: int = TASK_CHARS) -> DataFrame:
+    """texts (sent_id, text) dealt by sent_id to tasks of about so many characters, however many there are.
+
+    Whole texts move, which are a fifth of the rows that they are cut into, and all that is cut from them stays dealt by sent_id.  The number of
+    tasks follows the characters, as rows of words would not fit a task's memory if it followed the bytes of texts.
+    """
+    chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, chars // task_chars + 1), "sent_id")
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sent_id, ord, item, start, nx: words of each document, where they start, and the next word."""
-    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    """sent_id, ord, item, n, start, nx, nx_n: words of each document and their lengths, where they start, and the next word."""
+    docs = dealt(read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("sent_id"), "text"))
     w = W.partitionBy("sent_id").orderBy("ord")
-    rows = docs.select(F.col("doc_id").alias("sent_id"), F.posexplode(F.split("text", " ", -1)).alias("ord", "item"))
+    rows = docs.select("sent_id", F.posexplode(F.split("text", " ", -1)).alias("ord", "item"))
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("item") + 1).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    return rows.where("item <> ''").withColumn("nx", F.lead("item").over(w))
+    return rows.where("item <> ''").withColumn("n", F.length("item")).withColumns({"nx": F.lead("item").over(w), "nx_n": F.lead("n").over(w)})
+
+
+#: Kinds of items of a word, gold's first.
+WORD, COMPOUND, CUT, CUT_REST, MERGED, HALF, HALF_REST, SAME = range(8)
 
 
 def _labels(items: DataFrame) -> DataFrame:
-    """pos, lemma and ner_label from the item; the two sides differ a little."""
-    n, pred = F.length("item"), F.col("side") == "b"
+    """pos, lemma and ner_label from the item and its length n; the two sides differ a little."""
+    n, pred = F.col("n"), F.col("side") == "b"
     upper = F.substring("item", 1, 1) != F.lower(F.substring("item", 1, 1))
     pos = F.when(pred & (n % 5 == 0), "ADJ").when(upper, "PROPN").when(n <= 3, "ADP").when(n % 2 == 0, "NOUN").otherwise("VERB")
     lemma = F.when(pred, F.translate(F.lower("item"), "éèêñóí", "eeenoi")).otherwise(F.lower("item"))
@@ -41,25 +59,33 @@ def items(spark: SparkSession, sf_dir: str, compounds: bool = False) -> DataFram
     characters behind the fourth if that has an even number and the fifth two characters; words over eight characters are halved.
     compounds: each pair of words 10k and 10k + 1 is a gold item more, before its parts, and no minimum token.
 
-    All items of a word come from its row, so the table is read once and stays dealt by sent_id."""
+    All items of a word come from its row, as a number each, so the table is read once, stays dealt by sent_id, and texts of items are made only if asked for."""
     w = words(spark, sf_dir)
-    n, merged = F.length("item"), (F.col("ord") % 7 == 3) & F.col("nx").isNotNull()
-    piece = lambda side, k, text, at, least=True: F.struct(F.lit(side).alias("side"), (F.col("ord") * 2 + k).alias("ord"), text.alias("item"), at.cast("int").alias("start"), F.lit(least).alias("is_min"))
+    n, nx, merged = F.col("n"), F.col("nx_n"), (F.col("ord") % 7 == 3) & F.col("nx_n").isNotNull()
+    kinds = lambda *k: F.array(*[F.lit(x) for x in k])
+
+    def both(*gold: int) -> Column:
+        pred = F.when(merged & (F.col("ord") % 2 == 0) & (nx >= 2), kinds(*gold, CUT, CUT_REST)).when(merged, kinds(*gold, MERGED))
+        return pred.when((n > 8) & (F.col("ord") % 7 != 4), kinds(*gold, HALF, HALF_REST)).when(F.col("ord") % 7 != 4, kinds(*gold, SAME)).otherwise(kinds(*gold))
+
+    all_of = F.when((F.col("ord") % 10 == 0) & nx.isNotNull(), both(COMPOUND, WORD)).otherwise(both(WORD)) if compounds else both(WORD)
+    rows = w.withColumn("kind", F.explode(all_of))
     half = F.floor(n / 2).cast("int")
     whole = F.concat("item", F.lit(" "), "nx")
-    gold = F.array(piece("a", 0, F.col("item"), F.col("start")))
-    none = F.slice(gold, 1, 0)
-    pred = (
-        F.when(merged & (F.col("ord") % 2 == 0) & (F.length("nx") >= 2), F.array(piece("b", 0, F.substring(whole, F.lit(1), n + 2), F.col("start")), piece("b", 1, F.substring(whole, n + 3, F.length(whole)), F.col("start") + n + 2)))
-        .when(merged, F.array(piece("b", 0, whole, F.col("start"))))
-        .when((n > 8) & (F.col("ord") % 7 != 4), F.array(piece("b", 0, F.substring(F.col("item"), F.lit(1), half), F.col("start")), piece("b", 1, F.substring(F.col("item"), half + 1, n), F.col("start") + half)))
-        .when(F.col("ord") % 7 != 4, F.array(piece("b", 0, F.col("item"), F.col("start"))))
-        .otherwise(none)
-    )
-    parts = [gold, pred]
-    if compounds:
-        parts.append(F.when((F.col("ord") % 10 == 0) & F.col("nx").isNotNull(), F.array(piece("a", -1, whole, F.col("start"), False))).otherwise(none))
-    return _labels(w.select("sent_id", F.explode(F.concat(*parts)).alias("x")).select("sent_id", "x.*"))
+
+    def of(default: Column, **values: Column) -> Column:
+        names = {"compound": COMPOUND, "cut": CUT, "cut_rest": CUT_REST, "merged": MERGED, "half": HALF, "half_rest": HALF_REST}
+        out = F
+        for k, v in values.items():
+            out = out.when(F.col("kind") == names[k], v)
+        return out.otherwise(default)
+
+    ord_ = F.col("ord") * 2 + of(F.lit(0), compound=F.lit(-1), cut_rest=F.lit(1), half_rest=F.lit(1))
+    start = F.col("start") + of(F.lit(0), cut_rest=n + 2, half_rest=half)
+    size = of(n, compound=n + 1 + nx, cut=n + 2, cut_rest=nx - 1, merged=n + 1 + nx, half=half, half_rest=n - half)
+    item = of(F.col("item"), compound=whole, cut=F.substring(whole, F.lit(1), n + 2), cut_rest=F.substring(whole, n + 3, F.length(whole)), merged=whole, half=F.substring(F.col("item"), F.lit(1), half), half_rest=F.substring(F.col("item"), half + 1, n))
+    side = F.when(F.col("kind") <= COMPOUND, "a").otherwise("b")
+    return _labels(rows.select("sent_id", side.alias("side"), ord_.alias("ord"), item.alias("item"), start.cast("int").alias("start"), size.alias("n"), (F.col("kind") != COMPOUND).alias("is_min")))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:

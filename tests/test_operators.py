@@ -699,3 +699,22 @@ def test_bio_under_unlabelled_items(spark, levels):
                 want.append((i, "a", n, tag))
                 n += 1
     assert sorted(map(tuple, entities.bio_from_items(table(spark, *sentences), levels).collect())) == want
+
+
+def exchanges(df):
+    """Keys of the exchanges of a plan, as Spark would run it."""
+    import re
+
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_texts_move_whole(spark, tmp_path):
+    """Texts are dealt before they are cut into words, to tasks by their characters, and nothing that is made of them moves again."""
+    from glossmeter.plans import fixtures as fx
+
+    spark.createDataFrame([(i, "ab cde  fghijklmno pq rs tuv wxyz " * 9) for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumnRenamed("doc_id", "sent_id")
+    assert fx.dealt(texts, 500).rdd.getNumPartitions() >= 40 * 9 * 34 // 500
+    items = fx.items(spark, str(tmp_path), compounds=True)
+    for df in (tokens.token_counts(items), align.label_pairs(items, "pos"), align.align(items), boundary.boundary_counts(items), entities.bio_from_items(items)):
+        assert len(exchanges(df)) == 1
