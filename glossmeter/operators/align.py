@@ -21,18 +21,20 @@ def align(items: DataFrame, strict: bool = False) -> DataFrame:
 
     Tokens of a side have a positive length and do not overlap; gaps are allowed.  strict: a sentence that lacks a side, or
     whose spans or tokens break this, fails the query; else it is left out (align_folded takes any tokens).  One exchange and
-    one sort: every window goes over the sentence from its last end to its first, so each keeps a running value.
+    one sort: every window goes over the sentence from its last end to its first, so each keeps a running value.  A token is odd if
+    one of its side that ends with it or behind it begins before its end; where none is, ends of a side differ, so two that are equal are shared.
     """
-    sent = W.partitionBy("sent_id")
-    down = sent.orderBy(F.desc("end"))
-    here, behind, so_far = down.rangeBetween(0, 0), down.rangeBetween(W.unboundedPreceding, -1), down.rangeBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("sent_id").orderBy(F.desc("end"), F.desc("side"))
+    behind, so_far, sent = down.rowsBetween(W.unboundedPreceding, -1), down.rowsBetween(W.unboundedPreceding, 0), down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     on = lambda f, c, s: f(F.when(F.col("side") == s, F.col(c)))
-    own = lambda f, c, w: F.when(F.col("side") == "a", on(f, c, "a").over(w)).otherwise(on(f, c, "b").over(w))
-    rows = items.where("is_min").withColumn("shared", F.when(F.min("side").over(here) != F.max("side").over(here), F.col("end")))
-    odd = (F.col("end") <= F.col("start")) | (own(F.count, "end", here) > 1) | F.coalesce(own(F.min, "start", behind) < F.col("end"), F.lit(False))
-    rows = rows.withColumn("odd", odd).withColumn("group", F.min("shared").over(so_far))
+    rows = items.where("is_min").withColumns({"back": F.lag("end").over(down), "next": F.lead("end").over(down), "least_a": on(F.min, "start", "a").over(behind), "least_b": on(F.min, "start", "b").over(behind)})
+    no = lambda c: F.coalesce(c, F.lit(False))
+    odd = (F.col("end") <= F.col("start")) | no(F.when(F.col("side") == "a", F.col("least_a")).otherwise(F.col("least_b")) < F.col("end"))
+    shared = F.when(no(F.col("back") == F.col("end")) | no(F.col("next") == F.col("end")), F.col("end"))
+    rows = rows.withColumns({"odd": odd, "shared": shared}).drop("back", "next", "least_a", "least_b")
     same = (on(F.min, "start", "a").over(sent) == on(F.min, "start", "b").over(sent)) & (on(F.max, "end", "a").over(sent) == on(F.max, "end", "b").over(sent))
-    return rows.withColumn("fits", F.coalesce(same, F.lit(False)) & ~F.bool_or("odd").over(sent)).where(_wanted("fits", strict)).drop("fits", "shared", "odd")
+    rows = rows.withColumns({"group": F.min("shared").over(so_far), "fits": no(same) & ~F.bool_or("odd").over(sent)})
+    return rows.where(_wanted("fits", strict)).drop("fits", "shared", "odd")
 
 
 def align_ranged(items: DataFrame, span: int, strict: bool = False) -> DataFrame:
@@ -215,6 +217,22 @@ def first_labels(aligned: DataFrame, labels: Sequence[str]) -> DataFrame:
     return g.select("sent_id", "group", "n_a", "n_b", *[F.col(f"{s}.{x}").alias(f"{s}_{x}") for x in labels for s in "ab"])
 
 
+def first_labels_in_order(aligned: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """first_labels() of what align() gives, in its order: without an exchange, a sort or a group's rows together.
+
+    A group has tokens of both sides, and goes from its shared end to the token that starts it; so at its last row each side's latest token is
+    its first one, and its sizes are what was counted since the last row of the group before.
+    """
+    down = W.partitionBy("sent_id").orderBy(F.desc("end"), F.desc("side"))
+    so_far = down.rowsBetween(W.unboundedPreceding, 0)
+    of = lambda s, x: F.when(F.col("side") == s, x)
+    seen = {f"seen_{s}": F.count(of(s, F.lit(1))).over(so_far) for s in "ab"} | {s: F.last(of(s, F.struct(*labels)), ignorenulls=True).over(so_far) for s in "ab"}
+    rows = aligned.select("sent_id", "side", "end", "group", *labels).withColumns(seen | {"after": F.lead("group").over(down)})
+    rows = rows.where("after IS NULL OR after <> group")
+    size = lambda s: F.col(f"seen_{s}") - F.coalesce(F.lag(f"seen_{s}").over(down), F.lit(0))
+    return rows.withColumns({"n_a": size("a"), "n_b": size("b")}).select("sent_id", "group", "n_a", "n_b", *[F.col(f"{s}.{x}").alias(f"{s}_{x}") for x in labels for s in "ab"])
+
+
 def edit_pairs(aligned: DataFrame, label: str, one_to_one: bool) -> DataFrame:
     """sent_id, a, b of all groups: those that label_pairs would skip pair by the edit path of their labels, MISALIGNED where a side has none."""
     labels = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("start", F.col(label).alias("label"))))), lambda x: x["label"])
@@ -237,7 +255,7 @@ def label_pairs(items: DataFrame, label: str, skip_unaligned: bool = True, one_t
     aligned = aligned_tokens(items.select("sent_id", "side", "ord", "start", "end", "is_min", label), strict, folded, span)
     if not skip_unaligned:
         return edit_pairs(aligned, label, one_to_one)
-    pairs = first_labels(aligned, [label]).where("n_a = 1 AND n_b = 1" if one_to_one else "n_a = n_b")
+    pairs = (first_labels if folded or span else first_labels_in_order)(aligned, [label]).where("n_a = 1 AND n_b = 1" if one_to_one else "n_a = n_b")
     return pairs.select("sent_id", F.col(f"a_{label}").alias("a"), F.col(f"b_{label}").alias("b"))
 
 

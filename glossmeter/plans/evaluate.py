@@ -80,7 +80,8 @@ def together(tasks: dict[str, LabelMetric], items: DataFrame, mode: str, options
             pairs = pairs.unionByName(p)
     else:
         pair = lambda t, m: F.when((F.col("n_a") == F.col("n_b")) & (F.lit(not m.one_to_one) | (F.col("n_a") == 1)), F.struct(F.lit(t).alias("task"), F.col(f"a_{m.label}").alias("a"), F.col(f"b_{m.label}").alias("b")))
-        groups = align.first_labels(aligned, names).withColumn("pairs", F.array_compact(F.array(*[pair(t, m) for t, m in tasks.items()])))
+        first = align.first_labels if options.folded or options.span else align.first_labels_in_order
+        groups = first(aligned, names).withColumn("pairs", F.array_compact(F.array(*[pair(t, m) for t, m in tasks.items()])))
         if options.strict and any("accuracy" in m.figures(mode) for m in tasks.values()):  # a sentence that has no pair to be right on
             some = F.max(F.size("pairs")).over(W.partitionBy("sent_id"))
             groups = groups.withColumn("some", some).where(F.when(F.col("some") == 0, F.raise_error(F.lit("a sentence has no pairs"))).otherwise(True))

@@ -718,3 +718,19 @@ def test_texts_move_whole(spark, tmp_path):
     items = fx.items(spark, str(tmp_path), compounds=True)
     for df in (tokens.token_counts(items), align.label_pairs(items, "pos"), align.align(items), boundary.boundary_counts(items), entities.bio_from_items(items)):
         assert len(exchanges(df)) == 1
+
+
+def test_first_labels_in_order(spark):
+    """The same as by groups, for groups of any sizes; no row is exchanged or sorted again."""
+    r = random.Random(5)
+
+    def side(n):
+        cuts = sorted({0, n, *r.sample(range(1, n), r.randrange(n - 1))})
+        return [(s, e, r.choice("XYZ"), r.choice("kl")) for s, e in zip(cuts, cuts[1:])]
+
+    aligned = align.align(table(spark, *[(side(n), side(n)) for n in (r.randint(2, 12) for _ in range(80))]))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    fast = align.first_labels_in_order(aligned, ["pos", "lemma"])
+    assert key(fast) == key(align.first_labels(aligned, ["pos", "lemma"]))
+    plan = fast._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") == 1 and "SortAggregate" not in plan
