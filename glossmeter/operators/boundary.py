@@ -16,16 +16,16 @@ COUNTS = ("n_match", "n_ad", "n_trans", "w_trans", "n_pot", "n_a", "n_b")
 def boundary_masses(items: DataFrame) -> DataFrame:
     """Minimum tokens in their given order: sent_id, side, gap_at, at (boundary places; gap_at null without a gap), total.
 
-    Windows go over the sentence, side after side, so there is one exchange on sent_id (none if the items are dealt by it
-    already) and one sort; what belongs to a side is summed for each side and chosen.
+    Windows go over the sentence, both sides together, so there is one exchange on sent_id (none if the items are dealt by it
+    already) and one sort, by the order that rows come in; what belongs to a side is summed for each side and chosen.
     """
-    sent = W.partitionBy("sent_id")
-    w = sent.orderBy("side", "ord")
-    own = lambda c, w: F.when(F.col("side") == "a", F.sum(F.when(F.col("side") == "a", F.col(c))).over(w)).otherwise(F.sum(F.when(F.col("side") == "b", F.col(c))).over(w))
+    w = W.partitionBy("sent_id").orderBy("ord", "side")
+    sent, behind = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), w.rowsBetween(W.unboundedPreceding, -1)
+    own = lambda f, c, w: F.when(F.col("side") == "a", f(F.when(F.col("side") == "a", F.col(c))).over(w)).otherwise(f(F.when(F.col("side") == "b", F.col(c))).over(w))
     rows = items.where("is_min").select("sent_id", "side", "ord", "start", "end")
-    before = F.when(F.lag("side").over(w) == F.col("side"), F.lag("end").over(w)).otherwise(0)
+    before = F.coalesce(own(lambda x: F.last(x, ignorenulls=True), "end", behind), F.lit(0))
     rows = rows.withColumn("before", before).withColumn("gap", F.greatest(F.col("start") - F.col("before"), F.lit(0))).withColumn("len", F.col("end") - F.col("start")).withColumn("mass", F.col("gap") + F.col("len"))
-    rows = rows.withColumn("upto", own("mass", w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", own("mass", sent))
+    rows = rows.withColumn("upto", own(F.sum, "mass", w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", own(F.sum, "mass", sent))
     return rows.select("sent_id", "side", F.when(F.col("gap") > 0, F.col("upto") - F.col("len") - 1).alias("gap_at"), (F.col("upto") - 1).alias("at"), "total")
 
 
