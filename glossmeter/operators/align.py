@@ -267,7 +267,15 @@ def is_contiguous(items: DataFrame) -> DataFrame:
 
 
 def find_gold_term(items: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For rows (sent_id, item, start) of wanted: the first gold item with that text and start, as gold_* columns; nulls if none."""
-    gold = items.where("side = 'a'").withColumn("n", F.row_number().over(W.partitionBy("sent_id", "item", "start").orderBy("ord"))).where("n = 1")
-    gold = gold.select("sent_id", "item", "start", *[F.col(c).alias(f"gold_{c}") for c in ("ord", "end", "pos", "lemma")])
-    return wanted.withColumn("start", F.col("start").cast("int")).join(gold, ["sent_id", "item", "start"], "left")
+    """For rows (sent_id, item, start) of wanted: the first gold item with that text and start, as gold_* columns; nulls if none.
+
+    Gold and wanted rows stay in one table, so nothing moves if both are dealt by sent_id alike, and a join would deal both anew by all its keys.
+    """
+    keys, found = ["sent_id", "item", "start"], ["ord", "end", "pos", "lemma"]
+    wanted = wanted.withColumn("start", F.col("start").cast("int"))
+    first = F.struct(*[F.col(c).alias(f"gold_{c}") for c in found])
+    gold = items.where("side = 'a'").where(" AND ".join(f"{c} IS NOT NULL" for c in keys))
+    gold = gold.select(*[F.col(f.name) if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.schema.fields], first.alias("found_gold"))
+    rows = wanted.withColumn("found_gold", F.lit(None).cast(gold.schema["found_gold"].dataType)).withColumn("is_wanted", F.lit(True)).unionByName(gold.withColumn("is_wanted", F.lit(False)))
+    rows = rows.withColumn("found_gold", F.min("found_gold").over(W.partitionBy("sent_id", "start", "item"))).where("is_wanted")
+    return rows.select(*keys, *[c for c in wanted.columns if c not in keys], "found_gold.*")

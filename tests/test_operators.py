@@ -734,3 +734,14 @@ def test_first_labels_in_order(spark):
     assert key(fast) == key(align.first_labels(aligned, ["pos", "lemma"]))
     plan = fast._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Sort [") == 1 and "SortAggregate" not in plan
+
+
+def test_lookup_moves_once(spark):
+    """Gold and wanted rows that are dealt by sentence alike do not move again; of repeated gold items the first is found, and null finds nothing."""
+    rows = [(0, "a", 1, "x", 5, 6), (0, "a", 0, "x", 5, 7), (0, "b", 0, "x", 5, 9), (0, "b", 1, "y", 5, 9), (1, "a", 0, None, 5, 9), (1, "b", 0, None, 5, 9)]
+    t = spark.createDataFrame([(*x, "P", "l") for x in rows], "sent_id long, side string, ord int, item string, start int, end int, pos string, lemma string").repartition(5, "sent_id")
+    found = align.find_gold_term(t, t.where("side = 'b'").select("sent_id", "item", "start", F.col("ord").alias("mine")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted((r["sent_id"], r["mine"], r["gold_ord"], r["gold_end"]) for r in found.collect() if r["item"]) == [(0, 0, 0, 7), (0, 1, None, None)]
+    assert [r["gold_ord"] for r in found.collect() if not r["item"]] == [None]
