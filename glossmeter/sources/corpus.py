@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ ITEM = T.StructType([
 ])
 #: The ner field is "" or a list; as a string it keeps its JSON, so neither is lost.
 SENTENCE = T.StructType([T.StructField("query", T.StringType()), T.StructField("expanded_query", T.StringType()), T.StructField("gold", T.ArrayType(ITEM)), T.StructField("pred", T.ArrayType(ITEM))])
+#: Sentences and characters after which compose() hands on what it has.
+PIECE_ROWS, PIECE_CHARS = 256, 1 << 18
 COLUMNS = ("sent_id", "side", "ord", "item", "start", "end", "pos", "lemma", "is_min", "is_stop", "ner_label")
 
 
@@ -134,7 +137,8 @@ def itemize(sentences: DataFrame, strict: bool = False) -> DataFrame:
 def compose(sentences: DataFrame, make_segmenter: Callable[[], object] | None) -> DataFrame:
     """Sentences with pred set to what a segmenter's segment(text) -> JSON gives for expanded_query, else query.
 
-    make_segmenter builds one segmenter in each Python worker's partition; None leaves the sentences as they are.
+    make_segmenter builds one segmenter in each Python worker's partition; None leaves the sentences as they are.  What it gives is many times
+    the text, so it goes back to Spark every PIECE_ROWS sentences or PIECE_CHARS characters, whatever a batch holds.
     """
     if make_segmenter is None:
         return sentences
@@ -144,8 +148,10 @@ def compose(sentences: DataFrame, make_segmenter: Callable[[], object] | None) -
         segmenter = make_segmenter()
         for b in batches:
             text = b["expanded_query"].where(b["expanded_query"].notna(), b["query"]) if "expanded_query" in b else b["query"]
-            b["pred"] = [segmenter.segment(t) for t in text]
-            yield b
+            rows, chars = np.arange(len(b)) // PIECE_ROWS, text.str.len().fillna(0).astype("int64").cumsum().to_numpy() // PIECE_CHARS
+            edges = [0, *(np.flatnonzero((np.diff(rows) != 0) | (np.diff(chars) != 0)) + 1).tolist(), len(b)]
+            for i, j in zip(edges, edges[1:]):
+                yield b.iloc[i:j].assign(pred=[segmenter.segment(t) for t in text.iloc[i:j]])
 
     plain = sentences.select(*others)
     schema = T.StructType([*plain.schema.fields, T.StructField("pred", T.StringType())])

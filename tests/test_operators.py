@@ -745,3 +745,15 @@ def test_lookup_moves_once(spark):
     assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan
     assert sorted((r["sent_id"], r["mine"], r["gold_ord"], r["gold_end"]) for r in found.collect() if r["item"]) == [(0, 0, 0, 7), (0, 1, None, None)]
     assert [r["gold_ord"] for r in found.collect() if not r["item"]] == [None]
+
+
+def test_compose_hands_on_pieces(spark, monkeypatch):
+    """A batch of Spark's goes back in pieces, so what a worker holds does not grow with the batch."""
+    got = []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, f, schema, **_: got.append(f) or self.selectExpr("*", "'[]' AS pred"))
+    corpus.compose(spark.createDataFrame([(0, "a")], "sent_id long, query string"), lambda: type("S", (), {"segment": staticmethod(lambda text: text)})())
+    import pandas as pd
+
+    pieces = list(got[0](iter([pd.DataFrame({"sent_id": range(1000), "query": ["ab", None] * 500}), pd.DataFrame({"sent_id": range(3), "query": ["x" * (1 << 18)] * 3})])))
+    assert [len(p) for p in pieces] == [256, 256, 256, 232, 1, 1, 1] and list(pieces[0]["pred"][:2]) == ["ab", None]
