@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -199,9 +204,48 @@ def edit_path(a: Sequence, b: Sequence) -> list[tuple]:
     return out[::-1]
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])))
-def _paths(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([[{"a": x, "b": y} for x, y in edit_path(list(p), list(q))] for p, q in zip(a, b)])
+def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A number for every value, in their order (null first), and the values by number; the last one, null, stands for none."""
+    coded = values.dictionary_encode(null_encoding="encode")
+    texts = coded.dictionary.to_pylist()
+    order = sorted(range(len(texts)), key=lambda k: (texts[k] is not None, texts[k] or ""))
+    rank = np.empty(len(texts), dtype="i4")
+    rank[order] = np.arange(len(texts), dtype="i4")
+    return rank[coded.indices.to_numpy(zero_copy_only=False)], pa.array([*(texts[k] for k in order), None], values.type)
+
+
+class _Known:
+    """Edit paths of lists of numbers as two arrays, with none where a side has nothing; short lists that come again are worked out once."""
+
+    def __init__(self, none: int, short: int = 16):
+        self.none, self.short, self.paths = none, short, {}
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> tuple[array, array]:
+        key = (x.tobytes(), y.tobytes()) if len(x) + len(y) <= self.short else None
+        if key is None or (got := self.paths.get(key)) is None:
+            got = array("i"), array("i")
+            for pair in edit_path(x.tolist(), y.tolist()):
+                for side, v in zip(got, pair):
+                    side.append(self.none if v is None else v)
+            if key:
+                self.paths[key] = got
+        return got
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])))
+def _paths(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Labels are numbers from the batch's first list to its last path, so that lists of whole sentences take some bytes a label."""
+    codes, texts = _codes(pa.concat_arrays([a.flatten(), b.flatten()]))
+    sizes = [pa.compute.list_value_length(s).to_numpy(zero_copy_only=False) for s in (a, b)]
+    known, steps, ends = _Known(len(texts) - 1), (array("i"), array("i")), [0]
+    i, j = 0, int(sizes[0].sum())
+    for n, m in zip(*(s.tolist() for s in sizes)):
+        for side, found in zip(steps, known(codes[i : i + n], codes[j : j + m])):
+            side.extend(found)
+        i, j = i + n, j + m
+        ends.append(len(steps[0]))
+    labels = [texts.take(pa.array(np.frombuffer(s, dtype="i4") if s else np.empty(0, "i4"))) for s in steps]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(labels, ["a", "b"]))
 
 
 def edit_ops(a: Column | str, b: Column | str) -> Column:
@@ -233,16 +277,80 @@ def first_labels_in_order(aligned: DataFrame, labels: Sequence[str]) -> DataFram
     return rows.withColumns({"n_a": size("a"), "n_b": size("b")}).select("sent_id", "group", "n_a", "n_b", *[F.col(f"{s}.{x}").alias(f"{s}_{x}") for x in labels for s in "ab"])
 
 
-def edit_pairs(aligned: DataFrame, label: str, one_to_one: bool) -> DataFrame:
+def _group_steps(batch: pa.RecordBatch, new: np.ndarray, even: bool) -> pa.RecordBatch:
+    """The steps of whole groups; new: where a row begins one."""
+    sent, _, is_b, start, label = batch.columns
+    codes, texts = _codes(label)
+    nr, is_b = np.cumsum(new) - 1, is_b.to_numpy(zero_copy_only=False)
+    order = np.lexsort((codes, start.to_numpy(zero_copy_only=False), is_b, nr))
+    codes, n = codes[order], int(nr[-1]) + 1
+    n_a, n_b = (np.bincount(nr[s], minlength=n) for s in (~is_b, is_b))
+    begin = np.cumsum(n_a + n_b) - n_a - n_b
+    easy = (n_a == n_b) if even else (n_a == 1) & (n_b == 1)
+    at, known = begin[easy], _Known(len(texts) - 1)
+    hard, left, right = array("i"), array("i"), array("i")
+    for k in np.flatnonzero(~easy).tolist():
+        i, j = begin[k], begin[k] + n_a[k]
+        x, y = known(codes[i:j], codes[j : j + n_b[k]])
+        hard.extend([k] * len(x))
+        left.extend(x)
+        right.extend(y)
+    of = np.concatenate([np.flatnonzero(easy), hard]).astype("i8")
+    text = lambda first, more: texts.take(pa.array(np.concatenate([codes[first], more]).astype("i4")))
+    sent = sent.take(pa.array(np.flatnonzero(new)[of]))
+    return pa.RecordBatch.from_arrays([sent, pa.array(n_a[of], pa.int64()), pa.array(n_b[of], pa.int64()), text(at, left), text(at + n_a[easy], right)], names=["sent_id", "n_a", "n_b", "a", "b"])
+
+
+def edit_steps(aligned: DataFrame, label: str, even: bool = False, in_order: bool = False) -> DataFrame:
+    """sent_id, n_a, n_b, a, b: for each group the steps of the edit path between its sides' labels in order of start, with the group's sizes; null where a side has none.
+
+    even: groups with as many tokens on each side give their first labels only.  in_order: aligned is what align() gives, whose groups stand together, so
+    nothing moves, sorts or comes together but one group; else tokens are dealt by group.
+    """
+    rows = aligned.select("sent_id", "group", (F.col("side") == "b").alias("is_b"), "start", label, "end", "side")
+    if in_order:
+        rows = rows.sortWithinPartitions("sent_id", F.desc("end"), F.desc("side"))  # the order that they have
+    else:
+        rows = rows.repartition("sent_id", "group").sortWithinPartitions("sent_id", "group")
+    rows = rows.drop("end", "side")
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # of the last group, which may go on
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is not None:
+                keys = [batch.column(c) for c in (0, 1)]
+                before = [waiting[-1].column(c).slice(waiting[-1].num_rows - 1) if waiting else k.slice(0, 1) for c, k in enumerate(keys)]
+                new = np.zeros(batch.num_rows, dtype=bool)
+                for k, was in zip(keys, before):
+                    k = pa.concat_arrays([was, k]).to_numpy(zero_copy_only=False)
+                    new |= k[1:] != k[:-1]
+                if not new.any():
+                    waiting.append(batch)
+                    continue
+                cut = int(np.flatnonzero(new)[-1])
+                whole = pa.concat_batches([*waiting, batch.slice(0, cut)])
+                new = np.concatenate([np.zeros(whole.num_rows - cut, dtype=bool), new[:cut]])
+                waiting = [batch.slice(cut)]
+            elif waiting:
+                whole = pa.concat_batches(waiting)
+                new = np.zeros(whole.num_rows, dtype=bool)
+            else:
+                continue
+            new[0] = True
+            yield _group_steps(whole, new, even)
+
+    text = T.StringType()
+    kinds = {"sent_id": aligned.schema["sent_id"].dataType, "n_a": T.LongType(), "n_b": T.LongType(), "a": text, "b": text}
+    return rows.mapInArrow(steps, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
+
+
+def edit_pairs(aligned: DataFrame, label: str, one_to_one: bool, in_order: bool = False) -> DataFrame:
     """sent_id, a, b of all groups: those that label_pairs would skip pair by the edit path of their labels, MISALIGNED where a side has none."""
-    labels = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("start", F.col(label).alias("label"))))), lambda x: x["label"])
-    g = aligned.groupBy("sent_id", "group").agg(labels("a").alias("a"), labels("b").alias("b"))
-    match = (F.size("a") == 1) & (F.size("b") == 1) if one_to_one else F.size("a") == F.size("b")
-    easy = F.array(F.struct(F.get("a", F.lit(0)).alias("a"), F.get("b", F.lit(0)).alias("b")))
-    g = g.withColumn("match", match)
-    mark = lambda c: F.coalesce(c, F.lit("MISALIGNED"))
-    hard = g.where("NOT match").select("sent_id", F.explode(edit_ops("a", "b")).alias("x")).select("sent_id", mark(F.col("x.a")).alias("a"), mark(F.col("x.b")).alias("b"))
-    return g.where("match").select("sent_id", F.explode(easy).alias("x")).select("sent_id", "x.a", "x.b").unionByName(hard)
+    easy = F.col("n_a") == F.col("n_b") if not one_to_one else (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    mark = lambda c: F.when(easy, F.col(c)).otherwise(F.coalesce(c, F.lit("MISALIGNED"))).alias(c)
+    return edit_steps(aligned, label, even=not one_to_one, in_order=in_order).select("sent_id", mark("a"), mark("b"))
 
 
 def label_pairs(items: DataFrame, label: str, skip_unaligned: bool = True, one_to_one: bool = True, strict: bool = False, folded: bool = False, span: int | None = None) -> DataFrame:
@@ -254,7 +362,7 @@ def label_pairs(items: DataFrame, label: str, skip_unaligned: bool = True, one_t
     """
     aligned = aligned_tokens(items.select("sent_id", "side", "ord", "start", "end", "is_min", label), strict, folded, span)
     if not skip_unaligned:
-        return edit_pairs(aligned, label, one_to_one)
+        return edit_pairs(aligned, label, one_to_one, in_order=not (folded or span))
     pairs = (first_labels if folded or span else first_labels_in_order)(aligned, [label]).where("n_a = 1 AND n_b = 1" if one_to_one else "n_a = n_b")
     return pairs.select("sent_id", F.col(f"a_{label}").alias("a"), F.col(f"b_{label}").alias("b"))
 

@@ -74,7 +74,7 @@ def together(tasks: dict[str, LabelMetric], items: DataFrame, mode: str, options
     names = sorted({m.label for m in tasks.values()})
     aligned = align.aligned_tokens(items.select("sent_id", "side", "ord", "start", "end", "is_min", *names), options.strict, options.folded, options.span)
     if options.skip_unaligned is False:
-        parts = [align.edit_pairs(aligned, m.label, m.one_to_one).select("sent_id", F.lit(t).alias("task"), "a", "b") for t, m in tasks.items()]
+        parts = [align.edit_pairs(aligned, m.label, m.one_to_one, in_order=not (options.folded or options.span)).select("sent_id", F.lit(t).alias("task"), "a", "b") for t, m in tasks.items()]
         pairs = parts[0]
         for p in parts[1:]:
             pairs = pairs.unionByName(p)

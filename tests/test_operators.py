@@ -757,3 +757,51 @@ def test_compose_hands_on_pieces(spark, monkeypatch):
 
     pieces = list(got[0](iter([pd.DataFrame({"sent_id": range(1000), "query": ["ab", None] * 500}), pd.DataFrame({"sent_id": range(3), "query": ["x" * (1 << 18)] * 3})])))
     assert [len(p) for p in pieces] == [256, 256, 256, 232, 1, 1, 1] and list(pieces[0]["pred"][:2]) == ["ab", None]
+
+
+def random_sides(r, longest):
+    """Two cuts of one text, with parts of speech and lemmas."""
+    n = r.randint(2, longest)
+    cut = lambda: sorted({0, n, *r.sample(range(1, n), r.randrange(n - 1))}) if n > 2 else [0, n]
+    return tuple([(s, e, r.choice("XYZ"), r.choice("kl")) for s, e in zip(c, c[1:])] for c in (cut(), cut()))
+
+
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_edit_steps_in_one_pass(spark, batch):
+    """Groups of any sizes over the borders of batches, against edit_path; the input is read once, and no group is gathered by an aggregate or moved."""
+    r = random.Random(batch)
+    sentences = [random_sides(r, 14) for _ in range(80)]
+    t = table(spark, *sentences)
+    groups = {(g["sent_id"], g["group"]): (g["a"], g["b"]) for g in align.align_groups(t).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for label, one in (("pos", True), ("lemma", False)):
+            want = []
+            for (sent, _), sides in groups.items():
+                x, y = ([v[label] for v in side] for side in sides)
+                path = [(x[0], y[0])] if len(x) == len(y) and not one else align.edit_path(x, y)
+                want += [(sent, p or "MISALIGNED", q or "MISALIGNED") for p, q in path]
+            for options in ({}, {"folded": True}, {"span": 4}):
+                got = align.label_pairs(t, label, skip_unaligned=False, one_to_one=one, **options)
+                assert sorted(map(tuple, got.collect())) == sorted(want)
+            plan = align.label_pairs(t, label, skip_unaligned=False, one_to_one=one)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "Union" not in plan and "Aggregate" not in plan and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_edit_ops_hold_labels_as_numbers():
+    """Lists of whole sentences in one batch: a path's steps are numbers in two arrays, not an object a step."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(2)
+    a, b = (pa.array([[r.choice(["NOUN", "VERB", "ADP"]) for _ in range(400)] for _ in range(100)]) for _ in "ab")
+    tracemalloc.start()
+    paths = align.edit_ops.__globals__["_paths"].func(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(x["a"], x["b"]) for x in paths[7].as_py()] == align.edit_path(a[7].as_py(), b[7].as_py())
+    assert most < 4_000_000
