@@ -8,7 +8,6 @@ from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
@@ -29,6 +28,13 @@ def align(items: DataFrame, strict: bool = False) -> DataFrame:
     one sort: every window goes over the sentence from its last end to its first, so each keeps a running value.  A token is odd if
     one of its side that ends with it or behind it begins before its end; where none is, ends of a side differ, so two that are equal are shared.
     """
+    rows = _judged(items)
+    return rows.withColumn("fits", F.col("same") & ~F.col("odd")).where(_wanted("fits", strict)).drop("fits", "same", "odd", "shared_from", "shared_in_all")
+
+
+def _judged(items: DataFrame) -> DataFrame:
+    """Minimum tokens with group, and of their sentence same (both sides cover one span) and odd (tokens overlap or have no length); shared_from, shared_in_all: tokens
+    that end where one of the other side does, from here to the sentence's end and in all of it."""
     down = W.partitionBy("sent_id").orderBy(F.desc("end"), F.desc("side"))
     behind, so_far, sent = down.rowsBetween(W.unboundedPreceding, -1), down.rowsBetween(W.unboundedPreceding, 0), down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     on = lambda f, c, s: f(F.when(F.col("side") == s, F.col(c)))
@@ -38,8 +44,8 @@ def align(items: DataFrame, strict: bool = False) -> DataFrame:
     shared = F.when(no(F.col("back") == F.col("end")) | no(F.col("next") == F.col("end")), F.col("end"))
     rows = rows.withColumns({"odd": odd, "shared": shared}).drop("back", "next", "least_a", "least_b")
     same = (on(F.min, "start", "a").over(sent) == on(F.min, "start", "b").over(sent)) & (on(F.max, "end", "a").over(sent) == on(F.max, "end", "b").over(sent))
-    rows = rows.withColumns({"group": F.min("shared").over(so_far), "fits": no(same) & ~F.bool_or("odd").over(sent)})
-    return rows.where(_wanted("fits", strict)).drop("fits", "shared", "odd")
+    counts = {"shared_from": F.count("shared").over(so_far), "shared_in_all": F.count("shared").over(sent)}
+    return rows.withColumns({"group": F.min("shared").over(so_far), "same": no(same), "odd": F.bool_or("odd").over(sent), **counts}).drop("shared")
 
 
 def align_ranged(items: DataFrame, span: int, strict: bool = False) -> DataFrame:
@@ -99,25 +105,52 @@ def fold(a: Sequence[tuple[int, int]], b: Sequence[tuple[int, int]]) -> list[tup
 
 
 def align_folded(items: DataFrame, strict: bool = False) -> DataFrame:
-    """align() for tokens that overlap or have no length, a sentence at a time in Arrow batches; group counts from 0.
+    """align() for tokens that overlap or have no length; group counts from 0.
 
-    strict: a sentence that lacks a side or whose spans differ fails the query; else it is left out.
+    Sentences without such tokens get their groups from the windows of align(), as folding them comes to the same, and pass through; the tokens of one
+    odd sentence at a time are folded by two cursors.  strict: a sentence that lacks a side or whose spans differ fails the query; else it is left out.
     """
-    rows = items.where("is_min")
-
-    def groups(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["side", "ord"], kind="stable").reset_index(drop=True)
-        at = {s: p.index[p["side"] == s].to_numpy() for s in "ab"}
-        spans = {s: list(zip(p["start"][i].tolist(), p["end"][i].tolist())) for s, i in at.items()}
-        ends = [(min(x)[0], max(e for _, e in x)) if (x := spans[s]) else None for s in "ab"]
-        if None in ends or ends[0] != ends[1]:
-            if strict:
-                raise ValueError("a and b need to cover the same total span")
-            return p.head(0).assign(group=0)
-        found = [(k, at[s][i]) for k, g in enumerate(fold(spans["a"], spans["b"])) for s, members in zip("ab", g) for i in members]
-        return p.loc[[i for _, i in found]].assign(group=[k for k, _ in found])
-
-    return rows.groupBy("sent_id").applyInPandas(groups, T.StructType([*rows.schema.fields, T.StructField("group", T.IntegerType())]))
+    rows = _judged(items.withColumn("whole", F.struct("start", "end", "ord", (F.col("side") == "b").alias("is_b"))))
+    nr = F.floor((F.col("shared_in_all") - F.col("shared_from")) / 2).cast("int")
+    kept = F.when(~F.col("same"), F.raise_error(F.lit("a and b need to cover the same total span"))).otherwise(True) if strict else F.col("same")
+    columns = [f.name for f in items.schema.fields]
+    rows = rows.where(kept).select(*columns, nr.alias("group"), "odd", "whole", F.col("sent_id").alias("sent"))
+
+    def fold_odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # rows of one odd sentence
+
+        def folded() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                yield _folded(pa.concat_batches(waiting), len(columns))
+                waiting.clear()
+
+        for batch in batches:
+            sent, odd = batch.column(len(columns) + 3).to_numpy(zero_copy_only=False), batch.column(len(columns) + 1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(odd[1:] | odd[:-1]) + 1).tolist(), batch.num_rows] if odd.any() else [0, batch.num_rows]
+            cuts = [c for c in cuts if c in (0, batch.num_rows) or sent[c] != sent[c - 1]]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                part = batch.slice(i, j - i)
+                if waiting and (not odd[i] or waiting[-1].column(len(columns) + 3)[-1].as_py() != part.column(len(columns) + 3)[0].as_py()):
+                    yield from folded()
+                if odd[i]:
+                    waiting.append(part)
+                else:
+                    yield part.select(range(len(columns) + 1))
+        yield from folded()
+
+    return rows.mapInArrow(fold_odd, T.StructType([*items.schema.fields, T.StructField("group", T.IntegerType())]))
+
+
+def _folded(sentence: pa.RecordBatch, n: int) -> pa.RecordBatch:
+    """The first n columns of a sentence's rows that are in a group, and the group's number."""
+    whole = sentence.column(n + 2).to_pylist()
+    at = [sorted((k for k, x in enumerate(whole) if x["is_b"] == side), key=lambda k: whole[k]["ord"]) for side in (False, True)]
+    groups = fold(*([(whole[k]["start"], whole[k]["end"]) for k in i] for i in at))
+    found = [(k, i[m]) for k, group in enumerate(groups) for i, members in zip(at, group) for m in members]
+    rows = sentence.take(pa.array([k for _, k in found], pa.int64()))
+    return pa.RecordBatch.from_arrays([*rows.columns[:n], pa.array([k for k, _ in found], pa.int32())], names=sentence.schema.names[: n + 1])
 
 
 def aligned_tokens(items: DataFrame, strict: bool = False, folded: bool = False, span: int | None = None) -> DataFrame:

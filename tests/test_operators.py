@@ -805,3 +805,24 @@ def test_edit_ops_hold_labels_as_numbers():
     tracemalloc.stop()
     assert [(x["a"], x["b"]) for x in paths[7].as_py()] == align.edit_path(a[7].as_py(), b[7].as_py())
     assert most < 4_000_000
+
+
+@pytest.mark.parametrize("batch", [2, 10000])
+def test_only_odd_sentences_are_folded(spark, batch, monkeypatch):
+    """Sentences with overlaps, tokens without length and neither, beside each other and over the borders of batches, against fold(); no group of Python's a sentence."""
+    r = random.Random(batch)
+    odd = lambda: [(s := r.randrange(9), s + r.randrange(5)) for _ in range(r.randrange(6))] + [(0, 3), (6, 14)]
+    sentences = [(odd(), odd()) if r.random() < 0.5 else random_sides(r, 9) for _ in range(90)]
+    want = []
+    for i, (a, b) in enumerate(sentences):
+        a, b = ([x[:2] for x in s] for s in (a, b))
+        if (min(a)[0], max(e for _, e in a)) == (min(b)[0], max(e for _, e in b)):
+            want += [(i, "ab"[k], m, g) for g, members in enumerate(align.fold(a, b)) for k in (0, 1) for m in members[k]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = align.align_folded(table(spark, *sentences))
+        assert sorted((x["sent_id"], x["side"], x["ord"], x["group"]) for x in got.collect()) == sorted(want)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
