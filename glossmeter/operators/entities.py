@@ -6,10 +6,12 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import ratio
 
@@ -26,11 +28,64 @@ CASES = {
     "missed": ("missed",) * 4,
 }
 
-def _open_before(items: Column) -> Column:
-    """struct<start, end, label> of the entity that is open behind an array<struct<start, end, label>> in order; null if none is."""
-    none = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("label"))
-    step = lambda o, x: F.when(F.coalesce(x["end"] <= o["end"], F.lit(False)), o).when(x["label"].isNotNull(), F.struct(x["start"], x["end"], x["label"])).otherwise(none)
-    return F.aggregate(items, none, step)
+
+def _owners(key: np.ndarray, start: np.ndarray, end: np.ndarray, named: np.ndarray, levels: int) -> np.ndarray:
+    """For each item the place of the entity that it is or is in, else -1; items in order, key: number of their list, ascending."""
+    owner, rows = np.full(len(key), -1), np.arange(len(key))
+    least, width = (end.min(), int(end.max() - end.min()) + 1) if len(end) else (0, 1)
+    for _ in range(levels):
+        if not len(rows):
+            return owner
+        reach = (end[rows] - least) + key * width
+        head = np.concatenate([[True], reach[1:] > np.maximum.accumulate(reach)[:-1]])
+        first = np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))
+        ours = named[rows[first]]
+        owner[rows[ours]] = rows[first[ours]]
+        key, rows = np.cumsum(head)[~ours & ~head], rows[~ours & ~head]
+    now, open_ = None, -1
+    for nr, k in zip(key.tolist(), rows.tolist()):
+        if nr != now:
+            now, open_ = nr, -1
+        if open_ < 0 or end[k] > end[open_]:
+            open_ = k if named[k] else -1
+        owner[k] = open_
+    return owner
+
+
+def _tagged(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[pa.RecordBatch]:
+    """Rows (sent_id, side, nr, start, end, label) in order, nr counting from 1 for each sentence and side, with their tags.
+
+    From batch to batch go the entity that is open and the number of tags before; the entity stands as an item more before the next batch.
+    """
+    held, count = None, 0  # (start, end, label)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nr, start, end = (batch.column(c).to_numpy(zero_copy_only=False).astype("i8") for c in (2, 3, 4))
+        label = batch.column(5)
+        first = nr == 1
+        more = 0 if first[0] or held is None else 1
+        count = 0 if first[0] else count
+        if more:
+            start, end, first = np.concatenate([[held[0]], start]), np.concatenate([[held[1]], end]), np.concatenate([[False], first])
+            label = pa.concat_arrays([pa.array([held[2]], label.type), label])
+        key = np.cumsum(first)
+        coded = label.dictionary_encode()
+        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype("i8")
+        own = _owners(key, start, end, code >= 0, levels)
+        at, names, n = np.arange(len(own)), coded.dictionary.to_pylist(), len(coded.dictionary)
+        tag = np.where(own < 0, 0, np.where(own == at, 1, 1 + n) + code[own])
+        shown = (own < 0) | (own == at) | (start != start[own])
+        shown[:more] = False
+        so_far = np.cumsum(shown)
+        begin = np.maximum.accumulate(np.where(first, at, 0))
+        ord_ = so_far - np.where(key > 0, so_far[begin] - shown[begin], -count) - 1
+        held = None if own[-1] < 0 else (int(start[own[-1]]), int(end[own[-1]]), names[code[own[-1]]])
+        count = int(ord_[-1]) + 1
+        rows = pa.array(np.flatnonzero(shown))
+        texts = pa.array(["O", *(f"B-{x}" for x in names), *(f"I-{x}" for x in names)], pa.string())
+        mine = pa.array(np.flatnonzero(shown) - more)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(mine), batch.column(1).take(mine), pa.array(ord_.astype("i4")).take(rows), texts.take(pa.array(tag)).take(rows)], names=["sent_id", "side", "ord", "tag"])
 
 
 def bio_from_items(items: DataFrame, levels: int = 4) -> DataFrame:
@@ -38,29 +93,14 @@ def bio_from_items(items: DataFrame, levels: int = 4) -> DataFrame:
 
     An item that ends behind all before it opens a stretch; nothing reaches over from one stretch to the next.  A stretch whose
     first item has a label is that entity, whatever else is in it: I-, or no tag where an item starts with it.  A first item without a label is O, and the rest of
-    its stretch falls into stretches in the same way, and so on.  All levels are running maxima over one order, so a sentence is sorted once and nothing of
-    it is gathered; only under more than `levels` unlabelled items, each within the next, an item goes through those before it.
+    its stretch falls into stretches in the same way, and so on.  A sentence is sorted once and streams by in Arrow batches, whose stretches are running
+    maxima; under more than `levels` unlabelled items, each within the next, items are read one by one.  One entity at most goes on from a batch to the next.
     """
     w = W.partitionBy("sent_id", "side").orderBy("start", F.desc("end"), "ord")
-    before, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
-    rows = items.select("sent_id", "side", "ord", "start", "end", F.col("ner_label").alias("label"))
-    rows = rows.withColumns({"free": F.lit(True), "nr": F.lit(0).cast("long"), "tag": F.lit(None).cast("string")})
-    no = lambda c: F.coalesce(c, F.lit(False))
-    alone = F.coalesce(F.concat(F.lit("B-"), F.col("label")), F.lit("O"))
-    within = lambda o: F.when(F.col("start") != o["start"], F.concat(F.lit("I-"), o["label"])).otherwise("")
-    for _ in range(levels):
-        last = F.max(F.when(F.col("free"), F.struct("nr", "end"))).over(before)
-        rows = rows.withColumn("last", last).withColumn("head", F.col("free") & F.coalesce((F.col("last.nr") < F.col("nr")) | (F.col("end") > F.col("last.end")), F.lit(True)))
-        rows = rows.withColumns({"nr": F.count(F.when(F.col("head"), 1)).over(upto), "own": F.last(F.when(F.col("head"), F.struct("start", "label")), ignorenulls=True).over(upto)})
-        inside = F.col("free") & ~F.col("head")
-        rows = rows.withColumn("tag", F.when(F.col("head"), alone).when(inside & F.col("own.label").isNotNull(), within(F.col("own"))).otherwise(F.col("tag")))
-        rows = rows.withColumn("free", inside & F.col("own.label").isNull()).drop("last", "head", "own")
-    prior = F.collect_list(F.when(F.col("free"), F.struct("nr", "start", "end", "label"))).over(before)
-    rows = rows.withColumn("prior", prior).withColumn("open", F.when(F.col("free"), _open_before(F.filter("prior", lambda x: x["nr"] == F.col("nr")))))
-    deep = F.when(no(F.col("end") <= F.col("open.end")), within(F.col("open"))).otherwise(alone)
-    rows = rows.withColumn("tag", F.when(F.col("free"), deep).otherwise(F.col("tag")))
-    place = F.count(F.when(F.col("tag") != "", 1)).over(upto) - 1
-    return rows.select("sent_id", "side", place.cast("int").alias("ord"), "tag").where("tag <> ''")
+    rows = items.select("sent_id", "side", "ord", "start", "end", F.col("ner_label").alias("label")).withColumn("nr", F.row_number().over(w))
+    rows = rows.sortWithinPartitions("sent_id", "side", "start", F.desc("end"), "ord")  # the order that they have
+    kinds = {"sent_id": items.schema["sent_id"].dataType, "side": T.StringType(), "ord": T.IntegerType(), "tag": T.StringType()}
+    return rows.select("sent_id", "side", "nr", "start", "end", "label").mapInArrow(lambda batches: _tagged(batches, levels), T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
 
 
 def entities_from_tags(tags: DataFrame, compat: bool = True) -> DataFrame:

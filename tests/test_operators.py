@@ -826,3 +826,31 @@ def test_only_odd_sentences_are_folded(spark, batch, monkeypatch):
         assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_tags_stream_by(spark, batch):
+    """Tags over the borders of batches are those of one batch; one window and one sort, however many levels."""
+    r = random.Random(batch)
+    side = lambda: [(s := r.randrange(30), s + r.randint(1, 12), "X", "l", True, r.choice([None, None, "A", "B"])) for _ in range(r.randrange(14))] + [(0, 40, "X", "l", True, None)] * r.randrange(2)
+    sentences = [(side(), side()) for _ in range(60)]
+    want = []
+    for i, sides in enumerate(sentences):
+        for name, items in zip("ab", sides):
+            open_, n = None, 0
+            for s, e, *_, label in sorted(items, key=lambda x: (x[0], -x[1])):
+                inside = open_ and e <= open_[1]
+                tag = (f"I-{open_[2]}" if s != open_[0] else None) if inside else (f"B-{label}" if label else "O")
+                open_ = open_ if inside else ((s, e, label) if label else None)
+                if tag:
+                    want.append((i, name, n, tag))
+                    n += 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = entities.bio_from_items(table(spark, *sentences))
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Window [") == 1 and plan.count("Sort [") == 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
