@@ -54,6 +54,16 @@ def scores(table: DataFrame, average: str = "micro", by: list[str] | None = None
     return per_label(table, by).groupBy(*(by or [])).agg(*_averages(average), _kappa(), accuracy.alias("accuracy"))
 
 
+def micro_scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, precision, recall, fscore, accuracy: micro averages and accuracy of scores(), from pairs themselves.
+
+    Each pair has one truth and one prediction, so all of them are the share of pairs that agree, and a task keeps two counts, however many labels there are.
+    """
+    s = pairs.groupBy(*(by or [])).agg(F.count(F.when(F.col("a") == F.col("b"), 1)).alias("tp"), F.count("*").alias("n"))
+    share = ratio(F.col("tp"), F.col("n"))
+    return s.select(*(by or []), *[share.alias(c) for c in ("precision", "recall", "fscore")], F.try_divide(F.col("tp").cast("double"), F.col("n").cast("double")).alias("accuracy"))
+
+
 def kappa(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by, kappa (Cohen's, unweighted); NaN where chance agreement is 1, null without pairs."""
     return per_label(table, by).groupBy(*(by or [])).agg(_kappa())

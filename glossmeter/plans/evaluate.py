@@ -70,7 +70,10 @@ class LabelMetric(Metric):
 
 
 def together(tasks: dict[str, LabelMetric], items: DataFrame, mode: str, options: Options, by: list[str]) -> list[tuple[str, DataFrame]]:
-    """(task, scores) of tasks over aligned labels: one alignment, one confusion table and one pass over it for all of them."""
+    """(task, scores) of tasks over aligned labels: one alignment, one confusion table and one pass over it for all of them.
+
+    Micro averages and accuracies need no table, which for lemmas has a row for nearly every two words that were paired.
+    """
     names = sorted({m.label for m in tasks.values()})
     aligned = align.aligned_tokens(items.select("sent_id", "side", "ord", "start", "end", "is_min", *names), options.strict, options.folded, options.span)
     if options.skip_unaligned is False:
@@ -86,13 +89,14 @@ def together(tasks: dict[str, LabelMetric], items: DataFrame, mode: str, options
             some = F.max(F.size("pairs")).over(W.partitionBy("sent_id"))
             groups = groups.withColumn("some", some).where(F.when(F.col("some") == 0, F.raise_error(F.lit("a sentence has no pairs"))).otherwise(True))
         pairs = groups.select("sent_id", F.explode("pairs").alias("x")).select("sent_id", "x.*")
-    table = labels.confusion(pairs, ["task", *by])
+    shares = mode == "reference" and all(set(m.reference) <= ({"precision", "recall", "fscore", "accuracy"} if options.average == "micro" else {"accuracy"}) for m in tasks.values())
+    table = None if shares else labels.confusion(pairs, ["task", *by])
     out = []
-    if (mode == "reference" and options.average is None) and (each := [t for t, m in tasks.items() if "precision" in m.reference]):
+    if (table is not None and mode == "reference" and options.average is None) and (each := [t for t, m in tasks.items() if "precision" in m.reference]):
         out += [(t, labels.averages(table.where(F.col("task") == t).drop("task"), None, by)) for t in each]
         tasks = {t: m for t, m in tasks.items() if t not in each}
     if tasks:
-        all_of = labels.scores(table.where(F.col("task").isin(*tasks)), options.average or "micro", ["task", *by])
+        all_of = labels.micro_scores(pairs, ["task", *by]) if shares else labels.scores(table.where(F.col("task").isin(*tasks)), options.average or "micro", ["task", *by])
         if not by:  # a task without pairs has a row as well
             all_of = items.sparkSession.createDataFrame([(t,) for t in tasks], "task string").join(all_of, "task", "left").fillna(0.0, ["precision", "recall", "fscore"])
         if options.strict:

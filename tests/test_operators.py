@@ -4,6 +4,7 @@ import json
 import math
 import pathlib
 import random
+import re
 import shutil
 import subprocess
 import sys
@@ -854,3 +855,20 @@ def test_tags_stream_by(spark, batch):
         assert plan.count("Window [") == 1 and plan.count("Sort [") == 1
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_micro_scores_make_no_confusion_table(spark):
+    """Micro averages and accuracies of pairs, null labels too, are those of the confusion table; no label is a key of the query's aggregates."""
+    r = random.Random(31)
+    pairs = spark.createDataFrame([(r.choice("tu"), r.choice(["N", "V", "A", None]), r.choice(["N", "V", None])) for _ in range(200)], "task string, a string, b string")
+    columns = ["task", "precision", "recall", "fscore", "accuracy"]
+    want = labels.scores(labels.confusion(pairs, ["task"]), "micro", ["task"]).select(*columns)
+    for got, due in zip(sorted(map(tuple, labels.micro_scores(pairs, ["task"]).collect())), sorted(map(tuple, want.collect())), strict=True):
+        assert got[0] == due[0] and got[1:] == pytest.approx(due[1:])
+    assert tuple(labels.micro_scores(pairs.limit(0)).first()) == (0, 0, 0, None)
+    t = table(spark, *[random_sides(r, 14) for _ in range(30)])
+    lazy = Evaluator(["token", "pos", "lemma"]).table(t)
+    aggregates = [x for x in lazy._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert aggregates and not any(re.search(r"\b(a|b|label)#", x.split("Aggregate [", 1)[1].split("]", 1)[0]) for x in aggregates)
+    macro = Evaluator(["pos", "lemma"], options=Options(average="macro")).evaluate(t)
+    assert Evaluator(["lemma"]).evaluate(t)["lemma"] == pytest.approx(macro["lemma"])
