@@ -48,34 +48,130 @@ def _judged(items: DataFrame) -> DataFrame:
     return rows.withColumns({"group": F.min("shared").over(so_far), "same": no(same), "odd": F.bool_or("odd").over(sent), **counts}).drop("shared")
 
 
+#: Characters of a block at most: ends of its tokens are bits 1 to 60 of a number, and sums of two such numbers fit 64 bits.
+BLOCK = 60
+
+
+def _block(span: int) -> tuple[int, Column, Column]:
+    """Width of a block, block and range of a token: blocks hold ends behind block * width and up to the next one's begin, ranges about span characters."""
+    width = min(BLOCK, span)
+    block = F.floor((F.col("end") - 1) / width)
+    return width, block, F.floor(block / (span // width))
+
+
+def _blocks(items: DataFrame, span: int, label: str | None = None) -> DataFrame:
+    """sent_id, range, block, rest, ends: one row for each block of characters in which minimum tokens end, dealt by ranges.
+
+    ends: array of (label, a, b), the bits at which tokens of each label end on each side (label null if none is asked for).  rest: the first start on either side, and 1 if the
+    block's tokens are odd: without a length, or two of a side in one place.  Those of a side that have lengths and different ends and starts (cut off at the block's
+    begin) are apart if the difference of ends and starts, as numbers, has as many bits as the tokens have characters.
+    """
+    width, block, range_ = _block(span)
+    keys, at = ["sent_id", "range", "block"], lambda c: (F.col(c) - F.col("block") * width).cast("int")
+    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
+    rows = items.where("is_min").withColumn("block", block).withColumn("range", range_)
+    rows = rows.select(*keys, "side", "start", F.lit(None).cast("string").alias("label") if label is None else F.col(label).alias("label"), (F.col("end") <= F.col("start")).alias("flat"), at("end").alias("x1"), F.least(F.greatest(at("start"), F.lit(0)), F.lit(width)).alias("x0"))
+    aggs = {"flat": F.bool_or("flat")}
+    for s in "ab":
+        of = lambda c, s=s: F.when(F.col("side") == s, c)
+        aggs |= {f"e_{s}": F.coalesce(F.bit_or(of(bit("x1"))), F.lit(0).cast("long")), f"s_{s}": F.coalesce(F.bit_or(of(bit("x0"))), F.lit(0).cast("long")), f"n_{s}": F.count(of(F.lit(1))), f"size_{s}": F.coalesce(F.sum(of(F.col("x1") - F.col("x0"))), F.lit(0)), f"lo_{s}": F.min(of(F.col("start").cast("long")))}
+    parts = rows.groupBy(*keys, *(["label"] if label else [])).agg(*[v.alias(k) for k, v in aggs.items()])
+    entry = F.struct(F.col("label") if label else F.lit(None).cast("string").alias("label"), F.col("e_a").alias("a"), F.col("e_b").alias("b"))
+    if label:
+        how = {"e": F.bit_or, "s": F.bit_or, "n": F.sum, "size": F.sum, "lo": F.min}
+        parts = parts.groupBy(*keys).agg(F.collect_list(entry).alias("ends"), F.bool_or("flat").alias("flat"), *[f(f"{c}_{s}").alias(f"{c}_{s}") for c, f in how.items() for s in "ab"])
+    else:
+        parts = parts.withColumn("ends", F.array(entry))
+    odd = F.col("flat")
+    for s in "ab":
+        odd |= (F.bit_count(f"e_{s}") != F.col(f"n_{s}")) | (F.bit_count(f"s_{s}") != F.col(f"n_{s}")) | (F.bit_count(F.col(f"e_{s}") - F.col(f"s_{s}")) != F.col(f"size_{s}"))
+    return parts.select(*keys, F.array("lo_a", "lo_b", odd.cast("long")).alias("rest"), "ends").where("sent_id IS NOT NULL AND range IS NOT NULL").repartition("sent_id", "range")
+
+
+def _ends(blocks: DataFrame, width: int) -> DataFrame:
+    """blocks with a, b: bits of all ends of a side; shared: of both; lo_shared: where the first shared one is; tail_a, tail_b: tokens behind the last shared one."""
+    blocks = blocks.withColumns({s: F.expr(f"aggregate(ends, 0L, (bits, x) -> bits | x.{s})") for s in "ab"})
+    blocks = blocks.withColumn("shared", F.col("a").bitwiseAND(F.col("b")))
+    # without the highest shared end and what is below it
+    tail = lambda s: F.bit_count(F.when(F.col("shared") == 0, F.col(s)).otherwise(F.expr(f"shiftright({s}, length(bin(shared)))"))).cast("long")
+    return blocks.withColumns({"lo_shared": F.when(F.col("shared") != 0, F.col("block") * width + _lowest("shared")), "tail_a": tail("a"), "tail_b": tail("b")})
+
+
+def _lowest(c: str) -> Column:
+    """Place of a number's lowest bit."""
+    return F.expr(f"bit_count(({c} & -{c}) - 1)")
+
+
+def _open(rows: DataFrame, keys: list[str], order: str, begun: bool = False) -> DataFrame:
+    """rows with open_a, open_b: tokens of a side since the last shared end before a row; begun: rows have open_a and open_b from what is before their keys."""
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({f"sum_{s}": F.coalesce(F.sum(f"tail_{s}").over(before), F.lit(0)) for s in "ab"})
+    last = {f"last_{s}": F.max(F.when(F.col("lo_shared").isNotNull(), F.col(f"sum_{s}"))).over(before) for s in "ab"}
+    opened = lambda s: F.col(f"sum_{s}") - F.coalesce(f"last_{s}", -F.col(f"open_{s}") if begun else F.lit(0))
+    return rows.withColumns(last).withColumns({f"open_{s}": opened(s) for s in "ab"}).drop("sum_a", "sum_b", "last_a", "last_b")
+
+
+def _found(items: DataFrame, span: int, strict: bool = False, label: str | None = None) -> DataFrame:
+    """Blocks of the sentences that fit, with a, b, shared of _ends(), open_a, open_b, and next: the first shared end behind the block.
+
+    Blocks are dealt by range.  What passes from range to range (the next shared end, tokens since the last one, where each side's tokens begin and end) comes from one row a
+    range, and a sentence uses as many tasks as it has ranges.
+    """
+    width, range_ = min(BLOCK, span), ["sent_id", "range"]
+    blocks = _blocks(items, span, label)
+    whole = _ends(blocks, width).withColumns({f"lo_{s}": F.get("rest", F.lit(k)) for k, s in enumerate("ab")} | {f"hi_{s}": F.when(F.col(s) != 0, F.col("block") * width + F.length(F.bin(s)) - 1) for s in "ab"})
+    up = W.partitionBy(*range_).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    early = lambda hi: F.coalesce(F.col("lo_a") < hi("a"), F.lit(False)) | F.coalesce(F.col("lo_b") < hi("b"), F.lit(False))
+    whole = _open(whole.withColumn("odd", (F.get("rest", F.lit(2)) != 0) | early(lambda s: F.max(f"hi_{s}").over(up))), range_, "block")
+    # a range's own tail: that of its last block, with what was open before it if the block has no shared end
+    tail = lambda s: F.max_by(F.col(f"tail_{s}") + F.when(F.col("lo_shared").isNull(), F.col(f"open_{s}")).otherwise(0), "block").alias(f"tail_{s}")
+    per = whole.groupBy(*range_).agg(*[f(c).alias(c) for c, f in (("lo_a", F.min), ("lo_b", F.min), ("hi_a", F.max), ("hi_b", F.max), ("lo_shared", F.min), ("odd", F.bool_or))], tail("a"), tail("b"))
+    per = carry(carry(per, "sent_id", "range", {"hi_a": F.max, "hi_b": F.max}), "sent_id", "range", {"lo_shared": F.min}, down=True)
+    per = _open(per, ["sent_id"], "range").withColumn("odd", F.col("odd") | early(lambda s: F.col(f"hi_{s}_carried")))
+    over = lambda f, c: f(c).over(W.partitionBy("sent_id"))
+    same = (over(F.min, "lo_a") == over(F.min, "lo_b")) & (over(F.max, "hi_a") == over(F.max, "hi_b"))
+    per = per.select(*range_, "open_a", "open_b", F.col("lo_shared_carried").alias("next"), (F.coalesce(same, F.lit(False)) & ~over(F.bool_or, "odd")).alias("fits"))
+    # rest is asked for here too, so that both uses of the blocks have the same columns and read one exchange
+    rows = blocks.join(per, range_).withColumn("fits", F.when(F.get("rest", F.lit(2)) == 0, F.col("fits")).otherwise(False)).where(_wanted("fits", strict))
+    rows = _open(_ends(rows, width), range_, "block", begun=True)
+    down = W.partitionBy(*range_).orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("next", F.least(F.min("lo_shared").over(down), "next"))
+
+
 def align_ranged(items: DataFrame, span: int, strict: bool = False) -> DataFrame:
-    """align() for sentences that are more than a task should hold: they are dealt by ranges of `span` characters.
+    """align() for sentences that are more than a task should hold: they are dealt by ranges of about `span` characters, as blocks whose ends are bits.
 
-    The last ends of tokens say all: they are dealt by range, each range keeps running minima from its last end to its first, and takes over
-    what the ranges behind it have (the next shared end, where the tokens of each side begin) from one row a range.  Tokens then look up their end.
-    So a sentence uses as many tasks as it has ranges, and only a row a range ever comes together.
+    Tokens then look up their block, so they move once.
     """
-    rows = items.where("is_min")
-    range_ = ["sent_id", "range"]
-    on = lambda f, c, s: f(F.when(F.col("side") == s, F.col(c)))
-    slim = rows.select("sent_id", "side", "start", "end", F.floor(F.col("end") / span).alias("range")).repartition(*range_)
-    ends = slim.groupBy(*range_, "end").agg(on(F.min, "start", "a").alias("a"), on(F.min, "start", "b").alias("b"), on(F.count, "start", "a").alias("n_a"), on(F.count, "start", "b").alias("n_b"), F.bool_or(F.col("end") <= F.col("start")).alias("flat"))
-    ends = ends.withColumn("shared", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("end")))
-    ours = lambda s: F.max(F.when(F.col(f"n_{s}") > 0, F.col("end")))
-    per = ends.groupBy(*range_).agg(F.min("shared").alias("shared"), F.min("a").alias("a"), F.min("b").alias("b"), ours("a").alias("a_end"), ours("b").alias("b_end"), F.bool_or("flat").alias("flat"))
-    behind = carry(per, "sent_id", "range", {"shared": F.min, "a": F.min, "b": F.min}, down=True)
-    down = W.partitionBy(*range_).orderBy(F.desc("end"))
-    upto = lambda c, first: F.least(F.min(c).over(down.rowsBetween(W.unboundedPreceding, first)), F.col(f"{c}_carried"))
-    ends = ends.join(behind.select(*range_, *[f"{c}_carried" for c in ("shared", "a", "b")]), range_)
-    early = lambda s: (F.col(f"n_{s}") > 0) & F.coalesce(upto(s, -1) < F.col("end"), F.lit(False))
-    ends = ends.select(*range_, "end", upto("shared", 0).alias("group"), (F.col("flat") | (F.col("n_a") > 1) | (F.col("n_b") > 1) | early("a") | early("b")).alias("odd"))
-    odd = ends.groupBy(*range_).agg(F.bool_or("odd").alias("odd"))
-    sent = W.partitionBy("sent_id")
-    over = lambda f, c: f(c).over(sent)
-    same = (over(F.min, "a") == over(F.min, "b")) & (over(F.max, "a_end") == over(F.max, "b_end"))
-    fits = per.join(odd, range_).select(*range_, (F.coalesce(same, F.lit(False)) & ~over(F.bool_or, "odd")).alias("fits"))
-    found = ends.join(fits, range_).select("sent_id", "end", "group", "fits")
-    return rows.join(found, ["sent_id", "end"]).where(_wanted("fits", strict)).select(*rows.columns, "group")
+    width, block, range_ = _block(span)
+    rows = items.where("is_min").withColumn("block", block).withColumn("range", range_)
+    rows = rows.join(_found(items, span, strict).select("sent_id", "range", "block", "shared", "next"), ["sent_id", "range", "block"])
+    own = F.expr(f"shiftright(shared, CAST(end - block * {width} AS INT))")  # shared ends from the token's own
+    rows = rows.withColumn("own", own).withColumn("group", F.when(F.col("own") != 0, F.col("end") + _lowest("own")).otherwise(F.col("next")).cast(items.schema["end"].dataType))
+    return rows.select(*items.columns, "group")
+
+
+def group_sizes_ranged(items: DataFrame, span: int, strict: bool = False) -> DataFrame:
+    """sent_id, group, n_a, n_b: sizes of the groups of align_ranged(), from blocks alone; a group without a shared end behind its tokens does not exist where spans agree."""
+    width = min(BLOCK, span)
+    rows = _found(items, span, strict).where("shared <> 0")
+    rows = rows.withColumn("at", F.expr(f"filter(sequence(1, {width}), k -> shiftright(shared, k) & 1 = 1)"))
+    rows = rows.select("sent_id", "block", "a", "b", "open_a", "open_b", "at", F.posexplode("at").alias("nr", "k")).withColumn("from", F.when(F.col("nr") == 0, 0).otherwise(F.get("at", F.col("nr") - 1)))
+    size = lambda s: (F.bit_count(F.expr(f"shiftright({s} & (shiftleft(1L, k + 1) - 1), from + 1)")) + F.when(F.col("nr") == 0, F.col(f"open_{s}")).otherwise(0)).cast("long").alias(f"n_{s}")
+    return rows.select("sent_id", (F.col("block") * width + F.col("k")).alias("group"), size("a"), size("b"))
+
+
+def single_pairs_ranged(items: DataFrame, label: str, span: int, strict: bool = False) -> DataFrame:
+    """sent_id, a, b: labels of the groups of align_ranged() that have one token on each side, from blocks alone.
+
+    Such a group is a shared end that follows a shared one.  Adding the bits above shared ends to those that are no ends carries each of them to the next end.
+    """
+    rows = _found(items, span, strict, label).where("shared <> 0").withColumn("any", F.expr("a | b"))
+    first = F.when((F.col("open_a") == 0) & (F.col("open_b") == 0), F.expr("any & -any")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("ok", F.expr(f"(({2 ** (BLOCK + 1) - 1}L & ~any) + shiftleft(shared, 1)) & any").bitwiseOR(first).bitwiseAND(F.col("shared")))
+    rows = rows.select("sent_id", "ok", "ends", F.explode("ends").alias("x")).select("sent_id", F.col("x.label").alias("a"), F.expr("ok & x.a").alias("ok"), "ends").where("ok <> 0")
+    rows = rows.select("sent_id", "a", "ok", F.explode("ends").alias("y")).select("sent_id", "a", F.col("y.label").alias("b"), F.expr("bit_count(ok & y.b)").alias("n")).where("n > 0")
+    return rows.select("sent_id", "a", "b", F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("one")).drop("one")
 
 
 def _wanted(fits: str, strict: bool) -> Column:
@@ -393,6 +489,8 @@ def label_pairs(items: DataFrame, label: str, skip_unaligned: bool = True, one_t
     ones (lemmas).  skip_unaligned false: the others pair by the edit path of their labels, MISALIGNED where a side has none.
     folded: tokens may overlap; span: sentences are dealt by ranges of so many characters.
     """
+    if span and one_to_one and skip_unaligned and not folded and items.schema[label].dataType == T.StringType():
+        return single_pairs_ranged(items, label, span, strict)
     aligned = aligned_tokens(items.select("sent_id", "side", "ord", "start", "end", "is_min", label), strict, folded, span)
     if not skip_unaligned:
         return edit_pairs(aligned, label, one_to_one, in_order=not (folded or span))

@@ -872,3 +872,24 @@ def test_micro_scores_make_no_confusion_table(spark):
     assert aggregates and not any(re.search(r"\b(a|b|label)#", x.split("Aggregate [", 1)[1].split("]", 1)[0]) for x in aggregates)
     macro = Evaluator(["pos", "lemma"], options=Options(average="macro")).evaluate(t)
     assert Evaluator(["lemma"]).evaluate(t)["lemma"] == pytest.approx(macro["lemma"])
+
+
+@pytest.mark.parametrize("span", [1, 7, 59, 60, 61, 200])
+def test_ranged_groups_come_from_blocks(spark, span):
+    """Sizes and single pairs from blocks are those of align(); tokens do not move, and their input is made once."""
+    r = random.Random(span)
+    cut = lambda n, k: sorted({0, n, *r.sample(range(1, n), r.randrange(k))})
+    whole = [tuple([(s, e, r.choice("XYZ")) for s, e in zip(c, c[1:])] for c in (cut(n, min(n, 90)), cut(n, min(n, 90)))) for n in (r.choice([2, 30, 120, 121, 400]) for _ in range(40))]
+    odd = [([(0, 70), (70, 130)], [(0, 65), (64, 130)]), ([(0, 130)], [(0, 61), (0, 130)]), ([(0, 60), (60, 61)], [(0, 61)]), ([(0, 130)], [(0, 130), (5, 62)]), ([(0, 61), (61, 61), (61, 99)], [(0, 99)]), ([(0, 50), (3, 70)], [(0, 70)]), ([(0, 99)], [(0, 20), (20, 40), (20, 99)])]
+    t = table(spark, *whole, *[sides(r, 60) for _ in range(20)], *odd).repartition(3)
+    key = lambda df: sorted(map(str, df.collect()))
+    aligned = align.align(t)
+    sizes = aligned.groupBy("sent_id", "group").agg(F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b"))
+    found, pairs = align.group_sizes_ranged(t, span), align.label_pairs(t, "pos", span=span)
+    assert key(found) == key(sizes) != []
+    assert key(pairs) == key(align.label_pairs(t, "pos")) != []
+    assert key(align.align_ranged(t, span).select(*aligned.columns)) == key(aligned)
+    for df in (align.group_sizes_ranged(t.repartition("sent_id"), span), align.label_pairs(t.repartition("sent_id"), "pos", span=span)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("ExistingRDD") == 1 and "ReusedExchange" in plan
