@@ -9,6 +9,7 @@ import shutil
 import subprocess
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -893,3 +894,58 @@ def test_ranged_groups_come_from_blocks(spark, span):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert plan.count("ExistingRDD") == 1 and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_boundaries_stream_by(spark, batch, monkeypatch):
+    """Counts over the borders of batches, with one side ahead of the other, gaps, tokens without length, with a negative one and sides that are absent, are those of sets of
+    places; tokens are sorted once, nothing else moves, and of an open sentence only one side's lead is held."""
+    r = random.Random(batch)
+    sentences = []
+    for k in range(40):
+        sides = []
+        for _ in "ab":
+            at, side = 0, []
+            for _ in range(r.choice([0, 1, 4, 30])):
+                at += r.choice([0, 0, 0, 2])
+                side.append((at, at := at + r.choice([1, 1, 2, 3, 0, -1 if k % 4 == 3 else 1])))
+            sides.append(side)
+        sentences.append(tuple(sides))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = boundary.boundary_counts(table(spark, *sentences), 2)
+        got = {x["sent_id"]: tuple(x)[1:] for x in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for i, both in enumerate(sentences):
+        places, total = [set(), set()], [None, None]
+        for s, side in enumerate(both):
+            last = upto = 0
+            for start, end in side:
+                gap = max(start - last, 0)
+                places[s] |= {upto + gap - 1} if gap else set()
+                last, upto = end, upto + gap + end - start
+                places[s].add(upto - 1)
+                total[s] = upto
+            places[s] = {p for p in places[s] if p < upto - 1}
+        a, b = places
+        n = far = upto = 0
+        for p in sorted(a ^ b):
+            opp = min((q for q in (b - a if p in a else a - b) if p < q <= p + 2), default=None)
+            if opp is not None and (not n or p >= upto):
+                n, far, upto = n + 1, far + opp - p, opp + 2
+        if total == [None, None]:
+            assert i not in got
+            continue
+        want = (total[0] is not None and total[0] == total[1], len(a & b), len(a ^ b) - 2 * n, n, n - far / 3, None if total[0] is None else total[0] - 1, len(a), len(b))
+        assert got[i] == pytest.approx(want)
+    assert plan.count("Window [") == 1 and plan.count("Sort [") == 1 and "Aggregate" not in plan
+    held = []
+    walked = boundary._walked
+    monkeypatch.setattr(boundary, "_walked", lambda open_, *x: (walked(open_, *x), held.append(sum(map(len, open_.held))))[0])
+    columns = [[0] * 40_000, [k % 2 == 1 for k in range(40_000)], [k // 2 for k in range(40_000)], [k // 2 + 1 for k in range(40_000)], [False] * 40_000]
+    rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()))], names=list("abcde"))
+    out = list(boundary._counted((rows.slice(k, 1000) for k in range(0, 40_000, 1000)), 2, list("abcdefghi")))
+    assert sum(x.num_rows for x in out) == 1 and out[-1].to_pylist()[0]["d"] == 19_999 and max(held) < 20
