@@ -9,8 +9,9 @@ from .tokens import ratio
 
 
 def confusion(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by, a (truth), b, n."""
-    return pairs.groupBy(*(by or []), "a", "b").agg(F.count("*").alias("n"))
+    """by, a (truth), b, n; pairs with a column n stand for so many."""
+    n = F.sum("n") if "n" in pairs.columns else F.count("*")
+    return pairs.groupBy(*(by or []), "a", "b").agg(n.alias("n"))
 
 
 def per_label(table: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -59,9 +60,13 @@ def micro_scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     Each pair has one truth and one prediction, so all of them are the share of pairs that agree, and a task keeps two counts, however many labels there are.
     """
-    s = pairs.groupBy(*(by or [])).agg(F.count(F.when(F.col("a") == F.col("b"), 1)).alias("tp"), F.count("*").alias("n"))
-    share = ratio(F.col("tp"), F.col("n"))
-    return s.select(*(by or []), *[share.alias(c) for c in ("precision", "recall", "fscore")], F.try_divide(F.col("tp").cast("double"), F.col("n").cast("double")).alias("accuracy"))
+    return shares(pairs.groupBy(*(by or [])).agg(F.count(F.when(F.col("a") == F.col("b"), 1)).alias("tp"), F.count("*").alias("n"), F.count("*").alias("m")), by)
+
+
+def shares(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """micro_scores() from tp, n (truths) and m (predictions)."""
+    tp, n, m = (F.col(c) for c in ("tp", "n", "m"))
+    return counts.select(*(by or []), ratio(tp, m).alias("precision"), ratio(tp, n).alias("recall"), ratio(2 * tp, n + m).alias("fscore"), F.try_divide(tp.cast("double"), n.cast("double")).alias("accuracy"))
 
 
 def kappa(table: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import align, boundary, entities, labels, tokens
+from ..operators import align, boundary, entities, labels, paired, tokens
 from ..sources import corpus
 
 MODES = ("reference", "agreement")
@@ -69,11 +70,51 @@ class LabelMetric(Metric):
         return [x for _, x in together({self.label: self}, items, mode, options, by)]
 
 
-def together(tasks: dict[str, LabelMetric], items: DataFrame, mode: str, options: Options, by: list[str]) -> list[tuple[str, DataFrame]]:
+def _counts_only(tasks: dict[str, LabelMetric], mode: str, options: Options) -> bool:
+    """Whether micro averages and accuracies are all that tasks ask for."""
+    return mode == "reference" and all(set(m.reference) <= ({"precision", "recall", "fscore", "accuracy"} if options.average == "micro" else {"accuracy"}) for m in tasks.values())
+
+
+def _streams(tasks: dict[str, LabelMetric], items: DataFrame, options: Options) -> bool:
+    """Whether tokens are aligned and paired as they stream by: groups that pair otherwise than by their first labels and sentences in ranges are not."""
+    return not (options.folded or options.span or options.skip_unaligned is False) and all(items.schema[m.label].dataType == T.StringType() for m in tasks.values())
+
+
+def together(tasks: dict[str, LabelMetric], items: DataFrame, mode: str, options: Options, by: list[str], tokens: str | None = None) -> list[tuple[str, DataFrame]]:
     """(task, scores) of tasks over aligned labels: one alignment, one confusion table and one pass over it for all of them.
 
-    Micro averages and accuracies need no table, which for lemmas has a row for nearly every two words that were paired.
+    Micro averages and accuracies need no table, which for lemmas has a row for nearly every two words that were paired.  tokens: a task of token matches that is counted in the
+    same pass, where that goes: _streams(), _counts_only(), not strict and without by.
     """
+    shares = _counts_only(tasks, mode, options)
+    if _streams(tasks, items, options):
+        some = options.strict and any("accuracy" in m.figures(mode) for m in tasks.values())
+        pairs = paired.pair_counts(items, {t: (m.label, m.one_to_one) for t, m in tasks.items()}, bool(by), shares, options.strict, some, tokens)
+    else:
+        pairs = _paired(tasks, items, mode, options)
+    table = None if shares else labels.confusion(pairs, ["task", *by])
+    out = []
+    if (table is not None and mode == "reference" and options.average is None) and (each := [t for t, m in tasks.items() if "precision" in m.reference]):
+        out += [(t, labels.averages(table.where(F.col("task") == t).drop("task"), None, by)) for t in each]
+        tasks = {t: m for t, m in tasks.items() if t not in each}
+    if tasks:
+        if not shares:
+            all_of = labels.scores(table.where(F.col("task").isin(*tasks)), options.average or "micro", ["task", *by])
+        elif "tp" in pairs.columns:
+            all_of = labels.shares(pairs.groupBy("task", *by).agg(*[F.sum(c).alias(c) for c in ("tp", "n", "m")]), ["task", *by])
+        else:
+            all_of = labels.micro_scores(pairs, ["task", *by])
+        names = [*([tokens] if tokens else []), *tasks]
+        if not by:  # a task without pairs has a row as well
+            all_of = items.sparkSession.createDataFrame([(t,) for t in names], "task string").join(all_of, "task", "left").fillna(0.0, ["precision", "recall", "fscore"])
+        if options.strict:
+            all_of = all_of.withColumn("accuracy", F.coalesce("accuracy", F.raise_error(F.lit("no pairs")).cast("double")))
+        out += [(t, all_of) for t in names]
+    return out
+
+
+def _paired(tasks: dict[str, LabelMetric], items: DataFrame, mode: str, options: Options) -> DataFrame:
+    """sent_id, task, a, b: all pairs."""
     names = sorted({m.label for m in tasks.values()})
     aligned = align.aligned_tokens(items.select("sent_id", "side", "ord", "start", "end", "is_min", *names), options.strict, options.folded, options.span)
     if options.skip_unaligned is False:
@@ -89,20 +130,7 @@ def together(tasks: dict[str, LabelMetric], items: DataFrame, mode: str, options
             some = F.max(F.size("pairs")).over(W.partitionBy("sent_id"))
             groups = groups.withColumn("some", some).where(F.when(F.col("some") == 0, F.raise_error(F.lit("a sentence has no pairs"))).otherwise(True))
         pairs = groups.select("sent_id", F.explode("pairs").alias("x")).select("sent_id", "x.*")
-    shares = mode == "reference" and all(set(m.reference) <= ({"precision", "recall", "fscore", "accuracy"} if options.average == "micro" else {"accuracy"}) for m in tasks.values())
-    table = None if shares else labels.confusion(pairs, ["task", *by])
-    out = []
-    if (table is not None and mode == "reference" and options.average is None) and (each := [t for t, m in tasks.items() if "precision" in m.reference]):
-        out += [(t, labels.averages(table.where(F.col("task") == t).drop("task"), None, by)) for t in each]
-        tasks = {t: m for t, m in tasks.items() if t not in each}
-    if tasks:
-        all_of = labels.micro_scores(pairs, ["task", *by]) if shares else labels.scores(table.where(F.col("task").isin(*tasks)), options.average or "micro", ["task", *by])
-        if not by:  # a task without pairs has a row as well
-            all_of = items.sparkSession.createDataFrame([(t,) for t in tasks], "task string").join(all_of, "task", "left").fillna(0.0, ["precision", "recall", "fscore"])
-        if options.strict:
-            all_of = all_of.withColumn("accuracy", F.coalesce("accuracy", F.raise_error(F.lit("no pairs")).cast("double")))
-        out += [(t, all_of) for t in tasks]
-    return out
+    return pairs
 
 
 class EntityMetric(Metric):
@@ -164,13 +192,16 @@ class Evaluator:
             out.append(df.select(*by, *own, F.explode(cells).alias("x")).select("x.task", *by, "label", "schema", "x.metric", "x.value"))
 
         aligned = {t: METRICS[t] for t in self.tasks if isinstance(METRICS[t], LabelMetric)}
+        same_pass = None
+        if aligned and not by and not self.options.strict and _counts_only(aligned, self.mode, self.options) and _streams(aligned, items, self.options):
+            same_pass = next((t for t in self.tasks if type(METRICS[t]) is TokenMetric), None)
         for task in self.tasks:
-            if task not in aligned:
+            if task not in aligned and task != same_pass:
                 for df in METRICS[task].scores(items, self.mode, self.options, by):
                     long([task], df)
         if aligned:
             frames: dict[int, tuple[list[str], DataFrame]] = {}
-            for task, df in together(aligned, items, self.mode, self.options, by):
+            for task, df in together(aligned, items, self.mode, self.options, by, same_pass):
                 frames.setdefault(id(df), ([], df))[0].append(task)
             for task, df in frames.values():
                 long(task, df)

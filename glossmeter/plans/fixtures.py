@@ -7,9 +7,12 @@ All rows and whole texts take part.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,13 +33,58 @@ def dealt(texts: DataFrame, task_chars: int = TASK_CHARS) -> DataFrame:
     return texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, chars // task_chars + 1), "sent_id")
 
 
+#: Bytes of text that are looked through at once.
+PIECE = 1 << 20
+
+
+def _word_places(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts between offsets of UTF-8 data: how many each text has, the number of blanks before each word of its text, and of characters."""
+    blank = data == 32
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    first = offsets[:-1][offsets[1:] > offsets[:-1]]
+    begins[first] = ~blank[first]
+    at = np.flatnonzero(begins)
+    text = np.searchsorted(offsets, at, "right") - 1
+    before = lambda what: np.concatenate([[0], np.cumsum(what, dtype="i4")])
+    blanks, chars = before(blank), before((data & 0xC0) != 0x80)
+    since = offsets[:-1][text]
+    return np.bincount(text, minlength=len(offsets) - 1), blanks[at] - blanks[since], chars[at] - chars[since]
+
+
+@F.arrow_udf(T.StructType([T.StructField("ords", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType()))]))
+def _places(text: pa.Array) -> pa.Array:
+    """Of each text's words that are not empty: their numbers among all (null: 0, 1, ...), and where they start."""
+    text = text.cast(pa.large_string())
+    _, offsets, data = text.buffers()
+    offsets = np.frombuffer(offsets, "i8")[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(data, "u1") if data is not None else np.empty(0, "u1")
+    n, ords, starts = [], [], []
+    at = 0
+    while at < len(text):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        for out, x in zip((n, ords, starts), _word_places(offsets[at : end + 1] - offsets[at], data[offsets[at] : offsets[end]])):
+            out.append(x)
+        at = end
+    n, ords, starts = (np.concatenate(x or [np.empty(0, "i4")]) for x in (n, ords, starts))
+    ends = np.concatenate([[0], np.cumsum(n)])
+    plain = n == 0
+    plain[~plain] = ords[ends[1:][~plain] - 1] == n[~plain] - 1
+    lists = lambda values, ends, mask=None: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=mask)
+    numbered = lists(ords[~np.repeat(plain, n)], np.concatenate([[0], np.cumsum(np.where(plain, 0, n))]), pa.array(plain))
+    return pa.StructArray.from_arrays([numbered, lists(starts, ends)], ["ords", "starts"])
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sent_id, ord, item, n, start, nx, nx_n: words of each document and their lengths, where they start, and the next word."""
-    docs = dealt(read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("sent_id"), "text"))
-    w = W.partitionBy("sent_id").orderBy("ord")
-    rows = docs.select("sent_id", F.posexplode(F.split("text", " ", -1)).alias("ord", "item"))
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("item") + 1).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    return rows.where("item <> ''").withColumn("n", F.length("item")).withColumns({"nx": F.lead("item").over(w), "nx_n": F.lead("n").over(w)})
+    """sent_id, ord, item, n, start, nx, nx_n: words of each document and their lengths, where they start, and the next word.
+
+    Places move with the text, so that its words need no window nor sort."""
+    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("sent_id"), "text")
+    docs = dealt(docs.withColumn("at", _places("text"))).select("sent_id", F.array_remove(F.split("text", " ", -1), "").alias("words"), "at.ords", "at.starts")
+    # outer, as else the words would be made once more to see whether there are any
+    rows = docs.select("sent_id", "words", "ords", "starts", F.posexplode_outer("words").alias("pos", "item")).where("item IS NOT NULL")
+    rows = rows.select("sent_id", F.coalesce(F.get("ords", "pos"), "pos").alias("ord"), "item", F.get("starts", "pos").alias("start"), F.get("words", F.col("pos") + 1).alias("nx"))
+    return rows.withColumns({"n": F.length("item"), "nx_n": F.length("nx")}).select("sent_id", "ord", "item", "start", "n", "nx", "nx_n")
 
 
 #: Kinds of items of a word, gold's first.

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmeter.functions import text
-from glossmeter.operators import align, boundary, entities, labels, tokens
+from glossmeter.operators import align, boundary, entities, labels, paired, tokens
 from glossmeter.plans.evaluate import Evaluator, Options, evaluate, evaluate_ner
 from glossmeter.sources import corpus
 
@@ -949,3 +949,57 @@ def test_boundaries_stream_by(spark, batch, monkeypatch):
     rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()))], names=list("abcde"))
     out = list(boundary._counted((rows.slice(k, 1000) for k in range(0, 40_000, 1000)), 2, list("abcdefghi")))
     assert sum(x.num_rows for x in out) == 1 and out[-1].to_pylist()[0]["d"] == 19_999 and max(held) < 20
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_pairs_stream_by(spark, batch):
+    """Pairs, their shares and token matches over the borders of batches are those of align() and token_counts(), compounds, null labels and sentences that do not fit
+    among them; items are sorted once, for all tasks, and an open sentence's pairs are held as counts."""
+    r = random.Random(batch)
+
+    def cut(n):
+        c = sorted({0, n, *r.sample(range(1, n), r.randrange(n))})
+        return [(s, e, r.choice(["N", "V", None]), r.choice("xyz")) for s, e in zip(c, c[1:])]
+
+    whole = [(cut(n), cut(n) + [(0, 2, "N", "x", False)]) for n in (r.choice([2, 5, 12]) for _ in range(25))]
+    odd = [tuple([(s := r.randrange(9), s + r.randrange(5), "N", "x") for _ in range(r.randrange(4))] for _ in "ab") for _ in range(25)]
+    gaps = [([(0, 3), (4, 6), (7, 9)], [(0, 3), (5, 6), (7, 8), (8, 9)]), ([], [(0, 2)]), ([(0, 2)], [(0, 2), (2, 2)]), ([(0, 1), (1, 2)], [(0, 2)]), ([(0, 3, "N", "x", False)], [])]
+    sentences = [*whole, *odd, *gaps]
+    r.shuffle(sentences)
+    t, tasks = table(spark, *sentences).repartition(3, "sent_id"), {"p": ("pos", True), "l": ("lemma", False)}
+    want = {}
+    for task, (label, one) in tasks.items():
+        for x in align.label_pairs(t, label, one_to_one=one).collect():
+            key = (x["sent_id"], task, x["a"], x["b"])
+            want[key] = want.get(key, 0) + 1
+    key = lambda rows: sorted(map(str, rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        by = paired.pair_counts(t, tasks, by=True)
+        got = by.groupBy("sent_id", "task", "a", "b").agg(F.sum("n"), F.sum("tp")).collect()
+        assert key(got and [tuple(x) for x in got]) == key([(*k, n, n if k[2] == k[3] and k[2] else 0) for k, n in want.items()])
+        plan = by._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Window [") == 1 and plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+        total = {tuple(x)[:3]: x["n"] for x in paired.pair_counts(t, tasks).groupBy("task", "a", "b").agg(F.sum("n").alias("n")).collect()}
+        assert total == {k: sum(n for (_, *x), n in want.items() if tuple(x) == k) for k in {k[1:] for k in want}}
+        shares = {x["task"]: (x["tp"], x["n"], x["m"]) for x in paired.pair_counts(t, tasks, shares=True, tokens="t").groupBy("task").agg(*[F.sum(c).alias(c) for c in ("tp", "n", "m")]).collect()}
+        c = tokens.token_counts(t).agg(F.sum("correct"), F.sum("n_gold"), F.sum("n_pred")).first()
+        assert shares.pop("t") == tuple(c)
+        for task in tasks:
+            n = sum(v for k, v in want.items() if k[1] == task)
+            assert shares[task] == (sum(v for k, v in want.items() if k[1] == task and k[2] == k[3] and k[2]), n, n)
+        with pytest.raises(Exception, match="same total span"):
+            paired.pair_counts(t, tasks, strict=True).collect()
+        lazy = Evaluator(["token", "pos", "lemma"]).table(t)
+        assert lazy._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = paired.Pairs(tasks, False, False, False, False)
+    at = pa.array(["N", "V"] * 500)
+    for k in range(200):
+        start = (pa.array(range(k * 500, k * 500 + 500)).to_numpy()).repeat(2)
+        assert not list(pairs(start * 0 + (1 if not k else 0), 2 if not k else 1, start, start + 1, start * 0 + [0, 1] * 500 == 1, {"pos": at, "lemma": at}))
+        assert all(len(x) <= paired.PIECES for x in pairs.held.values())
+    none = start[:0]
+    done = [x.to_pylist() for _, x in pairs(none, 2, none, none, none == 1, {"pos": at[:0], "lemma": at[:0]})]
+    assert sum(y["n"] for x in done for y in x) == 200_000
