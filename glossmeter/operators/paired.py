@@ -6,33 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .align import MISFIT
+from .align import MISFIT, fold
+from .scan import begins, span, unpacked
 
 #: Pieces of an open sentence's pairs that are held before equal pairs in them are counted together.
 PIECES = 64
 
 
-def span() -> Column:
-    """start and end as one number: what Spark hands to Python costs by columns."""
-    return F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("end").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def unpacked(spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    both = spans.to_numpy(zero_copy_only=False)
-    return both >> 32, both.astype("i4").astype("i8")
-
-
-def begins(sent: pa.Array | None, column: pa.Array) -> np.ndarray:
-    """Whether a row is of another sentence than the row before it; sent: that of the row before the first, if there is one."""
-    codes = (column if sent is None else pa.concat_arrays([sent, column])).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-    return np.concatenate([[sent is None], codes[1:] != codes[:-1]])[-len(column) :]
-
-
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Whether a row differs from the one before it."""
     new = np.ones(len(keys[0]), bool)
@@ -267,3 +252,84 @@ def pair_counts(items: DataFrame, tasks: dict[str, tuple[str, bool]], by: bool =
 def _chained(head: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield head
     yield from rest
+
+
+class Folded:
+    """Groups of whole sentences, of which the last one's tokens are kept as numbers until it is over."""
+
+    def __init__(self, strict: bool):
+        self.strict, self.rest = strict, []
+
+    def __call__(self, key: np.ndarray, n: int, start: np.ndarray, end: np.ndarray, is_b: np.ndarray) -> list[np.ndarray]:
+        """(key, group, end, n_a, n_b) of sentences 0 (the open one) to n - 2."""
+        last = key == n - 1
+        rest = [x[last] for x in (start, end, is_b)]
+        if n == 1:
+            self.rest.append(rest)
+            return [np.empty(0, "i8")] * 5
+        open_ = [np.concatenate(x) for x in zip(*self.rest)] if self.rest else [np.empty(0, x.dtype) for x in rest]
+        key = np.concatenate([np.zeros(len(open_[0]), "i8"), key[~last]])
+        start, end, is_b = (np.concatenate([x, y[~last]]) for x, y in zip(open_, (start, end, is_b)))
+        self.rest = [rest]
+        odd, some, lo, hi, at = np.zeros(n, bool), np.zeros((n, 2), bool), np.zeros((n, 2), "i8"), np.full((n, 2), np.iinfo("i8").min), np.arange(len(key))
+        before = []
+        for s, mine in enumerate((~is_b, is_b)):
+            k, x, y = key[mine], start[mine], end[mine]
+            new = _runs(k)
+            some[k, s] = True
+            lo[k[new], s] = x[new]
+            np.maximum.at(hi, (k, s), y)
+            flat, early = y <= x, np.zeros(len(k), bool)
+            early[1:] = ~new[1:] & (x[1:] < y[:-1])
+            odd[k[flat | early]] = True
+            row = np.maximum.accumulate(np.where(mine, at, -1)) if len(at) else at
+            before.append((row, (row >= 0) & (key[row] == key)))
+        same = some.all(1) & (lo[:, 0] == lo[:, 1]) & (hi[:, 0] == hi[:, 1])
+        if self.strict and not same[some.any(1)].all():
+            raise ValueError("a and b need to cover the same total span")
+        (i, a), (j, b) = before
+        plain = (same & ~odd)[key]
+        over = np.flatnonzero(plain & a & b & (end[i] == end[j])) if len(at) else at
+        sizes = []
+        for mine in (~is_b, is_b):
+            upto = np.cumsum(mine & plain)[over]
+            sizes.append(np.diff(upto, prepend=0))
+        k = key[over]
+        out = [[k, np.arange(len(k)) - np.searchsorted(k, k), end[over], *sizes]]
+        for nr in np.flatnonzero(same & odd).tolist():
+            i, j = np.searchsorted(key, [nr, nr + 1])
+            sides = [list(zip(*(x[i:j][m].tolist() for x in (start, end)))) for m in (~is_b[i:j], is_b[i:j])]
+            groups = fold(*sides)
+            if groups:
+                ends = [max(sides[s][m][1] for s, members in enumerate(g) for m in members) for g in groups]
+                out.append([np.full(len(groups), nr), np.arange(len(groups)), np.array(ends), *(np.array([len(g[s]) for g in groups]) for s in (0, 1))])
+        return [np.concatenate(x) for x in zip(*out)]
+
+
+def folded_sizes(items: DataFrame, strict: bool = False) -> DataFrame:
+    """sent_id, group, end (the last one of its tokens), n_a, n_b: sizes of the groups of align.align_folded(), from minimum tokens sorted once; no token comes back from Python.
+
+    One sentence at a time is held, as its numbers.
+    """
+    w = W.partitionBy("sent_id").orderBy("start", "side", "ord")
+    rows = items.where("is_min AND start IS NOT NULL AND end IS NOT NULL").select("sent_id", "side", "ord", "start", "end").withColumn("nr", F.row_number().over(w))
+    rows = rows.sortWithinPartitions("sent_id", "start", "side", "ord")  # the order that they have
+    kind = (F.when(F.col("side") == "b", 1).otherwise(0) + F.when(F.col("nr") == 1, 4).otherwise(0)).cast("byte")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, folded = None, Folded(strict)
+        table = lambda ids, x: pa.RecordBatch.from_arrays([ids.take(pa.array(x[0])), *(pa.array(c, pa.int64()) for c in x[1:])], names=["sent_id", "group", "end", "n_a", "n_b"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = begins(sent, batch.column(0))
+            fresh = batch.column(0).take(pa.array(np.flatnonzero(new)))
+            ids = pa.concat_arrays([fresh.slice(0, 1) if sent is None else sent, fresh])
+            yield table(ids, folded(np.cumsum(new), len(ids), *unpacked(batch.column(2)), (batch.column(1).to_numpy(zero_copy_only=False) & 1).astype(bool)))
+            sent = ids.slice(len(ids) - 1)
+        if sent is not None:
+            none = np.empty(0, "i8")
+            yield table(sent, folded(none, 2, none, none, none.astype(bool)))
+
+    out = [T.StructField("sent_id", items.schema["sent_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("group", "end", "n_a", "n_b"))]
+    return rows.select("sent_id", kind.alias("kind"), span().alias("span")).mapInArrow(run, T.StructType(out))

@@ -945,8 +945,8 @@ def test_boundaries_stream_by(spark, batch, monkeypatch):
     held = []
     walked = boundary._walked
     monkeypatch.setattr(boundary, "_walked", lambda open_, *x: (walked(open_, *x), held.append(sum(map(len, open_.held))))[0])
-    columns = [[0] * 40_000, [k % 2 == 1 for k in range(40_000)], [k // 2 for k in range(40_000)], [k // 2 + 1 for k in range(40_000)], [False] * 40_000]
-    rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()))], names=list("abcde"))
+    columns = [[0] * 40_000, [k % 2 for k in range(40_000)], [(k // 2 << 32) + k // 2 + 1 for k in range(40_000)]]
+    rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int8(), pa.int64()))], names=list("abc"))
     out = list(boundary._counted((rows.slice(k, 1000) for k in range(0, 40_000, 1000)), 2, list("abcdefghi")))
     assert sum(x.num_rows for x in out) == 1 and out[-1].to_pylist()[0]["d"] == 19_999 and max(held) < 20
 
@@ -1003,3 +1003,26 @@ def test_pairs_stream_by(spark, batch):
     none = start[:0]
     done = [x.to_pylist() for _, x in pairs(none, 2, none, none, none == 1, {"pos": at[:0], "lemma": at[:0]})]
     assert sum(y["n"] for x in done for y in x) == 200_000
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_folded_sizes_stream_by(spark, batch):
+    """Sizes and ends of folded groups, of sentences with and without overlaps over the borders of batches, against fold(); tokens are sorted once and none comes back."""
+    r = random.Random(batch)
+    odd = lambda: [(s := r.randrange(9), s + r.randrange(5)) for _ in range(r.randrange(6))] + [(0, 3), (6, 14)]
+    sentences = [(odd(), odd()) if r.random() < 0.5 else random_sides(r, 9) for _ in range(90)] + [([(0, 2)], []), ([(0, 2)], [(0, 1)]), ([(0, 2), (2, 2)], [(0, 1), (1, 2)])]
+    want = []
+    for i, sides in enumerate(sentences):
+        a, b = ([x[:2] for x in s] for s in sides)
+        if a and b and (min(a)[0], max(e for _, e in a)) == (min(b)[0], max(e for _, e in b)):
+            want += [(i, g, max([a[k][1] for k in x] + [b[k][1] for k in y]), len(x), len(y)) for g, (x, y) in enumerate(align.fold(a, b))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = paired.folded_sizes(table(spark, *sentences))
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Window [") == 1 and plan.count("Sort [") == 1 and plan.count("Exchange") == 1 and "Aggregate" not in plan
+        with pytest.raises(Exception, match="same total span"):
+            paired.folded_sizes(table(spark, *sentences), strict=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
