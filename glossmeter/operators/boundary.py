@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scan import begins, span, unpacked
+
 COUNTS = ("n_match", "n_ad", "n_trans", "w_trans", "n_pot", "n_a", "n_b")
 
 
@@ -130,7 +132,7 @@ def _walked(open_: _Open, key: np.ndarray, is_b: np.ndarray, start: np.ndarray,
 
 
 def _counted(batches: Iterator[pa.RecordBatch], winlen: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """A row a sentence from rows (sent_id, is_b, start, end, whole), whose sentences stand together in their given order."""
+    """A row a sentence from rows (sent_id, kind: 1 for b and 2 for whole, span), whose sentences stand together in their given order."""
     open_ = _Open()
 
     def table(sent: pa.Array, sums: np.ndarray, upto: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
@@ -140,13 +142,10 @@ def _counted(batches: Iterator[pa.RecordBatch], winlen: int, names: list[str]) -
     for batch in batches:
         if not batch.num_rows:
             continue
-        sent = batch.column(0) if open_.sent is None else pa.concat_arrays([open_.sent, batch.column(0)])
-        codes = sent.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-        new = np.concatenate([[open_.sent is None], codes[1:] != codes[:-1]])[-batch.num_rows :]
-        key = np.cumsum(new)
-        is_b, start, end, whole = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(1, 5))
+        new = begins(open_.sent, batch.column(0))
+        key, kind, (start, end) = np.cumsum(new), batch.column(1).to_numpy(zero_copy_only=False), unpacked(batch.column(2))
         none = open_.sent is None
-        sums, upto, some = _walked(open_, key, is_b, start.astype("i8"), end.astype("i8"), bool(whole[-1]), False, winlen)
+        sums, upto, some = _walked(open_, key, (kind & 1).astype(bool), start, end, bool(kind[-1] & 2), False, winlen)
         first = batch.column(0).take(pa.array(np.flatnonzero(new)))
         ids = first if none else pa.concat_arrays([open_.sent, first])
         open_.sent = ids.slice(len(ids) - 1)
@@ -168,9 +167,10 @@ def boundary_counts(items: DataFrame, winlen: int = 1) -> DataFrame:
     rows = items.where("is_min AND start IS NOT NULL AND end IS NOT NULL").select("sent_id", "side", "ord", "start", "end")
     rows = rows.withColumn("whole", F.bool_or(F.col("end") < F.col("start")).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     rows = rows.sortWithinPartitions("sent_id", "ord", "side")  # the order that they have
+    kind = F.when(F.col("side") == "b", 1).otherwise(0) + F.when(F.col("whole"), 2).otherwise(0)
     names = ["sent_id", "ta", "tb", "n_match", "n_odd", "n_a", "n_b", "n", "far"]
     kinds = T.StructType([T.StructField(c, T.LongType() if k else items.schema["sent_id"].dataType) for k, c in enumerate(names)])
-    per = rows.select("sent_id", (F.col("side") == "b").alias("is_b"), "start", "end", "whole").mapInArrow(lambda batches: _counted(batches, winlen, names), kinds)
+    per = rows.select("sent_id", kind.cast("byte").alias("kind"), span().alias("span")).mapInArrow(lambda batches: _counted(batches, winlen, names), kinds)
     valid = F.coalesce(F.col("ta") == F.col("tb"), F.lit(False))
     return per.select("sent_id", valid.alias("valid"), "n_match", (F.col("n_odd") - 2 * F.col("n")).alias("n_ad"), F.col("n").alias("n_trans"), (F.col("n") - F.col("far") / F.lit(float(winlen + 1))).alias("w_trans"), (F.col("ta") - 1).alias("n_pot"), "n_a", "n_b")
 
