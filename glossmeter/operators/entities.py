@@ -103,6 +103,74 @@ def bio_from_items(items: DataFrame, levels: int = 4) -> DataFrame:
     return rows.select("sent_id", "side", "nr", "start", "end", "label").mapInArrow(lambda batches: _tagged(batches, levels), T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
 
 
+def _in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sent_id, side, ord, e_type, s, e, n) from tags in order: one for each entity, and one with n, the number of tags, and no type for each sentence and side.
+
+    From batch to batch go the last tag, which may be an entity's last one, where that entity begins and its number."""
+    held = None  # the last row, its type, where its entity begins, the entity's number
+    names = ["sent_id", "side", "ord", "e_type", "s", "e", "n"]
+
+    def table(ids: pa.Array, side: pa.Array, types: pa.Array, nr, s, e, runs: np.ndarray, ends: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(np.concatenate([runs, ends]))
+        long = lambda x: pa.concat_arrays([pa.array(x[runs], pa.int64()), pa.nulls(len(ends), pa.int64())])
+        return pa.RecordBatch.from_arrays([ids.take(at), side.take(at), long(nr), pa.concat_arrays([types.take(pa.array(runs)), pa.nulls(len(ends), pa.string())]), long(s), long(e), pa.concat_arrays([pa.nulls(len(runs), pa.int64()), pa.array(n[ends], pa.int64())])], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c) for c in range(4)]
+        if held:
+            columns = [pa.concat_arrays([x, c]) for x, c in zip(held[0], columns)]
+        ids, side, ord_, tag = columns
+        ord_, coded = ord_.to_numpy(zero_copy_only=False).astype("i8"), tag.dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        types = pa.array([None if x == "O" else x[2:] for x in kinds], pa.string()).dictionary_encode()
+        of = types.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype("i8")
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        kind, is_b = of[code], np.array([x.startswith("B") for x in kinds])[code]
+        at, first = np.arange(len(code)), ord_ == 0
+        before = np.concatenate([[-1], kind[:-1]])
+        opens = (kind >= 0) & (first | (before != kind) | is_b)
+        nr = np.cumsum(opens)
+        begin = np.maximum.accumulate(np.where(first, at, -1))
+        nr = nr - np.where(begin >= 0, nr[begin] - opens[begin], 0)
+        start = ord_[np.maximum.accumulate(np.where(opens, at, 0))]
+        if held:
+            opens_later = np.maximum.accumulate(opens[1:]) if len(at) > 1 else opens[1:]
+            own = np.concatenate([[True], ~opens_later])  # rows before any entity of this batch begins
+            start = np.where(own, held[1], start)
+            nr = np.where(begin < 0, np.cumsum(np.concatenate([[0], opens[1:]])) + held[2], nr)
+            if first[0]:
+                nr = np.where(begin == 0, np.cumsum(np.concatenate([[0], opens[1:]])) + held[2], nr)
+        last = np.append(first[1:], False)
+        over = (kind >= 0) & np.append(first[1:] | opens[1:] | (kind[1:] < 0), False)
+        yield table(ids, side, types.dictionary.take(pa.array(kind, mask=kind < 0)), nr, start, ord_, np.flatnonzero(over), np.flatnonzero(last), ord_ + 1)
+        held = [c.slice(len(c) - 1) for c in columns], int(start[-1]), int(nr[-1])
+    if held:
+        (ids, side, ord_, tag), start, nr = held
+        kind, end = tag[0].as_py(), ord_.to_numpy(zero_copy_only=False).astype("i8")
+        types = pa.array([None if kind == "O" else kind[2:]], pa.string())
+        yield table(ids, side, types, np.array([nr]), np.array([start]), end, np.flatnonzero([kind != "O"]), np.array([0]), end + 1)
+
+
+def entities_of_items(items: DataFrame, skip: bool = False, levels: int = 4) -> tuple[DataFrame, DataFrame]:
+    """entities_from_tags() and label_set() of same_length() tags of bio_from_items(), without a tag that moves.
+
+    Entities leave the pass that makes tags, with the numbers of tags, and are cut after that; both results read one exchange of them.
+    """
+    w = W.partitionBy("sent_id", "side").orderBy("start", F.desc("end"), "ord")
+    rows = items.select("sent_id", "side", "ord", "start", "end", F.col("ner_label").alias("label")).withColumn("nr", F.row_number().over(w))
+    rows = rows.sortWithinPartitions("sent_id", "side", "start", F.desc("end"), "ord")  # the order that they have
+    kinds = [T.StructField("sent_id", items.schema["sent_id"].dataType), *(T.StructField(c, T.StringType() if c in ("side", "e_type") else T.LongType()) for c in ("side", "ord", "e_type", "s", "e", "n"))]
+    found = rows.select("sent_id", "side", "nr", "start", "end", "label").mapInArrow(lambda batches: _in_runs(_tagged(batches, levels)), T.StructType(kinds))
+    sent = W.partitionBy("sent_id")
+    tags = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("n"))).over(sent), F.lit(0))
+    found = found.withColumns({"n_a": tags("a"), "n_b": tags("b")}).withColumn("n", F.least("n_a", "n_b")).where("n_a = n_b" if skip else "true")
+    found = found.where("e_type IS NOT NULL AND ord > 0 AND e >= s AND s < n").select("sent_id", "side", "ord", "e_type", "s", F.least("e", F.col("n") - 1).alias("e"), "n")
+    kept = found.where(~((F.col("e") == F.col("n") - 1) & ((F.col("s") == 0) | (F.col("e_type") == "")))).drop("n")
+    return kept, label_set(found.select(F.concat(F.lit("I-"), "e_type").alias("tag")))
+
+
 def entities_from_tags(tags: DataFrame, compat: bool = True) -> DataFrame:
     """sent_id, side, ord, e_type, s, e (inclusive) from (sent_id, side, ord, tag); ord counts from 0.
 

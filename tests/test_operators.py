@@ -1026,3 +1026,24 @@ def test_folded_sizes_stream_by(spark, batch):
             paired.folded_sizes(table(spark, *sentences), strict=True).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_entities_leave_without_tags(spark, batch):
+    """Entities and labels of items over the borders of batches are those of their tags, cut to the shorter side or left out; items are tagged in one pass."""
+    r = random.Random(batch)
+    side = lambda: sorted([(s := r.randrange(30), s + r.randint(1, 6), "X", "l", True, r.choice([None, "A", "B", "B-I-x", ""])) for _ in range(r.randrange(12))], key=lambda x: x[:2])
+    t = table(spark, *[(side(), side()) for _ in range(60)], *[(x, x) for x in (side(), side())])
+    key = lambda df: sorted(map(str, df.select("sent_id", "side", F.col("ord").cast("long"), "e_type", F.col("s").cast("long"), F.col("e").cast("long")).collect()))
+    want = [entities.same_length(entities.bio_from_items(t), skip) for skip in (False, True)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for skip, tags in zip((False, True), want):
+            found, known = entities.entities_of_items(t, skip)
+            assert key(found) == key(entities.entities_from_tags(tags)) != []
+            assert {x[0] for x in known.collect()} == {x[0] for x in entities.label_set(tags).collect()}
+        both = entities.classify(*entities.entities_of_items(t))
+        both.collect()
+        assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
